@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sparkwright.plans import registry
 
-_MODULES = ["q_profile"]
+_MODULES = ["q_profile", "q_prep", "q_split"]
 
 
 def _load():
