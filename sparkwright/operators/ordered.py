@@ -158,3 +158,35 @@ def row_position(df: DataFrame, order_by: Sequence, partition_by: Sequence = (),
         F.sum("__cnt").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__cnt")
     j = local.join(offs, ["__blk", "__gk"], "left")
     return j.select(*[q(c) for c in df.columns], (F.col("__lpos") + F.col("__off")).alias(name))
+
+
+def cumulative_sum(df: DataFrame, columns: Sequence[str], order_by: Sequence,
+                   partition_by: Sequence = (), n_blocks: int | None = None,
+                   prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``columns`` along ``order_by`` (unique within
+    the key), blockwise like ``row_position``; adds ``<prefix><column>``."""
+    blk, order = _blocked(df, order_by, partition_by, n_blocks)
+    wk = Window.partitionBy("__blk", "__gk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = blk.select("*", *[F.sum(q(c)).over(wk).alias(f"__l_{c}") for c in columns])
+    sizes = local.groupBy("__blk", "__gk").agg(*[F.sum(q(c)).alias(f"__t_{c}") for c in columns])
+    ws = Window.partitionBy("__gk").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("__blk", "__gk", *[F.coalesce(F.sum(f"__t_{c}").over(ws), F.lit(0)).alias(f"__o_{c}")
+                                            for c in columns])
+    j = local.join(offs, ["__blk", "__gk"], "left")
+    return j.select(*[q(c) for c in df.columns],
+                    *[(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(prefix + c) for c in columns])
+
+
+def with_neighbour_rows(df: DataFrame, order_by: Sequence, partition_by: Sequence = (),
+                        columns: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:
+    """Attach the previous and next row's ``columns`` (as structs ``__prev_row``
+    / ``__next_row``) by joining on row position - a distributed lag/lead."""
+    pos = row_position(df, order_by, partition_by, n_blocks)
+    keys = [k for k in partition_by]
+    cols = list(columns)
+    prev = pos.select(*[q(k).alias(k) for k in keys], (F.col("__pos") + 1).alias("__pos"),
+                      F.struct(*[q(c) for c in cols]).alias("__prev_row"))
+    nxt = pos.select(*[q(k).alias(k) for k in keys], (F.col("__pos") - 1).alias("__pos"),
+                     F.struct(*[q(c) for c in cols]).alias("__next_row"))
+    on = keys + ["__pos"]
+    return pos.join(prev, on, "left").join(nxt, on, "left")

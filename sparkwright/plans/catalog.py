@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sparkwright.plans import registry
 
-_MODULES = ["q_profile", "q_prep", "q_split"]
+_MODULES = ["q_profile", "q_prep", "q_split", "q_eval"]
 
 
 def _load():

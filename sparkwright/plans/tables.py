@@ -74,9 +74,11 @@ def orders_nulls_sql(keep=None) -> str:
     return _with_nulls_sql("orders", ORDERS_COLS, ORDERS_NULLS, keep)
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double/float column (both sides of the oracle round alike)."""
+def round_doubles(df: DataFrame, digits: int = 6, per_column: dict | None = None) -> DataFrame:
+    """Round every double/float column (both sides of the oracle round alike);
+    ``per_column`` overrides the digits for large-magnitude columns."""
+    per = per_column or {}
     return df.select(*[
-        F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name)
+        F.round(F.col(f"`{f.name}`").cast("double"), per.get(f.name, digits)).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields])
