@@ -81,27 +81,79 @@ def _argmax_prediction(df: DataFrame, scores: list, probs: bool = True) -> DataF
     return out.withColumn("rawPrediction", array_to_vector(F.col("__s"))).drop("__s", "__x")
 
 
+def _score_numpy(df: DataFrame, score_fn, probs: bool = True) -> DataFrame:
+    """Class scores from a numpy function of the feature matrix, evaluated per
+    Arrow batch (``mapInPandas``); parameters are small (d x d per class) and
+    travel in the closure.  Adds prediction, rawPrediction and probability."""
+    cols = [c for c in df.columns if c not in ("prediction", "rawPrediction", "probability")]
+    base = df.select(*cols).withColumn("__x", vector_to_array(F.col("features"))).drop("features")
+    fields = base.schema.fields + [T.StructField("prediction", T.DoubleType()),
+                                   T.StructField("__raw", T.ArrayType(T.DoubleType()))]
+    if probs:
+        fields.append(T.StructField("__prob", T.ArrayType(T.DoubleType())))
+    schema = T.StructType(fields)
+
+    def run(it):
+        import pandas as pd  # noqa: F401
+        for pdf in it:
+            X = np.array(pdf["__x"].tolist(), dtype=float) if len(pdf) else np.zeros((0, 1))
+            S = score_fn(X) if len(pdf) else np.zeros((0, 1))
+            pdf = pdf.copy()
+            pdf["prediction"] = S.argmax(axis=1).astype(float) if len(pdf) else []
+            pdf["__raw"] = list(S)
+            if probs:
+                E = np.exp(S - S.max(axis=1, keepdims=True)) if len(pdf) else S
+                pdf["__prob"] = list(E / E.sum(axis=1, keepdims=True)) if len(pdf) else []
+            yield pdf
+    out = base.mapInPandas(run, schema).withColumn("features", array_to_vector("__x")) \
+        .withColumn("rawPrediction", array_to_vector("__raw"))
+    extra = ["probability"] if probs else []
+    if probs:
+        out = out.withColumn("probability", array_to_vector("__prob"))
+    return out.select(*cols, "prediction", "rawPrediction", *extra)
+
+
 def _class_moments(df: DataFrame, d: int, full: bool = True) -> dict:
-    """Per class: count, mean vector and sum of outer products (one groupBy)."""
-    x = _feature_array(df)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(F.col("__x")[i]).alias(f"s{i}") for i in range(d)]
-    if full:
-        aggs += [F.sum(F.col("__x")[i] * F.col("__x")[j]).alias(f"p{i}_{j}")
-                 for i in range(d) for j in range(i, d)]
-    rows = x.groupBy("label").agg(*aggs).collect()   # one row per class: bounded
+    """Per class: count, mean vector and scatter matrix.
+
+    Each task folds its rows into per-class partial sums ``[n, sum x, X^T X]``
+    with numpy (one small vector per class per task); the partials are summed
+    by ``groupBy(class, position)``.  The driver receives k * (1 + d + d^2)
+    numbers: bounded by the feature count, not the rows.
+    """
+    import pandas as pd
+    base = df.select(F.col("label").cast("double").alias("label"), vector_to_array("features").alias("__x"))
+
+    def part(it):
+        acc: dict = {}
+        for pdf in it:
+            if not len(pdf):
+                continue
+            X = np.array(pdf["__x"].tolist(), dtype=float)
+            y = pdf["label"].to_numpy()
+            for c in np.unique(y):
+                Xc = X[y == c]
+                v = [np.array([len(Xc)], dtype=float), Xc.sum(axis=0)]
+                if full:
+                    v.append((Xc.T @ Xc).ravel())
+                v = np.concatenate(v)
+                acc[c] = acc[c] + v if c in acc else v
+        yield pd.DataFrame({"label": list(acc.keys()), "v": [a.tolist() for a in acc.values()]})
+    parts = base.mapInPandas(part, "label double, v array<double>")
+    sums = parts.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i") \
+        .agg(F.sum("x").alias("x")).collect()
+    vecs: dict = {}
+    width = 1 + d + (d * d if full else 0)
+    for r in sums:
+        vecs.setdefault(int(r["label"]), np.zeros(width))[r["i"]] = r["x"]
     out = {}
-    for r in rows:
-        n = r["n"]
-        s = np.array([r[f"s{i}"] for i in range(d)], dtype=float)
-        m = {"n": n, "mean": s / n}
+    for c, v in vecs.items():
+        n = int(round(v[0]))
+        m = {"n": n, "mean": v[1:1 + d] / n}
         if full:
-            P = np.zeros((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    P[i, j] = P[j, i] = r[f"p{i}_{j}"]
+            P = v[1 + d:].reshape(d, d)
             m["scatter"] = P - n * np.outer(m["mean"], m["mean"])
-        out[int(r["label"])] = m
+        out[c] = m
     return out
 
 
@@ -131,14 +183,9 @@ class LinearDiscriminant(Estimator):
 
 
 def _score_linear(df: DataFrame, st: dict) -> DataFrame:
-    x = _feature_array(df)
-    scores = []
-    for c in st["coefs"]:
-        s = F.lit(c["b"])
-        for i, w in enumerate(c["w"]):
-            s = s + F.lit(w) * F.col("__x")[i]
-        scores.append(s)
-    return _argmax_prediction(x, scores)
+    W = np.array([c["w"] for c in st["coefs"]], dtype=float)
+    b = np.array([c["b"] for c in st["coefs"]], dtype=float)
+    return _score_numpy(df, lambda X: X @ W.T + b)
 
 
 class QuadraticDiscriminant(Estimator):
@@ -167,20 +214,17 @@ class QuadraticDiscriminant(Estimator):
 
 
 def _score_quadratic(df: DataFrame, st: dict) -> DataFrame:
-    x = _feature_array(df)
-    scores = []
-    for p in st["parts"]:
-        if p is None:
-            scores.append(F.lit(-1e300))
-            continue
-        dlt = [F.col("__x")[i] - F.lit(mu) for i, mu in enumerate(p["mu"])]
-        quad = F.lit(0.0)
-        for i, row in enumerate(p["inv"]):
-            for j, a in enumerate(row):
-                if a != 0.0:
-                    quad = quad + F.lit(a) * dlt[i] * dlt[j]
-        scores.append(F.lit(p["c"]) - 0.5 * quad)
-    return _argmax_prediction(x, scores)
+    parts = [None if p is None else (np.array(p["mu"]), np.array(p["inv"]), p["c"]) for p in st["parts"]]
+
+    def fn(X):
+        out = np.full((X.shape[0], len(parts)), -1e300)
+        for k, p in enumerate(parts):
+            if p is None:
+                continue
+            D = X - p[0]
+            out[:, k] = p[2] - 0.5 * np.einsum("ij,jk,ik->i", D, p[1], D)
+        return out
+    return _score_numpy(df, fn)
 
 
 class RidgeClassifierSpark(Estimator):
@@ -205,17 +249,11 @@ class RidgeClassifierSpark(Estimator):
 
 
 def _score_ridge(df: DataFrame, st: dict) -> DataFrame:
-    x = _feature_array(df)
-    scores = []
-    for m in st["models"]:
-        s = F.lit(m["b"])
-        for i, w in enumerate(m["w"]):
-            s = s + F.lit(w) * F.col("__x")[i]
-        scores.append(s)
+    W = np.array([m["w"] for m in st["models"]], dtype=float)
+    b = np.array([m["b"] for m in st["models"]], dtype=float)
     if st["binary"]:
-        return x.withColumn("rawPrediction", array_to_vector(F.array(-scores[0], scores[0]))) \
-            .withColumn("prediction", F.when(scores[0] > 0, 1.0).otherwise(0.0)).drop("__x")
-    return _argmax_prediction(x, scores, probs=False)
+        return _score_numpy(df, lambda X: np.column_stack([-(X @ W[0] + b[0]), X @ W[0] + b[0]]), probs=False)
+    return _score_numpy(df, lambda X: X @ W.T + b, probs=False)
 
 
 class AdaBoostSAMME(Estimator):
@@ -314,7 +352,7 @@ def _gbt(defaults):
                           stepSize=float(p.get("learning_rate", defaults["learning_rate"])),
                           subsamplingRate=float(p.get("subsample", 1.0)),
                           featureSubsetStrategy=str(p.get("colsample", "all")), seed=SEED)
-        return g if ctx["k"] <= 2 else OneVsRest(classifier=g)
+        return g if ctx["k"] <= 2 else OneVsRest(classifier=g, parallelism=4)
     return build
 
 
@@ -328,8 +366,8 @@ def _logreg(p, ctx):
 def _svc(reg):
     def build(p, ctx):
         lam = reg(p, ctx)
-        svc = LinearSVC(regParam=lam, maxIter=int(p.get("max_iter", 1000)), standardization=False)
-        return svc if ctx["k"] <= 2 else OneVsRest(classifier=svc)
+        svc = LinearSVC(regParam=lam, maxIter=int(p.get("max_iter", 100)), standardization=False)
+        return svc if ctx["k"] <= 2 else OneVsRest(classifier=svc, parallelism=4)
     return build
 
 
