@@ -45,8 +45,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         c = F.trim(q(name))
         nn = q(name).isNotNull()
         aggs += [
-            F.count_if(nn & F.try_cast(c, "bigint").isNull()).alias(f"l{i}"),
-            F.count_if(nn & F.try_cast(c, "double").isNull()).alias(f"d{i}"),
+            F.count_if(nn & c.try_cast("bigint").isNull()).alias(f"l{i}"),
+            F.count_if(nn & c.try_cast("double").isNull()).alias(f"d{i}"),
             F.count_if(nn & ~q(name).isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
             F.count_if(nn).alias(f"n{i}"),
         ]
@@ -61,9 +61,9 @@ def infer_types(df: DataFrame) -> DataFrame:
         if stats[f"n{i}"] == 0:
             cols.append(c)  # all missing stays text (object) like the reader
         elif stats[f"l{i}"] == 0:
-            cols.append(F.try_cast(F.trim(c), "bigint").alias(f.name))
+            cols.append(F.trim(c).try_cast("bigint").alias(f.name))
         elif stats[f"d{i}"] == 0:
-            cols.append(F.try_cast(F.trim(c), "double").alias(f.name))
+            cols.append(F.trim(c).try_cast("double").alias(f.name))
         elif stats[f"b{i}"] == 0:
             cols.append(c.isin(TRUE_TOKENS).alias(f.name))
         else:
@@ -71,9 +71,11 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = False) -> DataFrame:
+    """Header-row CSV.  ``multiline`` (quoted newlines) makes a file one task,
+    so it is off unless asked for; plain CSV splits across tasks."""
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", True).option("escape", '"')
+           .option("multiLine", multiline).option("escape", '"')
            .option("nullValue", None).option("emptyValue", "")
            .csv(path))
     raw = _null_tokens(raw)
@@ -96,7 +98,7 @@ def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFr
     first = names[0]
     rows = maps.select(F.explode(F.map_keys(q(first))).alias("__row"), *[q(n) for n in names])
     out = rows.select(F.col("__row"), *[q(n)[F.col("__row")].alias(n) for n in names])
-    out = out.orderBy(F.try_cast("__row", "bigint"), "__row").drop("__row")
+    out = out.orderBy(F.col("__row").try_cast("bigint"), "__row").drop("__row")
     return infer_types(_null_tokens(out))
 
 
