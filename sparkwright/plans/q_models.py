@@ -110,3 +110,30 @@ def q_gnb_moments(spark, d):
         x = F.col("embedding")[i].cast("double")
         aggs += [F.round(F.avg(x), 6).alias(f"mean_{i}"), F.round(F.var_pop(x), 6).alias(f"var_{i}")]
     return e.groupBy("label").agg(*aggs)
+
+
+_KNN_SQL = (
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS label, "
+    "CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(vec_id AS VARCHAR)))) <= "
+    "ceil(CAST(count(*) OVER () AS DOUBLE) * 0.2) THEN 'test' ELSE 'train' END AS split FROM embeddings), "
+    "tr AS (SELECT x, label, count(*) AS n, md5(array_to_string(x, '|') || '|' || CAST(label AS VARCHAR)) AS t "
+    "FROM e WHERE split = 'train' GROUP BY x, label), "
+    "te AS (SELECT vec_id, x FROM e WHERE split = 'test'), "
+    "d AS (SELECT te.vec_id, tr.label, tr.n, tr.t, list_sum(list_transform(range(1, len(te.x) + 1), "
+    "lambda i: (te.x[i] - tr.x[i]) * (te.x[i] - tr.x[i]))) AS d2 FROM te, tr), "
+    "r AS (SELECT *, sum(n) OVER (PARTITION BY vec_id ORDER BY d2, t ROWS BETWEEN UNBOUNDED PRECEDING AND "
+    "CURRENT ROW) AS cum FROM d), "
+    "v AS (SELECT vec_id, label, sum(least(n, 5 - (cum - n))) AS votes FROM r WHERE cum - n < 5 GROUP BY 1, 2) "
+    "SELECT vec_id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, "
+    "label) AS rn FROM v) WHERE rn = 1")
+
+
+@register("knn_predict", _KNN_SQL)
+def q_knn_predict(spark, d):
+    """Exact 5-nearest-neighbour vote for every test embedding (brute-force SQL twin)."""
+    from sparkwright.operators.knn import KNeighbors
+    data = embedding_frame(spark, d).persist()
+    train = data.where(F.col("split") == "train").drop("split")
+    test = data.where(F.col("split") == "test").drop("split")
+    model = KNeighbors(5).fit(train)
+    return model.transform(test).select("vec_id", "prediction")

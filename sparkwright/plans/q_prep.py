@@ -463,3 +463,36 @@ _PIPE = _STRIP_SQL.format(x=_NUM_SQL.format(x=_SPECIAL_SQL.format(x="lower(url)"
 def q_text_pipeline(spark, d):
     df = table(spark, d, "pages").select("page_id", "url")
     return TX.clean_text(df, ["url"], ["lowercase", "remove_special", "remove_numbers", "strip"])
+
+
+# ===================================================================== E4
+_KP = ("(SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_size END AS p_size, "
+       "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice FROM part)")
+
+
+def _knn_col_sql(target, other):
+    """k=5 nearest donors for rows missing `target`, over the one other feature."""
+    return (f"(SELECT qk, sum(v * take) / sum(take) AS imp FROM (SELECT qk, v, least(n, 5 - (cum - n)) AS take FROM "
+            f"(SELECT *, sum(n) OVER (PARTITION BY qk ORDER BY d2, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+            f"AS cum FROM (SELECT rr.qk, dd.v, dd.n, dd.t, 2.0 * ((rr.o - dd.o) * (rr.o - dd.o)) AS d2 FROM "
+            f"(SELECT DISTINCT key AS qk, {other} AS o FROM txt WHERE {target} IS NULL AND {other} IS NOT NULL) rr, "
+            f"(SELECT {other} AS o, {target} AS v, key AS t, count(*) AS n FROM txt WHERE {target} IS NOT NULL AND "
+            f"{other} IS NOT NULL GROUP BY 1, 2, 3) dd)) WHERE cum - n < 5) GROUP BY qk)")
+
+
+_KNN_IMPUTE_SQL = (
+    f"WITH t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice AS r FROM {_KP}), "
+    f"txt AS (SELECT *, md5(coalesce(CAST(s AS VARCHAR), '') || '|' || coalesce(CAST(r AS VARCHAR), '')) AS key FROM t) "
+    f"SELECT p_partkey, round(CASE WHEN s IS NULL THEN coalesce(a.imp, (SELECT avg(s) FROM t)) ELSE s END, 6) AS p_size, "
+    f"round(CASE WHEN r IS NULL THEN coalesce(b.imp, (SELECT avg(r) FROM t)) ELSE r END, 6) AS p_retailprice "
+    f"FROM txt LEFT JOIN {_knn_col_sql('s', 'r')} a ON txt.key = a.qk LEFT JOIN {_knn_col_sql('r', 's')} b "
+    f"ON txt.key = b.qk")
+
+
+@register("impute_knn", _KNN_IMPUTE_SQL)
+def q_impute_knn(spark, d):
+    from sparkwright.operators.knn import impute_knn
+    df = table(spark, d, "part").selectExpr(
+        "p_partkey", "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_size END AS p_size",
+        "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice")
+    return round_doubles(impute_knn(df, id_col="p_partkey", columns=["p_size", "p_retailprice"]))

@@ -14,6 +14,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # iterative plans (k-NN rounds, boosting) build many joins over aliased
+    # columns; constraint propagation on them grows without bound
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Never broadcast a side whose size is unknown; explicit broadcast() is
     # only used on frames whose size is bounded by construction.
@@ -30,6 +33,9 @@ def get_session(master: str | None = None, app: str = "sparkwright",
         builder = builder.master(master)
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
+    if master and master.startswith("local") and not (extra or {}).get("spark.driver.memory"):
+        # local mode: the driver JVM is the whole cluster
+        builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
