@@ -164,3 +164,19 @@ def q_prep_apply(spark, d):
     kept = p.frame.select("o_orderkey", "split")
     replay = p.apply(raw.join(kept, "o_orderkey"))
     return round_doubles(replay.select(*p.frame.columns))
+
+
+@register("stream_apply", "SELECT * EXCLUDE (split) FROM (" + _QUICK_SQL + ")")
+def q_stream_apply(spark, d):
+    """Fit the quick flow on the table, then replay its recipe on the same
+    table read as a *stream* (file source -> stateless steps -> file sink)."""
+    from sparkwright.streaming.apply import prepare_stream, read_stream, run_to_files
+    from sparkwright.plans.tables import ORDERS_NULLS, _null_exprs
+    raw = orders_nulls(spark, d, OR_F)
+    p = PR.prep_quick(raw, "o_orderstatus", ["o_orderkey"])
+    schema = spark.read.parquet(f"{d}/orders.parquet").schema
+    stream = read_stream(spark, d, schema, file_glob="orders.parquet")
+    out = prepare_stream(stream, p, require=["o_custkey", "o_totalprice", "o_orderpriority"],
+                         pre=lambda s: s.selectExpr(*_null_exprs(OR_F, ORDERS_NULLS)))
+    path = run_to_files(out)
+    return round_doubles(spark.read.parquet(path))
