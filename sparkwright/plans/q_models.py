@@ -73,7 +73,18 @@ for _learner in M.LEARNERS:
     register(_key(_learner.name))(lambda spark, d, _n=_learner.name: fit_and_score(spark, d, _n))
 
 
-@register("model_recommendations")
+_RECO_SQL = (
+    "WITH n AS (SELECT count(*) AS dataset_size FROM lineitem), "
+    "lists AS (SELECT * FROM (VALUES ('small', 0, 'Random Forest'), ('small', 1, 'Gaussian Naive Bayes'), "
+    "('small', 2, 'K-Nearest Neighbors'), ('medium', 0, 'Random Forest'), ('medium', 1, 'XGBoost'), "
+    "('medium', 2, 'Support Vector Machine'), ('medium', 3, 'Logistic Regression'), ('large', 0, 'XGBoost'), "
+    "('large', 1, 'LightGBM'), ('large', 2, 'Random Forest'), ('large', 3, 'Multi-layer Perceptron')) "
+    "AS t(size_class, rank, model)) "
+    "SELECT CAST(rank AS INTEGER) AS rank, model, dataset_size FROM lists, n WHERE size_class = "
+    "CASE WHEN dataset_size < 1000 THEN 'small' WHEN dataset_size < 10000 THEN 'medium' ELSE 'large' END")
+
+
+@register("model_recommendations", _RECO_SQL)
 def q_model_recommendations(spark, d):
     """Size-based suggestions for a classification target of ``lineitem``."""
     return M.recommendations_frame(table(spark, d, "lineitem"), "classification")
@@ -137,3 +148,4 @@ def q_knn_predict(spark, d):
     test = data.where(F.col("split") == "test").drop("split")
     model = KNeighbors(5).fit(train)
     return model.transform(test).select("vec_id", "prediction")
+
