@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -40,16 +41,39 @@ def point_text(arr: Column) -> Column:
     return F.array_join(F.transform(arr, lambda e: e.cast("string")), "|", "")
 
 
+@F.pandas_udf("double")
+def _sq_dist_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    if len(a) == 0:
+        return pd.Series([], dtype=float)
+    A = np.array(a.tolist(), dtype=float)
+    B = np.array(b.tolist(), dtype=float)
+    return pd.Series(((A - B) ** 2).sum(axis=1))
+
+
 def _sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    """Squared Euclidean distance, vectorised per Arrow batch (numpy)."""
+    return _sq_dist_udf(a, b)
+
+
+def _nan_dist2_udf(p: int):
+    @F.pandas_udf("double")
+    def dist(a: pd.Series, b: pd.Series) -> pd.Series:
+        if len(a) == 0:
+            return pd.Series([], dtype=float)
+        A = np.array([[np.nan if v is None else v for v in r] for r in a], dtype=float)
+        B = np.array([[np.nan if v is None else v for v in r] for r in b], dtype=float)
+        D = (A - B) ** 2
+        present = ~np.isnan(D)
+        cnt = present.sum(axis=1)
+        sq = np.where(present, D, 0.0).sum(axis=1)
+        out = np.where(cnt > 0, float(p) / np.maximum(cnt, 1) * sq, np.nan)
+        return pd.Series(out).where(cnt > 0, None)
+    return dist
 
 
 def _nan_dist2(a: Column, b: Column, p: int) -> Column:
     """NaN-aware squared distance: (p / present) * sum over coordinates present in both."""
-    both = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), (x - y) * (x - y)))
-    sq = F.aggregate(both, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-    cnt = F.aggregate(both, F.lit(0), lambda s, v: s + F.when(v.isNotNull(), 1).otherwise(0))
-    return F.when(cnt > 0, F.lit(float(p)) / cnt * sq)
+    return _nan_dist2_udf(p)(a, b)
 
 
 def _slabs(points: DataFrame, key: Sequence[str], m: int) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +160,8 @@ def search(queries: DataFrame, entries: DataFrame, points: DataFrame, index_poin
         # cut the lineage (reliable checkpoint in the shared folder) so plans
         # stay linear in the number of rounds
         done = cut_lineage(chk.where(ok).select("__qk"))
-        res = cut_lineage(kept.join(done, "__qk", "left_semi").select("__qk", "__pid", "__d2", "__take"))
+        res = kept.join(done, "__qk", "left_semi").select("__qk", "__pid", "__d2", "__take").persist()
+        res.count()
         kept.unpersist()
         found = res if found is None else found.unionByName(res)
         pend = cut_lineage(pend.join(done, "__qk", "left_anti"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sparkwright.plans import registry
 
-_MODULES = ["q_profile", "q_prep", "q_split", "q_eval", "q_flows", "q_models", "q_sources"]
+_MODULES = ["q_profile", "q_prep", "q_split", "q_eval", "q_flows", "q_models", "q_sources", "q_features"]
 
 
 def _load():
