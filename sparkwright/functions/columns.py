@@ -120,3 +120,13 @@ def unpivot_row(df: DataFrame, names: Sequence[str], fields: dict[str, Sequence[
 
 def safe_name(i: int, tag: str) -> str:
     return f"__{tag}_{i}"
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a single-row aggregate to every row.
+
+    ``one_row`` must be a global aggregate (exactly one row: a proven size
+    bound), so this is a broadcast of scalars, not a cartesian product of
+    data; it keeps the plan lazy instead of collecting the scalars first.
+    """
+    return df.crossJoin(F.broadcast(one_row))

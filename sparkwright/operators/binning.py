@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import q, quantiles
+from sparkwright.functions.columns import attach_one_row
 
 EDGE_WIDEN = 0.001   # the lowest edge is moved down by 0.1 % of the range (fixed value)
 
@@ -41,7 +42,7 @@ def bin_equal_width(df: DataFrame, column: str, bins: int = 5, out: str | None =
     """Equal-width bins over [min, max], index 0..bins-1, right-closed."""
     x = q(column).cast("double")
     rng = df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    j = df.crossJoin(F.broadcast(rng))
+    j = attach_one_row(df, rng)
     e = equal_width_index(q(column), F.col("__lo"), F.col("__hi"), bins)
     return _replace(j, column, e, out).drop("__lo", "__hi")
 
@@ -57,7 +58,7 @@ def bin_equal_freq(df: DataFrame, column: str, q_bins: int = 5, out: str | None
     """Equal-frequency bins: duplicate edges dropped, right-closed, lowest
     value included (index = edges below x, minus one, floored at 0)."""
     edges = quantile_edges(df, column, q_bins, exact)
-    j = df.crossJoin(F.broadcast(edges))
+    j = attach_one_row(df, edges)
     x = q(column).cast("double")
     idx = F.greatest(F.size(F.filter(F.col("__edges"), lambda e: e < x)) - 1, F.lit(0))
     return _replace(j, column, F.when(x.isNotNull(), idx), out).drop("__edges")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import q, text_columns
 from sparkwright.operators.ordered import row_position
+from sparkwright.functions.columns import attach_one_row
 
 NAN_TEXT = "nan"            # text of a missing value once cast to text (fixed value)
 OTHER = "Other"             # replacement for rare categories (fixed value)
@@ -130,7 +131,7 @@ def frequency_dictionary(df: DataFrame, column: str) -> DataFrame:
     """``(value, freq)``: share of each value among non-null values."""
     counts = df.where(q(column).isNotNull()).groupBy(q(column).alias("value")).count()
     tot = df.agg(F.count(q(column)).alias("__t"))
-    return counts.crossJoin(F.broadcast(tot)).select(
+    return attach_one_row(counts, tot).select(
         "value", (F.col("count") / F.col("__t")).alias("freq"))
 
 

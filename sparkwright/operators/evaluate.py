@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import q
 from sparkwright.operators import ordered
+from sparkwright.functions.columns import attach_one_row
 
 EPS = sys.float_info.epsilon      # probability clip for log loss (float64 eps)
 MAX_CLASSES = 10_000              # confusion grids are k x k: refuse absurd k
@@ -83,8 +84,10 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "predictio
     k = classes.count()
     if k > MAX_CLASSES:
         raise ValueError(f"{k} classes: a confusion grid is k x k")
-    grid = classes.select(F.col("c").alias("label")).crossJoin(
-        F.broadcast(classes.select(F.col("c").alias("prediction"))))
+    # the k x k grid is the output itself; k is checked above, so the class
+    # list is one bounded array exploded twice (no join)
+    grid = classes.agg(F.sort_array(F.collect_set("c")).alias("cs")) \
+        .select(F.explode("cs").alias("label"), "cs").select("label", F.explode("cs").alias("prediction"))
     cells = pairs.select(F.col("y").alias("label"), F.col("p").alias("prediction"), "n")
     return grid.join(F.broadcast(cells), ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
@@ -175,7 +178,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
         pts = nb.where(keep).select("score", "tps", "fps")
     first = tot.select(F.lit(float("inf")).alias("score"), F.lit(0).cast("bigint").alias("tps"),
                        F.lit(0).cast("bigint").alias("fps"))
-    allp = pts.select("score", "tps", "fps").unionByName(first).crossJoin(F.broadcast(tot))
+    allp = attach_one_row(pts.select("score", "tps", "fps").unionByName(first), tot)
     return allp.select(F.col("score").alias("threshold"),
                        (F.col("fps") / F.col("__N")).alias("fpr"), (F.col("tps") / F.col("__P")).alias("tpr"))
 
@@ -187,10 +190,10 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", positive
     t = _score_table(df, q(label) == F.lit(positive), q(score)).withColumn("__ns", -F.col("score"))
     cs = ordered.cumulative_sum(t, ["pos", "neg"], ["__ns"])
     tot = t.agg(F.sum("pos").alias("__P"))
-    j = cs.crossJoin(F.broadcast(tot))
+    j = attach_one_row(cs, tot)
     # keep thresholds up to (and including) the highest one where tps == P
     full = j.where(F.col("cum_pos") == F.col("__P")).agg(F.max("score").alias("__stop"))
-    k = j.crossJoin(F.broadcast(full)).where(F.col("score") >= F.col("__stop"))
+    k = attach_one_row(j, full).where(F.col("score") >= F.col("__stop"))
     pts = k.select(F.col("score").alias("threshold"),
                    F.when(F.col("cum_pos") + F.col("cum_neg") > 0,
                           F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).otherwise(0.0).alias("precision"),
@@ -209,9 +212,9 @@ def regression_metrics(df: DataFrame, label: str = "label", pred: str = "predict
                F.sum((y - p) * (y - p)).alias("__ssr"), F.avg(F.abs(y - p)).alias("mae"),
                F.avg(F.when(y != 0, F.abs((y - p) / y))).alias("__ape"),
                F.count_if(y == 0).alias("n_zero_labels"))
-    sst = df.crossJoin(F.broadcast(s.select("__ym"))).agg(
+    sst = attach_one_row(df, s.select("__ym")).agg(
         F.sum((y - F.col("__ym")) * (y - F.col("__ym"))).alias("__sst"))
-    j = s.crossJoin(sst)
+    j = attach_one_row(s, sst)
     r2 = (F.when(F.col("__sst") == 0, F.when(F.col("__ssr") == 0, 1.0).otherwise(0.0))
           .otherwise(1 - F.col("__ssr") / F.col("__sst")))
     return j.select(r2.alias("r2_score"), (F.col("__ssr") / F.col("__n")).alias("mse"),

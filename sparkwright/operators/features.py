@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions.columns import q
 from sparkwright.operators.encode import BROADCAST_ROWS, label_dictionary, as_text
 from sparkwright.operators.evaluate import MAX_CLASSES
+from sparkwright.functions.columns import attach_one_row
 
 
 # --------------------------------------------------------------------- P2
@@ -24,7 +25,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``(label, n_c, weight)`` with weight = n / (k * n_c) (balanced)."""
     counts = df.groupBy(q(label).alias(label)).agg(F.count(F.lit(1)).alias("n_c"))
     tot = counts.agg(F.sum("n_c").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    return counts.crossJoin(F.broadcast(tot)).select(
+    return attach_one_row(counts, tot).select(
         q(label), "n_c", (F.col("__n") / (F.col("__k") * F.col("n_c"))).alias("weight"))
 
 
@@ -88,11 +89,11 @@ def encode_target_mean(df: DataFrame, column: str, target: str, fit_where=None,
     y = q(target).cast("double")
     glob = fit.agg(F.avg(y).alias("__g"))
     stats = fit.groupBy(q(column).alias("__tk")).agg(F.sum(y).alias("__sy"), F.count(y).alias("__ny"))
-    stats = stats.crossJoin(F.broadcast(glob)).select(
+    stats = attach_one_row(stats, glob).select(
         "__tk", ((F.col("__sy") + F.lit(smoothing) * F.col("__g")) / (F.col("__ny") + F.lit(smoothing))).alias("__te"))
     n = stats.count()
     side = F.broadcast(stats) if n <= BROADCAST_ROWS else stats
-    j = df.join(side, q(column) == F.col("__tk"), "left").crossJoin(F.broadcast(glob))
+    j = attach_one_row(df.join(side, q(column) == F.col("__tk"), "left"), glob)
     return j.select(*[F.coalesce(F.col("__te"), F.col("__g")).alias(c) if c == column else q(c)
                       for c in df.columns])
 

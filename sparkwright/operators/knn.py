@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions.columns import numeric_columns, q
 from sparkwright.operators import ordered
 from sparkwright.session import cut_lineage
+from sparkwright.functions.columns import attach_one_row
 
 SLAB_ROWS = 64
 INF = float("inf")
@@ -82,7 +83,7 @@ def _slabs(points: DataFrame, key: Sequence[str], m: int) -> tuple[DataFrame, Da
     pts = pos.withColumn("__slab", F.floor(F.col("__p") / m).cast("long")).drop("__p")
     bounds = pts.groupBy(*key, "__slab").agg(F.min("__u").alias("__lo"), F.max("__u").alias("__hi"))
     nslab = bounds.groupBy(*key).agg((F.max("__slab") + 1).alias("__nslab"))
-    return pts, bounds.join(nslab, list(key)) if key else bounds.crossJoin(nslab)
+    return pts, bounds.join(nslab, list(key)) if key else attach_one_row(bounds, nslab)
 
 
 def _query_slabs(queries: DataFrame, points: DataFrame, key: Sequence[str], m: int,
@@ -97,7 +98,7 @@ def _query_slabs(queries: DataFrame, points: DataFrame, key: Sequence[str], m: i
     qs = cs.where(F.col("__kind") == 0).select(*k, F.col("__t").alias("__qe"),
                                               F.floor(F.col("cum___is_pt") / m).cast("long").alias("__s0"))
     j = queries.join(qs, [*k, "__qe"])
-    j = j.join(nslab, k, "left") if k else j.crossJoin(nslab)
+    j = j.join(nslab, k, "left") if k else attach_one_row(j, nslab)
     return j.withColumn("__s", F.least(F.col("__s0"), F.greatest(F.col("__nslab") - 1, F.lit(0)))).drop("__s0")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import (EXACT_QUANTILE_ROW_LIMIT, numeric_columns,
+from sparkwright.functions.columns import (EXACT_QUANTILE_ROW_LIMIT, attach_one_row, numeric_columns,
                                            pandas_dtype, q, quantiles, text_columns,
                                            unpivot_row)
 
@@ -258,7 +258,7 @@ def value_counts(df: DataFrame, column: str, normalize_by: str = "rows") -> Data
         total = row_count(df).select(F.col("n_rows").alias("__t"))
     else:
         total = df.agg(F.count(q(column)).alias("__t"))
-    return counts.crossJoin(F.broadcast(total)).select(
+    return attach_one_row(counts, total).select(
         "value", "count", (F.col("count") * 100.0 / F.col("__t")).alias("pct"))
 
 
@@ -294,7 +294,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         F.when(F.col("__mn") == F.col("__mx"), F.col("__mx") + 0.5).otherwise(F.col("__mx")).alias("hi"))
     b = F.least(F.floor((x - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo"))),
                 F.lit(bins - 1)).cast("int")
-    counts = df.where(x.isNotNull()).crossJoin(F.broadcast(rng)).groupBy(b.alias("bin")) \
+    counts = attach_one_row(df.where(x.isNotNull()), rng).groupBy(b.alias("bin")) \
         .agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi")
     w = (F.col("hi") - F.col("lo")) / F.lit(bins)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions.columns import (is_numeric, is_text, numeric_columns, pandas_dtype, q,
                                            text_columns, unpivot_row)
 from sparkwright.operators import profile as P
+from sparkwright.functions.columns import attach_one_row
 
 # Name keywords that make a numeric column a binning candidate (fixed values).
 BIN_KEYWORDS_ADVICE = ["age", "year", "price", "salary", "income"]
@@ -190,7 +191,7 @@ def task_type(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     (text -> classification; numeric: distinct < 20 or distinct/rows < 0.05;
     the custom-mode rule uses distinct < 20 only)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    nu = P.nunique(df, columns).crossJoin(F.broadcast(P.row_count(df)))
+    nu = attach_one_row(P.nunique(df, columns), P.row_count(df))
     kinds = df.sparkSession.createDataFrame(
         [(c, is_text(types[c])) for c in columns], "column_name string, is_text boolean")
     j = nu.join(F.broadcast(kinds), "column_name")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import numeric_columns, q, quantiles
+from sparkwright.functions.columns import attach_one_row
 
 
 def _cols(df, columns):
@@ -25,7 +26,7 @@ def _fit_rows(df: DataFrame, fit_where: Column | None) -> DataFrame:
 
 
 def _apply(df: DataFrame, stats: DataFrame, exprs: dict) -> DataFrame:
-    j = df.crossJoin(F.broadcast(stats))
+    j = attach_one_row(df, stats)
     return j.select(*[exprs[c].alias(c) if c in exprs else q(c) for c in df.columns])
 
 
@@ -171,7 +172,7 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5,
     cond = F.lit(True)
     for i, c in enumerate(columns):
         cond = cond & q(c).between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
-    j = df.crossJoin(F.broadcast(b))
+    j = attach_one_row(df, b)
     return j.where(F.coalesce(cond, F.lit(False))).select(*[q(c) for c in df.columns])
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import q
 from sparkwright.operators.ordered import row_position
+from sparkwright.functions.columns import attach_one_row
 
 SEED = 42
 BUCKET_BITS = 16
@@ -93,7 +94,7 @@ def stratified_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> Data
     """
     counts = df.groupBy(q(label).alias(label)).agg(F.count(F.lit(1)).alias("n_c"))
     tot = counts.agg(F.sum("n_c").alias("__n"))
-    c = counts.crossJoin(F.broadcast(tot))
+    c = attach_one_row(counts, tot)
     n_test = F.ceil(F.col("__n") * F.lit(float(test_size))) if not (isinstance(test_size, int) and test_size >= 1) \
         else F.lit(test_size)
     c = c.withColumn("__ntr", F.col("__n") - n_test)

@@ -13,6 +13,7 @@ from sparkwright.operators import evaluate as EV
 from sparkwright.operators import profile as P
 from sparkwright.plans.registry import register
 from sparkwright.plans.tables import round_doubles, table
+from sparkwright.functions.columns import attach_one_row
 
 # Rule-based predictions (fixed expressions shared with the oracle).
 BIN = {
@@ -285,7 +286,7 @@ def _compare_frame(spark, d):
     for name, score, pred in MODELS:
         df = table(spark, d, "lineitem").selectExpr(f"{BIN['label']} AS label", f"{score} AS score",
                                                     f"{pred} AS prediction")
-        m = EV.classification_metrics(df).crossJoin(EV.roc_auc(df))
+        m = attach_one_row(EV.classification_metrics(df), EV.roc_auc(df))
         res.append((name, m))
     return EV.compare_models(res)
 
@@ -312,5 +313,5 @@ def q_compare_chart(spark, d):
           f"SELECT m.*, o.roc_auc, l.log_loss FROM ({_CLS_MC}) m, ({_ovr_sql()}) o, ({_logloss_sql()}) l")
 def q_evaluate_classification(spark, d):
     df = _mc_prob(spark, d)
-    out = EV.classification_metrics(df).crossJoin(EV.roc_auc_ovr(df)).crossJoin(EV.log_loss(df))
+    out = attach_one_row(attach_one_row(EV.classification_metrics(df), EV.roc_auc_ovr(df)), EV.log_loss(df))
     return round_doubles(out)

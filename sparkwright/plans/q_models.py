@@ -16,6 +16,7 @@ from sparkwright.operators import models as M
 from sparkwright.operators import split as SP
 from sparkwright.plans.registry import register
 from sparkwright.plans.tables import round_doubles, table
+from sparkwright.functions.columns import attach_one_row
 
 # Per-learner parameters of the registered queries (iteration counts kept
 # moderate so the whole catalogue runs in the benchmark).
@@ -58,10 +59,10 @@ def fit_and_score(spark, d, name: str):
     metrics = EV.classification_metrics(pred)
     majority = train.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1) \
         .select(F.col("label").alias("__maj"))
-    base = test.crossJoin(F.broadcast(majority)).agg(
+    base = attach_one_row(test, majority).agg(
         F.avg((F.col("label") == F.col("__maj")).cast("double")).alias("majority_accuracy"),
         F.count(F.lit(1)).alias("n_test"))
-    out = metrics.crossJoin(base).select(F.lit(name).alias("model"), F.lit(binary).alias("binary"), "*")
+    out = attach_one_row(metrics, base).select(F.lit(name).alias("model"), F.lit(binary).alias("binary"), "*")
     return round_doubles(out)
 
 
