@@ -67,6 +67,11 @@ def _sub(df: DataFrame, col: str, expr: Column) -> DataFrame:
     return df.select("*", expr.alias(col))
 
 
+def _bounded(frame: DataFrame) -> DataFrame:
+    """Broadcast a dictionary frame only when its measured size allows."""
+    return F.broadcast(frame) if frame.count() <= EN.BROADCAST_ROWS else frame
+
+
 def _fit_rows(df: DataFrame, fit_on: str) -> DataFrame:
     return df.where(F.col("split") == "train") if fit_on == "train" and "split" in df.columns else df
 
@@ -140,6 +145,22 @@ def prep_quick(df: DataFrame, target: str, id_cols: Sequence[str], test_size: fl
            else SP.split_random(cur, ids, test_size, seed))
     steps.append(Step("split", "label", "stratified" if stratify else "random"))
     fit = _fit_rows(cur, fit_on)
+    if missing in ("mean", "median", "mode"):
+        # simple fills of the quick mode: numeric columns by mean / median
+        # (mode when asked), every other column by its mode
+        need = IM.columns_with_nulls(fit, feats)
+        num = set(numeric_columns(cur))
+        nums = [c for c in need if c in num and missing != "mode"]
+        stat = (IM.column_means(fit, nums) if missing == "mean" else IM.column_medians(fit, nums))
+        modes = IM.column_modes(fit, [c for c in need if c not in nums])
+        for c in need:
+            if c in nums:
+                s = fill_step(c, stat[c], missing)
+                cur = _sub(cur, c, q(c).cast("double"))
+            else:
+                s = fill_step(c, modes[c] if modes[c] is not None else IM.UNKNOWN, "mode")
+            cur = s.apply(cur)
+            steps.append(s)
     if missing in ("mean_mode", "knn"):
         if missing == "knn":
             from sparkwright.operators.knn import impute_knn
@@ -266,16 +287,16 @@ def prep_raw(df: DataFrame, target: str, id_cols: Sequence[str], test_size: floa
 @dataclass
 class ColumnSpec:
     """Per-column configuration of the custom flow (all optional)."""
-    missing: str | None = None           # mean median mode constant interpolate forward_fill backward_fill
+    missing: str | None = None           # mean median mode constant drop interpolate forward_fill backward_fill
     fill_value: object = 0
     outliers: str = "none"               # none clip remove
     outlier_threshold: float = 1.5
     binning: str | None = None           # equal_width equal_frequency custom
     n_bins: int = 5
     custom_bins: Sequence[float] = ()
-    scaling: str = "none"                # none log sqrt power
+    scaling: str = "none"                # none log sqrt power standard minmax robust maxabs winsorize
     text_processing: Sequence[str] = ()  # lowercase remove_special remove_numbers strip
-    rare_categories: str | None = None   # group_as_other
+    rare_categories: str | None = None   # group_as_other drop
     rare_threshold: float = 5.0
     encoding: str = "label"              # label onehot frequency
 
@@ -309,6 +330,9 @@ def prep_custom(df: DataFrame, target: str, id_cols: Sequence[str], specs: dict[
                     s = fill_step(col, IM.column_modes(cur, [col])[col], "mode")
                 elif sp.missing == "constant":
                     s = fill_step(col, sp.fill_value, "constant")
+                elif sp.missing == "drop":
+                    s = Step("drop_rows", col, "rows missing the value",
+                             lambda d, c=col: d.where(q(c).isNotNull()))
                 elif sp.missing in ("interpolate", "forward_fill", "backward_fill"):
                     fn = {"interpolate": IM.interpolate_linear, "forward_fill": IM.ffill,
                           "backward_fill": IM.bfill}[sp.missing]
@@ -354,7 +378,20 @@ def prep_custom(df: DataFrame, target: str, id_cols: Sequence[str], specs: dict[
                              lambda d, c=col, o=out, e=tuple(sp.custom_bins): BN.bin_custom(d, c, e, o))
                 cur = s.apply(cur)
                 steps.append(s)
-            if sp.scaling in ("log", "sqrt"):
+            if sp.scaling in ("standard", "minmax", "robust", "maxabs"):
+                s = scale_step([col], sp.scaling, cur)
+                cur = s.apply(cur)
+                steps.append(s)
+            elif sp.scaling == "winsorize":
+                b = cur.agg(quantiles(q(col), [0.05, 0.95]).alias("b")).first()["b"]
+                lo, hi = (b[0], b[1]) if b else (None, None)
+                s = Step("winsorize", col, f"[{lo}, {hi}]",
+                         lambda d, c=col, lo=lo, hi=hi: _sub(d, c, F.when(q(c) < lo, F.lit(lo))
+                                                              .when(q(c) > hi, F.lit(hi))
+                                                              .otherwise(q(c).cast("double"))))
+                cur = s.apply(cur)
+                steps.append(s)
+            elif sp.scaling in ("log", "sqrt"):
                 f = SC.log1p if sp.scaling == "log" else SC.sqrt
                 s = Step(sp.scaling, col, "", lambda d, c=col, f=f: f(d, [c]))
                 cur = s.apply(cur)
@@ -375,22 +412,27 @@ def prep_custom(df: DataFrame, target: str, id_cols: Sequence[str], specs: dict[
                 s = Step("text", col, ",".join(ops), lambda d, c=col, o=tuple(ops): TX.clean_text(d, [c], o))
                 cur = s.apply(cur)
                 steps.append(s)
-            if sp.rare_categories == "group_as_other":
+            if sp.rare_categories in ("group_as_other", "drop"):
                 rare = EN.frequency_dictionary(cur, col).where(F.col("freq") < sp.rare_threshold / 100.0) \
                     .select(F.col("value").alias("__rv")).persist()
-                s = Step("rare_to_other", col, f"< {sp.rare_threshold}%",
-                         lambda d, c=col, r=rare: d.join(F.broadcast(r.withColumn("__rf", F.lit(True))),
-                                                         q(c) == F.col("__rv"), "left")
-                         .select(*[F.when(F.col("__rf"), F.lit(EN.OTHER)).otherwise(q(x)).alias(x) if x == c
-                                   else q(x) for x in d.columns]))
+                side = _bounded(rare)
+                if sp.rare_categories == "drop":
+                    s = Step("drop_rare", col, f"< {sp.rare_threshold}%",
+                             lambda d, c=col, r=side: d.join(r, q(c) == F.col("__rv"), "left_anti"))
+                else:
+                    s = Step("rare_to_other", col, f"< {sp.rare_threshold}%",
+                             lambda d, c=col, r=side: d.join(r.withColumn("__rf", F.lit(True)),
+                                                             q(c) == F.col("__rv"), "left")
+                             .select(*[F.when(F.col("__rf"), F.lit(EN.OTHER)).otherwise(q(x)).alias(x) if x == c
+                                       else q(x) for x in d.columns]))
                 cur = s.apply(cur)
                 steps.append(s)
             if sp.encoding == "onehot":
                 s = onehot_step(col, EN.category_list(cur, col))
             elif sp.encoding == "frequency":
-                dic = EN.frequency_dictionary(cur, col).persist()
+                dic = _bounded(EN.frequency_dictionary(cur, col).persist())
                 s = Step("encode_frequency", col, "", lambda d, c=col, dic=dic: d.join(
-                    F.broadcast(dic.select(F.col("value").alias("__fv"), F.col("freq").alias("__ff"))),
+                    dic.select(F.col("value").alias("__fv"), F.col("freq").alias("__ff")),
                     q(c) == F.col("__fv"), "left").select(*[F.col("__ff").alias(x) if x == c else q(x)
                                                             for x in d.columns]))
             else:

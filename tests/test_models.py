@@ -91,3 +91,36 @@ def test_auc_invariant_under_monotone_map(spark):
     pos, neg = s[y == 1], s[y == 0]
     u = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert abs(a - u) < 1e-12
+
+
+def test_custom_flow_options(spark):
+    """Per-column scalers, winsorize, missing 'drop' and rare 'drop' in the custom flow."""
+    from sparkwright.plans import prep as PR
+    rows = [(i, float(i % 50) if i % 9 else None, float(i % 13), "a" if i % 20 else "rare", "x" if i % 2 else "y")
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, v double, w double, c string, target string")
+    specs = {"v": PR.ColumnSpec(missing="drop", scaling="robust"),
+             "w": PR.ColumnSpec(scaling="winsorize"),
+             "c": PR.ColumnSpec(rare_categories="drop", rare_threshold=10.0)}
+    out = PR.prep_custom(df, "target", ["id"], specs).frame.toPandas()
+    kept = [r for r in rows if r[1] is not None and r[3] != "rare"]
+    assert len(out) == len(kept)
+    import numpy as np
+    v = np.array([r[1] for r in rows if r[1] is not None])
+    med = np.percentile(v, 50)
+    iqr = np.percentile(v, 75) - np.percentile(v, 25)
+    got = dict(zip(out["id"], out["v"]))
+    for r in kept:
+        assert abs(got[r[0]] - (r[1] - med) / iqr) < 1e-9
+    w = np.array([r[2] for r in rows])
+    lo, hi = np.percentile(w, 5), np.percentile(w, 95)
+    assert out["w"].min() >= lo - 1e-9 and out["w"].max() <= hi + 1e-9
+
+
+def test_quick_flow_median_option(spark):
+    from sparkwright.plans import prep as PR
+    rows = [(i, float(i) if i % 4 else None, "p" if i % 3 else "q") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, x double, t string")
+    p = PR.prep_quick(df, "t", ["id"], missing="median", scaling="none", fit_on="all")
+    assert p.frame.where("x IS NULL").count() == 0
+    assert any(s.op == "impute_median" for s in p.steps)
