@@ -130,3 +130,20 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     data; it keeps the plan lazy instead of collecting the scalars first.
     """
     return df.crossJoin(F.broadcast(one_row))
+
+
+EXACT_QUANTILE_BYTES = 4 * 1024 ** 3   # planner size estimate above which quantiles go approximate
+
+
+def resolve_exact(df: DataFrame, exact: bool | None) -> bool:
+    """``exact=None`` means: exact order statistics unless the optimizer's size
+    estimate of ``df`` exceeds ``EXACT_QUANTILE_BYTES`` (no job is run).
+    Exact ``percentile`` merges a value->count map per group in one task, so
+    it is kept for inputs whose distinct values surely fit one executor."""
+    if exact is not None:
+        return exact
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: stay exact
+        return True
+    return size <= EXACT_QUANTILE_BYTES

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import numeric_columns, q, quantiles
 from sparkwright.operators import ordered
 from sparkwright.operators.profile import mode_frame
@@ -47,7 +48,8 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> dict:
     return {c: r[f"__a{i}"] for i, c in enumerate(columns)}
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict:
+def column_medians(df: DataFrame, columns: Sequence[str], exact: bool | None = None) -> dict:
+    exact = resolve_exact(df, exact)
     if not columns:
         return {}
     r = df.agg(*[quantiles(q(c), [0.5], exact)[0].alias(f"__m{i}") for i, c in enumerate(columns)]).first()
@@ -74,8 +76,9 @@ def impute_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return _fill(_as_double(df, cols), column_means(df, cols))
 
 
-def impute_median(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def impute_median(df: DataFrame, columns: Sequence[str] | None = None, exact: bool | None = None) -> DataFrame:
     """Fill with the exact (linear-interpolated) median."""
+    exact = resolve_exact(df, exact)
     cols = columns_with_nulls(df, list(columns) if columns is not None else numeric_columns(df))
     return _fill(_as_double(df, cols), column_medians(df, cols, exact))
 

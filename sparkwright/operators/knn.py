@@ -8,7 +8,7 @@ the searched range.  Points are ranked along ``u`` and cut into slabs of
 every unresolved query to the slabs within radius R of its own (an
 equi-join on slab id), keeps its k best candidates, and accepts the answer
 only when the k-th distance is *strictly* below the gap on both sides; the
-rest go to the next round with R doubled, until nothing is left (at worst a
+rest go to the next round with R four times larger, until nothing is left (at worst a
 query scans every slab: exact, never capped).
 
 Identical points are grouped first (count + one tie key), so a value that
@@ -166,7 +166,7 @@ def search(queries: DataFrame, entries: DataFrame, points: DataFrame, index_poin
         kept.unpersist()
         found = res if found is None else found.unionByName(res)
         pend = cut_lineage(pend.join(done, "__qk", "left_anti"))
-        R *= 2
+        R *= 4   # widen fast: each extra round costs a few jobs, a wider slab range only candidates
     if found is None:
         spark = queries.sparkSession
         return spark.createDataFrame([], "__qk string, __pid string, __d2 double, __take bigint")

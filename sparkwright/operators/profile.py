@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import (EXACT_QUANTILE_ROW_LIMIT, attach_one_row, numeric_columns,
                                            pandas_dtype, q, quantiles, text_columns,
                                            unpivot_row)
@@ -129,8 +130,9 @@ def duplicate_mask(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------- D6
 def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5,
-                   exact: bool = True) -> DataFrame:
+                   exact: bool | None = None) -> DataFrame:
     """One row per numeric column: Q1, Q3 (linear interpolation) and fences."""
+    exact = resolve_exact(df, exact)
     names = list(columns) if columns is not None else numeric_columns(df)
     agg = df.agg(*[quantiles(q(c), [0.25, 0.75], exact).alias(f"__p{i}") for i, c in enumerate(names)])
     long = unpivot_row(agg, names, {"qs": [f"__p{i}" for i in range(len(names))]})
@@ -141,8 +143,9 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, k: float
 
 
 def outlier_stats(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5,
-                  exact: bool = True, only_outliers: bool = True) -> DataFrame:
+                  exact: bool | None = None, only_outliers: bool = True) -> DataFrame:
     """IQR outliers: strict ``<`` lower / ``>`` upper; % of all rows."""
+    exact = resolve_exact(df, exact)
     names = list(columns) if columns is not None else numeric_columns(df)
     bounds = outlier_bounds(df, names, k, exact).collect()  # one row per column: bounded
     b = {r["column_name"]: r for r in bounds}
@@ -170,8 +173,9 @@ def outlier_bounds_frame(df: DataFrame, rows) -> DataFrame:
 
 
 # --------------------------------------------------------------------- D8
-def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column."""
+    exact = resolve_exact(df, exact)
     names = list(columns) if columns is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(names):

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import (is_numeric, is_text, numeric_columns, pandas_dtype, q,
                                            text_columns, unpivot_row)
 from sparkwright.operators import profile as P
@@ -57,12 +58,13 @@ def column_name_issues(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- D7
-def validate_report(df: DataFrame, exact: bool = True) -> DataFrame:
+def validate_report(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """Validation report as ``(kind, item, value)`` rows.
 
     kind is ``statistic``, ``warning`` or ``issue``; ``statistic/is_valid`` is
     1 or 0.  Built from the fused profile passes, so it costs four scans.
     """
+    exact = resolve_exact(df, exact)
     spark = df.sparkSession
     schema = "kind string, item string, value double"
     if len(df.columns) == 0 or df.isEmpty():
@@ -106,10 +108,11 @@ def suggest_targets(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- D19/D20
-def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """Everything the advice rules read, one row per column, from fused passes:
     missing %, distinct count, bias-corrected skew, IQR outlier count and the
     number of rare categories."""
+    exact = resolve_exact(df, exact)
     names = list(df.columns)
     num = numeric_columns(df)
     txt = text_columns(df)
@@ -167,8 +170,9 @@ def _advice_expr() -> "F.Column":
     return F.when(joined == "", F.lit("none")).otherwise(joined)
 
 
-def suggest_preprocessing(df: DataFrame, exact: bool = True) -> DataFrame:
+def suggest_preprocessing(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """``(column_name, advice)``; advice codes joined by `` | ``."""
+    exact = resolve_exact(df, exact)
     return column_profile(df, exact).select("column_name", _advice_expr().alias("advice"))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import numeric_columns, q, quantiles
 from sparkwright.functions.columns import attach_one_row
 
@@ -31,8 +32,9 @@ def _apply(df: DataFrame, stats: DataFrame, exprs: dict) -> DataFrame:
 
 
 def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
-                 fit_where: Column | None = None, exact: bool = True) -> DataFrame:
+                 fit_where: Column | None = None, exact: bool | None = None) -> DataFrame:
     """One-row frame of fitted statistics ``__a{i}``/``__b{i}`` (centre, scale)."""
+    exact = resolve_exact(df, exact)
     rows = _fit_rows(df, fit_where)
     aggs = []
     for i, c in enumerate(columns):
@@ -56,9 +58,10 @@ def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
 
 
 def scale(df: DataFrame, method: str = "standard", columns: Sequence[str] | None = None,
-          fit_where: Column | None = None, exact: bool = True) -> DataFrame:
+          fit_where: Column | None = None, exact: bool | None = None) -> DataFrame:
     """standard: (x-mean)/population std; minmax: (x-min)/(max-min);
     robust: (x-median)/IQR; maxabs: x/max|x|.  A zero spread divides by 1."""
+    exact = resolve_exact(df, exact)
     cols = _cols(df, columns)
     if not cols:
         return df
@@ -145,7 +148,8 @@ def yeo_johnson(df: DataFrame, columns: Sequence[str], lambdas: dict | None = No
 
 # --------------------------------------------------------------------- G9 / B4 / P9
 def iqr_bounds_frame(df: DataFrame, columns: Sequence[str], k: float = 1.5,
-                     exact: bool = True) -> DataFrame:
+                     exact: bool | None = None) -> DataFrame:
+    exact = resolve_exact(df, exact)
     aggs = []
     for i, c in enumerate(columns):
         qs = quantiles(q(c), [0.25, 0.75], exact)
@@ -154,8 +158,9 @@ def iqr_bounds_frame(df: DataFrame, columns: Sequence[str], k: float = 1.5,
     return df.agg(*aggs)
 
 
-def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, exact: bool = True) -> DataFrame:
+def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, exact: bool | None = None) -> DataFrame:
     """Clip to the IQR fences; nulls stay null."""
+    exact = resolve_exact(df, exact)
     b = iqr_bounds_frame(df, columns, k, exact)
     exprs = {}
     for i, c in enumerate(columns):
@@ -166,8 +171,9 @@ def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, exact: bool
 
 
 def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5,
-                        exact: bool = True) -> DataFrame:
+                        exact: bool | None = None) -> DataFrame:
     """Keep rows inside every fence (rows with a null in these columns go too)."""
+    exact = resolve_exact(df, exact)
     b = iqr_bounds_frame(df, columns, k, exact)
     cond = F.lit(True)
     for i, c in enumerate(columns):
@@ -177,8 +183,9 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5,
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], lower: float = 0.05, upper: float = 0.95,
-              exact: bool = True) -> DataFrame:
+              exact: bool | None = None) -> DataFrame:
     """Clip to the given percentiles."""
+    exact = resolve_exact(df, exact)
     aggs = []
     for i, c in enumerate(columns):
         qs = quantiles(q(c), [lower, upper], exact)
