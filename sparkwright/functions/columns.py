@@ -143,7 +143,8 @@ def resolve_exact(df: DataFrame, exact: bool | None) -> bool:
     if exact is not None:
         return exact
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(raw) if isinstance(raw, int) else int(raw.toString())
     except Exception:  # noqa: BLE001 - estimate unavailable: stay exact
         return True
     return size <= EXACT_QUANTILE_BYTES
