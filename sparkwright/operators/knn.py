@@ -42,39 +42,58 @@ def point_text(arr: Column) -> Column:
     return F.array_join(F.transform(arr, lambda e: e.cast("string")), "|", "")
 
 
-@F.pandas_udf("double")
-def _sq_dist_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    if len(a) == 0:
-        return pd.Series([], dtype=float)
-    A = np.array(a.tolist(), dtype=float)
-    B = np.array(b.tolist(), dtype=float)
-    return pd.Series(((A - B) ** 2).sum(axis=1))
-
-
-def _sq_dist(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance, vectorised per Arrow batch (numpy)."""
-    return _sq_dist_udf(a, b)
-
-
-def _nan_dist2_udf(p: int):
-    @F.pandas_udf("double")
-    def dist(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype=float)
-        A = np.array([[np.nan if v is None else v for v in r] for r in a], dtype=float)
-        B = np.array([[np.nan if v is None else v for v in r] for r in b], dtype=float)
-        D = (A - B) ** 2
-        present = ~np.isnan(D)
-        cnt = present.sum(axis=1)
-        sq = np.where(present, D, 0.0).sum(axis=1)
-        out = np.where(cnt > 0, float(p) / np.maximum(cnt, 1) * sq, np.nan)
-        return pd.Series(out).where(cnt > 0, None)
-    return dist
-
-
-def _nan_dist2(a: Column, b: Column, p: int) -> Column:
-    """NaN-aware squared distance: (p / present) * sum over coordinates present in both."""
-    return _nan_dist2_udf(p)(a, b)
+_CAND_COLS = ["__qk", "__pid", "__d2", "__t", "__n"]
+_CAND_SCHEMA = "__qk string, __pid string, __d2 double, __t string, __n bigint"
+QUERY_BLOCK = 256   # queries per (slab, sub-block) group of the distance kernel
+
+
+def _block_d2(Q: np.ndarray, P: np.ndarray, p: int | None) -> np.ndarray:
+    """|Q| x |P| squared distances (plain, or NaN-aware scaled by p/present)."""
+    out = np.empty((Q.shape[0], P.shape[0]))
+    step = max(1, 4_000_000 // max(1, P.size))          # bound the 3-D temporary
+    for i in range(0, Q.shape[0], step):
+        diff = (Q[i:i + step, None, :] - P[None, :, :]) ** 2
+        if p is None:
+            out[i:i + step] = diff.sum(axis=2)
+        else:
+            present = ~np.isnan(diff)
+            cnt = present.sum(axis=2)
+            sq = np.where(present, diff, 0.0).sum(axis=2)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[i:i + step] = np.where(cnt > 0, float(p) / np.maximum(cnt, 1) * sq, np.nan)
+    return out
+
+
+def _to_matrix(col: pd.Series) -> np.ndarray:
+    return np.array([[np.nan if v is None else v for v in r] for r in col], dtype=float)
+
+
+def _block_topk(k: int, p: int | None):
+    """cogroup kernel: for one (slab, query sub-block) the k best points of
+    the slab per query, by (distance, tie key), counting multiplicity."""
+    def fn(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qdf) == 0 or len(pdf) == 0:
+            return pd.DataFrame({c: [] for c in _CAND_COLS})
+        D = _block_d2(_to_matrix(qdf["__qx"]), _to_matrix(pdf["__px"]), p)
+        tie = pdf["__t"].to_numpy()
+        n = pdf["__n"].to_numpy(dtype=np.int64)
+        tie_rank = np.argsort(np.argsort(tie, kind="stable"), kind="stable")
+        rows_q, rows_p = [], []
+        for i in range(D.shape[0]):
+            d = D[i]
+            idx = np.nonzero(~np.isnan(d))[0]
+            if len(idx) == 0:
+                continue
+            order = idx[np.lexsort((tie_rank[idx], d[idx]))]
+            cum = np.cumsum(n[order])
+            keep = order[(cum - n[order]) < k]
+            rows_q.extend([i] * len(keep))
+            rows_p.extend(keep.tolist())
+        rq = np.asarray(rows_q, dtype=np.int64)
+        rp = np.asarray(rows_p, dtype=np.int64)
+        return pd.DataFrame({"__qk": qdf["__qk"].to_numpy()[rq], "__pid": pdf["__pid"].to_numpy()[rp],
+                             "__d2": D[rq, rp].astype(float), "__t": tie[rp], "__n": n[rp]})
+    return fn
 
 
 def _slabs(points: DataFrame, key: Sequence[str], m: int) -> tuple[DataFrame, DataFrame]:
@@ -124,14 +143,23 @@ def _gaps(entries: DataFrame, bounds: DataFrame, key: Sequence[str], R: int) ->
 
 
 def search(queries: DataFrame, entries: DataFrame, points: DataFrame, index_points: DataFrame,
-           key: Sequence[str], k: int, dist2, m: int = SLAB_ROWS) -> DataFrame:
+           key: Sequence[str], k: int, nan_scale: int | None = None, m: int = SLAB_ROWS) -> DataFrame:
     """Rounds of slab search.
 
     queries: ``__qk, __qx`` (one row per distinct query point)
     entries: ``__qk, *key, __u, __qe`` (one per query and index it can use)
     points:  ``__pid, __px, __n, __t, ...payload`` (grouped candidate points)
     index_points: ``__pid, *key, __u, __t`` (one per point and index)
+    nan_scale: None for plain squared Euclidean; p for the NaN-aware distance
     Returns ``__qk, __pid, __d2, __take`` for the k nearest of every query.
+
+    Each round searches only the new ring of slabs (R_prev < |t - s| <= R).
+    Distances are computed per block: the pending queries needing slab t are
+    cut into hash sub-blocks of about QUERY_BLOCK queries (counted per slab,
+    so a slab wanted by a third of all queries is split over many tasks),
+    each sub-block is cogrouped with the slab's points and numpy returns only
+    each query's k best of that slab.  Vectors travel once per (query, slab)
+    and (point, sub-block), never once per pair.
     """
     kk = list(key)
     idx, bounds = _slabs(index_points, kk, m)
@@ -139,34 +167,50 @@ def search(queries: DataFrame, entries: DataFrame, points: DataFrame, index_poin
     bounds = bounds.persist()
     nslab = bounds.select(*kk, "__nslab").distinct()
     ent = _query_slabs(entries, idx, kk, m, nslab).persist()
+    payload = idx.select("__pid", *kk, "__slab").join(points.select("__pid", "__px", "__n", "__t"), "__pid")
     pend = queries.select("__qk").distinct()
+    kernel = _block_topk(k, nan_scale)
     found = None
-    R = 1
+    carry = None        # k best so far of the still pending queries
+    R, R_prev = 1, -1
     while True:
         e = ent.join(pend, "__qk", "left_semi")
         if e.limit(1).count() == 0:
             break
-        ex = e.select("__qk", *kk, F.explode(F.sequence(F.col("__s") - R, F.col("__s") + R)).alias("__slab"))
-        pairs = ex.join(idx.select("__pid", *kk, "__slab"), [*kk, "__slab"]).select("__qk", "__pid").distinct()
-        cand = pairs.join(queries, "__qk").join(points, "__pid")
-        cand = cand.withColumn("__d2", dist2(F.col("__qx"), F.col("__px"))).where(F.col("__d2").isNotNull())
-        kept = _rank_keep(cand.select("__qk", "__pid", "__d2", "__t", "__n"), k).persist()
+        s0 = F.col("__s")
+        ring = F.sequence(s0 - R, s0 + R) if R_prev < 0 else F.concat(
+            F.sequence(s0 - R, s0 - R_prev - 1), F.sequence(s0 + R_prev + 1, s0 + R))
+        ex = e.select("__qk", *kk, "__nslab", F.explode(ring).alias("__slab")) \
+            .where((F.col("__slab") >= 0) & (F.col("__slab") < F.col("__nslab"))).drop("__nslab")
+        per_slab = ex.groupBy(*kk, "__slab").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("__nsub"))
+        ex = ex.join(per_slab, [*kk, "__slab"]) \
+            .withColumn("__sub", F.pmod(F.xxhash64("__qk"), F.col("__nsub"))).drop("__nsub")
+        qside = ex.join(queries, "__qk").select(*kk, "__slab", "__sub", "__qk", "__qx")
+        # fresh column ids: both cogroup sides descend from ``ex``
+        blocks = ex.select(*[F.col(c).alias(c) for c in (*kk, "__slab", "__sub")]).distinct()
+        pside = blocks.join(payload, [*kk, "__slab"])
+        gk = [*kk, "__slab", "__sub"]
+        cand = qside.groupBy(*gk).cogroup(pside.groupBy(*gk)).applyInPandas(kernel, _CAND_SCHEMA)
+        if carry is not None:
+            cand = cand.unionByName(carry)
+        # one point may be reached through several indexes of the same query
+        cand = cand.dropDuplicates(["__qk", "__pid"])
+        # reliable checkpoint: every later frame of the round reads it
+        kept = cut_lineage(_rank_keep(cand, k).select(*_CAND_COLS, "__take"))
         st = kept.groupBy("__qk").agg(F.max("__d2").alias("__dk2"), F.sum("__take").alias("__got"))
         g = _gaps(e, bounds, kk, R).groupBy("__qk").agg(F.min("__gap").alias("__gap"),
                                                           F.min(F.col("__full").cast("int")).alias("__allfull"))
         chk = g.join(st, "__qk", "left")
         ok = ((F.coalesce(F.col("__got"), F.lit(0)) >= k) | (F.col("__allfull") == 1)) & \
              (F.col("__dk2").isNull() | (F.sqrt(F.col("__dk2")) < F.col("__gap")))
-        # each round's frames refer to the previous pending set several times:
-        # cut the lineage (reliable checkpoint in the shared folder) so plans
-        # stay linear in the number of rounds
+        # kept / done / pend are reliable checkpoints in the shared folder:
+        # plans stay linear in the number of rounds and survive executor loss
         done = cut_lineage(chk.where(ok).select("__qk"))
-        res = kept.join(done, "__qk", "left_semi").select("__qk", "__pid", "__d2", "__take").persist()
-        res.count()
-        kept.unpersist()
-        found = res if found is None else found.unionByName(res)
+        res = kept.join(done, "__qk", "left_semi").select("__qk", "__pid", "__d2", "__take")
         pend = cut_lineage(pend.join(done, "__qk", "left_anti"))
-        R *= 4   # widen fast: each extra round costs a few jobs, a wider slab range only candidates
+        carry = kept.join(pend, "__qk", "left_semi").select(*_CAND_COLS)
+        found = res if found is None else found.unionByName(res)
+        R_prev, R = R, R * 4   # widen fast: each extra round costs a few jobs
     if found is None:
         spark = queries.sparkSession
         return spark.createDataFrame([], "__qk string, __pid string, __d2 double, __take bigint")
@@ -213,7 +257,7 @@ class KNeighborsModel(Model):
         queries = base.select("__qk", "__qx").dropDuplicates(["__qk"])
         entries = queries.select("__qk", self._u(F.col("__qx")).alias("__u"), F.col("__qk").alias("__qe"))
         ipts = self.points.select("__pid", self._u(F.col("__px")).alias("__u"), "__t")
-        nn = search(queries, entries, self.points, ipts, [], self.k, _sq_dist, self.m)
+        nn = search(queries, entries, self.points, ipts, [], self.k, None, self.m)
         votes = nn.join(self.points.select("__pid", "label"), "__pid").groupBy("__qk", "label") \
             .agg(F.sum("__take").alias("__v"))
         best = votes.groupBy("__qk").agg(
@@ -257,7 +301,7 @@ def impute_knn(df: DataFrame, id_col: str | None = None, columns: Sequence[str]
         ent = recv.select("__qk", F.posexplode("__qx").alias("__j", "__u")) \
             .where(F.col("__u").isNotNull() & (F.col("__j") != ci)) \
             .withColumn("__qe", F.concat_ws("#", F.col("__qk"), F.col("__j").cast("string")))
-        nn = search(recv, ent, donors, ipts, ["__j"], k, lambda a, b: _nan_dist2(a, b, p), slab_rows)
+        nn = search(recv, ent, donors, ipts, ["__j"], k, p, slab_rows)
         val = nn.join(donors.select("__pid", "__v"), "__pid").groupBy("__qk").agg(
             (F.sum(F.col("__v") * F.col("__take")) / F.sum("__take")).alias(f"__imp{ci}"))
         filled[c] = val.withColumnRenamed("__qk", f"__k{ci}")
