@@ -260,3 +260,15 @@ def comparison_long(comparison: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 CLASSIFICATION_CHART = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 REGRESSION_CHART = ["r2_score", "mse", "rmse", "mae"]
+
+
+def top_k(df: DataFrame, by: str, n: int, ascending: bool = False,
+          tie_cols: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` rows ranked first by ``by`` (ties by ``tie_cols``).
+
+    ``orderBy(...).limit(n)`` plans as a take-ordered: every partition keeps
+    its own best ``n`` rows and only those reach the final merge, so the
+    work is one scan and the driver / last task see at most
+    ``n * partitions`` rows, whatever the table size."""
+    key = F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by)
+    return df.orderBy(key, *[F.asc(c) for c in tie_cols]).limit(n)

@@ -315,3 +315,16 @@ def q_evaluate_classification(spark, d):
     df = _mc_prob(spark, d)
     out = attach_one_row(attach_one_row(EV.classification_metrics(df), EV.roc_auc_ovr(df)), EV.log_loss(df))
     return round_doubles(out)
+
+
+# ===================================================================== K25 / top-k report
+_TOPK_KEY = [*KEY, "l_extendedprice"]      # unique row key of lineitem
+
+
+@register("topk", "SELECT " + ", ".join(_TOPK_KEY) + ", " + r("l_discount * 10") + " AS score "
+          "FROM lineitem ORDER BY l_discount * 10 DESC, " + ", ".join(_TOPK_KEY) + " LIMIT 10")
+def q_topk(spark, d):
+    """Top-10 rows of a scored table (the rule score of the binary task),
+    ties broken by the unique row key."""
+    df = table(spark, d, "lineitem").select(*_TOPK_KEY, (F.col("l_discount") * 10).alias("score"))
+    return round_doubles(EV.top_k(df, "score", 10, tie_cols=_TOPK_KEY))

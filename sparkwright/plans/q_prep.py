@@ -459,8 +459,8 @@ def q_text_strip(spark, d):
 _PIPE = _STRIP_SQL.format(x=_NUM_SQL.format(x=_SPECIAL_SQL.format(x="lower(url)")))
 
 
-@register("text_pipeline", f"SELECT page_id, {_PIPE} AS url FROM pages")
-def q_text_pipeline(spark, d):
+@register("text_all_steps", f"SELECT page_id, {_PIPE} AS url FROM pages")
+def q_text_all_steps(spark, d):
     df = table(spark, d, "pages").select("page_id", "url")
     return TX.clean_text(df, ["url"], ["lowercase", "remove_special", "remove_numbers", "strip"])
 
