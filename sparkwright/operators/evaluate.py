@@ -252,9 +252,11 @@ def best_model(comparison: DataFrame, metric: str = "auto") -> DataFrame:
 
 
 def comparison_long(comparison: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Chart data: ``(model, metric, value)`` for the numeric metrics present."""
+    """Chart data: ``(model, metric, value)`` for the numeric metrics present (B11):
+    ``'N/A'`` and other non-numbers become null under ``try_cast`` (no ANSI
+    error) and are dropped."""
     present = [m for m in metrics if m in comparison.columns]
-    structs = [F.struct(F.lit(m).alias("metric"), q(m).cast("double").alias("value")) for m in present]
+    structs = [F.struct(F.lit(m).alias("metric"), q(m).try_cast("double").alias("value")) for m in present]
     return comparison.select("model", F.inline(F.array(*structs))).where(F.col("value").isNotNull())
 
 

@@ -92,3 +92,13 @@ def test_task_type_rules(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("few"), F.col("id").cast("double").alias("many"))
     t = {r["column_name"]: r for r in Q.task_type(df, ["few", "many"]).collect()}
     assert t["few"]["is_classification"] and not t["many"]["is_classification"]
+
+
+def test_metric_filter_drops_na_strings(spark):
+    # A comparison table holding 'N/A' for metrics a model does not have
+    from sparkwright.operators import evaluate as EV
+    comp = spark.createDataFrame(
+        [("a", "0.9", "N/A"), ("b", "0.7", "0.65"), ("c", "x1", "0.5")],
+        "model string, accuracy string, roc_auc string")
+    got = sorted(tuple(r) for r in EV.comparison_long(comp, ["accuracy", "roc_auc", "r2_score"]).collect())
+    assert got == [("a", "accuracy", 0.9), ("b", "accuracy", 0.7), ("b", "roc_auc", 0.65), ("c", "roc_auc", 0.5)]
