@@ -33,7 +33,7 @@ from sparkwright.operators import ordered
 from sparkwright.session import cut_lineage
 from sparkwright.functions.columns import attach_one_row
 
-SLAB_ROWS = 64
+SLAB_ROWS = 256   # points per slab (one numpy block of the distance kernel)
 INF = float("inf")
 
 
