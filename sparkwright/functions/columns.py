@@ -125,11 +125,14 @@ def safe_name(i: int, tag: str) -> str:
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a single-row aggregate to every row.
 
-    ``one_row`` must be a global aggregate (exactly one row: a proven size
-    bound), so this is a broadcast of scalars, not a cartesian product of
-    data; it keeps the plan lazy instead of collecting the scalars first.
+    ``one_row`` must be a global aggregate (exactly one row).  It is attached
+    as one scalar subquery (evaluated once, its value shipped to the tasks as
+    a constant), so there is no join at all and the plan stays lazy instead
+    of collecting the scalars first.
     """
-    return df.crossJoin(F.broadcast(one_row))
+    cols = one_row.columns
+    s = one_row.select(F.struct(*[q(c) for c in cols]).alias("__one")).scalar()
+    return df.select("*", *[s.getField(c).alias(c) for c in cols])
 
 
 EXACT_QUANTILE_BYTES = 4 * 1024 ** 3   # planner size estimate above which quantiles go approximate
