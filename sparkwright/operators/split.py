@@ -100,6 +100,8 @@ def stratified_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> Data
     c = c.withColumn("__ntr", F.col("__n") - n_test)
     c = c.withColumn("__cont", F.col("__ntr") * F.col("n_c") / F.col("__n")) \
         .withColumn("__fl", F.floor("__cont")).withColumn("__rem", F.col("__cont") - F.col("__fl"))
+    # c has one row per class (a classification target: few rows), so these
+    # un-keyed windows run over a bounded table, not over the data
     w_all = Window.partitionBy()
     c = c.withColumn("__need", F.col("__ntr") - F.sum("__fl").over(w_all))
     c = c.withColumn("__rk", F.row_number().over(Window.orderBy(F.desc("__rem"), q(label))))
