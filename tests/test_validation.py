@@ -102,3 +102,14 @@ def test_metric_filter_drops_na_strings(spark):
         "model string, accuracy string, roc_auc string")
     got = sorted(tuple(r) for r in EV.comparison_long(comp, ["accuracy", "roc_auc", "r2_score"]).collect())
     assert got == [("a", "accuracy", 0.9), ("b", "accuracy", 0.7), ("b", "roc_auc", 0.65), ("c", "roc_auc", 0.5)]
+
+
+def test_top_k_orders_nulls_last_and_breaks_ties(spark):
+    # sort_values(...).head(n) / tail(n) over a scored table
+    from sparkwright.operators import evaluate as EV
+    df = spark.createDataFrame(
+        [("a", 0.5), ("b", None), ("c", 0.9), ("d", 0.5), ("e", 0.1)], "feature string, importance double")
+    top = [tuple(r) for r in EV.top_k(df, "importance", 3, tie_cols=["feature"]).collect()]
+    assert top == [("c", 0.9), ("a", 0.5), ("d", 0.5)]
+    low = [tuple(r) for r in EV.top_k(df, "importance", 2, ascending=True, tie_cols=["feature"]).collect()]
+    assert low == [("e", 0.1), ("a", 0.5)]
