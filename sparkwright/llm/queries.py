@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import packing
+from sparkwright.llm import decontam, packing, quality_rules, rollup, simhash, wavelet
+from sparkwright.llm.common import prepared, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,41 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and calibrated isolation-forest verdicts of all documents."""
+    out = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "score")
+
+
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after an insert, a revising and a deleting batch, the last one delivered twice."""
+    docs = prepared(_table(spark, sf_dir, "documents"))
+    return rollup.corpus_rollup(docs, _table(spark, sf_dir, "labels"), scratch_path(spark, "rollup"))
+
+
+def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as wavelet-matrix shards and read back."""
+    return wavelet.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at two bits."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of the benchmark in all documents."""
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))         .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_token_rollups": op4_token_rollups,
+    "op5_wavelet_shards": op5_wavelet_shards,
+    "op6_covering_simhash": op6_covering_simhash,
+    "op7_decontamination": op7_decontamination,
 }
 ORACLES: dict[str, str] = {}
 
