@@ -29,15 +29,12 @@ from sparkwright.llm.common import prepared, text_bytes
 TREES = 100
 SAMPLE = 256                  # rows per tree
 STEPS = 1000                  # score steps of the calibration
-KEEP_GOOD = 0.99              # share of good labelled rows that the threshold has to keep
+KEEP_GOOD = 0.98              # share of good labelled rows that the threshold has to keep
+GOOD_WEIGHT = 5               # a good row lost weighs as much as so many bad ones kept
 
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in (
-    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_digits",
-    "n_lines")])
-FEATURES = ("log_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share",
-            "line_words")
-_SYMBOLS = frozenset(b"#*$%&|<>")
-_SYMBOL_TABLE = bytes(1 if b in _SYMBOLS else 0 for b in range(256))
+    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")])
+_SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 _SPACES = b" \t\n\x0b\x0c\r"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,26 +60,23 @@ def statistics_of(text: str | None) -> tuple[int, ...]:
     """The statistics of one text, in the order of ``STATS`` after the id."""
     raw = text_bytes(text)
     words = raw.split()
-    seen, dup, lines = set(), 0, 0
+    seen, dup = set(), 0
     for line in raw.split(b"\n"):
         if line.strip(_SPACES):
-            lines += 1
             dup += line in seen
             seen.add(line)
     codes = np.frombuffer(raw, dtype=np.uint8)
     spaces = int(np.count_nonzero((codes == 32) | ((codes >= 9) & (codes <= 13))))
     starts = int(np.count_nonzero((codes & 0xC0) != 0x80))  # code points
-    return (len(words), starts - spaces, sum(map(raw.count, (bytes([b]) for b in sorted(_SYMBOLS)))), dup,
-            repeat_words(words), starts, int(np.count_nonzero((codes >= 65) & (codes <= 90))),
-            int(np.count_nonzero((codes >= 48) & (codes <= 57))), lines)
+    return len(words), starts - spaces, sum(map(raw.count, _SYMBOLS)), dup, repeat_words(words), starts
 
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of whole-text statistics per document row (null text: all zero)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = np.array([statistics_of(t.as_py()) for t in batch.column(1)], dtype=np.int64).reshape(-1, 9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[:, k]) for k in range(9))],
+            stats = np.array([statistics_of(t.as_py()) for t in batch.column(1)], dtype=np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[:, k]) for k in range(6))],
                                              names=STATS.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
@@ -93,10 +87,8 @@ def feature_columns() -> list:
     """Ratios of the statistics, each defined for empty texts too."""
     def per(top, bottom):
         return F.col(top).cast("double") / F.greatest(F.col(bottom), F.lit(1))
-    return [F.log1p("n_words").alias("log_words"), per("word_chars", "n_words").alias("mean_word"),
-            per("n_symbols", "n_chars").alias("symbol_share"), per("n_dup_lines", "n_lines").alias("dup_line_share"),
-            per("n_repeat_words", "n_words").alias("repeat_share"), per("n_upper", "n_chars").alias("upper_share"),
-            per("n_digits", "n_chars").alias("digit_share"), F.log1p(per("n_words", "n_lines")).alias("line_words")]
+    return [per("n_symbols", "n_chars").alias("symbol_share"), per("n_symbols", "n_words").alias("word_symbols"),
+            per("word_chars", "n_words").alias("mean_word"), per("n_repeat_words", "n_words").alias("repeat_share")]
 
 
 def _mean_path(n: np.ndarray) -> np.ndarray:
@@ -158,10 +150,10 @@ class IsolationForest:
 
 
 def _calibrate(scored: DataFrame, labels: DataFrame) -> float:
-    """The score step that rejects most bad rows while keeping ``KEEP_GOOD`` of the good ones.
+    """The score step with the most bad rows rejected, less ``GOOD_WEIGHT`` times the good ones (as
+    shares), among those that keep ``KEEP_GOOD`` of the good rows.
 
-    1 (no rejection) without labels of both kinds, or where no step rejects bad
-    rows at a higher rate than good ones.
+    1 (no rejection) without labels of both kinds, or where no step gains anything.
     """
     counts = scored.join(labels, "doc_id").groupBy(F.floor(F.col("score") * STEPS).cast("int").alias("step")) \
         .agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"),
@@ -173,8 +165,8 @@ def _calibrate(scored: DataFrame, labels: DataFrame) -> float:
         return 1.0
     lost = good[::-1].cumsum()[::-1] / good.sum()
     caught = bad[::-1].cumsum()[::-1] / bad.sum()
-    usable = np.flatnonzero((lost <= 1 - KEEP_GOOD) & (caught > lost))
-    return float(usable.min()) / STEPS if len(usable) else 1.0
+    gain = np.where(lost <= 1 - KEEP_GOOD, caught - GOOD_WEIGHT * lost, -1.0)
+    return float(gain.argmax()) / STEPS if gain.max() > 0 else 1.0
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -198,7 +190,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # the forest's sample: rows with the smallest hashes among all that pass the rules, of a fixed number
     rows = stats.where(~F.col("base_failed")) \
         .orderBy(F.xxhash64(*[c for c in STATS.names]), "doc_id").limit(trees * sample).select(*own).collect()
-    forest = IsolationForest(np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, len(FEATURES)),
+    forest = IsolationForest(np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, len(own)),
                              trees, sample)
     shared = spark.sparkContext.broadcast(forest)  # bounded by trees * sample nodes
 

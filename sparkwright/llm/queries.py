@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwright.llm import decontam, packing, quality_rules, rollup, simhash, wavelet
+from sparkwright.llm import decontam, mil, packing, pii, quality_rules, rollup, simhash, urls, wavelet
 from sparkwright.llm.common import prepared, scratch_path
 
 
@@ -47,6 +48,35 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))         .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return mil.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+# Rules of the URL query (fixed values) and the signs whose runs mark a junk page.
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("allow", "example.org", "/en/1"),
+    urls.Rule("block", "com", "/fr/"),
+    urls.Rule("allow", "com", "/de/"),
+]
+JUNK_RUNS, JUNK_COUNT = ("###", "***", "$$$", "%%%"), 40
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; the list holds the URLs of pages full of symbol runs."""
+    pages = _table(spark, sf_dir, "pages")
+    html = F.col("html")
+    runs = sum((F.length(html) - F.length(F.replace(html, F.lit(r)))) / 3 for r in JUNK_RUNS)
+    return urls.judge(pages, pages.where(runs >= JUNK_COUNT).select("url"), URL_RULES)
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
@@ -54,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_wavelet_shards": op5_wavelet_shards,
     "op6_covering_simhash": op6_covering_simhash,
     "op7_decontamination": op7_decontamination,
+    "op8_attention_quality": op8_attention_quality,
+    "op9_url_filters": op9_url_filters,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
 
