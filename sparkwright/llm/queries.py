@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import decontam, mil, packing, pii, quality_rules, rollup, simhash, urls, wavelet
+from sparkwright.llm import decontam, mil, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet
 from sparkwright.llm.common import prepared, scratch_path
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 50 bytes in all documents."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("starts", "ends", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, one row per piece."""
     return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
@@ -78,6 +83,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_rollups": op4_token_rollups,
