@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +186,47 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         "starts", "ends", "items", "text")
 
 
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text_col: str = "text", n: int = 10, most: float = 0.5,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without benchmark spans, all other columns as they are.
+
+    A row with more than ``most`` of its words inside hit windows goes; from the
+    others the spans are cut out.  With a benchmark beyond ``block_bytes`` ids
+    have to be distinct and not null.
+    """
+    at = docs.columns.index(text_col)
+    blocks = list(islice(_blocks(benchmark, item_col, item_text_col, block_bytes), 2))  # at most two are held
+    if len(blocks) > 1:
+        hits = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col,
+                          item_text_col=item_text_col, n=n, block_bytes=block_bytes)
+        docs_in = docs.join(hits.select(F.col("doc_id").alias(id_col), F.col("starts").alias("__starts"),
+                                        F.col("ends").alias("__ends")), id_col).select(*docs.columns, "__starts", "__ends")
+        shared = None
+    else:
+        docs_in, shared = prepared(docs), docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else [])
+    key, width = uuid.uuid4().hex, len(docs.columns)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared is not None and key not in _SETS:
+            _SETS.clear()
+            _SETS[key] = GramSet(shared.value, n)
+        for batch in batches:
+            keep, texts = [], []
+            for k, value in enumerate(batch.column(at)):
+                text = value.as_py()
+                words = words_of(text)
+                spans = _merged(_SETS[key].hits(words)[0]) if shared is not None else \
+                    list(zip(batch.column(width)[k].as_py(), batch.column(width + 1)[k].as_py()))
+                keep.append(sum(b - a for a, b in spans) <= most * len(words))
+                texts.append(_without(text, spans))
+            columns = list(batch.columns)[:width]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
+
+    return docs_in.mapInArrow(rows, docs.schema)
+
+
 def _union_hits(scans: list[DataFrame]) -> DataFrame:
     """Hits of several blocks, merged per document."""
     from functools import reduce

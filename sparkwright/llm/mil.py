@@ -199,22 +199,44 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     extra columns are ignored.
     """
     own = prepared(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    bags, y = _training_bags(own, labels, train_docs)
-    model = docs.sparkSession.sparkContext.broadcast(train(bags, y))  # a fixed number of parameters
+    model = _broadcast_model(own, labels, train_docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, bags, held = [], [], 0
-            for text in batch.column(1):
-                bags.append(passages(text.as_py()))
-                held += len(bags[-1])
-                if held > 4096:
-                    out.append(model.value.scores(bags))
-                    bags, held = [], 0
-            out.append(model.value.scores(bags))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).astype(np.float64))],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_batch_scores(model.value, batch.column(1)))],
                                              names=SCORES.names)
 
     return own.mapInArrow(rows, SCORES).select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+              train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score reaches ``threshold`` (see ``classify``)."""
+    own = prepared(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    model = _broadcast_model(own, labels, train_docs)
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_batch_scores(model.value, batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def _broadcast_model(own: DataFrame, labels: DataFrame, train_docs: int):
+    """The trained model, broadcast (it has a fixed number of parameters)."""
+    return own.sparkSession.sparkContext.broadcast(train(*_training_bags(own, labels, train_docs)))
+
+
+def _batch_scores(model: Model, texts: pa.Array) -> np.ndarray:
+    out, bags, held = [], [], 0
+    for text in texts:
+        bags.append(passages(text.as_py()))
+        held += len(bags[-1])
+        if held > 4096:
+            out.append(model.scores(bags))
+            bags, held = [], 0
+    out.append(model.scores(bags))
+    return np.concatenate(out).astype(np.float64)

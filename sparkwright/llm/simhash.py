@@ -181,10 +181,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Per document row: doc_id, fingerprint (16 hex digits) and component_id.
+    """Per document row: doc_id, fingerprint (16 hex digits), component_id and group.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is
-    the smallest doc_id reachable over links, the own one included.
+    the smallest doc_id reachable over links, the own one included; ``group`` is
+    the component's smallest fingerprint, as signed numbers go.
 
     A null or empty text (no words) has fingerprint zero and links like any
     other; fewer words than ``shingle`` make one shingle.  Repeated rows appear as
@@ -197,6 +198,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = classes.join(joined, F.col("fp") == F.col("node"), "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(names, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                        "component_id")
+    named = roots.join(names, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id",
+                                        _hex("root").alias("group"))
+
+
+def _hex(name: str) -> F.Column:
+    return F.lower(F.lpad(F.hex(name), 16, "0"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+             radius: int = 2) -> DataFrame:
+    """One row of each group of near duplicates, all columns as they are: the one with the smallest id.
+
+    Equal rows with that id stay once.  Rows without an id go if their group has a
+    named one; otherwise one of the group stays.
+    """
+    judged = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius) \
+        .checkpoint(eager=True)
+    stay = judged.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    nameless = judged.where("component_id IS NULL").select("fingerprint", "group").distinct()
+    unnamed = docs.where(F.col(id_col).isNull())
+    at = unnamed.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [f"{fingerprint(t.as_py(), shingle):016x}" for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())],
+                                             names=[*batch.schema.names, "fingerprint"])
+
+    schema = T.StructType([*unnamed.schema.fields, T.StructField("fingerprint", T.StringType())])
+    unnamed = unnamed.mapInArrow(rows, schema).join(nameless, "fingerprint").dropDuplicates(["group"])
+    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))

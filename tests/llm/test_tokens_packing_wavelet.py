@@ -1,65 +1,27 @@
-import struct
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
 
 from sparkwright.llm import packing, wavelet
 from sparkwright.llm.tokens import tokenizer, tokenizer_path
+from tests.llm.packing_checks import check_packing, packed, whole_ids
 
 
 @pytest.fixture(scope="module")
 def whole():
-    t = Tokenizer.from_file(tokenizer_path())
-    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+    return whole_ids()
 
 
-def packed(ids):
-    return struct.pack(f"<{len(ids)}I", *ids)
+WHOLE = whole_ids()
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aZé'ſİ .,*<|>09́\n　")), max_size=40))
 def test_words_give_the_ids_of_the_whole_text(text):
-    whole = Tokenizer.from_file(tokenizer_path()) if not hasattr(test_words_give_the_ids_of_the_whole_text, "t") \
-        else test_words_give_the_ids_of_the_whole_text.t
-    test_words_give_the_ids_of_the_whole_text.t = whole
-    assert tokenizer(tokenizer_path()).encode_bytes(text) == packed(whole.encode(text, add_special_tokens=False).ids)
-
-
-def check_packing(rows, docs, whole, limits=packing.Limits()):
-    by_seq, by_doc = {}, {}
-    for r in rows:
-        by_seq.setdefault(r["sequence_id"], []).append(r)
-        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
-        assert len(r["ids"]) == 4 * r["length"] > 0 and zlib.crc32(r["ids"]) == r["ids_crc32"]
-    padding = 0
-    for pieces in by_seq.values():
-        at = 0
-        for r in sorted(pieces, key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= limits.tokens and len(pieces) <= limits.segments
-        assert sum(r["loss_tokens"] for r in pieces) <= limits.loss_tokens
-        padding += 0 if at & (at - 1) == 0 else limits.tokens - at
-    want = {}
-    for doc_id, text in docs:
-        ids = packed([*whole(text), 1])
-        want.setdefault(doc_id, []).append(ids)
-    got = {}
-    for (doc_id, _), pieces in by_doc.items():
-        got.setdefault(doc_id, []).extend(pieces)
-    assert set(got) == set(want)
-    for doc_id, texts in want.items():
-        pieces = sorted(got[doc_id], key=lambda r: (r["start"], r["length"]))
-        assert sum(r["length"] for r in pieces) * 4 == sum(map(len, texts))
-        if len(texts) == 1:
-            assert b"".join(r["ids"] for r in pieces) == texts[0]
-            assert {r["doc_tokens"] for r in pieces} == {len(texts[0]) // 4}
-    return padding
+    assert tokenizer(tokenizer_path()).encode_bytes(text) == packed(WHOLE(text))
 
 
 def test_packing_of_odd_rows(odd, whole):
