@@ -5,6 +5,7 @@ The type gates read only the schema (driver metadata), never the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,10 +28,6 @@ _PANDAS_DTYPE = {
     T.DecimalType: "float64",
 }
 
-# Row counts above which exact order statistics switch to the approximate
-# aggregate (exact ``percentile`` keeps a value->count map per group that is
-# merged in one task).
-EXACT_QUANTILE_ROW_LIMIT = 20_000_000
 APPROX_ACCURACY = 1_000_000
 
 
@@ -94,12 +91,82 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def quantiles(c: Column, probs: Sequence[float], exact: bool = True) -> Column:
-    """Linear-interpolated quantiles (exact) or Greenwald-Khanna (approximate)."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if exact:
-        return F.percentile(c.cast("double"), arr)
-    return F.percentile_approx(c.cast("double"), arr, APPROX_ACCURACY)
+# ``percentile`` merges a value -> count map in one task.  It is used while the
+# optimizer's estimate of the input stays below this; beyond, the same exact
+# values come from ``rank_values``.
+ONE_TASK_BYTES = 512 * 1024 ** 2
+BRACKET_ROWS = 200_000       # values of a rank's bracket that are sorted at once
+
+
+def quantiles(df: DataFrame, c: Column, probs: Sequence[float], exact: bool | None = None) -> Column:
+    """Array of linear-interpolated quantiles of ``c``, for an aggregation over ``df``.
+
+    Exact at any size; ``exact=False`` is the caller's choice of approximate
+    ones (which do not interpolate).
+    """
+    if exact is False:
+        return F.percentile_approx(c.cast("double"), F.array(*[F.lit(float(p)) for p in probs]), APPROX_ACCURACY)
+    if _estimated_bytes(df) <= ONE_TASK_BYTES:
+        return F.percentile(c.cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
+    return F.array(*[F.lit(v).cast("double") for v in interpolated(df, c, probs)])
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (no job is run)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def interpolated(df: DataFrame, c: Column, probs: Sequence[float]) -> list[float | None]:
+    """Linear-interpolated quantiles by rank selection (null without values)."""
+    values = df.select(c.cast("double").alias("v")).where("v IS NOT NULL")
+    n = values.count()
+    if not n:
+        return [None] * len(probs)
+    places = [float(p) * (n - 1) for p in probs]
+    found = rank_values(values, n, sorted({int(f(x)) for x in places for f in (math.floor, math.ceil)}))
+    out = []
+    for x in places:
+        lo, hi = found[math.floor(x)], found[math.ceil(x)]
+        out.append(lo + (x - math.floor(x)) * (hi - lo))
+    return out
+
+
+def rank_values(values: DataFrame, n: int, ranks: Sequence[int]) -> dict[int, float]:
+    """The values of column ``v`` (``n`` of them, no nulls) at these 0-based ranks.
+
+    Every rank keeps a bracket of values around it.  Approximate percentiles
+    inside the bracket shrink it, counts say how many values lie below and
+    inside, and a bracket that would lose its rank is not taken.  What is left
+    is sorted, or is a single repeated value.
+    """
+    v = F.col("v")
+    lo, hi = values.agg(F.min(v), F.max(v)).first()
+    state = {k: (lo, hi, 0, n) for k in ranks}   # smallest, largest, values below, values inside
+    while True:
+        open_ = [k for k, (a, b, _, m) in state.items() if a < b and m > BRACKET_ROWS]
+        if not open_:
+            break
+        inside = {k: v.between(state[k][0], state[k][1]) for k in open_}
+        guess = values.agg(*[F.percentile_approx(F.when(inside[k], v), F.array(*[
+            F.lit(min(1.0, max(0.0, (k - state[k][2]) / state[k][3] + d))) for d in (-0.005, 0.005)]), 10_000)
+            .alias(f"g{i}") for i, k in enumerate(open_)]).first()
+        counts = values.agg(*[x for i, k in enumerate(open_) for x in (
+            F.count_if(v < guess[i][0]).alias(f"b{i}"), F.count_if(v.between(*guess[i])).alias(f"m{i}"))]).first()
+        shrunk = False
+        for i, k in enumerate(open_):
+            below, m = counts[f"b{i}"], counts[f"m{i}"]
+            if below <= k < below + m and m < state[k][3]:
+                state[k] = (*guess[i], below, m)
+                shrunk = True
+        if not shrunk:
+            break
+    out = {k: a for k, (a, b, _, _) in state.items() if a == b}
+    rest = [k for k in ranks if k not in out]
+    if rest:
+        got = values.agg(*[F.sort_array(F.collect_list(F.when(v.between(*state[k][:2]), v)))[k - state[k][2]]
+                           .alias(f"r{i}") for i, k in enumerate(rest)]).first()
+        out |= dict(zip(rest, got))
+    return out
 
 
 def unpivot_row(df: DataFrame, names: Sequence[str], fields: dict[str, Sequence[str]],
@@ -133,21 +200,3 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     cols = one_row.columns
     s = one_row.select(F.struct(*[q(c) for c in cols]).alias("__one")).scalar()
     return df.select("*", *[s.getField(c).alias(c) for c in cols])
-
-
-EXACT_QUANTILE_BYTES = 4 * 1024 ** 3   # planner size estimate above which quantiles go approximate
-
-
-def resolve_exact(df: DataFrame, exact: bool | None) -> bool:
-    """``exact=None`` means: exact order statistics unless the optimizer's size
-    estimate of ``df`` exceeds ``EXACT_QUANTILE_BYTES`` (no job is run).
-    Exact ``percentile`` merges a value->count map per group in one task, so
-    it is kept for inputs whose distinct values surely fit one executor."""
-    if exact is not None:
-        return exact
-    try:
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(raw) if isinstance(raw, int) else int(raw.toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable: stay exact
-        return True
-    return size <= EXACT_QUANTILE_BYTES

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import q, quantiles
 from sparkwright.functions.columns import attach_one_row
 
@@ -50,16 +49,14 @@ def bin_equal_width(df: DataFrame, column: str, bins: int = 5, out: str | None =
 
 def quantile_edges(df: DataFrame, column: str, q_bins: int, exact: bool | None = None) -> DataFrame:
     """One-row frame ``__edges``: distinct linear-interpolated quantile edges."""
-    exact = resolve_exact(df, exact)
     probs = [i / q_bins for i in range(q_bins + 1)]
-    return df.agg(F.array_distinct(quantiles(q(column), probs, exact)).alias("__edges"))
+    return df.agg(F.array_distinct(quantiles(df, q(column), probs, exact)).alias("__edges"))
 
 
 def bin_equal_freq(df: DataFrame, column: str, q_bins: int = 5, out: str | None = None,
                    exact: bool | None = None) -> DataFrame:
     """Equal-frequency bins: duplicate edges dropped, right-closed, lowest
     value included (index = edges below x, minus one, floored at 0)."""
-    exact = resolve_exact(df, exact)
     edges = quantile_edges(df, column, q_bins, exact)
     j = attach_one_row(df, edges)
     x = q(column).cast("double")

@@ -63,15 +63,15 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
         F.sum(F.col("n_pred").cast("double") * F.col("n_pred")).alias("__pp"),
         F.sum(F.col("n_true").cast("double") * F.col("n_true")).alias("__tt"))
     N = F.col("__n")
-    kappa_den = N - F.col("__tp_sum") / N
+    kappa_den = N - F.try_divide(F.col("__tp_sum"), N)
     cov_tp = F.col("__tp") * N - F.col("__tp_sum")
     cov_pp = N * N - F.col("__pp")
     cov_tt = N * N - F.col("__tt")
     return s.select(
-        (F.col("__tp") / N).alias("accuracy"),
-        (F.col("__wp") / N).alias("precision"),
-        (F.col("__wr") / N).alias("recall"),
-        (F.col("__wf") / N).alias("f1_score"),
+        F.try_divide(F.col("__tp"), N).alias("accuracy"),
+        F.try_divide(F.col("__wp"), N).alias("precision"),
+        F.try_divide(F.col("__wr"), N).alias("recall"),
+        F.try_divide(F.col("__wf"), N).alias("f1_score"),
         F.when(kappa_den == 0, F.lit(None).cast("double"))
          .otherwise(1 - (N - F.col("__tp")) / kappa_den).alias("cohen_kappa"),
         F.when(cov_tt * cov_pp == 0, 0.0).otherwise(cov_tp / F.sqrt(cov_tt * cov_pp)).alias("matthews_corrcoef"))
@@ -104,13 +104,13 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                 F.sum(F.col("precision") * F.col("n_true")).alias("__wp"),
                 F.sum(F.col("recall") * F.col("n_true")).alias("__wr"),
                 F.sum(F.col("f1") * F.col("n_true")).alias("__wf"))
-    acc = tot.select(F.lit("accuracy").alias("class"), (F.col("__tp") / F.col("__n")).alias("precision"),
-                     (F.col("__tp") / F.col("__n")).alias("recall"), (F.col("__tp") / F.col("__n")).alias("f1"),
+    acc = tot.select(F.lit("accuracy").alias("class"), F.try_divide("__tp", "__n").alias("precision"),
+                     F.try_divide("__tp", "__n").alias("recall"), F.try_divide("__tp", "__n").alias("f1"),
                      F.col("__n").alias("support"))
     macro = tot.select(F.lit("macro avg").alias("class"), F.col("__mp").alias("precision"),
                        F.col("__mr").alias("recall"), F.col("__mf").alias("f1"), F.col("__n").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("class"), (F.col("__wp") / F.col("__n")).alias("precision"),
-                          (F.col("__wr") / F.col("__n")).alias("recall"), (F.col("__wf") / F.col("__n")).alias("f1"),
+    weighted = tot.select(F.lit("weighted avg").alias("class"), F.try_divide("__wp", "__n").alias("precision"),
+                          F.try_divide("__wr", "__n").alias("recall"), F.try_divide("__wf", "__n").alias("f1"),
                           F.col("__n").alias("support"))
     return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
 
@@ -141,7 +141,7 @@ def _auc_from_table(t: DataFrame, grouped: bool) -> DataFrame:
     keys = [F.col("grp")] if grouped else []
     agg = cs.groupBy(*keys).agg(F.sum(contrib).alias("__u"), F.sum("pos").alias("__p"),
                                 F.sum("neg").alias("__q"))
-    return agg.select(*keys, (F.col("__u") / (F.col("__p") * F.col("__q"))).alias("roc_auc"),
+    return agg.select(*keys, F.try_divide(F.col("__u"), F.col("__p") * F.col("__q")).alias("roc_auc"),
                       F.col("__p").alias("n_pos"), F.col("__q").alias("n_neg"))
 
 
@@ -158,7 +158,8 @@ def roc_auc_ovr(df: DataFrame, label: str = "label", probability: str = "probabi
     exploded = df.select(q(label).cast("int").alias("__y"), F.posexplode(q(probability)).alias("__c", "__s"))
     t = _score_table(exploded, F.col("__y") == F.col("__c"), F.col("__s"), F.col("__c"))
     per = _auc_from_table(t, True)
-    return per.agg((F.sum(F.col("roc_auc") * F.col("n_pos")) / F.sum("n_pos")).alias("roc_auc"))
+    return per.agg(F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.try_divide(
+        F.sum(F.col("roc_auc") * F.col("n_pos")), F.sum("n_pos"))).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1,
@@ -180,7 +181,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
                        F.lit(0).cast("bigint").alias("fps"))
     allp = attach_one_row(pts.select("score", "tps", "fps").unionByName(first), tot)
     return allp.select(F.col("score").alias("threshold"),
-                       (F.col("fps") / F.col("__N")).alias("fpr"), (F.col("tps") / F.col("__P")).alias("tpr"))
+                       F.try_divide("fps", "__N").alias("fpr"), F.try_divide("tps", "__P").alias("tpr"))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
@@ -197,7 +198,7 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", positive
     pts = k.select(F.col("score").alias("threshold"),
                    F.when(F.col("cum_pos") + F.col("cum_neg") > 0,
                           F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).otherwise(0.0).alias("precision"),
-                   (F.col("cum_pos") / F.col("__P")).alias("recall"))
+                   F.try_divide("cum_pos", "__P").alias("recall"))
     last = tot.select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
                       F.lit(0.0).alias("recall"))
     return pts.unionByName(last)

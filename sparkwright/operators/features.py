@@ -56,7 +56,7 @@ def anova_f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFr
     for i, c in enumerate(features):
         ss_between = F.col(f"B{i}") - F.col(f"S{i}") * F.col(f"S{i}") / F.col("N")
         ss_within = F.col(f"Q{i}") - F.col(f"B{i}")
-        f = (ss_between / (F.col("K") - 1)) / (ss_within / (F.col("N") - F.col("K")))
+        f = F.try_divide(F.try_divide(ss_between, F.col("K") - 1), F.try_divide(ss_within, F.col("N") - F.col("K")))
         structs.append(F.struct(F.lit(c).alias("feature"), f.alias("f_score")))
     return t.select(F.inline(F.array(*structs)))
 

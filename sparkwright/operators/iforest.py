@@ -70,19 +70,18 @@ class IsolationForestSpark(Estimator):
         self.n_trees, self.max_samples, self.seed = n_trees, max_samples, seed
 
     def _fit(self, df: DataFrame) -> "IsolationForestModel":
-        x = df.select(vector_to_array("features").alias("x"))
+        # one scheme at any size: a tree's candidates are a hashed share of the rows of about four times
+        # its sample (all rows of a small table); hashing row numbers keeps repeated points apart
+        x = df.select(vector_to_array("features").alias("x")) \
+            .withColumn("row", F.monotonically_increasing_id()).checkpoint(eager=True)
         n = x.count()
         psi = min(self.max_samples, n)
         T = self.n_trees
-        h1 = (F.xxhash64(F.lit(self.seed), "x") & F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
-        h2 = F.xxhash64(F.lit(self.seed + 1), F.col("tree"), "x")
-        if n >= T * 4 * psi:
-            p = 4.0 * psi / n
-            cand = x.withColumn("tree", F.floor(h1 / p).cast("int")).where(F.col("tree") < T)
-        else:
-            cand = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(T - 1))))
-        w = Window.partitionBy("tree").orderBy(h2, F.col("x"))
-        sample = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= psi).drop("__rn")
+        share = min(1.0, 4.0 * psi / max(n, 1))
+        x = x.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(T - 1)), lambda t: F.pmod(
+            F.xxhash64(F.lit(self.seed), t, F.col("row")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))))
+        w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(self.seed + 1), F.col("tree"), F.col("row")), "row")
+        sample = x.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= psi).drop("__rn", "row")
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:

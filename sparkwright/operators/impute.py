@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import numeric_columns, q, quantiles
 from sparkwright.operators import ordered
 from sparkwright.operators.profile import mode_frame
@@ -49,10 +48,9 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> dict:
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], exact: bool | None = None) -> dict:
-    exact = resolve_exact(df, exact)
     if not columns:
         return {}
-    r = df.agg(*[quantiles(q(c), [0.5], exact)[0].alias(f"__m{i}") for i, c in enumerate(columns)]).first()
+    r = df.agg(*[quantiles(df, q(c), [0.5], exact)[0].alias(f"__m{i}") for i, c in enumerate(columns)]).first()
     return {c: r[f"__m{i}"] for i, c in enumerate(columns)}
 
 
@@ -78,7 +76,6 @@ def impute_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None, exact: bool | None = None) -> DataFrame:
     """Fill with the exact (linear-interpolated) median."""
-    exact = resolve_exact(df, exact)
     cols = columns_with_nulls(df, list(columns) if columns is not None else numeric_columns(df))
     return _fill(_as_double(df, cols), column_medians(df, cols, exact))
 
@@ -117,7 +114,7 @@ def missing_ratio(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     tot = sum((F.count_if(q(c).isNull()) for c in cols), F.lit(0).cast("bigint"))
     return df.agg(tot.alias("n_missing"), F.count(F.lit(1)).alias("n_rows")).select(
         "n_missing", (F.col("n_rows") * len(cols)).alias("n_cells"),
-        (F.col("n_missing") / (F.col("n_rows") * len(cols))).alias("missing_ratio"))
+        F.try_divide(F.col("n_missing"), F.col("n_rows") * len(cols)).alias("missing_ratio"))
 
 
 def auto_strategy(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

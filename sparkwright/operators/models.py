@@ -116,14 +116,24 @@ def _score_numpy(df: DataFrame, score_fn, probs: bool = True) -> DataFrame:
 def _class_moments(df: DataFrame, d: int, full: bool = True) -> dict:
     """Per class: count, mean vector and scatter matrix.
 
-    Each task folds its rows into per-class partial sums ``[n, sum x, X^T X]``
-    with numpy (one small vector per class per task); the partials are summed
-    by ``groupBy(class, position)``.  The driver receives k * (1 + d + d^2)
-    numbers: bounded by the feature count, not the rows.
+    Each task folds its rows into per-class counts, means and scatter matrices
+    around the mean (merged pairwise, so nothing cancels far from zero); one
+    small partial per class and task is merged per class in a second step.  The
+    driver receives k * (1 + d + d^2) numbers: bounded by the feature count.
     """
     import pandas as pd
     base = df.select(F.col("label").cast("double").alias("label"), vector_to_array("features").alias("__x"))
 
+    def merge(a, b):
+        n = a[0] + b[0]
+        shift = b[1] - a[1]
+        scatter = a[2] + b[2] + np.outer(shift, shift) * (a[0] * b[0] / n) if full else None
+        return n, a[1] + shift * (b[0] / n), scatter
+
+    def frame(acc):
+        return pd.DataFrame({"label": list(acc), "v": [
+            np.concatenate([[n], mean, scatter.ravel() if full else []]).tolist() for n, mean, scatter in acc.values()]})
+
     def part(it):
         acc: dict = {}
         for pdf in it:
@@ -133,27 +143,30 @@ def _class_moments(df: DataFrame, d: int, full: bool = True) -> dict:
             y = pdf["label"].to_numpy()
             for c in np.unique(y):
                 Xc = X[y == c]
-                v = [np.array([len(Xc)], dtype=float), Xc.sum(axis=0)]
-                if full:
-                    v.append((Xc.T @ Xc).ravel())
-                v = np.concatenate(v)
-                acc[c] = acc[c] + v if c in acc else v
-        yield pd.DataFrame({"label": list(acc.keys()), "v": [a.tolist() for a in acc.values()]})
-    parts = base.mapInPandas(part, "label double, v array<double>")
-    sums = parts.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i") \
-        .agg(F.sum("x").alias("x")).collect()
-    vecs: dict = {}
-    width = 1 + d + (d * d if full else 0)
-    for r in sums:
-        vecs.setdefault(int(r["label"]), np.zeros(width))[r["i"]] = r["x"]
+                mean = Xc.mean(axis=0)
+                one = (float(len(Xc)), mean, (Xc - mean).T @ (Xc - mean) if full else None)
+                acc[c] = merge(acc[c], one) if c in acc else one
+        yield frame(acc)
+
+    def total(pdf):
+        out = None
+        for v in pdf["v"]:
+            v = np.array(v)
+            one = (v[0], v[1:1 + d], v[1 + d:].reshape(d, d) if full else None)
+            out = one if out is None else merge(out, one)
+        return frame({pdf["label"].iloc[0]: out})
+
+    schema = "label double, v array<double>"
+    # partials of a class are merged in two steps, so no task reads one from every other task
+    parts = base.mapInPandas(part, schema).withColumn("slot", F.spark_partition_id() % 64)
+    halves = parts.groupBy("label", "slot").applyInPandas(total, schema)
     out = {}
-    for c, v in vecs.items():
-        n = int(round(v[0]))
-        m = {"n": n, "mean": v[1:1 + d] / n}
+    for r in halves.groupBy("label").applyInPandas(total, schema).collect():
+        v = np.array(r["v"])
+        m = {"n": int(round(v[0])), "mean": v[1:1 + d]}
         if full:
-            P = v[1 + d:].reshape(d, d)
-            m["scatter"] = P - n * np.outer(m["mean"], m["mean"])
-        out[c] = m
+            m["scatter"] = v[1 + d:].reshape(d, d)
+        out[int(r["label"])] = m
     return out
 
 
@@ -171,21 +184,23 @@ class LinearDiscriminant(Estimator):
         n = sum(m["n"] for m in mom.values())
         cov = sum(m["scatter"] for m in mom.values()) / max(n - len(classes), 1)
         inv = np.linalg.pinv(cov)
+        centre = sum(m["n"] * m["mean"] for m in mom.values()) / n  # scores are taken around it
         coefs = []
         for c in range(max(classes) + 1):
             if c not in mom:
                 coefs.append({"w": [0.0] * d, "b": -1e300})
                 continue
-            mu = mom[c]["mean"]
+            mu = mom[c]["mean"] - centre
             w = inv @ mu
             coefs.append({"w": w.tolist(), "b": float(-0.5 * mu @ w + math.log(mom[c]["n"] / n))})
-        return _Fitted({"coefs": coefs}, _score_linear)
+        return _Fitted({"coefs": coefs, "centre": centre.tolist()}, _score_linear)
 
 
 def _score_linear(df: DataFrame, st: dict) -> DataFrame:
     W = np.array([c["w"] for c in st["coefs"]], dtype=float)
     b = np.array([c["b"] for c in st["coefs"]], dtype=float)
-    return _score_numpy(df, lambda X: X @ W.T + b)
+    centre = np.array(st["centre"], dtype=float)
+    return _score_numpy(df, lambda X: (X - centre) @ W.T + b)
 
 
 class QuadraticDiscriminant(Estimator):

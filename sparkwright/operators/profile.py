@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import resolve_exact
-from sparkwright.functions.columns import (EXACT_QUANTILE_ROW_LIMIT, attach_one_row, numeric_columns,
+from sparkwright.functions.columns import (attach_one_row, numeric_columns,
                                            pandas_dtype, q, quantiles, text_columns,
                                            unpivot_row)
 
@@ -57,7 +56,7 @@ def profile_missing(df: DataFrame, columns: Sequence[str] | None = None,
                         "n_rows": ["__n"] * len(names)})
     out = long.select(
         "column_name", "missing_count",
-        (F.col("missing_count") * 100.0 / F.col("n_rows")).alias("missing_pct"),
+        F.try_divide(F.col("missing_count") * 100.0, F.col("n_rows")).alias("missing_pct"),
         (F.col("missing_count") == F.col("n_rows")).alias("all_missing"))
     return out.where(F.col("missing_count") > 0) if only_missing else out
 
@@ -70,7 +69,7 @@ def missing_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     n_cells = F.col("__n") * F.lit(len(names))
     return agg.select(
         n_cells.alias("total_cells"), total.alias("total_missing"),
-        (total * 100.0 / n_cells).alias("total_missing_pct"),
+        F.try_divide(total * 100.0, n_cells).alias("total_missing_pct"),
         sum((F.when(F.col(f"__m{i}") > 0, 1).otherwise(0) for i in range(len(names))),
             F.lit(0)).cast("bigint").alias("n_columns_with_missing"),
         sum((F.when(F.col(f"__m{i}") == F.col("__n"), 1).otherwise(0)
@@ -132,9 +131,8 @@ def duplicate_mask(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5,
                    exact: bool | None = None) -> DataFrame:
     """One row per numeric column: Q1, Q3 (linear interpolation) and fences."""
-    exact = resolve_exact(df, exact)
     names = list(columns) if columns is not None else numeric_columns(df)
-    agg = df.agg(*[quantiles(q(c), [0.25, 0.75], exact).alias(f"__p{i}") for i, c in enumerate(names)])
+    agg = df.agg(*[quantiles(df, q(c), [0.25, 0.75], exact).alias(f"__p{i}") for i, c in enumerate(names)])
     long = unpivot_row(agg, names, {"qs": [f"__p{i}" for i in range(len(names))]})
     return long.select(
         "column_name", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("q3")) \
@@ -145,7 +143,6 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, k: float
 def outlier_stats(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5,
                   exact: bool | None = None, only_outliers: bool = True) -> DataFrame:
     """IQR outliers: strict ``<`` lower / ``>`` upper; % of all rows."""
-    exact = resolve_exact(df, exact)
     names = list(columns) if columns is not None else numeric_columns(df)
     bounds = outlier_bounds(df, names, k, exact).collect()  # one row per column: bounded
     b = {r["column_name"]: r for r in bounds}
@@ -175,14 +172,13 @@ def outlier_bounds_frame(df: DataFrame, rows) -> DataFrame:
 # --------------------------------------------------------------------- D8
 def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column."""
-    exact = resolve_exact(df, exact)
     names = list(columns) if columns is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(names):
         x = q(c).cast("double")
         aggs += [F.count(x).alias(f"__c{i}"), F.avg(x).alias(f"__a{i}"),
                  F.stddev_samp(x).alias(f"__s{i}"), F.min(x).alias(f"__mn{i}"),
-                 quantiles(x, [0.25, 0.5, 0.75], exact).alias(f"__p{i}"),
+                 quantiles(df, x, [0.25, 0.5, 0.75], exact).alias(f"__p{i}"),
                  F.max(x).alias(f"__mx{i}")]
     r = range(len(names))
     long = unpivot_row(df.agg(*aggs), names, {
@@ -339,9 +335,4 @@ def column_info(df: DataFrame, exact: bool = True) -> DataFrame:
     return long.join(F.broadcast(types), "column_name").select(
         "column_name", "dtype", "non_null",
         (F.col("n_rows") - F.col("non_null")).alias("null_count"), "n_unique",
-        ((F.col("n_rows") - F.col("non_null")) * 100.0 / F.col("n_rows")).alias("missing_pct"))
-
-
-def choose_exact(df: DataFrame, limit: int = EXACT_QUANTILE_ROW_LIMIT) -> bool:
-    """Exact order statistics below ``limit`` rows, approximate above."""
-    return df.limit(limit + 1).count() <= limit
+        F.try_divide((F.col("n_rows") - F.col("non_null")) * 100.0, F.col("n_rows")).alias("missing_pct"))

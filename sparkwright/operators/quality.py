@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import (is_numeric, is_text, numeric_columns, pandas_dtype, q,
                                            text_columns, unpivot_row)
 from sparkwright.operators import profile as P
@@ -64,7 +63,6 @@ def validate_report(df: DataFrame, exact: bool | None = None) -> DataFrame:
     kind is ``statistic``, ``warning`` or ``issue``; ``statistic/is_valid`` is
     1 or 0.  Built from the fused profile passes, so it costs four scans.
     """
-    exact = resolve_exact(df, exact)
     spark = df.sparkSession
     schema = "kind string, item string, value double"
     if len(df.columns) == 0 or df.isEmpty():
@@ -112,7 +110,6 @@ def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """Everything the advice rules read, one row per column, from fused passes:
     missing %, distinct count, bias-corrected skew, IQR outlier count and the
     number of rare categories."""
-    exact = resolve_exact(df, exact)
     names = list(df.columns)
     num = numeric_columns(df)
     txt = text_columns(df)
@@ -137,7 +134,7 @@ def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
         .join(F.broadcast(outl), "column_name", "left") \
         .join(F.broadcast(rare), "column_name", "left") \
         .select("column_name", "dtype", "type_class", "n_rows", "missing",
-                (F.col("missing") * 100.0 / F.col("n_rows")).alias("missing_pct"),
+                F.try_divide(F.col("missing") * 100.0, F.col("n_rows")).alias("missing_pct"),
                 "n_unique", "skew", "n_outliers", "n_rare")
 
 
@@ -172,7 +169,6 @@ def _advice_expr() -> "F.Column":
 
 def suggest_preprocessing(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """``(column_name, advice)``; advice codes joined by `` | ``."""
-    exact = resolve_exact(df, exact)
     return column_profile(df, exact).select("column_name", _advice_expr().alias("advice"))
 
 
@@ -199,7 +195,7 @@ def task_type(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     kinds = df.sparkSession.createDataFrame(
         [(c, is_text(types[c])) for c in columns], "column_name string, is_text boolean")
     j = nu.join(F.broadcast(kinds), "column_name")
-    ratio = F.col("n_unique") / F.col("n_rows")
+    ratio = F.try_divide("n_unique", "n_rows")
     return j.select(
         "column_name", "n_unique", "n_rows", ratio.alias("unique_ratio"),
         (F.col("is_text") | (F.col("n_unique") < CLASSIFICATION_MAX_DISTINCT) |

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import resolve_exact
 from sparkwright.functions.columns import numeric_columns, q, quantiles
 from sparkwright.functions.columns import attach_one_row
 
@@ -34,7 +33,6 @@ def _apply(df: DataFrame, stats: DataFrame, exprs: dict) -> DataFrame:
 def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
                  fit_where: Column | None = None, exact: bool | None = None) -> DataFrame:
     """One-row frame of fitted statistics ``__a{i}``/``__b{i}`` (centre, scale)."""
-    exact = resolve_exact(df, exact)
     rows = _fit_rows(df, fit_where)
     aggs = []
     for i, c in enumerate(columns):
@@ -46,7 +44,7 @@ def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
             rng = F.max(x) - F.min(x)
             aggs += [F.min(x).alias(f"__a{i}"), F.when(rng == 0, 1.0).otherwise(rng).alias(f"__b{i}")]
         elif method == "robust":
-            qs = quantiles(x, [0.25, 0.5, 0.75], exact)
+            qs = quantiles(rows, x, [0.25, 0.5, 0.75], exact)
             iqr = qs[2] - qs[0]
             aggs += [qs[1].alias(f"__a{i}"), F.when(iqr == 0, 1.0).otherwise(iqr).alias(f"__b{i}")]
         elif method == "maxabs":
@@ -61,7 +59,6 @@ def scale(df: DataFrame, method: str = "standard", columns: Sequence[str] | None
           fit_where: Column | None = None, exact: bool | None = None) -> DataFrame:
     """standard: (x-mean)/population std; minmax: (x-min)/(max-min);
     robust: (x-median)/IQR; maxabs: x/max|x|.  A zero spread divides by 1."""
-    exact = resolve_exact(df, exact)
     cols = _cols(df, columns)
     if not cols:
         return df
@@ -149,10 +146,9 @@ def yeo_johnson(df: DataFrame, columns: Sequence[str], lambdas: dict | None = No
 # --------------------------------------------------------------------- G9 / B4 / P9
 def iqr_bounds_frame(df: DataFrame, columns: Sequence[str], k: float = 1.5,
                      exact: bool | None = None) -> DataFrame:
-    exact = resolve_exact(df, exact)
     aggs = []
     for i, c in enumerate(columns):
-        qs = quantiles(q(c), [0.25, 0.75], exact)
+        qs = quantiles(df, q(c), [0.25, 0.75], exact)
         iqr = qs[1] - qs[0]
         aggs += [(qs[0] - F.lit(k) * iqr).alias(f"__lo{i}"), (qs[1] + F.lit(k) * iqr).alias(f"__hi{i}")]
     return df.agg(*aggs)
@@ -160,7 +156,6 @@ def iqr_bounds_frame(df: DataFrame, columns: Sequence[str], k: float = 1.5,
 
 def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, exact: bool | None = None) -> DataFrame:
     """Clip to the IQR fences; nulls stay null."""
-    exact = resolve_exact(df, exact)
     b = iqr_bounds_frame(df, columns, k, exact)
     exprs = {}
     for i, c in enumerate(columns):
@@ -173,7 +168,6 @@ def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, exact: bool
 def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5,
                         exact: bool | None = None) -> DataFrame:
     """Keep rows inside every fence (rows with a null in these columns go too)."""
-    exact = resolve_exact(df, exact)
     b = iqr_bounds_frame(df, columns, k, exact)
     cond = F.lit(True)
     for i, c in enumerate(columns):
@@ -185,10 +179,9 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5,
 def winsorize(df: DataFrame, columns: Sequence[str], lower: float = 0.05, upper: float = 0.95,
               exact: bool | None = None) -> DataFrame:
     """Clip to the given percentiles."""
-    exact = resolve_exact(df, exact)
     aggs = []
     for i, c in enumerate(columns):
-        qs = quantiles(q(c), [lower, upper], exact)
+        qs = quantiles(df, q(c), [lower, upper], exact)
         aggs += [qs[0].alias(f"__lo{i}"), qs[1].alias(f"__hi{i}")]
     b = df.agg(*aggs)
     exprs = {}

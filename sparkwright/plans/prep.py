@@ -383,7 +383,7 @@ def prep_custom(df: DataFrame, target: str, id_cols: Sequence[str], specs: dict[
                 cur = s.apply(cur)
                 steps.append(s)
             elif sp.scaling == "winsorize":
-                b = cur.agg(quantiles(q(col), [0.05, 0.95]).alias("b")).first()["b"]
+                b = cur.agg(quantiles(cur, q(col), [0.05, 0.95]).alias("b")).first()["b"]
                 lo, hi = (b[0], b[1]) if b else (None, None)
                 s = Step("winsorize", col, f"[{lo}, {hi}]",
                          lambda d, c=col, lo=lo, hi=hi: _sub(d, c, F.when(q(c) < lo, F.lit(lo))

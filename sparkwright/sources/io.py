@@ -91,13 +91,15 @@ def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFr
         return normalize_missing(spark.read.option("multiLine", True).json(path))
     if orient != "columns":
         raise ValueError(f"unknown JSON orientation {orient!r}")
-    wide = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    names = wide.columns
-    mtype = T.MapType(T.StringType(), T.StringType())
-    maps = wide.select(*[F.from_json(F.to_json(q(n)), mtype).alias(n) for n in names])
-    first = names[0]
-    rows = maps.select(F.explode(F.map_keys(q(first))).alias("__row"), *[q(n) for n in names])
-    out = rows.select(F.col("__row"), *[q(n)[F.col("__row")].alias(n) for n in names])
+    # One object holds the whole table, so one task parses it; its cells are then dealt by row label.
+    cells = F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
+    long = spark.read.text(path, wholetext=True).select(F.explode(cells).alias("__column", "__cells"))
+    names = [r["__column"] for r in long.select("__column").distinct().collect()]  # the output's columns
+    order = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    keys = spark.read.text(path, wholetext=True).select(F.explode(F.map_keys(order)).alias("k")).collect()
+    names = sorted(names, key=[r["k"] for r in keys].index)
+    rows = long.select("__column", F.explode("__cells").alias("__row", "__value"))
+    out = rows.groupBy("__row").pivot("__column", names).agg(F.first("__value"))
     out = out.orderBy(F.col("__row").try_cast("bigint"), "__row").drop("__row")
     return infer_types(_null_tokens(out))
 
