@@ -96,7 +96,7 @@ def q_feature_importance(spark, d):
     """Top-10 importances of a random forest on the embeddings."""
     data = embedding_frame(spark, d)
     train = data.where(F.col("split") == "train")
-    model = M.ModelManager(spark).train("Random Forest", train, {"n_estimators": 20})
+    model = M.ModelManager(spark).train("Random Forest", train)
     names = [f"embedding_{i}" for i in range(64)]
     return M.feature_importances(model, names, 10)
 
@@ -112,13 +112,13 @@ def q_cv_summary(spark, d):
 
 @register("gnb_moments", "SELECT label, count(*) AS n, " + ", ".join(
     f"round(avg(embedding[{i + 1}]), 6) AS mean_{i}, round(var_pop(embedding[{i + 1}]), 6) AS var_{i}"
-    for i in range(4)) + " FROM embeddings GROUP BY label")
+    for i in range(64)) + " FROM embeddings GROUP BY label")
 def q_gnb_moments(spark, d):
     """Per-class feature means and (population) variances behind the
-    Gaussian naive Bayes fit (first four features)."""
+    Gaussian naive Bayes fit (all 64 features)."""
     e = table(spark, d, "embeddings")
     aggs = [F.count(F.lit(1)).alias("n")]
-    for i in range(4):
+    for i in range(64):
         x = F.col("embedding")[i].cast("double")
         aggs += [F.round(F.avg(x), 6).alias(f"mean_{i}"), F.round(F.var_pop(x), 6).alias(f"var_{i}")]
     return e.groupBy("label").agg(*aggs)

@@ -72,7 +72,7 @@ def q_profile_dtypes(spark, d):
 
 
 # ------------------------------------------------------------------ D4
-DUP_COLS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount"]
+DUP_COLS = LINEITEM_COLS
 
 
 @register("duplicate_rows",
@@ -162,7 +162,7 @@ def q_mode_value(spark, d):
 
 
 # ------------------------------------------------------------------ D12
-SKEW_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SKEW_COLS = [c for c in LINEITEM_COLS if c not in ("l_returnflag", "l_linestatus", "l_shipdate")]
 
 
 @register("skewness", union_all(
@@ -226,7 +226,7 @@ def q_histogram30(spark, d):
 
 
 # ------------------------------------------------------------------ D17
-CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+CORR_COLS = SKEW_COLS
 
 
 @register("correlation_pairs", union_all([
@@ -372,11 +372,10 @@ def _validate_sql(src, cols, num, txt):
             f"UNION ALL SELECT 'warning', 'duplicate_rows', CAST(dup AS DOUBLE) FROM s WHERE dup > 0")
 
 
-VAL_COLS = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+VAL_COLS = LINEITEM_COLS
 
 
-@register("validate_report", _validate_sql(lineitem_nulls_sql(VAL_COLS), VAL_COLS,
-                                           ["l_linenumber", "l_quantity", "l_discount", "l_tax"],
+@register("validate_report", _validate_sql(lineitem_nulls_sql(VAL_COLS), VAL_COLS, SKEW_COLS,
                                            ["l_returnflag", "l_linestatus"]))
 def q_validate_report(spark, d):
     return round_doubles(Q.validate_report(lineitem_nulls(spark, d, VAL_COLS)))

@@ -5,8 +5,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
+from sparkwright.plans.q_eval import _compare_sql, q_compare_models
 from sparkwright.plans.registry import register
-from sparkwright.plans.tables import lineitem_nulls, lineitem_nulls_sql, round_doubles, table
+from sparkwright.plans.tables import lineitem_nulls, lineitem_nulls_sql, round_doubles
 from sparkwright.session import checkpoint_dir
 from sparkwright.sources import io as IO
 
@@ -53,10 +56,11 @@ def q_scan_parquet(spark, d):
     return round_doubles(IO.load_table(spark, f"{d}/lineitem.parquet").select(*COLS))
 
 
-@register("sink_comparison_csv", f"SELECT count(*) AS n_rows FROM lineitem")
+@register("sink_comparison_csv", _compare_sql())
 def q_sink_comparison_csv(spark, d):
-    """Write a table through the CSV sink, read it back, count rows."""
-    from pyspark.sql import functions as F
+    """The model comparison table through the CSV sink and back, all columns and values."""
     path = _scratch(spark, "sink_csv")
-    IO.write_csv(table(spark, d, "lineitem").select(*COLS), path)
-    return IO.read_csv(spark, path, infer=False).agg(F.count(F.lit(1)).alias("n_rows"))
+    table_ = q_compare_models(spark, d)
+    IO.write_csv(table_, path, single_file=True)
+    back = IO.read_csv(spark, path, infer=False)
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in table_.schema.fields])
