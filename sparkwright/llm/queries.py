@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import decontam, mil, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet
+from sparkwright.llm import decontam, mil, oracles as sql, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet
 from sparkwright.llm.common import prepared, scratch_path
 
 
@@ -94,7 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_token_rollups": sql.TOKEN_ROLLUPS,
+    "op7_decontamination": sql.DECONTAMINATION,
+    "op9_url_filters": sql.URL_FILTERS,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
