@@ -2,10 +2,10 @@
 
 Dictionaries (value -> code / frequency) are DataFrames, never driver
 lists: codes come from a distributed rank over the range-partitioned
-distinct values, and the dictionary is joined back with a broadcast only
-when its row count is known to be below ``BROADCAST_ROWS``.  One-hot is the
-exception: its output schema *is* the category list, so it is collected,
-bounded by ``max_categories``.
+distinct values, and the dictionary is joined back (broadcast only where the
+optimizer's byte sizes allow).  One-hot is the exception: its output schema
+*is* the category list, so it is collected; a caller may bound it with
+``max_categories``.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from sparkwright.functions.columns import attach_one_row
 
 NAN_TEXT = "nan"            # text of a missing value once cast to text (fixed value)
 OTHER = "Other"             # replacement for rare categories (fixed value)
-BROADCAST_ROWS = 2_000_000  # dictionaries up to this many rows are broadcast
-MAX_ONEHOT = 1000           # widest one-hot expansion accepted (columns per source)
 
 
 def as_text(c) -> "F.Column":
@@ -30,9 +28,9 @@ def as_text(c) -> "F.Column":
     return F.coalesce(c.cast("string"), F.lit(NAN_TEXT))
 
 
-def _join_dict(df: DataFrame, d: DataFrame, on: str, n_rows: int) -> DataFrame:
-    side = F.broadcast(d) if n_rows <= BROADCAST_ROWS else d
-    return df.join(side, on, "left")
+def _join_dict(df: DataFrame, d: DataFrame, on: str) -> DataFrame:
+    """Look up a dictionary; the optimizer broadcasts it if its bytes allow."""
+    return df.join(d, on, "left")
 
 
 def dense_codes(values: DataFrame, col: str = "value", code: str = "code",
@@ -59,10 +57,9 @@ def encode_label(df: DataFrame, columns: Sequence[str], suffix: str = "") -> Dat
     out = df
     for c in columns:
         d = label_dictionary(out, c)
-        n = d.count()
         key, code = f"__lk_{c}", f"__lc_{c}"
         d = d.select(F.col("value").alias(key), F.col("code").alias(code))
-        j = _join_dict(out.withColumn(key, as_text(q(c))), d, key, n)
+        j = _join_dict(out.withColumn(key, as_text(q(c))), d, key)
         if suffix:
             out = j.select(*[q(x) for x in out.columns], F.col(code).alias(c + suffix))
         else:
@@ -78,11 +75,12 @@ def encode_target(df: DataFrame, target: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- F2
-def category_list(df: DataFrame, column: str, max_categories: int = MAX_ONEHOT) -> list:
-    """Sorted distinct non-null values; refuses more than ``max_categories``."""
+def category_list(df: DataFrame, column: str, max_categories: int | None = None) -> list:
+    """Sorted distinct non-null values (they become output columns); more than a caller's
+    ``max_categories`` are refused."""
     d = df.where(q(column).isNotNull()).select(q(column).alias("v")).distinct()
-    vals = [r["v"] for r in d.limit(max_categories + 1).collect()]
-    if len(vals) > max_categories:
+    vals = [r["v"] for r in (d if max_categories is None else d.limit(max_categories + 1)).collect()]
+    if max_categories is not None and len(vals) > max_categories:
         raise ValueError(f"{column}: more than {max_categories} categories for one-hot")
     return sorted(vals)
 
@@ -140,10 +138,9 @@ def encode_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = df
     for c in columns:
         d = frequency_dictionary(out, c)
-        n = d.count()
         key = f"__fk_{c}"
         d = d.withColumnRenamed("value", key).withColumnRenamed("freq", f"__f_{c}")
-        j = _join_dict(out.withColumn(key, q(c)), d, key, n)
+        j = _join_dict(out.withColumn(key, q(c)), d, key)
         out = j.select(*[F.col(f"__f_{c}").alias(x) if x == c else q(x) for x in out.columns])
     return out
 
@@ -155,8 +152,7 @@ def rare_to_other(df: DataFrame, columns: Sequence[str], threshold_pct: float =
     for c in columns:
         d = frequency_dictionary(out, c).where(F.col("freq") < threshold_pct / 100.0).select(
             F.col("value").alias(f"__rk_{c}"), F.lit(True).alias(f"__rare_{c}"))
-        n = d.count()
-        j = _join_dict(out.withColumn(f"__rk_{c}", q(c)), d, f"__rk_{c}", n)
+        j = _join_dict(out.withColumn(f"__rk_{c}", q(c)), d, f"__rk_{c}")
         out = j.select(*[F.when(F.col(f"__rare_{c}"), F.lit(OTHER)).otherwise(q(x)).alias(x)
                          if x == c else q(x) for x in out.columns])
     return out
@@ -166,6 +162,4 @@ def drop_rare(df: DataFrame, column: str, threshold_pct: float = 5.0) -> DataFra
     """Rows whose value is rare are removed (left-anti join to the rare set)."""
     d = frequency_dictionary(df, column).where(F.col("freq") < threshold_pct / 100.0) \
         .select(F.col("value").alias("__rk"))
-    n = d.count()
-    side = F.broadcast(d) if n <= BROADCAST_ROWS else d
-    return df.join(side, q(column) == F.col("__rk"), "left_anti")
+    return df.join(d, q(column) == F.col("__rk"), "left_anti")

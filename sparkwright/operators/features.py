@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import q
-from sparkwright.operators.encode import BROADCAST_ROWS, label_dictionary, as_text
-from sparkwright.operators.evaluate import MAX_CLASSES
+from sparkwright.operators.encode import label_dictionary, as_text
 from sparkwright.functions.columns import attach_one_row
 
 
@@ -32,10 +31,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def add_balance_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Inverse-frequency row weights (a ``weightCol`` for MLlib learners)."""
     w = class_weights(df, label)
-    k = w.count()
-    if k > MAX_CLASSES:
-        raise ValueError(f"{k} classes")
-    return df.join(F.broadcast(w.select(q(label), F.col("weight").alias(out))), label, "left")
+    return df.join(w.select(q(label), F.col("weight").alias(out)), label, "left")
 
 
 # --------------------------------------------------------------------- P3
@@ -73,9 +69,8 @@ def encode_binary(df: DataFrame, column: str) -> DataFrame:
     d = label_dictionary(df, column)
     n = d.count()
     bits = max(1, math.ceil(math.log2(max(n, 2))))
-    side = F.broadcast(d) if n <= BROADCAST_ROWS else d
     j = df.withColumn("__bk", as_text(q(column))).join(
-        side.select(F.col("value").alias("__bk"), F.col("code").alias("__bc")), "__bk", "left")
+        d.select(F.col("value").alias("__bk"), F.col("code").alias("__bc")), "__bk", "left")
     digits = [F.shiftright(F.col("__bc"), bits - 1 - i).bitwiseAND(F.lit(1)).cast("int").alias(f"{column}_bin_{i}")
               for i in range(bits)]
     return j.select(*[q(c) for c in df.columns if c != column], *digits)
@@ -91,9 +86,7 @@ def encode_target_mean(df: DataFrame, column: str, target: str, fit_where=None,
     stats = fit.groupBy(q(column).alias("__tk")).agg(F.sum(y).alias("__sy"), F.count(y).alias("__ny"))
     stats = attach_one_row(stats, glob).select(
         "__tk", ((F.col("__sy") + F.lit(smoothing) * F.col("__g")) / (F.col("__ny") + F.lit(smoothing))).alias("__te"))
-    n = stats.count()
-    side = F.broadcast(stats) if n <= BROADCAST_ROWS else stats
-    j = attach_one_row(df.join(side, q(column) == F.col("__tk"), "left"), glob)
+    j = attach_one_row(df.join(stats, q(column) == F.col("__tk"), "left"), glob)
     return j.select(*[F.coalesce(F.col("__te"), F.col("__g")).alias(c) if c == column else q(c)
                       for c in df.columns])
 

@@ -67,11 +67,6 @@ def _sub(df: DataFrame, col: str, expr: Column) -> DataFrame:
     return df.select("*", expr.alias(col))
 
 
-def _bounded(frame: DataFrame) -> DataFrame:
-    """Broadcast a dictionary frame only when its measured size allows."""
-    return F.broadcast(frame) if frame.count() <= EN.BROADCAST_ROWS else frame
-
-
 def _fit_rows(df: DataFrame, fit_on: str) -> DataFrame:
     return df.where(F.col("split") == "train") if fit_on == "train" and "split" in df.columns else df
 
@@ -90,8 +85,7 @@ def label_step(df_all: DataFrame, col: str, out: str | None = None) -> Step:
     def fn(d, c=col, nm=name):
         key, code = f"__lk_{c}", f"__lc_{c}"
         dd = dic.select(F.col("value").alias(key), F.col("code").alias(code))
-        side = F.broadcast(dd) if n <= EN.BROADCAST_ROWS else dd
-        j = d.withColumn(key, EN.as_text(q(c))).join(side, key, "left")
+        j = d.withColumn(key, EN.as_text(q(c))).join(dd, key, "left")
         cols = [F.col(code).alias(nm) if x == nm else q(x) for x in d.columns]
         if nm not in d.columns:
             cols.append(F.col(code).alias(nm))
@@ -415,13 +409,12 @@ def prep_custom(df: DataFrame, target: str, id_cols: Sequence[str], specs: dict[
             if sp.rare_categories in ("group_as_other", "drop"):
                 rare = EN.frequency_dictionary(cur, col).where(F.col("freq") < sp.rare_threshold / 100.0) \
                     .select(F.col("value").alias("__rv")).persist()
-                side = _bounded(rare)
                 if sp.rare_categories == "drop":
                     s = Step("drop_rare", col, f"< {sp.rare_threshold}%",
-                             lambda d, c=col, r=side: d.join(r, q(c) == F.col("__rv"), "left_anti"))
+                             lambda d, c=col, r=rare: d.join(r, q(c) == F.col("__rv"), "left_anti"))
                 else:
                     s = Step("rare_to_other", col, f"< {sp.rare_threshold}%",
-                             lambda d, c=col, r=side: d.join(r.withColumn("__rf", F.lit(True)),
+                             lambda d, c=col, r=rare: d.join(r.withColumn("__rf", F.lit(True)),
                                                              q(c) == F.col("__rv"), "left")
                              .select(*[F.when(F.col("__rf"), F.lit(EN.OTHER)).otherwise(q(x)).alias(x) if x == c
                                        else q(x) for x in d.columns]))
@@ -430,7 +423,7 @@ def prep_custom(df: DataFrame, target: str, id_cols: Sequence[str], specs: dict[
             if sp.encoding == "onehot":
                 s = onehot_step(col, EN.category_list(cur, col))
             elif sp.encoding == "frequency":
-                dic = _bounded(EN.frequency_dictionary(cur, col).persist())
+                dic = EN.frequency_dictionary(cur, col).persist()
                 s = Step("encode_frequency", col, "", lambda d, c=col, dic=dic: d.join(
                     dic.select(F.col("value").alias("__fv"), F.col("freq").alias("__ff")),
                     q(c) == F.col("__fv"), "left").select(*[F.col("__ff").alias(x) if x == c else q(x)
