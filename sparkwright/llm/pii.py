@@ -52,15 +52,19 @@ LOOSE = {
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
 }
 PATTERNS = BASE | LOOSE
+# What every match of a kind holds, and every match of any kind.
+SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "email_spelled": r"@|[\[(]at[\])]",
+         "digit_groups": "[0-9]{2}", "identity": "[0-9]{3}-[0-9]{2}-", "account": "[A-Z]{2}[0-9]{2}"}
+ANY_SIGN = r"[0-9@]|[\[(]at[\])]"
 # Words that often stand before personal data.
 CONTEXT_WORDS = r"(?i)\b(?:call|phone|tel|fax|mobile|mail|email|contact|write|ssn|iban|account|card|passport|id|ip)\b"
 FEATURES = ("length", "digits", "letters", "spaces", "dashes", "dots", "ats", "plus", "groups", "last_group",
             "before_letter", "before_space", "after_letter", "after_space", "after_digit", "named")
 
 
-def _structs(whole: Column, kind: str, pattern: str) -> Column:
-    """Array of one kind's candidates in a text."""
-    matches, gaps = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), F.split(whole, pattern, -1)
+def _structs(kind: str) -> Column:
+    """Array of one kind's candidates, from its matches and the gaps around them."""
+    matches, gaps = F.col(f"m_{kind}"), F.col(f"g_{kind}")
 
     def one(x, i):
         return F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.char_length(x["g"]).cast("long").alias("gap"),
@@ -74,11 +78,17 @@ def candidates(rows: DataFrame) -> DataFrame:
     """Rows (rid, doc_id, kind, nth, gap, match, before, after), one per candidate of any kind in ``text``.
 
     ``gap`` counts the characters between the previous match of the kind and this
-    one.  A row without candidates stays, with a null kind.
+    one.  A row without candidates stays, with a null kind.  A kind is looked
+    for only in texts that hold the signs every match of it has (``SIGNS``).
     """
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.concat(*[_structs(whole, kind, pattern) for kind, pattern in PATTERNS.items()])
-    return rows.select("rid", "doc_id", F.explode_outer(found).alias("c")).select("rid", "doc_id", "c.*")
+    texts = rows.select("rid", "doc_id", F.when(whole.rlike(ANY_SIGN), whole).otherwise("").alias("whole"))
+    texts = texts.select("rid", "doc_id", *[F.when(F.col("whole").rlike(SIGNS[k]), F.col("whole")).otherwise("")
+                                            .alias(f"t_{k}") for k in PATTERNS])
+    cut = texts.select("rid", "doc_id", *[x for k, p in PATTERNS.items() for x in (
+        F.regexp_extract_all(f"t_{k}", F.lit(p), F.lit(0)).alias(f"m_{k}"), F.split(f"t_{k}", p, -1).alias(f"g_{k}"))])
+    found = F.concat(*[_structs(kind) for kind in PATTERNS])
+    return cut.select("rid", "doc_id", F.explode_outer(found).alias("c")).select("rid", "doc_id", "c.*")
 
 
 def _luhn(digits: Column) -> Column:
