@@ -7,20 +7,21 @@ Which strings can repeat is found first.  Every ``min_len``-byte string picks
 an anchor: the ``GRAM``-byte gram inside it with the smallest hash.  Equal
 strings pick equal grams at equal places, so only strings whose anchor occurs in
 two documents can repeat.  Neighbouring strings with one anchor form a segment
-(some 70 bytes for 20 strings).
+(some 65 bytes for 17 strings).
 
 Segments with a shared anchor are dealt by anchor, so that equal strings meet,
 and cut into shards.  A shard's suffixes are sorted by Larsson-Sadakane
 refinement (ranks of h bytes give ranks of 2h bytes, in groups not yet split),
 its common prefixes follow from Kasai's inequality, and neighbours that share
-``min_len`` bytes form a class with its smallest document.  Each shard's sorted
-strings are then searched by bisection in the other shards of the group.
+``min_len`` bytes form a class with its smallest document.  Each shard's strings
+are then searched in the other shards of the group by bisection over their
+64-bit codes, and a hit counts when the bytes agree.
 
 Scale: texts are dealt once, by hash, into parts of about ``PART_BYTES``; all
 three passes over them read that one exchange.  A part names each anchor and
 each distinct segment once, whatever the number of its copies, so a string that
 a third of all documents hold costs one entry per part.  Only anchors travel for
-unique text (8 bytes for some 20 bytes of text).  An anchor that more than
+unique text (8 bytes for some 17 bytes of text).  An anchor that more than
 ``HOT_PARTS`` parts hold may have any number of different contexts: its strings
 are dealt one by one, by their own hash, instead of by anchor.  A string's hash
 is 64 bits beside its 64-bit anchor; classes are made of compared bytes.
@@ -34,32 +35,33 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm.common import prepared
 
 MIN_LEN = 50
-GRAM = 12
-PART_BYTES = 8 << 20
-GROUP_ANCHORS = 1 << 20       # anchors per group of the exchange, about
+GRAM = 16
+PART_BYTES = 4 << 20
+GROUP_ANCHORS = 1 << 17       # anchors per group of the exchange, about
 HOT_PARTS = 1024
-SHARD = 1 << 20               # bytes per suffix array
+SHARD = 1 << 18               # bytes per suffix array
 CHUNK = 1 << 19               # starts per step of the anchor search
 _NO_ID = np.iinfo(np.int64).max  # a null id counts as the largest
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 _ANCHORS = "grp long, part long, anchors binary, several binary"
 _SHARED = "part long, anchors binary, hot binary"
-_SEGMENTS = "grp long, part long, anchors binary, codes binary, lens binary, firsts binary, several binary, bytes binary"
+_SEGMENTS = "grp long, part long, anchors binary, lens binary, firsts binary, several binary, bytes binary"
 _REPLIES = "part long, anchors binary, codes binary, masks binary, firsts binary"
 _RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, "
            "ends array<long>, kept binary")
 
 
 # -- suffix arrays ---------------------------------------------------------
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of at most 2**21 bytes in the order of (at least) their first ``depth`` bytes."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """All suffixes of at most 2**21 bytes in order."""
     n = len(text)
     if n > 1 << 21:
         raise ValueError("a shard holds at most 2**21 bytes")
@@ -80,7 +82,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank[sa] = np.repeat(first, sizes)
     h = 5
     slots = np.flatnonzero(np.repeat(sizes, sizes) > 1)  # slots of groups that are not split yet
-    while h < depth and len(slots):
+    while len(slots):
         own = sa[slots]
         after = np.where(own + h < n, rank[np.minimum(own + h, n - 1)] + 1, 0)
         # rank (21 bits), next rank (22) and place (21) in one number
@@ -137,7 +139,7 @@ class Shard:
         sizes = np.array([len(s) for s in segments])
         ends = np.cumsum(sizes)
         which = np.repeat(np.arange(len(segments)), sizes)
-        sa = suffix_array(text, length)
+        sa = suffix_array(text)
         shared = common_prefixes(text, sa, length)
         whole = sa + length <= ends[which[sa]]   # a suffix that holds a string of its segment
         # a class goes on while all neighbours in between share the string
@@ -149,18 +151,31 @@ class Shard:
         owner = np.array(docs, dtype=np.int64)[which[self.places]]
         self.own_low = np.minimum.reduceat(owner, heads) if len(heads) else owner
         self.low = self.own_low.copy()
-        windows = np.lib.stride_tricks.sliding_window_view(text, length) if len(text) >= length else None
-        self.strings = np.ascontiguousarray(windows[self.places[heads]]).view(f"S{length}").ravel() if len(heads) \
-            else np.zeros(0, dtype=f"S{length}")
-        self.sizes, self.first_place = sizes, ends - sizes
+        self.text, self.length = text, length
+        self.heads = self.places[heads]          # one place per class
+        code = np.zeros(len(heads), dtype=np.uint64)
+        for k in range(0, length, 8):
+            word = np.zeros(len(heads), dtype=np.uint64)
+            for b in range(k, min(k + 8, length)):
+                word = word << np.uint64(8) | text[self.heads + b].astype(np.uint64)
+            code = (code ^ word) * _C[0]
+            code ^= code >> np.uint64(29)
+        self.by_code = np.argsort(code, kind="stable")
+        self.codes = code[self.by_code]
+        self.sizes = sizes
+
+    def _strings(self, classes: np.ndarray) -> np.ndarray:
+        return self.text[self.heads[classes][:, None] + np.arange(self.length)]
 
     def meet(self, other: Shard) -> None:
         """Find this shard's strings in the other one by bisection; both learn the smaller document."""
-        if not len(self.strings) or not len(other.strings):
+        if not len(self.codes) or not len(other.codes):
             return
-        at = np.minimum(np.searchsorted(other.strings, self.strings), len(other.strings) - 1)
-        mine = np.flatnonzero(other.strings[at] == self.strings)
-        theirs = at[mine]
+        at = np.minimum(np.searchsorted(other.codes, self.codes), len(other.codes) - 1)
+        hit = np.flatnonzero(other.codes[at] == self.codes)
+        mine, theirs = self.by_code[hit], other.by_code[at[hit]]
+        same = (self._strings(mine) == other._strings(theirs)).all(axis=1)
+        mine, theirs = mine[same], theirs[same]
         self.low[mine] = np.minimum(self.low[mine], other.own_low[theirs])
         other.low[theirs] = np.minimum(other.low[theirs], self.own_low[mine])
 
@@ -173,7 +188,7 @@ class Shard:
 
 # -- anchors ----------------------------------------------------------------
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each gram of 12 bytes."""
+    """A 64-bit hash of each gram of 16 bytes."""
     b = raw.astype(np.uint64)
     two = b[:-1] << np.uint64(8) | b[1:]
     four = two[:-2] << np.uint64(16) | two[2:]
@@ -181,7 +196,8 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     n = len(raw) - GRAM + 1
     h = eight[:n] * _C[0]
     h ^= h >> np.uint64(31)
-    h += four[8:8 + n] * _C[1]
+    h += eight[8:8 + n]
+    h *= _C[1]
     h ^= h >> np.uint64(29)
     h *= _C[2]
     h ^= h >> np.uint64(32)
@@ -255,7 +271,7 @@ class Part:
         cover = np.zeros(len(self.raw) + 1, dtype=np.int32)
         np.add.at(cover, starts, 1)
         np.add.at(cover, starts + self.length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         first = np.cumsum(self.sizes) - self.sizes
         rows = defaultdict(list)
         touched = set(np.searchsorted(first + self.sizes, starts, side="right").tolist())
@@ -295,8 +311,8 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _group_of(codes: np.ndarray, groups: int) -> np.ndarray:
-    """Group of a 64-bit code, ascending with the code."""
-    return ((codes >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    """Group of a 64-bit code.  Anchors are the smallest hashes around, so they are mixed again first."""
+    return (((codes * _C[1]) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
 def _shared_anchors(table: pa.Table, hot_parts: int) -> pa.Table:
@@ -340,15 +356,14 @@ def _segments(part_id: int, part: Part, anchors: np.ndarray, hot: np.ndarray, gr
                 several.add(key)
                 first[key] = min(seen, doc)
     dealt = defaultdict(list)
-    codes = {key: xxhash.xxh64_intdigest(key[1]) for key in first}
-    for key in first:
-        code = codes[key] if key in singles else key[0]
-        dealt[(code >> 32) * groups >> 32].append(key)
+    codes = np.array([xxhash.xxh64_intdigest(k[1]) if k in singles else k[0] for k in first], dtype=np.uint64)
+    for key, grp in zip(first, _group_of(codes, groups).tolist()):
+        dealt[grp].append(key)
+    pack = zstandard.ZstdCompressor(level=3).compress
     return _rows(_SEGMENTS, [(
-        g, part_id, np.array([k[0] for k in keys], "<u8").tobytes(), np.array([codes[k] for k in keys], "<u8").tobytes(),
-        np.array([len(k[1]) for k in keys], "<u4").tobytes(), np.array([first[k] for k in keys], "<i8").tobytes(),
-        np.array([k in several for k in keys], "?").tobytes(), b"".join(k[1] for k in keys))
-        for g, keys in dealt.items()])
+        g, part_id, np.array([k[0] for k in keys], "<u8").tobytes(), bytes(len(k[1]) for k in keys),
+        np.array([first[k] for k in keys], "<i8").tobytes(), bytes(k in several for k in keys),
+        pack(b"".join([k[1] for k in keys]))) for g, keys in dealt.items()])
 
 
 def _resolve(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
@@ -356,18 +371,20 @@ def _resolve(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
     rows = []                     # per part: its segments as numbers of distinct ones
     number: dict[tuple[int, bytes], int] = {}
     low: list[int] = []
-    for r in table.to_pylist():
-        anchors, codes = np.frombuffer(r["anchors"], "<u8"), np.frombuffer(r["codes"], "<u8")
-        firsts, several = np.frombuffer(r["firsts"], "<i8"), np.frombuffer(r["several"], "?")
-        ends = np.cumsum(np.frombuffer(r["lens"], "<u4")).tolist()
-        mine = []
-        for name, a, b, doc in zip(anchors.tolist(), [0, *ends], ends, firsts.tolist()):
-            k = number.setdefault((name, r["bytes"][a:b]), len(number))
-            if k == len(low):
-                low.append(doc)
-            low[k] = min(low[k], doc)
-            mine.append(k)
-        rows.append((r["part"], anchors, codes, firsts, several, np.array(mine, dtype=np.int64)))
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in table.to_batches(max_chunksize=64):
+        for r in batch.to_pylist():
+            anchors, firsts = np.frombuffer(r["anchors"], "<u8"), np.frombuffer(r["firsts"], "<i8")
+            ends = np.cumsum(np.frombuffer(r["lens"], "u1"), dtype=np.int64).tolist()
+            raw, mine = unpack(r["bytes"]), []
+            for name, a, b, doc in zip(anchors.tolist(), [0, *ends], ends, firsts.tolist()):
+                k = number.setdefault((name, raw[a:b]), len(number))
+                if k == len(low):
+                    low.append(doc)
+                elif doc < low[k]:
+                    low[k] = doc
+                mine.append(k)
+            rows.append((r["part"], anchors, firsts, np.frombuffer(r["several"], "?"), np.array(mine, dtype=np.int64)))
     segments = [s for _, s in number]
     shards, begin, held = [], 0, 0
     for k in range(len(segments) + 1):
@@ -384,16 +401,17 @@ def _resolve(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
     places = np.cumsum(sizes) - sizes
     strings = sizes - length + 1
     out = []
-    for part, anchors, codes, firsts, several, mine in rows:
+    for part, anchors, firsts, several, mine in rows:
         masks = np.zeros(len(mine), dtype=np.uint64)
         for j in range(int(strings.max(initial=0))):
             has = strings[mine] > j
             less = lows[places[mine[has]] + j] < firsts[has]
             masks[np.flatnonzero(has)[less]] |= np.uint64(1 << j)
-        tell = (masks != 0) | several
-        if tell.any():
-            out.append((part, *(x[tell].astype(t).tobytes() for x, t in (
-                (anchors, "<u8"), (codes, "<u8"), (masks, "<u8"), (firsts, "<i8")))))
+        tell = np.flatnonzero((masks != 0) | several)
+        if len(tell):
+            codes = np.array([xxhash.xxh64_intdigest(segments[k]) for k in mine[tell].tolist()], dtype=np.uint64)
+            out.append((part, anchors[tell].astype("<u8").tobytes(), codes.astype("<u8").tobytes(),
+                        masks[tell].astype("<u8").tobytes(), firsts[tell].astype("<i8").tobytes()))
     return _rows(_REPLIES, out)
 
 
@@ -420,7 +438,7 @@ def _apply(part: Part, reply: pa.Table, keep: bool) -> pa.Table:
             mask, first = said
             if doc > first:
                 gone.append(np.arange(a, b))
-            elif mask:
+            elif doc == first and mask:
                 gone.append(a + np.flatnonzero([mask >> j & 1 for j in range(b - a)]))
     return part.results(np.concatenate(gone) if gone else np.zeros(0, dtype=np.int64), keep)
 
@@ -440,7 +458,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     nothing to each other.  An empty table gives no rows; other columns are ignored.
     """
     if not GRAM < min_len <= 64 + GRAM - 1:
-        raise ValueError("min_len has to lie between 13 and 75")
+        raise ValueError("min_len has to lie between 17 and 79")
     text = docs[text_col].cast("string")
     rows = prepared(docs).select(docs[id_col].cast("long").alias("doc_id"),
                                  F.coalesce(text, F.lit("")).cast("binary").alias("raw"))
@@ -452,6 +470,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def name_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         anchors, several = _part(table, min_len).anchors()
         grp = _group_of(anchors, groups)
+        order = np.argsort(grp, kind="stable")
+        anchors, several, grp = anchors[order], several[order], grp[order]
         heads = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]])) if len(grp) else []
         ends = [*heads[1:], len(grp)]
         return _rows(_ANCHORS, [(int(grp[a]), key[0].as_py(), anchors[a:b].astype("<u8").tobytes(), several[a:b].tobytes())
