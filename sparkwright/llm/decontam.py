@@ -7,19 +7,20 @@ compared.  Hit spans, or whole documents, can then be removed.
 
 Scale: one scan of the documents without a shuffle.  A broadcast set holds at
 most ``BLOCK_BYTES`` of item text; a larger benchmark is cut into blocks, each
-scanned against all documents, and the hits are merged per document.
+scanned against all documents, and the hits are merged per document row (rows
+are numbered and checkpointed first, so null and repeated ids stay apart).
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,18 +168,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     An item with fewer than ``n`` words is one window; items without words, a
     null item id or a null text give none, repeated items count once.  A null or
     empty text has no words; null ids and repeated rows are kept as they are; an
-    empty benchmark hits nothing; other columns are ignored.  With a benchmark
-    beyond ``block_bytes`` documents need distinct ids, and ``clean`` is refused.
+    empty benchmark hits nothing; other columns are ignored.
     """
     own = prepared(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    scans = [_scan(own, items, n, clean) for items in _blocks(benchmark, item_col, item_text_col, block_bytes)] \
-        or [_scan(own, [], n, clean)]
-    if len(scans) == 1:
-        hits = scans[0]
-    elif clean:
-        raise ValueError("texts are cleaned with a benchmark of one block; raise block_bytes")
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    first = list(islice(blocks, 2))
+    if len(first) < 2:
+        hits = _scan(own, first[0] if first else [], n, clean)
     else:
-        hits = _union_hits(scans)
+        own, found = _row_hits(own, "text", chain(first, blocks), n)
+        text = _cut("text", "starts", "ends") if clean else F.lit(None).cast("string")
+        hits = own.join(found, "__rid").select("doc_id", "n_words", "starts", "ends", "items", text.alias("text"))
     covered = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return hits.select(
         "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -192,19 +192,19 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """``docs`` without benchmark spans, all other columns as they are.
 
     A row with more than ``most`` of its words inside hit windows goes; from the
-    others the spans are cut out.  With a benchmark beyond ``block_bytes`` ids
-    have to be distinct and not null.
+    others the spans are cut out.  Rows are judged one by one whatever their
+    ``id_col`` holds.
     """
     at = docs.columns.index(text_col)
-    blocks = list(islice(_blocks(benchmark, item_col, item_text_col, block_bytes), 2))  # at most two are held
-    if len(blocks) > 1:
-        hits = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col,
-                          item_text_col=item_text_col, n=n, block_bytes=block_bytes)
-        docs_in = docs.join(hits.select(F.col("doc_id").alias(id_col), F.col("starts").alias("__starts"),
-                                        F.col("ends").alias("__ends")), id_col).select(*docs.columns, "__starts", "__ends")
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    first = list(islice(blocks, 2))
+    if len(first) > 1:
+        docs_in, found = _row_hits(prepared(docs), text_col, chain(first, blocks), n)
+        docs_in = docs_in.join(found, "__rid").select(*docs.columns, F.col("starts").alias("__starts"),
+                                                      F.col("ends").alias("__ends"))
         shared = None
     else:
-        docs_in, shared = prepared(docs), docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else [])
+        docs_in, shared = prepared(docs), docs.sparkSession.sparkContext.broadcast(first[0] if first else [])
     key, width = uuid.uuid4().hex, len(docs.columns)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +227,25 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return docs_in.mapInArrow(rows, docs.schema)
 
 
+def _row_hits(docs: DataFrame, text_col: str, blocks: Iterable[list[tuple[str, str]]],
+              n: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a row number ``__rid``, fixed by a checkpoint, and the hits of all blocks per row number."""
+    docs = docs.withColumn("__rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    own = docs.select(F.col("__rid").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hits = _union_hits([_scan(own, items, n, False) for items in blocks])
+    return docs, hits.select(F.col("doc_id").alias("__rid"), "n_words", "starts", "ends", "items")
+
+
+def _cut(text: str, starts: str, ends: str) -> Column:
+    """The text without its hit spans."""
+    @F.pandas_udf("string")
+    def cut(texts, a, b):
+        import pandas as pd
+        return pd.Series([_without(t, list(zip(s, e))) for t, s, e in zip(texts, a, b)], dtype=object)
+
+    return cut(text, starts, ends)
+
+
 def _union_hits(scans: list[DataFrame]) -> DataFrame:
     """Hits of several blocks, merged per document."""
     from functools import reduce

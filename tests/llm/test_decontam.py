@@ -62,3 +62,15 @@ def test_spans_are_removed(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     out = {r["doc_id"]: r["text"] for r in decontam.find_leaks(docs, items, clean=True).collect()}
     assert out == {1: "Keep this: ! and é that", 2: "nothing here", 3: None}
+
+
+def test_odd_rows_in_many_blocks(spark, odd):
+    """Null ids, repeated rows and one id with two texts: a benchmark in many blocks gives the rows of one block."""
+    docs = odd.where("length(text) < 5000 or text is null").unionByName(odd.where("doc_id = 1").limit(1).selectExpr(
+        "2L AS doc_id", "'see: a b c!' AS text", *odd.columns[2:]))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for run in (lambda **kw: decontam.find_leaks(docs, items, clean=True, **kw),
+                lambda **kw: decontam.remove_leaks(docs, items, **kw)):
+        want = sorted(map(str, run().collect()))
+        assert sorted(map(str, run(block_bytes=1).collect())) == want
+        assert any("doc_id=None" in r for r in want) and sum("see: " in r for r in want) <= 1
