@@ -122,9 +122,10 @@ def q_pca_variance(spark, d):
 
 @register("grid_search")
 def q_grid_search(spark, d):
-    """3-fold grid search of logistic-regression regularisation on the embeddings."""
+    """3-fold grid search of logistic-regression regularisation on the embeddings
+    (as many iterations as the Logistic Regression learner allows)."""
     from pyspark.ml.classification import LogisticRegression
     from sparkwright.plans.q_models import embedding_frame
     data = embedding_frame(spark, d).where(F.col("split") == "train").drop("split")
-    _, scores = FE.grid_search(LogisticRegression(maxIter=50), {"regParam": [0.0, 0.01, 0.1]}, data, folds=3)
+    _, scores = FE.grid_search(LogisticRegression(maxIter=1000), {"regParam": [0.0, 0.01, 0.1]}, data, folds=3)
     return round_doubles(scores)

@@ -18,31 +18,17 @@ from sparkwright.plans.registry import register
 from sparkwright.plans.tables import round_doubles, table
 from sparkwright.functions.columns import attach_one_row
 
-# Per-learner parameters of the registered queries (iteration counts kept
-# moderate so the whole catalogue runs in the benchmark).
-QUERY_PARAMS = {
-    "Gradient Boosting": {"n_estimators": 20},
-    "XGBoost": {"n_estimators": 20},
-    "LightGBM": {"n_estimators": 20},
-    "CatBoost": {"n_estimators": 20},
-    "AdaBoost": {"n_estimators": 10},
-    "Multi-layer Perceptron": {"max_iter": 100, "hidden_layer_sizes": [32]},
-}
-BINARY_ONLY = {"Gradient Boosting", "XGBoost", "LightGBM", "CatBoost"}
-
-
-def embedding_frame(spark, d, binary: bool = False):
+
+def embedding_frame(spark, d):
     """``vec_id, features, label`` from ``embeddings`` with an exact 80/20 split."""
     e = table(spark, d, "embeddings")
-    lab = (F.col("label") < 5).cast("double") if binary else F.col("label").cast("double")
     df = e.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-                  lab.alias("label"))
+                  F.col("label").cast("double").alias("label"))
     return SP.split_random(df, ["vec_id"], 0.2)
 
 
 def fit_and_score(spark, d, name: str):
-    binary = name in BINARY_ONLY
-    data = embedding_frame(spark, d, binary).persist()
+    data = embedding_frame(spark, d).persist()
     train = data.where(F.col("split") == "train").drop("split")
     test = data.where(F.col("split") == "test").drop("split")
     mgr = M.ModelManager(spark)
@@ -54,7 +40,7 @@ def fit_and_score(spark, d, name: str):
         test = mm.transform(test).drop("features").withColumnRenamed("__mm", "features")
         test = test.withColumn("features", array_to_vector(F.transform(
             vector_to_array("features"), lambda v: F.greatest(v, F.lit(0.0)))))
-    model = mgr.train(name, train, QUERY_PARAMS.get(name))
+    model = mgr.train(name, train)
     pred = M.predict(model, test)
     metrics = EV.classification_metrics(pred)
     majority = train.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1) \
@@ -62,7 +48,7 @@ def fit_and_score(spark, d, name: str):
     base = attach_one_row(test, majority).agg(
         F.avg((F.col("label") == F.col("__maj")).cast("double")).alias("majority_accuracy"),
         F.count(F.lit(1)).alias("n_test"))
-    out = attach_one_row(metrics, base).select(F.lit(name).alias("model"), F.lit(binary).alias("binary"), "*")
+    out = attach_one_row(metrics, base).select(F.lit(name).alias("model"), "*")
     return round_doubles(out)
 
 
