@@ -274,35 +274,37 @@ class KNeighborsModel(Model):
 
 # ===================================================================== E4
 def impute_knn(df: DataFrame, id_col: str | None = None, columns: Sequence[str] | None = None,
-               k: int = 5, slab_rows: int = SLAB_ROWS) -> DataFrame:
+               k: int = 5, slab_rows: int = SLAB_ROWS, donors: DataFrame | None = None) -> DataFrame:
     """KNN imputation of numeric columns: each missing cell takes the mean of
     that column over the k nearest rows having it (NaN-aware Euclidean
     distance over all the columns, scaled by total/present coordinates);
     with no usable neighbour, the column mean.  ``id_col`` is accepted for
-    interface compatibility; identical rows are imputed identically."""
+    interface compatibility; identical rows are imputed identically.
+    Neighbours and means come from ``donors`` (``df`` itself when not given)."""
     feats = list(columns) if columns is not None else [c for c in numeric_columns(df) if c != id_col]
     p = len(feats)
     arr = F.array(*[q(c).cast("double") for c in feats])
     base = df.withColumn("__row", arr)
     base = base.withColumn("__rk", F.md5(point_text(F.col("__row"))))
-    means = base.agg(*[F.avg(q(c).cast("double")).alias(c) for c in feats]).first()
+    given = base if donors is None else donors.withColumn("__row", arr)
+    means = given.agg(*[F.avg(q(c).cast("double")).alias(c) for c in feats]).first()
     filled = {}
     for ci, c in enumerate(feats):
         recv = base.where(q(c).isNull()).select(F.col("__rk").alias("__qk"), F.col("__row").alias("__qx")).distinct()
         if recv.limit(1).count() == 0:
             continue
-        donors = base.where(q(c).isNotNull()).groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
-        donors = donors.select(F.col("__row").alias("__px"), "__n",
+        points = given.where(q(c).isNotNull()).groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
+        points = points.select(F.col("__row").alias("__px"), "__n",
                                F.col("__row")[ci].alias("__v"),
                                F.md5(point_text(F.col("__row"))).alias("__t")) \
             .withColumn("__pid", F.col("__t")).persist()
-        ipts = donors.select("__pid", "__t", F.posexplode("__px").alias("__j", "__u")) \
+        ipts = points.select("__pid", "__t", F.posexplode("__px").alias("__j", "__u")) \
             .where(F.col("__u").isNotNull() & (F.col("__j") != ci))
         ent = recv.select("__qk", F.posexplode("__qx").alias("__j", "__u")) \
             .where(F.col("__u").isNotNull() & (F.col("__j") != ci)) \
             .withColumn("__qe", F.concat_ws("#", F.col("__qk"), F.col("__j").cast("string")))
-        nn = search(recv, ent, donors, ipts, ["__j"], k, p, slab_rows)
-        val = nn.join(donors.select("__pid", "__v"), "__pid").groupBy("__qk").agg(
+        nn = search(recv, ent, points, ipts, ["__j"], k, p, slab_rows)
+        val = nn.join(points.select("__pid", "__v"), "__pid").groupBy("__qk").agg(
             (F.sum(F.col("__v") * F.col("__take")) / F.sum("__take")).alias(f"__imp{ci}"))
         filled[c] = val.withColumnRenamed("__qk", f"__k{ci}")
     out = base

@@ -24,6 +24,7 @@ from sparkwright.operators import quality as QL
 from sparkwright.operators import scale as SC
 from sparkwright.operators import split as SP
 from sparkwright.operators import text as TX
+from sparkwright.session import cut_lineage
 
 
 # ===================================================================== recipe steps
@@ -77,6 +78,18 @@ def fill_step(col: str, value, how: str) -> Step:
     return Step("impute_" + how, col, repr(value), lambda d, c=col, v=lit: _sub(d, c, F.coalesce(q(c), v)))
 
 
+def knn_step(df: DataFrame, cols: Sequence[str], named: Sequence[str]) -> Step:
+    """k-NN fill of ``cols`` from the rows of ``df``, which are checkpointed in the shared folder."""
+    from sparkwright.operators.knn import impute_knn
+    donors = cut_lineage(df.select(*[q(c) for c in cols]))
+    need = IM.columns_with_nulls(donors, list(cols))
+
+    def fn(d):
+        out = impute_knn(d, columns=cols, donors=donors)
+        return out.select(*[q(c).cast("double").alias(c) if c in need else q(c) for c in out.columns])
+    return Step("impute_knn", ",".join(named), "k=5", fn)
+
+
 def label_step(df_all: DataFrame, col: str, out: str | None = None) -> Step:
     dic = EN.label_dictionary(df_all, col).persist()
     n = dic.count()
@@ -157,9 +170,9 @@ def prep_quick(df: DataFrame, target: str, id_cols: Sequence[str], test_size: fl
             steps.append(s)
     if missing in ("mean_mode", "knn"):
         if missing == "knn":
-            from sparkwright.operators.knn import impute_knn
-            cur = impute_knn(cur, id_col=ids[0], columns=[c for c in feats if c in numeric_columns(cur)])
-            steps.append(Step("impute_knn", ",".join(feats), "k=5"))
+            s = knn_step(cur, [c for c in feats if c in numeric_columns(cur)], feats)
+            cur = s.apply(cur)
+            steps.append(s)
             fit = _fit_rows(cur, fit_on)
         need = IM.columns_with_nulls(fit, feats)
         num = set(numeric_columns(cur))
