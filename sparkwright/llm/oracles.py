@@ -55,7 +55,7 @@ listed AS (SELECT DISTINCT key FROM parsed WHERE host <> '' AND
              (4 * length(html) - length(replace(html, '###', '')) - length(replace(html, '***', ''))
               - length(replace(html, '$$$', '')) - length(replace(html, '%%%', ''))) / 3 >= 40),
 rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
-  ('allow', 'example.org', '/en/1'), ('block', 'com', '/fr/'), ('allow', 'com', '/de/')),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 ruled AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
                  arg_max(r.verdict, length(rhost || rpath)) AS verdict
           FROM parsed JOIN rules r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)

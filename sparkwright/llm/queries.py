@@ -50,7 +50,8 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of the benchmark in all documents."""
-    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))         .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")) \
+        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +63,9 @@ def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),
-    urls.Rule("allow", "example.org", "/en/1"),
-    urls.Rule("block", "com", "/fr/"),
-    urls.Rule("allow", "com", "/de/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
 ]
 JUNK_RUNS, JUNK_COUNT = ("###", "***", "$$$", "%%%"), 40
 

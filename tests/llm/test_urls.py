@@ -50,6 +50,22 @@ def test_odd_urls(spark, broadcast_bytes):
     assert urls.judge(df.limit(0), rows, RULES).count() == 0
 
 
+# The contract's rules, written out: which URL gets which rule and verdict.
+FIXED = [("http://a.org/x", "org/", "allow"), ("http://example.org/", "org/", "allow"), ("http://example.org/en/2", "org/", "allow"),
+         ("http://example.org/es/", "example.org/es/", "block"), ("http://www.example.org/es/9?q", "example.org/es/", "block"),
+         ("http://example.org/en/1", "example.org/en/1", "block"), ("http://m.Example.org/en/17", "example.org/en/1", "block"),
+         ("http://a.com/fr/", "com/fr/", "allow"), ("http://com/fr/1", "com/fr/", "allow"),
+         ("http://a.com/de/", "com/de/", "block"), ("http://b.a.com/de/1#x", "com/de/", "block"),
+         ("http://a.com/es/", None, "block"), ("http://a.net/de/", None, "allow"), ("http://badcom/de/", None, "allow")]
+
+
+def test_the_rules_of_the_query(spark):
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(FIXED)], "page_id long, url string")
+    listed = spark.createDataFrame([("http://www.a.com/es",), ("http://a.com/fr/",)], "url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, listed, queries.URL_RULES).collect()}
+    assert [got[i] for i in range(len(FIXED))] == [(rule, verdict) for _, rule, verdict in FIXED]
+
+
 def test_false_positives_of_a_crowded_filter_are_removed(spark):
     pages = [(i, f"http://h{i % 50}.net/{i}") for i in range(3000)]
     listed = [u for i, u in pages if i % 3 == 0]
