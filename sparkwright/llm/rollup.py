@@ -13,7 +13,9 @@ batch; every aggregation combines inside the map tasks first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm.common import prepared
@@ -30,16 +32,26 @@ TOKENIZERS = {
 }
 
 
-def inserted(docs: DataFrame, tokenizer: str, text: Column | None = None) -> DataFrame:
+def counted(docs: DataFrame, *tokenizers: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Numbers of every document: source, lang, ``count_0``, ``count_1``, ... (one per tokenizer) and the columns of ``keep``."""
+    return docs.select(*keep, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+                       *[TOKENIZERS[t](F.col("text")).alias(f"count_{k}") for k, t in enumerate(tokenizers)])
+
+
+def signed(counts: DataFrame, tokenizer: str, count: str = "count_0", sign: int = 1) -> DataFrame:
+    """Changes that insert (``sign`` 1) or delete (-1) counted documents under ``tokenizer``."""
+    return counts.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("n_docs"),
+                         (F.col(count) * F.lit(sign)).alias("n_tokens"))
+
+
+def inserted(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Signed changes of documents that are new under ``tokenizer`` (columns source, lang, text)."""
-    counted = TOKENIZERS[tokenizer](F.col("text") if text is None else text)
-    return docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit(tokenizer).alias("tokenizer"),
-                       F.lit(1).cast("long").alias("n_docs"), counted.alias("n_tokens"))
+    return signed(counted(docs, tokenizer), tokenizer)
 
 
 def deleted(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Signed changes of documents that go: their inserts with the sign turned."""
-    return inserted(docs, tokenizer).withColumns({c: -F.col(c) for c in SUMS})
+    return signed(counted(docs, tokenizer), tokenizer, sign=-1)
 
 
 def revised(docs: DataFrame, old: str, new: str) -> DataFrame:
@@ -82,8 +94,11 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """Totals per key over all committed batches; keys whose documents are all gone are left out."""
-        shot, covered = self._covered()
-        paths = [f"{self.root}/batches/{b}" for b in self._names("batches") if b not in covered]
+        return self._sums(self._names("batches"), *self._covered())
+
+    def _sums(self, batches: list[str], shot: str | None, covered: set[str]) -> DataFrame:
+        """Sums of one snapshot and of those of ``batches`` that it does not hold."""
+        paths = [f"{self.root}/batches/{b}" for b in batches if b not in covered]
         paths += [f"{self.root}/snapshots/{shot}"] if shot else []
         parts = self.spark.read.schema(DELTA_SCHEMA).parquet(*paths) if paths \
             else self.spark.createDataFrame([], DELTA_SCHEMA)
@@ -91,14 +106,22 @@ class Rollup:
             .where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new snapshot (the list of its batches is written first)."""
-        batches = self.committed()
-        if not batches:
+        """Fold the batches committed so far into a new snapshot.
+
+        The folders are listed once: the list that is written names exactly the
+        batches in the sums, so a batch committed meanwhile is counted from its own
+        folder.  Snapshots have names of their own, so compactions at the same time
+        do not meet; any one of them is a right start for ``totals``.
+        """
+        batches = self._names("batches")
+        shot, covered = self._covered()
+        if not batches and not covered:
             return
-        name = f"{len(self._names('snapshots')):08d}"
-        self.spark.createDataFrame([(b,) for b in batches], "value string").coalesce(1) \
+        name = f"{len(self._names('snapshots')):08d}-{uuid.uuid4().hex}"
+        held = sorted(covered.union(batches))
+        self.spark.createDataFrame([(b,) for b in held], "value string").coalesce(1) \
             .write.mode("overwrite").text(f"{self.root}/covered/{name}")
-        self.totals().write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
+        self._sums(batches, shot, covered).write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
 
 
 def corpus_rollup(docs: DataFrame, labels: DataFrame, root: str) -> DataFrame:
@@ -108,6 +131,9 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, root: str) -> DataFrame:
     moves all of them to the second one, ``toxic`` deletes the documents that are
     labelled toxic, and ``toxic`` once more changes nothing.
 
+    Texts are counted once, in one scan; what is stored, joined and shuffled after
+    it are a few numbers per document.
+
     A null text counts zero tokens, an empty one too; null sources and languages
     are keys of their own; repeated document rows count as often as they occur, a
     document with repeated labels goes once, and a null id has no label.  Empty
@@ -116,12 +142,14 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, root: str) -> DataFrame:
     spark = prepared(docs).sparkSession
     rollup = Rollup(spark, root)
     old, new = TOKENIZERS
+    path = f"{rollup.root}/counts-{uuid.uuid4().hex}"
+    counted(docs, old, new, keep=("doc_id",)).write.parquet(path)
+    counts = spark.read.parquet(path)
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    own = docs.select("doc_id", "source", "lang", "text")
-    gone = own.join(toxic, "doc_id", "left_semi")
-    rollup.commit("load", inserted(own, old))
-    rollup.commit("recount", revised(own, old, new))
-    rollup.commit("toxic", deleted(gone, new))
-    rollup.commit("toxic", deleted(gone, new))
+    gone = signed(counts.join(toxic, "doc_id", "left_semi"), new, "count_1", -1)
+    rollup.commit("load", signed(counts, old))
+    rollup.commit("recount", signed(counts, old, sign=-1).unionByName(signed(counts, new, "count_1")))
+    rollup.commit("toxic", gone)
+    rollup.commit("toxic", gone)
     rollup.compact()
     return rollup.totals()

@@ -44,3 +44,35 @@ def test_an_unfinished_batch_is_not_counted(spark):
 def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert rollup.corpus_rollup(docs(spark, []), labels, scratch_path(spark, "rollup")).count() == 0
+
+
+def test_a_batch_committed_during_a_compaction_counts_once(spark, monkeypatch):
+    r = rollup.Rollup(spark, scratch_path(spark, "rollup"))
+    all_docs = docs(spark, ROWS)
+    r.commit("one", rollup.inserted(all_docs, "words-1"))
+    sums = r._sums
+
+    def meanwhile(*args):  # between the list of the compaction and its sums
+        monkeypatch.setattr(r, "_sums", sums)
+        assert r.commit("two", rollup.inserted(all_docs, "words-1"))
+        r.compact()        # and another compaction at the same time
+        return sums(*args)
+
+    monkeypatch.setattr(r, "_sums", meanwhile)
+    r.compact()
+    assert totals(r.totals()) == sorted([("s", "en", "words-1", 6, 16), ("t", None, "words-1", 2, 0),
+                                         (None, "de", "words-1", 2, 0)], key=str)
+    assert not r.commit("two", rollup.inserted(all_docs, "words-1"))
+    r.compact()
+    assert {n for _, _, _, n, _ in totals(r.totals())} == {6, 2}
+
+
+def test_corpus_rollup_by_hand_with_a_shuffle_join(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows = ROWS + [(None, "x y", "s", "en", 0)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = totals(rollup.corpus_rollup(docs(spark, rows), labels, scratch_path(spark, "rollup")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([("s", "en", "words-2", 2, 5), ("t", None, "words-2", 1, 0), (None, "de", "words-2", 1, 0)], key=str)
