@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import decontam, mil, oracles as sql, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet
+from sparkwright.llm import decontam, mil, oracles as sql, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet, whitening
 from sparkwright.llm.common import prepared, scratch_path
 
 
@@ -83,6 +83,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings, whitened to eight components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_quality": op8_attention_quality,
     "op9_url_filters": op9_url_filters,
     "op10_personal_data": op10_personal_data,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op4_token_rollups": sql.TOKEN_ROLLUPS,
