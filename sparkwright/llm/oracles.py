@@ -64,3 +64,10 @@ SELECT p.page_id, host, path, ruled.rule,
        coalesce(ruled.verdict, CASE WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed p LEFT JOIN ruled USING (page_id)
 """
+
+EXACT_DEDUP = r"""
+WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
+       sha256(t) AS text_sha256
+FROM norm WINDOW g AS (PARTITION BY t)
+"""

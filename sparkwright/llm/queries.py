@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import decontam, mil, oracles as sql, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet, whitening
+from sparkwright.llm import content_sort, decontam, mil, oracles as sql, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet, whitening
 from sparkwright.llm.common import prepared, scratch_path
 
 
@@ -88,6 +88,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts in all documents."""
+    return content_sort.exact_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -100,11 +105,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_personal_data": op10_personal_data,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_token_rollups": sql.TOKEN_ROLLUPS,
     "op7_decontamination": sql.DECONTAMINATION,
     "op9_url_filters": sql.URL_FILTERS,
+    "op13_exact_dedup": sql.EXACT_DEDUP,
 }
 
 
