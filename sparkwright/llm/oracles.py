@@ -71,3 +71,53 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(t) AS text_sha256
 FROM norm WINDOW g AS (PARTITION BY t)
 """
+
+# Damage (crc32 by its table), faults, then the cheapest edits per state, row by row.
+TURN_REPAIR = r"""
+WITH RECURSIVE
+crc AS (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(list_prepend(n, range(8)),
+                        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+        || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS d FROM conversations, crc),
+damaged AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'none') AS k, turn,
+    CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+faulty AS (SELECT *, CASE WHEN left(role, 1) = '' THEN ' ' ELSE left(role, 1) END AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+         WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'd'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM ordered),
+paired AS (SELECT *, lag(initial) OVER (PARTITION BY k ORDER BY i) || initial AS pair FROM faulty),
+counts AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM paired GROUP BY k),
+inserts(p, q, letters, price, lines) AS (VALUES (0, 0, '', 0, CAST([] AS VARCHAR[])), (1, 1, '', 0, []), (2, 2, '', 0, []),
+    (3, 3, '', 0, []), (0, 2, 'I', 5, ['user:']), (1, 2, 'I', 5, ['user:']), (2, 3, 'I', 5, ['assistant:']),
+    (3, 2, 'I', 5, ['user:']), (0, 3, 'II', 10, ['user:', 'assistant:']), (1, 3, 'II', 10, ['user:', 'assistant:'])),
+edits(p, q, letter, price, own) AS (VALUES (0, 0, 'D', 2, NULL), (1, 1, 'D', 2, NULL), (2, 2, 'D', 2, NULL), (3, 3, 'D', 2, NULL),
+    (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a'),
+    (0, 2, 'R', 1, NULL), (1, 2, 'R', 1, NULL), (3, 2, 'R', 1, NULL), (2, 3, 'R', 1, NULL)),
+best AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT) AS i, 0 AS state,
+         {'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])} AS b FROM damaged
+  UNION ALL
+  SELECT x.k, x.i + 1, e.q, min({'cost': x.b.cost + g.price + e.price + CASE WHEN e.letter <> 'D' AND r.fault = 't' THEN 5 ELSE 0 END,
+      'audit': x.b.audit || g.letters || e.letter,
+      'lines': list_concat(x.b.lines, list_concat(g.lines, CASE e.letter WHEN 'D' THEN CAST([] AS VARCHAR[])
+        WHEN 'K' THEN [r.role || ':' || r.text] ELSE [CASE e.q WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || r.text] END))})
+  FROM best x JOIN paired r ON r.k = x.k AND r.i = x.i + 1 JOIN inserts g ON g.p = x.state JOIN edits e ON e.p = g.q
+  WHERE e.letter = 'D' OR (r.fault NOT IN ('b', 'd') AND (e.letter = 'R' OR e.own = r.initial))
+  GROUP BY x.k, x.i, e.q),
+ended AS (SELECT k, min({'cost': b.cost + g.price, 'audit': b.audit || g.letters, 'lines': list_concat(b.lines, g.lines)}) AS b
+  FROM best JOIN (SELECT k, max(i) AS i FROM paired GROUP BY k) n USING (k, i) JOIN inserts g ON g.p = state
+  WHERE g.q IN (0, 3) GROUP BY k)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.b.cost, 0) AS BIGINT) AS cost,
+       coalesce(e.b.audit, '') AS audit, sha256(coalesce(array_to_string(e.b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'none') AS k FROM conversations) a
+LEFT JOIN counts USING (k) LEFT JOIN ended e USING (k)
+"""

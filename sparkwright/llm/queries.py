@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm import content_sort, decontam, mil, oracles as sql, packing, pii, quality_rules, rollup, simhash, suffix_dedup, urls, wavelet, whitening
+from sparkwright.llm import content_sort, decontam, mil, oracles as sql, packing, pii, quality_rules, rollup, simhash, suffix_dedup, turn_repair, urls, wavelet, whitening
 from sparkwright.llm.common import prepared, scratch_path
 
 
@@ -83,6 +83,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after the contract's damage."""
+    return turn_repair.report(turn_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable embeddings, whitened to eight components."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_quality": op8_attention_quality,
     "op9_url_filters": op9_url_filters,
     "op10_personal_data": op10_personal_data,
+    "op11_turn_repair": op11_turn_repair,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -111,6 +117,7 @@ ORACLES: dict[str, str] = {
     "op4_token_rollups": sql.TOKEN_ROLLUPS,
     "op7_decontamination": sql.DECONTAMINATION,
     "op9_url_filters": sql.URL_FILTERS,
+    "op11_turn_repair": sql.TURN_REPAIR,
     "op13_exact_dedup": sql.EXACT_DEDUP,
 }
 
