@@ -8,10 +8,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkwright.session import cut_lineage
+
 # pandas-style dtype names reported by the profile (fixed values).
 _PANDAS_DTYPE = {
     T.LongType: "int64",
@@ -30,6 +32,10 @@ _PANDAS_DTYPE = {
 
 APPROX_ACCURACY = 1_000_000
 
+# Types whose 64-bit hash is one-to-one (values of at most eight bytes).
+_FIXED = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType,
+          T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def pandas_dtype(dt: T.DataType) -> str:
     for cls, name in _PANDAS_DTYPE.items():
@@ -93,9 +99,8 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 # ``percentile`` merges a value -> count map in one task.  It is used while the
 # optimizer's estimate of the input stays below this; beyond, the same exact
-# values come from ``rank_values``.
-ONE_TASK_BYTES = 512 * 1024 ** 2
-BRACKET_ROWS = 200_000       # values of a rank's bracket that are sorted at once
+# values come from ``ranked``.
+ONE_TASK_BYTES = 64 * 1024 ** 2
 
 
 def quantiles(df: DataFrame, c: Column, probs: Sequence[float], exact: bool | None = None) -> Column:
@@ -104,11 +109,18 @@ def quantiles(df: DataFrame, c: Column, probs: Sequence[float], exact: bool | No
     Exact at any size; ``exact=False`` is the caller's choice of approximate
     ones (which do not interpolate).
     """
+    return quantile_set(df, [(c, probs)], exact)[0]
+
+
+def quantile_set(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]],
+                 exact: bool | None = None) -> list[Column]:
+    """``quantiles`` of several columns; beyond one task's size they share one pass."""
+    arrays = [F.array(*[F.lit(float(p)) for p in probs]) for _, probs in wanted]
     if exact is False:
-        return F.percentile_approx(c.cast("double"), F.array(*[F.lit(float(p)) for p in probs]), APPROX_ACCURACY)
+        return [F.percentile_approx(c.cast("double"), a, APPROX_ACCURACY) for (c, _), a in zip(wanted, arrays)]
     if _estimated_bytes(df) <= ONE_TASK_BYTES:
-        return F.percentile(c.cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-    return F.array(*[F.lit(v).cast("double") for v in interpolated(df, c, probs)])
+        return [F.percentile(c.cast("double"), a) for (c, _), a in zip(wanted, arrays)]
+    return [F.array(*[F.lit(v).cast("double") for v in values]) for values in ranked(df, wanted)]
 
 
 def _estimated_bytes(df: DataFrame) -> int:
@@ -116,57 +128,78 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def interpolated(df: DataFrame, c: Column, probs: Sequence[float]) -> list[float | None]:
-    """Linear-interpolated quantiles by rank selection (null without values)."""
-    values = df.select(c.cast("double").alias("v")).where("v IS NOT NULL")
-    n = values.count()
-    if not n:
-        return [None] * len(probs)
-    places = [float(p) * (n - 1) for p in probs]
-    found = rank_values(values, n, sorted({int(f(x)) for x in places for f in (math.floor, math.ceil)}))
-    out = []
-    for x in places:
-        lo, hi = found[math.floor(x)], found[math.ceil(x)]
-        out.append(lo + (x - math.floor(x)) * (hi - lo))
-    return out
+def ranked(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]]) -> list[list[float | None]]:
+    """Linear-interpolated quantiles of several columns by rank selection (null without values).
 
-
-def rank_values(values: DataFrame, n: int, ranks: Sequence[int]) -> dict[int, float]:
-    """The values of column ``v`` (``n`` of them, no nulls) at these 0-based ranks.
-
-    Every rank keeps a bracket of values around it.  Approximate percentiles
-    inside the bracket shrink it, counts say how many values lie below and
-    inside, and a bracket that would lose its rank is not taken.  What is left
-    is sorted, or is a single repeated value.
+    Values become a distributed (column, value, count) table, combined in the map
+    tasks, so ties of any size are one row.  It is cut into ranges; the ranges'
+    totals, one row each, are cumulated and say which range holds a rank, and only
+    there are the counts of single values cumulated.  The driver gets the asked
+    values, at most two per quantile.
     """
-    v = F.col("v")
-    lo, hi = values.agg(F.min(v), F.max(v)).first()
-    state = {k: (lo, hi, 0, n) for k in ranks}   # smallest, largest, values below, values inside
-    while True:
-        open_ = [k for k, (a, b, _, m) in state.items() if a < b and m > BRACKET_ROWS]
-        if not open_:
-            break
-        inside = {k: v.between(state[k][0], state[k][1]) for k in open_}
-        guess = values.agg(*[F.percentile_approx(F.when(inside[k], v), F.array(*[
-            F.lit(min(1.0, max(0.0, (k - state[k][2]) / state[k][3] + d))) for d in (-0.005, 0.005)]), 10_000)
-            .alias(f"g{i}") for i, k in enumerate(open_)]).first()
-        counts = values.agg(*[x for i, k in enumerate(open_) for x in (
-            F.count_if(v < guess[i][0]).alias(f"b{i}"), F.count_if(v.between(*guess[i])).alias(f"m{i}"))]).first()
-        shrunk = False
-        for i, k in enumerate(open_):
-            below, m = counts[f"b{i}"], counts[f"m{i}"]
-            if below <= k < below + m and m < state[k][3]:
-                state[k] = (*guess[i], below, m)
-                shrunk = True
-        if not shrunk:
-            break
-    out = {k: a for k, (a, b, _, _) in state.items() if a == b}
-    rest = [k for k in ranks if k not in out]
-    if rest:
-        got = values.agg(*[F.sort_array(F.collect_list(F.when(v.between(*state[k][:2]), v)))[k - state[k][2]]
-                           .alias(f"r{i}") for i, k in enumerate(rest)]).first()
-        out |= dict(zip(rest, got))
-    return out
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v"))
+                                          for i, (c, _) in enumerate(wanted)]))).where("v IS NOT NULL")
+    placed = cut_lineage(values.groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("i", "v")
+                         .withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("i")
+    blocks = placed.groupBy("i", "part").agg(F.sum("c").alias("total")).select(
+        "i", "part", "total", F.sum("total").over(own).alias("n"),
+        (F.sum("total").over(own.orderBy("part")) - F.col("total")).alias("before"))
+    probs = F.array(*[F.array(*[F.lit(float(p)) for p in probs]) for _, probs in wanted])
+    place = F.col("p") * (F.col("n") - 1)
+    asked = blocks.withColumn("p", F.explode(F.element_at(probs, F.col("i") + 1))) \
+        .withColumn("k", F.explode(F.array(F.floor(place), F.ceil(place)))) \
+        .where("before <= k AND k < before + total").select("i", "part", "n", "k", "before").distinct()
+    inside = Window.partitionBy("i", "part", "k").orderBy("v")
+    found = placed.join(F.broadcast(asked), ["i", "part"]) \
+        .withColumn("upto", F.col("before") + F.sum("c").over(inside)) \
+        .where("upto > k AND upto - c <= k").select("i", "n", "k", "v").collect()
+    at = {(r["i"], r["k"]): r["v"] for r in found}
+    rows = {r["i"]: r["n"] for r in found}
+
+    def value(i: int, p: float) -> float | None:
+        if i not in rows:
+            return None
+        x = float(p) * (rows[i] - 1)
+        lo, hi = at[i, math.floor(x)], at[i, math.ceil(x)]
+        return lo + (x - math.floor(x)) * (hi - lo)
+    return [[value(i, p) for p in probs] for i, (_, probs) in enumerate(wanted)]
+
+
+# --------------------------------------------------------------------- distinct values
+def value_tallies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, tally)``: one row per distinct non-null value of each column, and how often it occurs.
+
+    Each row gives one narrow (column number, key) pair per column, counted in the map
+    tasks before the shuffle; the row itself is not repeated.  The key of a fixed-width
+    value is its 64-bit hash, which is one-to-one on such values; texts and other types
+    are their own keys.
+    """
+    fixed, others = [], []
+    for i, c in enumerate(columns):
+        kind = df.schema[c].dataType
+        if isinstance(kind, _FIXED) or (isinstance(kind, T.DecimalType) and kind.precision <= 18):
+            fixed.append(F.struct(F.lit(i).alias("i"), F.when(q(c).isNotNull(), F.xxhash64(q(c))).alias("key")))
+        else:
+            text = q(c) if is_text(kind) else F.hex(q(c)) if isinstance(kind, T.BinaryType) else \
+                F.to_json(F.struct(q(c).alias("v"))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) \
+                else q(c).cast("string")
+            others.append(F.struct(F.lit(i).alias("i"), F.when(q(c).isNotNull(), text).alias("key")))
+    out = None
+    for pairs in (fixed, others):
+        if pairs:
+            one = df.select(F.inline(F.array(*pairs))).where("key IS NOT NULL").groupBy("i", "key") \
+                .agg(F.count(F.lit(1)).alias("tally")).select("i", "tally")
+            out = one if out is None else out.unionByName(one)
+    names = F.array(*[F.lit(c) for c in columns])
+    return out.select(F.element_at(names, F.col("i") + 1).alias("column_name"), "tally")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, n_unique)`` for every column (0 without values)."""
+    found = value_tallies(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(found, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("n_unique"))
 
 
 def unpivot_row(df: DataFrame, names: Sequence[str], fields: dict[str, Sequence[str]],

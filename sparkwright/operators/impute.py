@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import numeric_columns, q, quantiles
+from sparkwright.functions.columns import numeric_columns, q, quantile_set
 from sparkwright.operators import ordered
 from sparkwright.operators.profile import mode_frame
 
@@ -50,7 +50,8 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> dict:
 def column_medians(df: DataFrame, columns: Sequence[str], exact: bool | None = None) -> dict:
     if not columns:
         return {}
-    r = df.agg(*[quantiles(df, q(c), [0.5], exact)[0].alias(f"__m{i}") for i, c in enumerate(columns)]).first()
+    found = quantile_set(df, [(q(c), [0.5]) for c in columns], exact)
+    r = df.agg(*[m[0].alias(f"__m{i}") for i, m in enumerate(found)]).first()
     return {c: r[f"__m{i}"] for i, c in enumerate(columns)}
 
 

@@ -9,14 +9,17 @@ task; row totals are joined back as a broadcast one-row frame.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import (attach_one_row, numeric_columns,
-                                           pandas_dtype, q, quantiles, text_columns,
-                                           unpivot_row)
+from sparkwright.functions.columns import (attach_one_row, distinct_counts, numeric_columns,
+                                           pandas_dtype, q, quantile_set, text_columns,
+                                           unpivot_row, value_tallies)
+from sparkwright.session import ship_package
 
 
 def _names(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -132,7 +135,8 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, k: float
                    exact: bool | None = None) -> DataFrame:
     """One row per numeric column: Q1, Q3 (linear interpolation) and fences."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    agg = df.agg(*[quantiles(df, q(c), [0.25, 0.75], exact).alias(f"__p{i}") for i, c in enumerate(names)])
+    found = quantile_set(df, [(q(c), [0.25, 0.75]) for c in names], exact)
+    agg = df.agg(*[p.alias(f"__p{i}") for i, p in enumerate(found)])
     long = unpivot_row(agg, names, {"qs": [f"__p{i}" for i in range(len(names))]})
     return long.select(
         "column_name", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("q3")) \
@@ -174,11 +178,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool |
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column."""
     names = list(columns) if columns is not None else numeric_columns(df)
     aggs = []
+    found = quantile_set(df, [(q(c), [0.25, 0.5, 0.75]) for c in names], exact)
     for i, c in enumerate(names):
         x = q(c).cast("double")
         aggs += [F.count(x).alias(f"__c{i}"), F.avg(x).alias(f"__a{i}"),
-                 F.stddev_samp(x).alias(f"__s{i}"), F.min(x).alias(f"__mn{i}"),
-                 quantiles(df, x, [0.25, 0.5, 0.75], exact).alias(f"__p{i}"),
+                 F.stddev_samp(x).alias(f"__s{i}"), F.min(x).alias(f"__mn{i}"), found[i].alias(f"__p{i}"),
                  F.max(x).alias(f"__mx{i}")]
     r = range(len(names))
     long = unpivot_row(df.agg(*aggs), names, {
@@ -196,9 +200,8 @@ def nunique(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
     """Distinct non-null values per column (exact, or HyperLogLog++ at scale)."""
     names = _names(df, columns)
     if exact:
-        aggs = [F.count_distinct(q(c)).alias(f"__u{i}") for i, c in enumerate(names)]
-    else:
-        aggs = [F.approx_count_distinct(q(c), rsd).alias(f"__u{i}") for i, c in enumerate(names)]
+        return distinct_counts(df, names)
+    aggs = [F.approx_count_distinct(q(c), rsd).alias(f"__u{i}") for i, c in enumerate(names)]
     return unpivot_row(df.agg(*aggs), names, {"n_unique": [f"__u{i}" for i in range(len(names))]})
 
 
@@ -272,16 +275,13 @@ def rare_category_count(df: DataFrame, columns: Sequence[str] | None = None,
                         threshold: float = 0.05) -> DataFrame:
     """Per text column: number of categories whose non-null share is < threshold."""
     names = list(columns) if columns is not None else text_columns(df)
-    parts = []
-    for c in names:
-        f = value_freq(df, c)
-        parts.append(f.agg(F.count_if(F.col("freq") < threshold).alias("n_rare"),
-                           F.count(F.lit(1)).alias("n_categories"))
-                     .select(F.lit(c).alias("column_name"), "n_rare", "n_categories"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    tallies = value_tallies(df, names)
+    totals = tallies.groupBy("column_name").agg(F.sum("tally").alias("total"))   # one row per column
+    found = tallies.join(F.broadcast(totals), "column_name").groupBy("column_name").agg(
+        F.count_if(F.col("tally") / F.col("total") < threshold).alias("n_rare"), F.count(F.lit(1)).alias("n_categories"))
+    frame = df.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+    return frame.join(found, "column_name", "left").select(
+        "column_name", F.coalesce("n_rare", F.lit(0)).alias("n_rare"), F.coalesce("n_categories", F.lit(0)).alias("n_categories"))
 
 
 # --------------------------------------------------------------------- D16
@@ -306,33 +306,52 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 # --------------------------------------------------------------------- D17
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation (pairwise complete) for every pair below the diagonal."""
+    """Pearson correlation (pairwise complete, NaN counts as missing) for every pair below the diagonal.
+
+    Each task folds its rows into four products of columns by columns: counts, sums, squares and
+    cross-products of the centred values over the rows where both are there.  Null without spread.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
-    pairs = [(names[i], names[j]) for i in range(len(names)) for j in range(i)]
-    if not pairs:
+    c = len(names)
+    if c < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    aggs = [F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"__r{k}")
-            for k, (a, b) in enumerate(pairs)]
-    agg = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"__r{k}").alias("corr"))
-               for k, (a, b) in enumerate(pairs)]
-    return agg.select(F.inline(F.array(*structs)))
+    ship_package(df.sparkSession)
+    values = df.select(*[q(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    first = values.agg(*[F.avg(F.when(~F.isnan(x), F.col(x))).alias(x) for x in values.columns]).first()
+    centre = np.array([0.0 if v is None else v for v in first])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, c, c))
+        for batch in batches:
+            x = np.column_stack([np.asarray(v.to_numpy(zero_copy_only=False), dtype=float) for v in batch.columns]) - centre
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(total.size)), "v": pa.array(total.ravel())})
+
+    sums = values.mapInArrow(fold, "at long, v double").groupBy("at").agg(F.sum("v").alias("v"))
+    total = np.zeros(4 * c * c)
+    for at, v in sums.collect():                    # 4 x columns^2 numbers
+        total[at] = v
+    n, s, ss, sp = total.reshape(4, c, c)
+    rows = []
+    for i in range(c):
+        for j in range(i):
+            k = n[i, j]
+            spread = (k * ss[i, j] - s[i, j] ** 2) * (k * ss[j, i] - s[j, i] ** 2)
+            rows.append((names[i], names[j], float((k * sp[i, j] - s[i, j] * s[j, i]) / np.sqrt(spread)) if spread > 0 else None))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 # --------------------------------------------------------------------- B14/D24
 def column_info(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: dtype, non-null count, null count, distinct count, missing %."""
     names = list(df.columns)
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(names):
-        aggs += [F.count(q(c)).alias(f"__nn{i}"),
-                 (F.count_distinct(q(c)) if exact else F.approx_count_distinct(q(c))).alias(f"__u{i}")]
-    r = range(len(names))
-    long = unpivot_row(df.agg(*aggs), names, {
-        "non_null": [f"__nn{i}" for i in r], "n_unique": [f"__u{i}" for i in r],
-        "n_rows": ["__n"] * len(names)})
+    aggs = [F.count(F.lit(1)).alias("__n")] + [F.count(q(c)).alias(f"__nn{i}") for i, c in enumerate(names)]
+    long = unpivot_row(df.agg(*aggs), names, {"non_null": [f"__nn{i}" for i in range(len(names))],
+                                              "n_rows": ["__n"] * len(names)})
     types = column_types(df).select("column_name", "dtype")
-    return long.join(F.broadcast(types), "column_name").select(
+    return long.join(nunique(df, names, exact), "column_name").join(F.broadcast(types), "column_name").select(
         "column_name", "dtype", "non_null",
         (F.col("n_rows") - F.col("non_null")).alias("null_count"), "n_unique",
         F.try_divide((F.col("n_rows") - F.col("non_null")) * 100.0, F.col("n_rows")).alias("missing_pct"))

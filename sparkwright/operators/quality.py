@@ -115,12 +115,12 @@ def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
     txt = text_columns(df)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(names):
-        aggs += [F.count_if(q(c).isNull()).alias(f"__m{i}"), F.count_distinct(q(c)).alias(f"__u{i}")]
+        aggs.append(F.count_if(q(c).isNull()).alias(f"__m{i}"))
         aggs.append((P.skew_expr(q(c)) if c in num else F.lit(None).cast("double")).alias(f"__k{i}"))
     r = range(len(names))
     base = unpivot_row(df.agg(*aggs), names, {
-        "missing": [f"__m{i}" for i in r], "n_unique": [f"__u{i}" for i in r],
-        "skew": [f"__k{i}" for i in r], "n_rows": ["__n"] * len(names)})
+        "missing": [f"__m{i}" for i in r], "skew": [f"__k{i}" for i in r], "n_rows": ["__n"] * len(names)}) \
+        .join(P.nunique(df, names), "column_name")
     if num:
         outl = P.outlier_stats(df, num, exact=exact, only_outliers=False).select("column_name", "n_outliers")
     else:

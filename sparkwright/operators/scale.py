@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.functions.columns import numeric_columns, q, quantiles
+from sparkwright.functions.columns import numeric_columns, q, quantile_set
 from sparkwright.functions.columns import attach_one_row
 
 
@@ -35,6 +35,7 @@ def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
     """One-row frame of fitted statistics ``__a{i}``/``__b{i}`` (centre, scale)."""
     rows = _fit_rows(df, fit_where)
     aggs = []
+    found = quantile_set(rows, [(q(c), [0.25, 0.5, 0.75]) for c in columns], exact) if method == "robust" else []
     for i, c in enumerate(columns):
         x = q(c).cast("double")
         if method == "standard":
@@ -44,7 +45,7 @@ def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
             rng = F.max(x) - F.min(x)
             aggs += [F.min(x).alias(f"__a{i}"), F.when(rng == 0, 1.0).otherwise(rng).alias(f"__b{i}")]
         elif method == "robust":
-            qs = quantiles(rows, x, [0.25, 0.5, 0.75], exact)
+            qs = found[i]
             iqr = qs[2] - qs[0]
             aggs += [qs[1].alias(f"__a{i}"), F.when(iqr == 0, 1.0).otherwise(iqr).alias(f"__b{i}")]
         elif method == "maxabs":
@@ -147,8 +148,7 @@ def yeo_johnson(df: DataFrame, columns: Sequence[str], lambdas: dict | None = No
 def iqr_bounds_frame(df: DataFrame, columns: Sequence[str], k: float = 1.5,
                      exact: bool | None = None) -> DataFrame:
     aggs = []
-    for i, c in enumerate(columns):
-        qs = quantiles(df, q(c), [0.25, 0.75], exact)
+    for i, qs in enumerate(quantile_set(df, [(q(c), [0.25, 0.75]) for c in columns], exact)):
         iqr = qs[1] - qs[0]
         aggs += [(qs[0] - F.lit(k) * iqr).alias(f"__lo{i}"), (qs[1] + F.lit(k) * iqr).alias(f"__hi{i}")]
     return df.agg(*aggs)
@@ -180,8 +180,7 @@ def winsorize(df: DataFrame, columns: Sequence[str], lower: float = 0.05, upper:
               exact: bool | None = None) -> DataFrame:
     """Clip to the given percentiles."""
     aggs = []
-    for i, c in enumerate(columns):
-        qs = quantiles(df, q(c), [lower, upper], exact)
+    for i, qs in enumerate(quantile_set(df, [(q(c), [lower, upper]) for c in columns], exact)):
         aggs += [qs[0].alias(f"__lo{i}"), qs[1].alias(f"__hi{i}")]
     b = df.agg(*aggs)
     exprs = {}

@@ -32,7 +32,6 @@ def test_rank_selection_equals_percentile(spark, monkeypatch, name):
     df = frames(spark)[name]
     small = df.agg(C.quantiles(df, F.col("x"), PROBS).alias("q")).first()["q"]
     monkeypatch.setattr(C, "ONE_TASK_BYTES", -1)
-    monkeypatch.setattr(C, "BRACKET_ROWS", 50)
     large = df.agg(C.quantiles(df, F.col("x"), PROBS).alias("q")).first()["q"]
     if small is None or small[0] is None:
         assert large == [None] * len(PROBS)
@@ -40,6 +39,34 @@ def test_rank_selection_equals_percentile(spark, monkeypatch, name):
         assert np.allclose(small, large, rtol=1e-12)
 
 
+def test_ranks_between_ties_leave_the_values_in_the_tasks(spark, monkeypatch):
+    """A 0/1 column whose median lies on the boundary, next to an untied one: only asked values are collected."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    df = spark.range(20_000).selectExpr("cast(id < 10000 AS double) AS bit", "cast(id AS double) AS own", "cast(NULL AS double) AS none") \
+        .repartition(6)
+    seen = []
+    collect = Classic.collect
+    monkeypatch.setattr(Classic, "collect", lambda self: seen.append(rows := collect(self)) or rows)
+    got = C.ranked(df, [(F.col("bit"), [0.25, 0.5, 0.75]), (F.col("own"), [0.5, 0.999]), (F.col("none"), [0.5])])
+    assert got == [[0.0, 0.5, 1.0], [9999.5, pytest.approx(19979.001)], [None]]
+    assert sum(map(len, seen)) <= 2 * 5
+    assert "collect_list" not in open(C.__file__).read()
+
+
+def test_distinct_counts_of_every_type(spark):
+    df = spark.createDataFrame(
+        [(1, 1.0, "a", True, b"x", [1], None), (1, -0.0, "a", None, b"y", [1], None), (None, 0.0, "", False, None, [2], None),
+         (2, float("nan"), "A", True, b"x", None, None), (3, float("nan"), None, True, b"", [], None)],
+        "i int, d double, s string, b boolean, y binary, a array<int>, n date")
+    df = df.withColumns({"m": F.col("i").cast("decimal(30,2)"), "t": F.lit("2020-01-01").cast("timestamp_ntz")})
+    got = {r["column_name"]: r["n_unique"] for r in C.distinct_counts(df, df.columns).collect()}
+    want = df.select(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    assert got == want
+    plan = C.distinct_counts(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    assert C.distinct_counts(df.limit(0), ["i", "s"]).collect() == [("i", 0), ("s", 0)]
+
+
 def test_describe_is_the_same_on_either_path(spark, monkeypatch):
     df = frames(spark)["skewed"]
     small = describe(df).collect()
