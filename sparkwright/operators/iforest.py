@@ -15,11 +15,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml import Estimator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sparkwright.operators.boosting import features_udf
+from sparkwright.operators.storage import StoredModel
+from sparkwright.session import ship_package
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -70,6 +73,7 @@ class IsolationForestSpark(Estimator):
         self.n_trees, self.max_samples, self.seed = n_trees, max_samples, seed
 
     def _fit(self, df: DataFrame) -> "IsolationForestModel":
+        ship_package(df.sparkSession)
         # one scheme at any size: a tree's candidates are a hashed share of the rows of about four times
         # its sample (all rows of a small table); hashing row numbers keeps repeated points apart
         x = df.select(vector_to_array("features").alias("x")) \
@@ -93,7 +97,7 @@ class IsolationForestSpark(Estimator):
         return IsolationForestModel(nodes, psi)
 
 
-class IsolationForestModel(Model):
+class IsolationForestModel(StoredModel):
     def __init__(self, nodes: pd.DataFrame, psi: int):
         super().__init__()
         self.psi = psi
@@ -103,31 +107,31 @@ class IsolationForestModel(Model):
                                                          "leaf", "depth")})
         self.trees = trees
 
+    def _state(self) -> dict:
+        return {"psi": self.psi, "trees": [{k: v.tolist() for k, v in t.items()} for t in self.trees]}
+
+    @classmethod
+    def _rebuilt(cls, state: dict, tables: dict) -> "IsolationForestModel":
+        rows = [pd.DataFrame(t).assign(tree=i, node=range(len(t["leaf"]))) for i, t in enumerate(state["trees"])]
+        return cls(pd.concat(rows, ignore_index=True), state["psi"])
+
+    def _scores(self, x: np.ndarray) -> np.ndarray:
+        """One anomaly score per row (as a column)."""
+        total = np.zeros(len(x))
+        for t in self.trees:
+            node = np.zeros(len(x), dtype=int)
+            active = ~t["leaf"][node]
+            while active.any():
+                f = t["feature"][node[active]]
+                go_left = x[active, f] < t["threshold"][node[active]]
+                node[active] = np.where(go_left, t["left"][node[active]], t["right"][node[active]])
+                active = ~t["leaf"][node]
+            total += t["depth"][node] + c_factor(t["size"][node])
+        norm = float(c_factor([self.psi])[0])
+        return np.power(2.0, -(total / max(len(self.trees), 1)) / norm)[:, None]
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        trees, norm = self.trees, float(c_factor([self.psi])[0])
-        cols = dataset.columns
-        # the vector column travels as an array through Arrow and is rebuilt after
-        base = dataset.withColumn("__x", vector_to_array("features")).drop("features")
-        schema = T.StructType(base.schema.fields + [T.StructField("anomaly_score", T.DoubleType()),
-                                                    T.StructField("prediction", T.DoubleType())])
-
-        def score(it):
-            for pdf in it:
-                X = np.array(pdf["__x"].tolist(), dtype=float) if len(pdf) else np.zeros((0, 1))
-                total = np.zeros(len(pdf))
-                for t in trees:
-                    node = np.zeros(len(pdf), dtype=int)
-                    active = ~t["leaf"][node]
-                    while active.any():
-                        f = t["feature"][node[active]]
-                        go_left = X[active, f] < t["threshold"][node[active]]
-                        node[active] = np.where(go_left, t["left"][node[active]], t["right"][node[active]])
-                        active = ~t["leaf"][node]
-                    total += t["depth"][node] + c_factor(t["size"][node])
-                s = np.power(2.0, -(total / max(len(trees), 1)) / norm)
-                pdf = pdf.copy()
-                pdf["anomaly_score"] = s
-                pdf["prediction"] = np.where(s > 0.5, -1.0, 1.0)
-                yield pdf
-        out = base.mapInPandas(score, schema).withColumn("features", array_to_vector("__x"))
-        return out.select(*[c for c in cols if c != "prediction"], "anomaly_score", "prediction")
+        ship_package(dataset.sparkSession)
+        cols = [c for c in dataset.columns if c not in ("prediction", "anomaly_score")]
+        out = dataset.select(*cols, features_udf(self._scores, F.col("features"))[0].alias("anomaly_score"))
+        return out.withColumn("prediction", F.when(F.col("anomaly_score") > 0.5, -1.0).otherwise(1.0))

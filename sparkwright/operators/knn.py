@@ -23,13 +23,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import numeric_columns, q
 from sparkwright.operators import ordered
+from sparkwright.operators.storage import StoredModel
 from sparkwright.session import cut_lineage
 from sparkwright.functions.columns import attach_one_row
 
@@ -242,11 +243,21 @@ class KNeighbors(Estimator):
         return KNeighborsModel(pts, direction.tolist(), self.k, self.slab_rows, n_classes)
 
 
-class KNeighborsModel(Model):
+class KNeighborsModel(StoredModel):
     def __init__(self, points: DataFrame, direction: list, k: int, m: int, n_classes: int):
         super().__init__()
         self.points, self.direction, self.k, self.m, self.n_classes = points, direction, k, m, n_classes
 
+    def _state(self) -> dict:
+        return {"direction": self.direction, "k": self.k, "m": self.m, "n_classes": self.n_classes}
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"points": self.points}
+
+    @classmethod
+    def _rebuilt(cls, state: dict, tables: dict) -> "KNeighborsModel":
+        return cls(tables["points"], **state)
+
     def _u(self, arr: Column) -> Column:
         w = F.array(*[F.lit(float(v)) for v in self.direction])
         return F.aggregate(F.zip_with(arr, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

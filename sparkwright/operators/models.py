@@ -3,8 +3,8 @@
 Every learner is an MLlib ``Estimator`` over ``(features: vector, label:
 double)``.  Stock MLlib stages are used where they exist; the rest are
 small Estimators whose fitting is DataFrame aggregation (class moments,
-weighted errors) with only fixed-size results on the driver (d x d
-matrices, per-round scalars, 100 trees of 256 rows).
+histograms of binned features) with only fixed-size results on the driver
+(d x d matrices, one row per tree node, 100 trees of 256 rows).
 """
 
 from __future__ import annotations
@@ -13,22 +13,24 @@ import json
 import math
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import Binarizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkwright.functions.columns import q
-from sparkwright.session import cut_lineage
+from sparkwright.operators.boosting import AdaBoostSAMME, Rule, TreeBoosting, features_udf, soft, with_classes
+from sparkwright.operators.storage import StoredModel, load_model, saved_models
+from sparkwright.session import checkpoint_dir, ship_package
 
 SEED = 42
 
@@ -49,68 +51,28 @@ def n_classes(df: DataFrame, label: str = "label") -> int:
 
 
 # ===================================================================== custom learners
-class _Fitted(Model):
-    """Model whose transform is a pure column expression over the features."""
+class NumpyClassifier(StoredModel):
+    """Class scores from a numpy function of the features; its state is a few small arrays."""
 
-    def __init__(self, state: dict, scorer: Callable[[DataFrame, dict], DataFrame]):
+    probabilities = True
+
+    def __init__(self, state: dict):
         super().__init__()
         self.state = state
-        self._scorer = scorer
+
+    def _scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        raise NotImplementedError
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self._scorer(dataset, self.state)
-
-    def save_state(self, path: str) -> None:
-        with open(path, "w") as fh:
-            json.dump(self.state, fh)
-
-
-def _feature_array(df: DataFrame) -> DataFrame:
-    return df.withColumn("__x", vector_to_array(F.col("features")))
-
-
-def _argmax_prediction(df: DataFrame, scores: list, probs: bool = True) -> DataFrame:
-    arr = F.array(*scores)
-    mx = F.array_max(arr)
-    pred = F.array_position(arr, mx) - 1
-    out = df.withColumn("__s", arr).withColumn("prediction", pred.cast("double"))
-    if probs:
-        ex = F.transform(F.col("__s"), lambda s: F.exp(s - F.array_max(F.col("__s"))))
-        tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-        out = out.withColumn("probability", array_to_vector(F.transform(ex, lambda e: e / tot)))
-    return out.withColumn("rawPrediction", array_to_vector(F.col("__s"))).drop("__s", "__x")
-
-
-def _score_numpy(df: DataFrame, score_fn, probs: bool = True) -> DataFrame:
-    """Class scores from a numpy function of the feature matrix, evaluated per
-    Arrow batch (``mapInPandas``); parameters are small (d x d per class) and
-    travel in the closure.  Adds prediction, rawPrediction and probability."""
-    cols = [c for c in df.columns if c not in ("prediction", "rawPrediction", "probability")]
-    base = df.select(*cols).withColumn("__x", vector_to_array(F.col("features"))).drop("features")
-    fields = base.schema.fields + [T.StructField("prediction", T.DoubleType()),
-                                   T.StructField("__raw", T.ArrayType(T.DoubleType()))]
-    if probs:
-        fields.append(T.StructField("__prob", T.ArrayType(T.DoubleType())))
-    schema = T.StructType(fields)
-
-    def run(it):
-        import pandas as pd  # noqa: F401
-        for pdf in it:
-            X = np.array(pdf["__x"].tolist(), dtype=float) if len(pdf) else np.zeros((0, 1))
-            S = score_fn(X) if len(pdf) else np.zeros((0, 1))
-            pdf = pdf.copy()
-            pdf["prediction"] = S.argmax(axis=1).astype(float) if len(pdf) else []
-            pdf["__raw"] = list(S)
-            if probs:
-                E = np.exp(S - S.max(axis=1, keepdims=True)) if len(pdf) else S
-                pdf["__prob"] = list(E / E.sum(axis=1, keepdims=True)) if len(pdf) else []
-            yield pdf
-    out = base.mapInPandas(run, schema).withColumn("features", array_to_vector("__x")) \
-        .withColumn("rawPrediction", array_to_vector("__raw"))
-    extra = ["probability"] if probs else []
-    if probs:
-        out = out.withColumn("probability", array_to_vector("__prob"))
-    return out.select(*cols, "prediction", "rawPrediction", *extra)
+        ship_package(dataset.sparkSession)
+        return with_classes(dataset, features_udf(self._scorer(), F.col("features")), soft() if self.probabilities else None)
+
+    def _state(self) -> dict:
+        return self.state
+
+    @classmethod
+    def _rebuilt(cls, state: dict, tables: dict) -> "NumpyClassifier":
+        return cls(state)
 
 
 def _class_moments(df: DataFrame, d: int, full: bool = True) -> dict:
@@ -193,14 +155,15 @@ class LinearDiscriminant(Estimator):
             mu = mom[c]["mean"] - centre
             w = inv @ mu
             coefs.append({"w": w.tolist(), "b": float(-0.5 * mu @ w + math.log(mom[c]["n"] / n))})
-        return _Fitted({"coefs": coefs, "centre": centre.tolist()}, _score_linear)
+        return LinearDiscriminantModel({"coefs": coefs, "centre": centre.tolist()})
 
 
-def _score_linear(df: DataFrame, st: dict) -> DataFrame:
-    W = np.array([c["w"] for c in st["coefs"]], dtype=float)
-    b = np.array([c["b"] for c in st["coefs"]], dtype=float)
-    centre = np.array(st["centre"], dtype=float)
-    return _score_numpy(df, lambda X: (X - centre) @ W.T + b)
+class LinearDiscriminantModel(NumpyClassifier):
+    def _scorer(self):
+        W = np.array([c["w"] for c in self.state["coefs"]], dtype=float)
+        b = np.array([c["b"] for c in self.state["coefs"]], dtype=float)
+        centre = np.array(self.state["centre"], dtype=float)
+        return lambda X: (X - centre) @ W.T + b
 
 
 class QuadraticDiscriminant(Estimator):
@@ -225,21 +188,22 @@ class QuadraticDiscriminant(Estimator):
             sign, logdet = np.linalg.slogdet(cov)
             parts.append({"mu": m["mean"].tolist(), "inv": np.linalg.pinv(cov).tolist(),
                           "c": float(-0.5 * (logdet if sign > 0 else 0.0) + math.log(m["n"] / n))})
-        return _Fitted({"parts": parts}, _score_quadratic)
+        return QuadraticDiscriminantModel({"parts": parts})
 
 
-def _score_quadratic(df: DataFrame, st: dict) -> DataFrame:
-    parts = [None if p is None else (np.array(p["mu"]), np.array(p["inv"]), p["c"]) for p in st["parts"]]
+class QuadraticDiscriminantModel(NumpyClassifier):
+    def _scorer(self):
+        parts = [None if p is None else (np.array(p["mu"]), np.array(p["inv"]), p["c"]) for p in self.state["parts"]]
 
-    def fn(X):
-        out = np.full((X.shape[0], len(parts)), -1e300)
-        for k, p in enumerate(parts):
-            if p is None:
-                continue
-            D = X - p[0]
-            out[:, k] = p[2] - 0.5 * np.einsum("ij,jk,ik->i", D, p[1], D)
-        return out
-    return _score_numpy(df, fn)
+        def fn(X):
+            out = np.full((X.shape[0], len(parts)), -1e300)
+            for k, p in enumerate(parts):
+                if p is None:
+                    continue
+                D = X - p[0]
+                out[:, k] = p[2] - 0.5 * np.einsum("ij,jk,ik->i", D, p[1], D)
+            return out
+        return fn
 
 
 class RidgeClassifierSpark(Estimator):
@@ -260,84 +224,18 @@ class RidgeClassifierSpark(Estimator):
                                   elasticNetParam=0.0, standardization=False, solver="normal")
             m = lr.fit(t)
             models.append({"w": m.coefficients.toArray().tolist(), "b": float(m.intercept)})
-        return _Fitted({"models": models, "binary": k <= 2}, _score_ridge)
-
-
-def _score_ridge(df: DataFrame, st: dict) -> DataFrame:
-    W = np.array([m["w"] for m in st["models"]], dtype=float)
-    b = np.array([m["b"] for m in st["models"]], dtype=float)
-    if st["binary"]:
-        return _score_numpy(df, lambda X: np.column_stack([-(X @ W[0] + b[0]), X @ W[0] + b[0]]), probs=False)
-    return _score_numpy(df, lambda X: X @ W.T + b, probs=False)
-
-
-class AdaBoostSAMME(Estimator):
-    """SAMME boosting of depth-1 trees: weights live in a column, each round
-    is one tree fit plus one weighted-error aggregate; lineage is cut every
-    few rounds with a reliable checkpoint."""
+        return RidgeClassifierModel({"models": models, "binary": k <= 2})
 
-    def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, max_depth: int = 1,
-                 checkpoint_every: int = 5):
-        super().__init__()
-        self.n_estimators, self.learning_rate = n_estimators, learning_rate
-        self.max_depth, self.checkpoint_every = max_depth, checkpoint_every
 
-    def _fit(self, df: DataFrame):
-        k = max(n_classes(df), 2)
-        n = df.count()
-        cur = df.select("features", "label").withColumn("__w", F.lit(1.0 / n))
-        stumps, alphas = [], []
-        for m in range(self.n_estimators):
-            tree = DecisionTreeClassifier(maxDepth=self.max_depth, weightCol="__w", seed=SEED + m).fit(cur)
-            pred = tree.transform(cur).select("features", "label", "__w",
-                                             (F.col("prediction") != F.col("label")).alias("__miss"))
-            err_row = pred.agg((F.sum(F.when(F.col("__miss"), F.col("__w")).otherwise(0.0)) /
-                                F.sum("__w")).alias("e")).first()
-            err = float(err_row["e"] or 0.0)
-            if err <= 0:
-                stumps.append(tree)
-                alphas.append(1.0)
-                break
-            if err >= 1 - 1.0 / k:
-                if not stumps:
-                    stumps.append(tree)
-                    alphas.append(1.0)
-                break
-            alpha = self.learning_rate * (math.log((1 - err) / err) + math.log(k - 1))
-            stumps.append(tree)
-            alphas.append(alpha)
-            cur = pred.select("features", "label",
-                              (F.col("__w") * F.when(F.col("__miss"), math.exp(alpha)).otherwise(1.0)).alias("__w"))
-            tot = cur.agg(F.sum("__w")).first()[0]
-            cur = cur.withColumn("__w", F.col("__w") / F.lit(tot))
-            if (m + 1) % self.checkpoint_every == 0:
-                cur = cut_lineage(cur)
-        return AdaBoostModel(stumps, alphas, k)
-
-
-class AdaBoostModel(Model):
-    def __init__(self, stumps, alphas, k):
-        super().__init__()
-        self.stumps, self.alphas, self.k = stumps, alphas, k
+class RidgeClassifierModel(NumpyClassifier):
+    probabilities = False
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        cols = dataset.columns
-        out = dataset.withColumn("__score", F.array_repeat(F.lit(0.0), self.k))
-        for i, (t, a) in enumerate(zip(self.stumps, self.alphas)):
-            t = t.copy({t.predictionCol: f"__p{i}", t.rawPredictionCol: f"__r{i}",
-                        t.probabilityCol: f"__q{i}"})
-            out = t.transform(out)
-            out = out.withColumn("__score", F.transform(
-                F.col("__score"), lambda s, j: s + F.when(F.col(f"__p{i}") == j, F.lit(a)).otherwise(0.0)))
-            out = out.drop(f"__p{i}", f"__r{i}", f"__q{i}")
-        mx = F.array_max(F.col("__score"))
-        tot = F.aggregate(F.col("__score"), F.lit(0.0), lambda acc, x: acc + x)
-        prob = F.transform(F.col("__score"), lambda s: F.exp((s - mx) / F.lit(max(self.k - 1, 1))))
-        ptot = F.aggregate(prob, F.lit(0.0), lambda acc, x: acc + x)
-        del tot
-        return out.select(*cols, (F.array_position(F.col("__score"), mx) - 1).cast("double").alias("prediction"),
-                          array_to_vector(F.transform(prob, lambda p: p / ptot)).alias("probability"),
-                          array_to_vector(F.col("__score")).alias("rawPrediction"))
+    def _scorer(self):
+        W = np.array([m["w"] for m in self.state["models"]], dtype=float)
+        b = np.array([m["b"] for m in self.state["models"]], dtype=float)
+        if self.state["binary"]:
+            return lambda X: np.column_stack([-(X @ W[0] + b[0]), X @ W[0] + b[0]])
+        return lambda X: X @ W.T + b
 
 
 # ===================================================================== registry
@@ -360,17 +258,24 @@ def _dt(p, ctx):
                                   minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=SEED)
 
 
-def _gbt(defaults):
+def _boosted(rule: Rule, regression: bool = False):
+    """Boosted trees with a learner's own defaults; its parameters change rounds, depth, rate and sampling."""
     def build(p, ctx):
-        g = GBTClassifier(maxIter=int(p.get("n_estimators", defaults["n_estimators"])),
-                          maxDepth=int(p.get("max_depth", defaults["max_depth"])),
-                          stepSize=float(p.get("learning_rate", defaults["learning_rate"])),
-                          subsamplingRate=float(p.get("subsample", 1.0)),
-                          featureSubsetStrategy=str(p.get("colsample", "all")), seed=SEED)
-        return g if ctx["k"] <= 2 else OneVsRest(classifier=g, parallelism=4)
+        own = replace(rule, depth=int(p.get("max_depth", rule.depth)), rate=float(p.get("learning_rate", rule.rate)),
+                      l2=float(p.get("reg_lambda", rule.l2)), leaves=int(p.get("num_leaves", rule.leaves)))
+        return TreeBoosting(int(p.get("n_estimators", 100)), own, float(p.get("subsample", 1.0)),
+                            float(p.get("colsample", 1.0)), regression)
     return build
 
 
+# Growth of the boosted learners, after the libraries of these names: plain gradients; regularised Newton steps;
+# the best nodes first up to a number of leaves; one split for a whole level.
+PLAIN = Rule(depth=3, rate=0.1, newton=False)
+NEWTON = Rule(depth=6, rate=0.3, l2=1.0, min_hessian=1.0)
+BEST_LEAVES = Rule(growth="leaves", depth=6, leaves=31, rate=0.1, min_rows=20, min_hessian=1e-3)
+OBLIVIOUS = Rule(growth="oblivious", depth=6, rate=0.1, l2=3.0)
+
+
 def _logreg(p, ctx):
     C = float(p.get("C", 1.0))
     penalty = p.get("penalty", "l2")
@@ -417,17 +322,13 @@ def _iforest(p, ctx):
 LEARNERS = [
     Learner("Random Forest", "Tree-based", _rf, True, "RandomForestClassifier"),
     Learner("Decision Tree", "Tree-based", _dt, True, "DecisionTreeClassifier"),
-    Learner("Gradient Boosting", "Boosting",
-            _gbt({"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1}), False, "GBTClassifier"),
+    Learner("Gradient Boosting", "Boosting", _boosted(PLAIN), True, "TreeBoosting"),
     Learner("AdaBoost", "Boosting", lambda p, ctx: AdaBoostSAMME(int(p.get("n_estimators", 50)),
                                                                  float(p.get("learning_rate", 1.0))),
             True, "AdaBoostSAMME"),
-    Learner("XGBoost", "Boosting", _gbt({"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3}),
-            False, "GBTClassifier"),
-    Learner("LightGBM", "Boosting", _gbt({"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1}),
-            False, "GBTClassifier"),
-    Learner("CatBoost", "Boosting", _gbt({"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1}),
-            False, "GBTClassifier"),
+    Learner("XGBoost", "Boosting", _boosted(NEWTON), True, "TreeBoosting"),
+    Learner("LightGBM", "Boosting", _boosted(BEST_LEAVES), True, "TreeBoosting"),
+    Learner("CatBoost", "Boosting", _boosted(OBLIVIOUS), True, "TreeBoosting"),
     Learner("Logistic Regression", "Linear", _logreg, True, "LogisticRegression"),
     Learner("Ridge Classifier", "Linear", lambda p, ctx: RidgeClassifierSpark(float(p.get("alpha", 1.0))),
             False, "RidgeClassifierSpark"),
@@ -452,6 +353,37 @@ LEARNERS = [
 REGISTRY = {lr.name: lr for lr in LEARNERS}
 
 
+# ===================================================================== regressors
+def _linear_regression(p, ctx):
+    return LinearRegression(regParam=float(p.get("alpha", 0.0)) / max(ctx["n"], 1), elasticNetParam=0.0,
+                            standardization=False, solver="normal" if ctx["d"] <= 4096 else "l-bfgs")
+
+
+def _tree_regression(p, ctx):
+    return DecisionTreeRegressor(maxDepth=int(p.get("max_depth", 10)),
+                                 minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=SEED)
+
+
+def _forest_regression(p, ctx):
+    return RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 10)),
+                                 minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=SEED)
+
+
+REGRESSORS = [
+    Learner("Linear Regression", "Linear", _linear_regression, False, "LinearRegression"),
+    Learner("Decision Tree Regressor", "Tree-based", _tree_regression, False, "DecisionTreeRegressor"),
+    Learner("Random Forest Regressor", "Tree-based", _forest_regression, False, "RandomForestRegressor"),
+    Learner("Gradient Boosting Regressor", "Boosting", _boosted(PLAIN, True), False, "TreeBoosting"),
+    Learner("XGBoost Regressor", "Boosting", _boosted(NEWTON, True), False, "TreeBoosting"),
+]
+REGRESSOR_NAMES = {lr.name for lr in REGRESSORS}
+REGISTRY |= {lr.name: lr for lr in REGRESSORS}
+
+
+def list_regressors() -> list[str]:
+    return [lr.name for lr in REGRESSORS]
+
+
 def list_models() -> list[str]:
     return [lr.name for lr in LEARNERS]
 
@@ -476,19 +408,23 @@ def model_info(name: str) -> dict:
 
 def get_learner(name: str) -> Learner:
     if name not in REGISTRY:
-        raise ValueError(f"Model '{name}' not found. Available models: {list_models()}")
+        raise ValueError(f"there is no learner called {name!r}; known are {sorted(REGISTRY)}")
     return REGISTRY[name]
 
 
+# Learners suggested below each number of rows (fixed values; None: any number).
+SUGGESTED = [
+    ("small", 1000, ["Random Forest", "Gaussian Naive Bayes", "K-Nearest Neighbors"]),
+    ("medium", 10000, ["Random Forest", "XGBoost", "Support Vector Machine", "Logistic Regression"]),
+    ("large", None, ["XGBoost", "LightGBM", "Random Forest", "Multi-layer Perceptron"]),
+]
+
+
 def recommendations(task_type: str, dataset_size: int) -> list[str]:
     """Learners suggested by data size; classification only."""
     if task_type.lower() != "classification":
         return []
-    if dataset_size < 1000:
-        return ["Random Forest", "Gaussian Naive Bayes", "K-Nearest Neighbors"]
-    if dataset_size < 10000:
-        return ["Random Forest", "XGBoost", "Support Vector Machine", "Logistic Regression"]
-    return ["XGBoost", "LightGBM", "Random Forest", "Multi-layer Perceptron"]
+    return next(list(names) for _, below, names in SUGGESTED if below is None or dataset_size < below)
 
 
 def recommendations_frame(df: DataFrame, task_type: str) -> DataFrame:
@@ -500,17 +436,23 @@ def recommendations_frame(df: DataFrame, task_type: str) -> DataFrame:
 
 # ===================================================================== manager
 class ModelManager:
-    """Train by name, keep fitted models and a history table, save/load."""
+    """Train by name, keep fitted models and a history table, save and load.
+
+    Models without a path of their own are saved below ``folder``, which is in the
+    shared checkpoint folder unless another one is named.
+    """
 
-    def __init__(self, spark):
+    def __init__(self, spark, folder: str | None = None):
         self.spark = spark
+        self.folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/saved-models"
         self.trained: dict[str, object] = {}
         self.history: list[tuple] = []
 
     def train(self, name: str, train_df: DataFrame, params: dict | None = None):
         learner = get_learner(name)
         n = train_df.count()
-        ctx = {"n": max(n, 1), "k": n_classes(train_df), "d": _dims(train_df)}
+        k = 1 if name in REGRESSOR_NAMES else n_classes(train_df)
+        ctx = {"n": max(n, 1), "k": k, "d": _dims(train_df)}
         est = learner.build(dict(params or {}), ctx)
         model = est.fit(train_df)
         self.trained[name] = model
@@ -519,7 +461,7 @@ class ModelManager:
 
     def get(self, name: str):
         if name not in self.trained:
-            raise ValueError(f"Model '{name}' has not been trained yet")
+            raise ValueError(f"{name!r} is not fitted here")
         return self.trained[name]
 
     def history_frame(self) -> DataFrame:
@@ -551,17 +493,24 @@ class ModelManager:
         rows = [(i, *results[n]) for i, n in enumerate(names)]
         return self.spark.createDataFrame(rows, "position int, model string, status string, error string, seconds double")
 
-    def save(self, name: str, path: str) -> str:
-        m = self.get(name)
-        if hasattr(m, "write"):
-            m.write().overwrite().save(path)
-        else:
-            raise ValueError(f"{name}: model has no MLlib writer")
+    def save(self, name: str, path: str | None = None) -> str:
+        """Write a fitted model and return its path, by default the learner's name and the time below ``folder``."""
+        model = self.get(name)
+        if path is None:
+            path = f"{self.folder}/{name.replace(' ', '_')}_{time.strftime('%Y%m%d_%H%M%S')}"
+        model.write().overwrite().save(path)
         return path
 
-    @staticmethod
-    def load(path: str):
-        return PipelineModel.load(path)
+    def load(self, path: str, name: str | None = None):
+        """Read a model of any kind; it counts as fitted here if it gets a name."""
+        model = load_model(self.spark, path)
+        if name:
+            self.trained[name] = model
+        return model
+
+    def saved(self) -> list[str]:
+        """Names of the models below ``folder``."""
+        return saved_models(self.spark, self.folder)
 
 
 # ===================================================================== predictions
@@ -589,12 +538,19 @@ def feature_importances(model, feature_names: Sequence[str], top: int = 10) -> D
 
 
 def cross_validate(name: str, df: DataFrame, id_cols: Sequence[str], k: int | None = None,
-                   params: dict | None = None, scoring: str = "accuracy", stratified: bool = True,
+                   params: dict | None = None, scoring: str | None = None, stratified: bool | None = None,
                    order_by: Sequence[str] | None = None) -> DataFrame:
-    """k-fold scores (fit on k-1 folds, score the held-out one), their mean and
-    population std.  k defaults to min(5, n // 2); nothing for n <= 10."""
+    """k-fold scores (fit on k-1 folds, score the held-out one): ``fold, score``.
+
+    Classifiers are scored by accuracy over stratified folds, regressors by R2 over
+    contiguous ones (``stratified`` and ``scoring`` override).  k defaults to
+    min(5, n // 2); nothing for n <= 10.  Any frame can be given, a test set too.
+    """
     from sparkwright.operators import evaluate as EV
     from sparkwright.operators.split import cv_folds, cv_folds_plain, default_folds
+    regression = name in REGRESSOR_NAMES
+    scoring = scoring or ("r2" if regression else "accuracy")
+    stratified = not regression if stratified is None else stratified
     n = df.count()
     k = k or default_folds(n)
     spark = df.sparkSession
@@ -604,20 +560,22 @@ def cross_validate(name: str, df: DataFrame, id_cols: Sequence[str], k: int | No
     folded = folded.persist()
     mgr = ModelManager(spark)
     rows = []
-    for f in range(k):
-        tr = folded.where(F.col("fold") != f)
-        te = folded.where(F.col("fold") == f)
-        m = mgr.train(name, tr, params)
-        pred = predict(m, te)
-        if scoring == "accuracy":
-            s = EV.classification_metrics(pred).first()["accuracy"]
-        else:
-            s = EV.regression_metrics(pred).first()["r2_score"]
-        rows.append((f, float(s)))
-    folded.unpersist()
+    try:
+        for f in range(k):
+            pred = predict(mgr.train(name, folded.where(F.col("fold") != f), params), folded.where(F.col("fold") == f))
+            if scoring == "accuracy":
+                s = EV.classification_metrics(pred).first()["accuracy"]
+            else:
+                s = EV.regression_metrics(pred).first()["r2_score"]
+            rows.append((f, float(s)))
+    finally:
+        folded.unpersist()
     return spark.createDataFrame(rows, "fold int, score double")
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
+    """Mean and population deviation of the folds' scores, their number and the scores themselves in fold order."""
     return scores.agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"),
-                      F.count(F.lit(1)).alias("n_folds"))
+                      F.count(F.lit(1)).alias("n_folds"),
+                      F.transform(F.sort_array(F.collect_list(F.struct("fold", "score"))), lambda r: r["score"])
+                      .alias("cv_scores"))

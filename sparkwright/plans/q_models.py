@@ -62,11 +62,8 @@ for _learner in M.LEARNERS:
 
 _RECO_SQL = (
     "WITH n AS (SELECT count(*) AS dataset_size FROM lineitem), "
-    "lists AS (SELECT * FROM (VALUES ('small', 0, 'Random Forest'), ('small', 1, 'Gaussian Naive Bayes'), "
-    "('small', 2, 'K-Nearest Neighbors'), ('medium', 0, 'Random Forest'), ('medium', 1, 'XGBoost'), "
-    "('medium', 2, 'Support Vector Machine'), ('medium', 3, 'Logistic Regression'), ('large', 0, 'XGBoost'), "
-    "('large', 1, 'LightGBM'), ('large', 2, 'Random Forest'), ('large', 3, 'Multi-layer Perceptron')) "
-    "AS t(size_class, rank, model)) "
+    "lists(size_class, rank, model) AS (VALUES " + ", ".join(
+        f"('{size}', {i}, '{name}')" for size, _, names in M.SUGGESTED for i, name in enumerate(names)) + ") "
     "SELECT CAST(rank AS INTEGER) AS rank, model, dataset_size FROM lists, n WHERE size_class = "
     "CASE WHEN dataset_size < 1000 THEN 'small' WHEN dataset_size < 10000 THEN 'medium' ELSE 'large' END")
 
@@ -96,6 +93,68 @@ def q_cv_summary(spark, d):
     return M.cv_summary(scores)
 
 
+# ------------------------------------------------------------------ regression
+_PER_ORDER = ("(SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS x, CAST(sum(l_extendedprice) AS DOUBLE) AS label "
+              "FROM lineitem GROUP BY l_orderkey)")
+
+
+def order_frame(spark, d):
+    """Price and quantity of every order: ``l_orderkey, features`` (the quantity) and ``label`` (the price)."""
+    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_quantity").cast("double").alias("x"), F.sum("l_extendedprice").cast("double").alias("label"))
+    return per.select("l_orderkey", array_to_vector(F.array("x")).alias("features"), "label")
+
+
+_R2 = "1 - sum((label - (b + m * x)) * (label - (b + m * x))) / nullif(var_pop(label) * count(*), 0)"
+_FOLD_SQL = (f"WITH r AS (SELECT *, CAST(ntile(5) OVER (ORDER BY l_orderkey) - 1 AS INTEGER) AS fold FROM {_PER_ORDER}), "
+             "fits AS (SELECT f.fold, regr_slope(label, x) AS m, regr_intercept(label, x) AS b "
+             "FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold <> f.fold GROUP BY f.fold), "
+             f"scores AS (SELECT r.fold, {_R2} AS score FROM r JOIN fits USING (fold) GROUP BY r.fold) ")
+
+
+@register("cv_scores_r2", _FOLD_SQL + "SELECT fold, round(score, 6) AS score FROM scores")
+def q_cv_scores_r2(spark, d):
+    """R2 of a linear regression on each of five contiguous folds of all orders."""
+    return round_doubles(M.cross_validate("Linear Regression", order_frame(spark, d), ["l_orderkey"], k=5))
+
+
+@register("cv_summary_r2", _FOLD_SQL + "SELECT round(avg(score), 6) AS cv_mean, round(stddev_pop(score), 6) AS cv_std, "
+          "count(*) AS n_folds FROM scores")
+def q_cv_summary_r2(spark, d):
+    """Mean and deviation of the folds' R2."""
+    scores = M.cross_validate("Linear Regression", order_frame(spark, d), ["l_orderkey"], k=5)
+    return round_doubles(M.cv_summary(scores).drop("cv_scores"))
+
+
+_SPLIT_SQL = (f"(SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR)))) "
+              f"<= ceil(CAST(count(*) OVER () AS DOUBLE) * 0.2) THEN 'test' ELSE 'train' END AS split FROM {_PER_ORDER})")
+
+
+@register("fit_linear_regression",
+          f"WITH r AS {_SPLIT_SQL}, fit AS (SELECT regr_slope(label, x) AS m, regr_intercept(label, x) AS b FROM r "
+          "WHERE split = 'train'), e AS (SELECT label, b + m * x AS p FROM r, fit WHERE split = 'test') "
+          "SELECT 'Linear Regression' AS model, count(*) AS n_test, "
+          "round(1 - sum((label - p) * (label - p)) / (var_pop(label) * count(*)), 6) AS r2_score, "
+          "round(sqrt(avg((label - p) * (label - p))), 4) AS rmse, round(avg(abs(label - p)), 4) AS mae FROM e")
+def q_fit_linear_regression(spark, d):
+    """Linear regression fitted on the train orders, scored on the others."""
+    return regress_and_score(spark, d, "Linear Regression")
+
+
+def regress_and_score(spark, d, name: str):
+    """Fit a regressor on the train orders and score the test ones."""
+    data = SP.split_random(order_frame(spark, d), ["l_orderkey"], 0.2).persist()
+    model = M.ModelManager(spark).train(name, data.where("split = 'train'").drop("split"))
+    pred = M.predict(model, data.where("split = 'test'"))
+    metrics = EV.regression_metrics(pred).select("r2_score", "rmse", "mae")
+    out = attach_one_row(metrics, pred.agg(F.count(F.lit(1)).alias("n_test"))).select(F.lit(name).alias("model"), "*")
+    return round_doubles(out, per_column={"rmse": 4, "mae": 4})
+
+
+for _learner in M.REGRESSORS[1:]:
+    register(_key(_learner.name))(lambda spark, d, _n=_learner.name: regress_and_score(spark, d, _n))
+
+
 @register("gnb_moments", "SELECT label, count(*) AS n, " + ", ".join(
     f"round(avg(embedding[{i + 1}]), 6) AS mean_{i}, round(var_pop(embedding[{i + 1}]), 6) AS var_{i}"
     for i in range(64)) + " FROM embeddings GROUP BY label")
