@@ -8,11 +8,10 @@ across blocks with a window over the *summary* (at most one row per block
 for a hot key), and the carry is joined back.  Exact, and it holds when one
 key owns a third of all rows.
 
-Block ids are a pure function of the row: cut points are sampled once,
-brought to the driver (bounded: ~20 per block) and embedded as literals, so
-every use of the frame - and every recomputation after an executor loss -
-assigns the same block.  (A range shuffle's bounds are re-sampled per
-execution and may differ between two branches of one plan.)
+Blocks are Spark's own range partitions, cut once: a range shuffle samples its
+bounds anew per execution, so the rows are checkpointed with their block number,
+and every later use, and every recomputation after an executor loss, sees the same
+blocks.  Their number follows the number of rows.
 """
 
 from __future__ import annotations
@@ -21,17 +20,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkwright.functions.columns import q
+from sparkwright.session import cut_lineage
 
-SAMPLES_PER_BLOCK = 20
-SAMPLE_SEED = 17
+BLOCK_ROWS = 200_000        # rows of a block in a large table
+LEAST_ROWS = 5_000          # no smaller blocks in a small one
+MOST_BLOCKS = 100_000       # larger blocks beyond (their windows sort externally)
+CUT_CHARS = 256             # characters of a text that bounds hold
 
 
 def _n_blocks(df: DataFrame, n_blocks: int | None) -> int:
     if n_blocks:
         return n_blocks
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = df.count()
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(max(-(-n // BLOCK_ROWS), min(cores, -(-n // LEAST_ROWS)), 1), MOST_BLOCKS)
 
 
 def _group_key(keys) -> Column:
@@ -39,41 +44,40 @@ def _group_key(keys) -> Column:
     return F.to_json(F.struct(*keys)) if keys else F.lit("")
 
 
+def _cut_keys(df: DataFrame, sort_exprs: Sequence[Column]) -> list[Column]:
+    """What bounds are made of: the sort expressions up to the first text, of which they hold the beginning.
+
+    A text's beginning keeps its order, but nothing after it would, so rows that agree so far share a block.
+    """
+    kinds = [f.dataType for f in df.select(*[e.alias(f"f{i}") for i, e in enumerate(sort_exprs)]).schema.fields]
+    out = []
+    for e, kind in zip(sort_exprs, kinds):
+        if isinstance(kind, T.StringType):
+            return [*out, F.substring(e, 1, CUT_CHARS)]
+        if not isinstance(kind, T.AtomicType):
+            return [*out, e]
+        out.append(e)
+    return out
+
+
 def assign_blocks(df: DataFrame, sort_exprs: Sequence[Column], n_blocks: int,
                   name: str = "__blk") -> DataFrame:
-    """Add ``name``: the index of the contiguous range of ``sort_exprs`` order
+    """Add ``name``: the number of the contiguous range of ``sort_exprs`` order
     the row falls in (about ``n/n_blocks`` rows per block)."""
-    key = F.struct(*[e.alias(f"f{i}") for i, e in enumerate(sort_exprs)])
-    keyed = df.withColumn("__sk", key)
-    n = df.count()
-    if n == 0 or n_blocks <= 1:
-        return keyed.withColumn(name, F.lit(0)).drop("__sk")
-    frac = min(1.0, SAMPLES_PER_BLOCK * n_blocks / n)
-    sample = keyed.select("__sk").sample(fraction=frac, seed=SAMPLE_SEED).orderBy("__sk")
-    rows = [r["__sk"] for r in sample.collect()]
-    step = max(1, len(rows) // n_blocks)
-    cuts = []
-    for r in rows[step::step]:
-        if not cuts or r != cuts[-1]:
-            cuts.append(r)
-    ftypes = [f.dataType for f in keyed.schema["__sk"].dataType.fields]
-
-    def lit(row):
-        return F.struct(*[F.lit(v).cast(t).alias(f"f{i}") for i, (v, t) in enumerate(zip(row, ftypes))])
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("__sk") < lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return keyed.withColumn(name, tree(0, len(cuts))).drop("__sk")
+    if n_blocks <= 1:
+        return df.withColumn(name, F.lit(0))
+    keys = _cut_keys(df, sort_exprs)
+    keyed = df.select("*", *[k.alias(f"__cut{i}") for i, k in enumerate(keys)])
+    cuts = [f"__cut{i}" for i in range(len(keys))]
+    return cut_lineage(keyed.repartitionByRange(n_blocks, *cuts).drop(*cuts).withColumn(name, F.spark_partition_id()))
 
 
 def _blocked(df: DataFrame, order_by, partition_by, n_blocks):
     keys = [q(k) if isinstance(k, str) else k for k in partition_by]
     order = [q(o) if isinstance(o, str) else o for o in order_by]
     g = df.withColumn("__gk", _group_key(keys))
-    b = assign_blocks(g, [F.col("__gk"), *order], _n_blocks(df, n_blocks))
+    # groups need to be contiguous only, so bounds hold a hash of the key; windows go by the key itself
+    b = assign_blocks(g, [*([F.xxhash64("__gk")] if keys else []), *order], _n_blocks(df, n_blocks))
     return b, order
 
 

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from sparkwright.operators import ordered, split as SP
 
@@ -94,3 +95,26 @@ def test_plain_folds_sizes(spark):
     sizes = out.groupby("fold").size().sort_index().tolist()
     assert sizes == [5, 5, 5, 4, 4]
     assert np.all(np.diff(out.sort_values("rid")["fold"].values) >= 0)
+
+
+def test_blocks_follow_the_rows_and_plans_do_not(spark, monkeypatch):
+    """More rows give more blocks; the plan that assigns them stays the same size however many there are."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 1000)
+    counts, sizes = [], []
+    for n in (2_000, 20_000, 200_000):
+        blocks = ordered._n_blocks(spark.range(n), None)
+        out = ordered.assign_blocks(spark.range(n).withColumn("s", F.hash("id")), [F.col("s"), F.col("id")], blocks)
+        counts.append(out.select("__blk").distinct().count())
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
+    assert counts[0] < counts[1] < counts[2] and counts[2] >= 150 and max(sizes) < 2 * min(sizes)
+
+
+def test_bounds_of_long_texts_and_equal_beginnings(spark):
+    """Texts that agree in their first characters share a block; positions are right all the same."""
+    head = "x" * (ordered.CUT_CHARS + 3)
+    rows = [(head + str(i % 50), i) for i in range(900)] + [(None, -i) for i in range(300)] + [("a" * (i % 40), 1000 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "t string, i long").repartition(4)
+    got = {r["i"]: r["__pos"] for r in ordered.row_position(df, ["t", "i"], n_blocks=9).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert got == {i: p for p, (_, i) in enumerate(want)}
+    assert ordered._cut_keys(df, [F.col("t"), F.col("i")]).__len__() == 1
