@@ -1,41 +1,50 @@
-"""Exact k-nearest-neighbour search without an all-pairs join.
-
-Pruning bound: for a 1-D key ``u`` with ``|u(a) - u(b)| <= dist(a, b)`` (a
-projection onto a unit vector, or one coordinate of a NaN-aware distance), a
-point outside the slabs searched around a query is farther than the gap to
-the searched range.  Points are ranked along ``u`` and cut into slabs of
-``slab_rows`` points (blockwise ranks, no single-task sort); each round joins
-every unresolved query to the slabs within radius R of its own (an
-equi-join on slab id), keeps its k best candidates, and accepts the answer
-only when the k-th distance is *strictly* below the gap on both sides; the
-rest go to the next round with R four times larger, until nothing is left (at worst a
-query scans every slab: exact, never capped).
+"""Exact k-nearest-neighbour search by pivot cells.
+
+Points are dealt to the nearest of a bounded number of pivots and sorted by their
+distance to it; consecutive points are packed into cells of a bounded size, so a
+large cell is split into rings around its pivot.  A cell knows its pivot, the
+smallest and largest distance to it, and its bounding box.  No point of a cell is
+nearer to a query than the triangle inequality (distance to the ring) and the box
+allow; for the NaN-aware distance, which is no metric, the box alone counts, over
+the coordinates that both sides have.
+
+The search has two rounds at any size.  The first visits each query's most
+promising cells, which gives a k-th distance; the second visits exactly the other
+cells whose bound does not exceed it.  Queries travel in packed blocks, one per
+cell that any of them visits, and cells are joined to them by number: traffic is by
+block, never by pair.  Inside a block numpy finds candidates by a matrix product
+and takes the distances of those few again by differences, so ties are exact.
 
 Identical points are grouped first (count + one tie key), so a value that
 holds a third of all rows is one candidate, not a third of the table.  Ties
 in distance are broken by ``md5`` of the point's text, which SQL engines
-reproduce.
+reproduce.  On points without structure (independent coordinates in high dimension)
+no bound excludes a cell: every cell is then visited, which exactness demands.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import numeric_columns, q
-from sparkwright.operators import ordered
 from sparkwright.operators.storage import StoredModel
-from sparkwright.session import cut_lineage
-from sparkwright.functions.columns import attach_one_row
+from sparkwright.session import checkpoint_dir, cut_lineage, scratch_path, ship_package
 
-SLAB_ROWS = 256   # points per slab (one numpy block of the distance kernel)
-INF = float("inf")
+CELL_ROWS = 512            # points of a cell, until there are too many cells
+SUMMARY_BYTES = 16 << 20   # most bytes of all cells' boxes, which every task gets
+MOST_PIVOTS = 1024
+QUERY_ROWS = 512           # queries of a packed block
+SEED_CELLS = 2             # cells of the first round
+MIN_SAME = 32              # a change of the null pattern ends a cell of at least so many points
 
 
 def point_text(arr: Column) -> Column:
@@ -43,179 +52,271 @@ def point_text(arr: Column) -> Column:
     return F.array_join(F.transform(arr, lambda e: e.cast("string")), "|", "")
 
 
-_CAND_COLS = ["__qk", "__pid", "__d2", "__t", "__n"]
-_CAND_SCHEMA = "__qk string, __pid string, __d2 double, __t string, __n bigint"
-QUERY_BLOCK = 256   # queries per (slab, sub-block) group of the distance kernel
-
-
-def _block_d2(Q: np.ndarray, P: np.ndarray, p: int | None) -> np.ndarray:
-    """|Q| x |P| squared distances (plain, or NaN-aware scaled by p/present)."""
-    out = np.empty((Q.shape[0], P.shape[0]))
-    step = max(1, 4_000_000 // max(1, P.size))          # bound the 3-D temporary
-    for i in range(0, Q.shape[0], step):
-        diff = (Q[i:i + step, None, :] - P[None, :, :]) ** 2
-        if p is None:
-            out[i:i + step] = diff.sum(axis=2)
-        else:
-            present = ~np.isnan(diff)
-            cnt = present.sum(axis=2)
-            sq = np.where(present, diff, 0.0).sum(axis=2)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[i:i + step] = np.where(cnt > 0, float(p) / np.maximum(cnt, 1) * sq, np.nan)
+# ------------------------------------------------------------------ distances
+def exact_d2(a: np.ndarray, b: np.ndarray, p: int | None) -> np.ndarray:
+    """Squared distances of rows to rows, pair by pair (plain, or NaN-aware scaled by p/present)."""
+    diff = (a - b) ** 2
+    if p is None:
+        return diff.sum(axis=-1)
+    there = ~np.isnan(diff)
+    n = there.sum(axis=-1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(n > 0, float(p) / np.maximum(n, 1) * np.where(there, diff, 0.0).sum(axis=-1), np.nan)
+
+
+def about_d2(a: np.ndarray, b: np.ndarray, p: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all pairs by matrix products, and how far rounding may put them off; unusable pairs are infinite."""
+    ta, tb = ~np.isnan(a), ~np.isnan(b)
+    a0, b0 = np.where(ta, a, 0.0), np.where(tb, b, 0.0)
+    one, two = (a0 * a0) @ tb.T.astype(float), ta.astype(float) @ (b0 * b0).T
+    d2, off = np.maximum(one + two - 2.0 * (a0 @ b0.T), 0.0), (one + two) * 1e-12
+    if p is not None:
+        n = ta.astype(float) @ tb.T.astype(float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scale = np.where(n > 0, p / n, np.inf)
+        return np.where(n > 0, d2 * np.where(n > 0, scale, 0.0), np.inf), off * np.where(n > 0, scale, 0.0)
+    return d2, off
+
+
+def nearest(Q: np.ndarray, need: np.ndarray, P: np.ndarray, n: np.ndarray, tie: list, k: int, p: int | None,
+            limit: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query, point, squared distance) of each query's k nearest points by (distance, tie), counting ``n``.
+
+    A query with ``need`` >= 0 uses points that have this coordinate only; ``limit`` leaves out larger distances.
+    """
+    about, off = about_d2(Q, P, p)
+    usable = np.isfinite(about)
+    for c in np.unique(need[need >= 0]):
+        usable[np.ix_(need == c, np.isnan(P[:, c]))] = False
+    about = np.where(usable, about, np.inf)
+    at = min(k, P.shape[0]) - 1
+    bar = np.partition(about, at, axis=1)[:, at]
+    if limit is not None:
+        bar = np.minimum(bar, limit)
+    out = []
+    for i in range(len(Q)):
+        own = np.flatnonzero(usable[i] & (about[i] - off[i] <= bar[i] + off[i].max()))
+        if len(own):
+            d2 = exact_d2(Q[i], P[own], p)
+            order = sorted(range(len(own)), key=lambda j: (d2[j], tie[own[j]]))
+            got = 0
+            for j in order:
+                if got >= k or (limit is not None and d2[j] > limit[i]):
+                    break
+                out.append((i, int(own[j]), float(d2[j])))
+                got += int(n[own[j]])
     return out
 
 
-def _to_matrix(col: pd.Series) -> np.ndarray:
-    return np.array([[np.nan if v is None else v for v in r] for r in col], dtype=float)
-
-
-def _block_topk(k: int, p: int | None):
-    """cogroup kernel: for one (slab, query sub-block) the k best points of
-    the slab per query, by (distance, tie key), counting multiplicity."""
-    def fn(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qdf) == 0 or len(pdf) == 0:
-            return pd.DataFrame({c: [] for c in _CAND_COLS})
-        D = _block_d2(_to_matrix(qdf["__qx"]), _to_matrix(pdf["__px"]), p)
-        tie = pdf["__t"].to_numpy()
-        n = pdf["__n"].to_numpy(dtype=np.int64)
-        tie_rank = np.argsort(np.argsort(tie, kind="stable"), kind="stable")
-        rows_q, rows_p = [], []
-        for i in range(D.shape[0]):
-            d = D[i]
-            idx = np.nonzero(~np.isnan(d))[0]
-            if len(idx) == 0:
+# ------------------------------------------------------------------ cells
+CELL_SCHEMA = ("part int, seq int, pivot int, inner double, outer double, n long, same boolean, lo array<double>, "
+               "hi array<double>, points binary, counts array<long>, ties array<string>, carried array<double>")
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What every task knows of the cells: numbers, rings and boxes (at most ``SUMMARY_BYTES``)."""
+    p: int | None
+    pivots: np.ndarray
+    ids: list[tuple[int, int]]
+    owner: np.ndarray          # pivot of each cell
+    ring: np.ndarray           # inner and outer distance to the pivot
+    lo: np.ndarray
+    hi: np.ndarray
+    same: np.ndarray           # whether all points have the same coordinates
+
+    def least_d2(self, Q: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Smallest squared distance that any point of each cell can have to each query (infinite: no usable point).
+
+        Every entry is computed for itself, so it does not depend on the block that a query stands in.
+        """
+        out = np.empty((len(Q), len(self.ids)))
+        step = max(1, 4_000_000 // max(1, Q.size))
+        has = ~np.isnan(self.lo)
+        for a in range(0, len(self.ids), step):
+            lo, hi, there = self.lo[a:a + step], self.hi[a:a + step], has[a:a + step]
+            both = ~np.isnan(Q)[:, None, :] & there
+            gap = np.where(both, np.maximum(np.maximum(lo - Q[:, None, :], Q[:, None, :] - hi), 0.0), 0.0) ** 2
+            if self.p is None:
+                out[:, a:a + step] = gap.sum(axis=2)
                 continue
-            order = idx[np.lexsort((tie_rank[idx], d[idx]))]
-            cum = np.cumsum(n[order])
-            keep = order[(cum - n[order]) < k]
-            rows_q.extend([i] * len(keep))
-            rows_p.extend(keep.tolist())
-        rq = np.asarray(rows_q, dtype=np.int64)
-        rp = np.asarray(rows_p, dtype=np.int64)
-        return pd.DataFrame({"__qk": qdf["__qk"].to_numpy()[rq], "__pid": pdf["__pid"].to_numpy()[rp],
-                             "__d2": D[rq, rp].astype(float), "__t": tie[rp], "__n": n[rp]})
-    return fn
-
-
-def _slabs(points: DataFrame, key: Sequence[str], m: int) -> tuple[DataFrame, DataFrame]:
-    """Contiguous slab ids along (u, tie) per index key, and per-slab u bounds."""
-    pos = ordered.row_position(points, ["__u", "__t"], list(key), name="__p")
-    pts = pos.withColumn("__slab", F.floor(F.col("__p") / m).cast("long")).drop("__p")
-    bounds = pts.groupBy(*key, "__slab").agg(F.min("__u").alias("__lo"), F.max("__u").alias("__hi"))
-    nslab = bounds.groupBy(*key).agg((F.max("__slab") + 1).alias("__nslab"))
-    return pts, bounds.join(nslab, list(key)) if key else attach_one_row(bounds, nslab)
-
-
-def _query_slabs(queries: DataFrame, points: DataFrame, key: Sequence[str], m: int,
-                 nslab: DataFrame) -> DataFrame:
-    """Slab of each query entry: number of points with smaller u, over slab size."""
-    k = list(key)
-    pq = points.select(*k, "__u", F.lit(1).alias("__kind"), "__t", F.lit(1).alias("__is_pt"))
-    qq = queries.select(*k, "__u", F.lit(0).alias("__kind"), F.col("__qe").alias("__t"),
-                        F.lit(0).alias("__is_pt"))
-    both = pq.unionByName(qq)
-    cs = ordered.cumulative_sum(both, ["__is_pt"], ["__u", "__kind", "__t"], k)
-    qs = cs.where(F.col("__kind") == 0).select(*k, F.col("__t").alias("__qe"),
-                                              F.floor(F.col("cum___is_pt") / m).cast("long").alias("__s0"))
-    j = queries.join(qs, [*k, "__qe"])
-    j = j.join(nslab, k, "left") if k else attach_one_row(j, nslab)
-    return j.withColumn("__s", F.least(F.col("__s0"), F.greatest(F.col("__nslab") - 1, F.lit(0)))).drop("__s0")
-
-
-def _rank_keep(cand: DataFrame, k: int) -> DataFrame:
-    """Per query the k best (distance, tie) candidates, counting multiplicity."""
-    w = Window.partitionBy("__qk").orderBy("__d2", "__t")
-    c = cand.withColumn("__cum", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = c.where(F.col("__cum") - F.col("__n") < k)
-    return kept.withColumn("__take", F.least(F.col("__n"), F.lit(k) - (F.col("__cum") - F.col("__n"))))
-
-
-def _gaps(entries: DataFrame, bounds: DataFrame, key: Sequence[str], R: int) -> DataFrame:
-    """Per query entry: distance from u to the unsearched region on each side."""
-    k = list(key)
-    lo = bounds.select(*k, F.col("__slab").alias("__sl"), F.col("__lo").alias("__blo"))
-    hi = bounds.select(*k, F.col("__slab").alias("__sh"), F.col("__hi").alias("__bhi"))
-    e = entries.withColumn("__sl", F.col("__s") - R).withColumn("__sh", F.col("__s") + R)
-    e = e.join(lo, [*k, "__sl"], "left").join(hi, [*k, "__sh"], "left")
-    left = F.when(F.col("__sl") <= 0, F.lit(INF)).otherwise(F.col("__u") - F.col("__blo"))
-    right = F.when(F.col("__sh") >= F.col("__nslab") - 1, F.lit(INF)).otherwise(F.col("__bhi") - F.col("__u"))
-    return e.select("__qk", F.least(left, right).alias("__gap"),
-                    ((F.col("__sl") <= 0) & (F.col("__sh") >= F.col("__nslab") - 1)).alias("__full"))
-
-
-def search(queries: DataFrame, entries: DataFrame, points: DataFrame, index_points: DataFrame,
-           key: Sequence[str], k: int, nan_scale: int | None = None, m: int = SLAB_ROWS) -> DataFrame:
-    """Rounds of slab search.
-
-    queries: ``__qk, __qx`` (one row per distinct query point)
-    entries: ``__qk, *key, __u, __qe`` (one per query and index it can use)
-    points:  ``__pid, __px, __n, __t, ...payload`` (grouped candidate points)
-    index_points: ``__pid, *key, __u, __t`` (one per point and index)
-    nan_scale: None for plain squared Euclidean; p for the NaN-aware distance
-    Returns ``__qk, __pid, __d2, __take`` for the k nearest of every query.
-
-    Each round searches only the new ring of slabs (R_prev < |t - s| <= R).
-    Distances are computed per block: the pending queries needing slab t are
-    cut into hash sub-blocks of about QUERY_BLOCK queries (counted per slab,
-    so a slab wanted by a third of all queries is split over many tasks),
-    each sub-block is cogrouped with the slab's points and numpy returns only
-    each query's k best of that slab.  Vectors travel once per (query, slab)
-    and (point, sub-block), never once per pair.
+            n = both.sum(axis=2)
+            some = np.where(both, gap, np.inf).min(axis=2)       # a mean is no smaller than its least term
+            alike = self.p / np.maximum(n, 1) * gap.sum(axis=2)
+            out[:, a:a + step] = np.where(n == 0, np.inf, np.where(self.same[a:a + step], alike, self.p * some))
+        for c in np.unique(need[need >= 0]):
+            out[np.ix_(need == c, ~has[:, c])] = np.inf
+        if self.p is None and len(self.ids):
+            to = np.hstack([np.sqrt(exact_d2(Q[:, None, :], self.pivots[a:a + step], None))
+                            for a in range(0, len(self.pivots), step)])[:, self.owner]
+            out = np.maximum(out, np.maximum(np.maximum(self.ring[:, 0] - to, to - self.ring[:, 1]), 0.0) ** 2)
+        return out
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Packed cells and their bounds."""
+    table: DataFrame
+    bounds: Bounds
+
+    @classmethod
+    def of(cls, table: DataFrame, pivots: np.ndarray, p: int | None) -> "Cells":
+        rows = table.select("part", "seq", "pivot", "inner", "outer", "same", "lo", "hi").orderBy("part", "seq").collect()
+        corner = [np.array([[np.nan if v is None else v for v in r[c]] for r in rows], dtype=float)
+                  .reshape(len(rows), pivots.shape[1]) for c in ("lo", "hi")]
+        return cls(table, Bounds(p, pivots, [(r["part"], r["seq"]) for r in rows], np.array([r["pivot"] for r in rows], dtype=int),
+                                 np.array([[r["inner"], r["outer"]] for r in rows], dtype=float).reshape(len(rows), 2), *corner,
+                                 np.array([r["same"] for r in rows], dtype=bool)))
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    """Rows of an array column, nulls as NaN."""
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), d)
+
+
+def build_cells(points: DataFrame, d: int, p: int | None, cell_rows: int = CELL_ROWS) -> Cells:
+    """Cells of ``x array<double>, n long, t string, carried double`` rows (``x`` distinct up to ``t``)."""
+    spark = points.sparkSession
+    checkpoint_dir(spark)
+    ship_package(spark)
+    n = points.count()
+    if not n:
+        return Cells.of(spark.createDataFrame([], CELL_SCHEMA), np.zeros((0, d)), p)
+    size = max(cell_rows, -(-n * 16 * d // SUMMARY_BYTES))
+    some = min(MOST_PIVOTS, max(1, n // size))
+    picked = points.select("x", F.xxhash64("t").alias("h"), "t").orderBy("h", "t").limit(some).collect()   # bounded
+    pivots = np.array([[np.nan if v is None else v for v in r["x"]] for r in picked], dtype=float)
+    fill = np.zeros(d)
+    if p is not None:           # any point may go to any cell, so means stand in for missing coordinates there
+        row = points.agg(*[F.avg(F.col("x")[j]) for j in range(d)]).first()
+        fill = np.array([0.0 if v is None else v for v in row])
+        pivots = np.where(np.isnan(pivots), fill, pivots)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(0), d)
+            mask = ["".join("01"[v] for v in r) for r in (~np.isnan(x)).astype(int)] if p is not None else [""] * len(x)
+            full = np.where(np.isnan(x), fill, x)
+            d2 = about_d2(full, pivots, None)[0]
+            own = d2.argmin(axis=1)
+            r = np.sqrt(exact_d2(full, pivots[own], None))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(mask, pa.string()),
+                                              pa.array(r)], names=["x", "n", "t", "carried", "pivot", "mask", "r"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held = TaskContext.get().partitionId(), 0, []
+
+        def cell() -> pa.RecordBatch:
+            x = np.array([[np.nan if v is None else v for v in h[0]] for h in held], dtype=float)
+            ring = [h[6] for h in held]
+            low, high = np.where(np.isnan(x), np.inf, x).min(axis=0), np.where(np.isnan(x), -np.inf, x).max(axis=0)
+            corner = [[None if np.isinf(v) else float(v) for v in c] for c in (low, high)]
+            return pa.RecordBatch.from_pylist([{
+                "part": part, "seq": seq, "pivot": held[0][4], "inner": min(ring) * (1 - 1e-12), "outer": max(ring) * (1 + 1e-12),
+                "n": len(held), "same": len({h[5] for h in held}) == 1, "lo": corner[0], "hi": corner[1],
+                "points": x.tobytes(), "counts": [h[1] for h in held], "ties": [h[2] for h in held],
+                "carried": [h[3] for h in held]}], schema=pa.schema([
+                    ("part", pa.int32()), ("seq", pa.int32()), ("pivot", pa.int32()), ("inner", pa.float64()),
+                    ("outer", pa.float64()), ("n", pa.int64()), ("same", pa.bool_()), ("lo", pa.list_(pa.float64())),
+                    ("hi", pa.list_(pa.float64())), ("points", pa.binary()), ("counts", pa.list_(pa.int64())),
+                    ("ties", pa.list_(pa.string())), ("carried", pa.list_(pa.float64()))]))
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and (len(held) >= size or row[4] != held[0][4] or (row[5] != held[-1][5] and len(held) >= MIN_SAME)):
+                    yield cell()
+                    seq, held = seq + 1, []
+                held.append(row)
+        if held:
+            yield cell()
+
+    schema = "x array<double>, n long, t string, carried double, pivot int, mask string, r double"
+    path = scratch_path(spark, "knn-cells")
+    parts = max(1, min(-(-n // (8 * size)), 10_000))
+    points.select("x", "n", "t", "carried").mapInArrow(place, schema) \
+        .repartitionByRange(parts, "pivot", "mask", "r").sortWithinPartitions("pivot", "mask", "r") \
+        .mapInArrow(pack, CELL_SCHEMA).write.parquet(path)
+    return Cells.of(spark.read.schema(CELL_SCHEMA).parquet(path), pivots, p)
+
+
+# ------------------------------------------------------------------ search
+FOUND_SCHEMA = "qk string, t string, n long, d2 double, carried double"
+
+
+def _ask(queries: DataFrame, cells: Cells, d: int, first: bool) -> DataFrame:
+    """Packed blocks of queries, one row per cell that any of a block visits in this round."""
+    bounds = cells.bounds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_ROWS):
+                one = batch.slice(at, QUERY_ROWS)
+                Q, need = _matrix(one.column(1), d), np.asarray(one.column(2))
+                limit = np.array([np.inf if v is None else v for v in one.column(3).to_pylist()])
+                bound = bounds.least_d2(Q, need)
+                order = np.argsort(bound, axis=1, kind="stable")[:, :SEED_CELLS]
+                seed = np.zeros(bound.shape, dtype=bool)
+                np.put_along_axis(seed, order, True, axis=1)
+                fits = np.isfinite(bound) & (bound <= (limit * (1 + 1e-9))[:, None])
+                visit = seed & fits if first else fits & ~seed
+                for c in np.flatnonzero(visit.any(axis=0)):
+                    rows = np.flatnonzero(visit[:, c])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([bounds.ids[c][0]], pa.int32()), pa.array([bounds.ids[c][1]], pa.int32()),
+                        pa.array([one.column(0).take(pa.array(rows)).to_pylist()], pa.list_(pa.string())),
+                        pa.array([Q[rows].tobytes()], pa.binary()), pa.array([need[rows].tolist()], pa.list_(pa.int32())),
+                        pa.array([limit[rows].tolist()], pa.list_(pa.float64()))],
+                        names=["part", "seq", "qks", "asked", "need", "limits"])
+    return queries.select("qk", "x", "need", "d2").mapInArrow(
+        run, "part int, seq int, qks array<string>, asked binary, need array<int>, limits array<double>")
+
+
+def _answer(asked: DataFrame, cells: Cells, d: int, k: int) -> DataFrame:
+    """The k best points of each asked cell for each query of a block."""
+    p = cells.bounds.p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                P, Q = (np.frombuffer(row[c]).reshape(-1, d) for c in ("points", "asked"))
+                need = np.array(row["need"], dtype=int)
+                got = nearest(Q, need, P, np.array(row["counts"]), row["ties"], k, p, np.array(row["limits"]))
+                if got:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row["qks"][a] for a, _, _ in got], pa.string()), pa.array([row["ties"][b] for _, b, _ in got], pa.string()),
+                        pa.array([row["counts"][b] for _, b, _ in got], pa.int64()), pa.array([v for _, _, v in got], pa.float64()),
+                        pa.array([row["carried"][b] if need[a] < 0 else float(P[b, need[a]]) for a, b, _ in got], pa.float64())],
+                        names=["qk", "t", "n", "d2", "carried"])
+    own = cells.table.select("part", "seq", "points", "counts", "ties", "carried")
+    return asked.join(own, ["part", "seq"]).select("qks", "asked", "need", "limits", "points", "counts", "ties", "carried") \
+        .mapInArrow(run, FOUND_SCHEMA)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """Per query the k best points by (distance, tie), counting how often a point occurs (``take`` of them)."""
+    w = Window.partitionBy("qk").orderBy("d2", "t").rowsBetween(Window.unboundedPreceding, 0)
+    kept = found.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") - F.col("n") < k)
+    return kept.withColumn("take", F.least(F.col("n"), F.lit(k) - (F.col("upto") - F.col("n")))).drop("upto")
+
+
+def search(queries: DataFrame, cells: Cells, d: int, k: int) -> DataFrame:
+    """The k nearest points of every query: ``qk, t, n, d2, carried, take``.
+
+    queries: ``qk string, x array<double>, need int`` (distinct ``qk``); with ``need`` >= 0 only points that
+    have this coordinate count, and ``carried`` is the coordinate instead of the point's carried value.
     """
-    kk = list(key)
-    idx, bounds = _slabs(index_points, kk, m)
-    idx = idx.persist()
-    bounds = bounds.persist()
-    nslab = bounds.select(*kk, "__nslab").distinct()
-    ent = _query_slabs(entries, idx, kk, m, nslab).persist()
-    payload = idx.select("__pid", *kk, "__slab").join(points.select("__pid", "__px", "__n", "__t"), "__pid")
-    pend = queries.select("__qk").distinct()
-    kernel = _block_topk(k, nan_scale)
-    found = None
-    carry = None        # k best so far of the still pending queries
-    R, R_prev = 1, -1
-    while True:
-        e = ent.join(pend, "__qk", "left_semi")
-        if e.limit(1).count() == 0:
-            break
-        s0 = F.col("__s")
-        ring = F.sequence(s0 - R, s0 + R) if R_prev < 0 else F.concat(
-            F.sequence(s0 - R, s0 - R_prev - 1), F.sequence(s0 + R_prev + 1, s0 + R))
-        ex = e.select("__qk", *kk, "__nslab", F.explode(ring).alias("__slab")) \
-            .where((F.col("__slab") >= 0) & (F.col("__slab") < F.col("__nslab"))).drop("__nslab")
-        per_slab = ex.groupBy(*kk, "__slab").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("__nsub"))
-        ex = ex.join(per_slab, [*kk, "__slab"]) \
-            .withColumn("__sub", F.pmod(F.xxhash64("__qk"), F.col("__nsub"))).drop("__nsub")
-        qside = ex.join(queries, "__qk").select(*kk, "__slab", "__sub", "__qk", "__qx")
-        # fresh column ids: both cogroup sides descend from ``ex``
-        blocks = ex.select(*[F.col(c).alias(c) for c in (*kk, "__slab", "__sub")]).distinct()
-        pside = blocks.join(payload, [*kk, "__slab"])
-        gk = [*kk, "__slab", "__sub"]
-        cand = qside.groupBy(*gk).cogroup(pside.groupBy(*gk)).applyInPandas(kernel, _CAND_SCHEMA)
-        if carry is not None:
-            cand = cand.unionByName(carry)
-        # one point may be reached through several indexes of the same query
-        cand = cand.dropDuplicates(["__qk", "__pid"])
-        # reliable checkpoint: every later frame of the round reads it
-        kept = cut_lineage(_rank_keep(cand, k).select(*_CAND_COLS, "__take"))
-        st = kept.groupBy("__qk").agg(F.max("__d2").alias("__dk2"), F.sum("__take").alias("__got"))
-        g = _gaps(e, bounds, kk, R).groupBy("__qk").agg(F.min("__gap").alias("__gap"),
-                                                          F.min(F.col("__full").cast("int")).alias("__allfull"))
-        chk = g.join(st, "__qk", "left")
-        ok = ((F.coalesce(F.col("__got"), F.lit(0)) >= k) | (F.col("__allfull") == 1)) & \
-             (F.col("__dk2").isNull() | (F.sqrt(F.col("__dk2")) < F.col("__gap")))
-        # kept / done / pend are reliable checkpoints in the shared folder:
-        # plans stay linear in the number of rounds and survive executor loss
-        done = cut_lineage(chk.where(ok).select("__qk"))
-        res = kept.join(done, "__qk", "left_semi").select("__qk", "__pid", "__d2", "__take")
-        pend = cut_lineage(pend.join(done, "__qk", "left_anti"))
-        carry = kept.join(pend, "__qk", "left_semi").select(*_CAND_COLS)
-        found = res if found is None else found.unionByName(res)
-        R_prev, R = R, R * 4   # widen fast: each extra round costs a few jobs
-    if found is None:
-        spark = queries.sparkSession
-        return spark.createDataFrame([], "__qk string, __pid string, __d2 double, __take bigint")
-    return found
+    spark = queries.sparkSession
+    ship_package(spark)
+    if not cells.bounds.ids:
+        return spark.createDataFrame([], FOUND_SCHEMA + ", take long")
+    open_ = queries.select("qk", "x", "need", F.lit(None).cast("double").alias("d2"))
+    seeds = cut_lineage(_best(_answer(_ask(open_, cells, d, True), cells, d, k), k))
+    # a query with k points so far needs no point beyond the farthest of them
+    limits = seeds.groupBy("qk").agg(F.when(F.sum("take") >= k, F.max("d2")).alias("d2"))
+    again = queries.select("qk", "x", "need").join(limits, "qk", "left")
+    rest = _answer(_ask(again, cells, d, False), cells, d, k)
+    return cut_lineage(_best(seeds.drop("take").unionByName(rest), k))
 
 
 # ===================================================================== K13
@@ -223,54 +324,40 @@ class KNeighbors(Estimator):
     """k-nearest-neighbour classifier (Euclidean, uniform vote; a tied vote
     goes to the smallest class)."""
 
-    def __init__(self, k: int = 5, slab_rows: int = SLAB_ROWS):
+    def __init__(self, k: int = 5, cell_rows: int = CELL_ROWS):
         super().__init__()
-        self.k, self.slab_rows = k, slab_rows
+        self.k, self.cell_rows = k, cell_rows
 
     def _fit(self, df: DataFrame) -> "KNeighborsModel":
-        x = df.select(vector_to_array("features").alias("__px"), F.col("label").cast("double").alias("label"))
-        pts = x.groupBy("__px", "label").agg(F.count(F.lit(1)).alias("__n"))
-        pts = pts.withColumn("__t", F.md5(F.concat_ws("|", point_text(F.col("__px")),
-                                                      F.col("label").cast("string"))))
-        pts = pts.withColumn("__pid", F.col("__t")).persist()
-        # direction of largest spread (leading eigenvector of the covariance): d x d on the driver
-        from sparkwright.operators.models import _class_moments, _dims
-        d = _dims(df)
-        mom = _class_moments(df.select("features", F.lit(0.0).alias("label")), d)[0]
-        vals, vecs = np.linalg.eigh(mom["scatter"] / max(mom["n"], 1))
-        direction = vecs[:, int(np.argmax(vals))]
-        n_classes = int(x.agg(F.max("label")).first()[0]) + 1
-        return KNeighborsModel(pts, direction.tolist(), self.k, self.slab_rows, n_classes)
+        x = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("carried"))
+        pts = x.groupBy("x", "carried").agg(F.count(F.lit(1)).alias("n"))
+        pts = cut_lineage(pts.withColumn("t", F.md5(F.concat_ws("|", point_text(F.col("x")), F.col("carried").cast("string")))))
+        d = len(df.select("features").first()[0])
+        n_classes = int(pts.agg(F.max("carried")).first()[0]) + 1
+        return KNeighborsModel(build_cells(pts, d, None, self.cell_rows), self.k, n_classes)
 
 
 class KNeighborsModel(StoredModel):
-    def __init__(self, points: DataFrame, direction: list, k: int, m: int, n_classes: int):
+    def __init__(self, cells: Cells, k: int, n_classes: int):
         super().__init__()
-        self.points, self.direction, self.k, self.m, self.n_classes = points, direction, k, m, n_classes
+        self.cells, self.k, self.n_classes = cells, k, n_classes
 
     def _state(self) -> dict:
-        return {"direction": self.direction, "k": self.k, "m": self.m, "n_classes": self.n_classes}
+        return {"pivots": self.cells.bounds.pivots.tolist(), "k": self.k, "n_classes": self.n_classes}
 
     def _tables(self) -> dict[str, DataFrame]:
-        return {"points": self.points}
+        return {"cells": self.cells.table}
 
     @classmethod
     def _rebuilt(cls, state: dict, tables: dict) -> "KNeighborsModel":
-        return cls(tables["points"], **state)
-
-    def _u(self, arr: Column) -> Column:
-        w = F.array(*[F.lit(float(v)) for v in self.direction])
-        return F.aggregate(F.zip_with(arr, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return cls(Cells.of(tables["cells"], np.array(state["pivots"], dtype=float), None), state["k"], state["n_classes"])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         base = dataset.withColumn("__qx", vector_to_array("features")) \
             .withColumn("__qk", F.md5(point_text(F.col("__qx"))))
-        queries = base.select("__qk", "__qx").dropDuplicates(["__qk"])
-        entries = queries.select("__qk", self._u(F.col("__qx")).alias("__u"), F.col("__qk").alias("__qe"))
-        ipts = self.points.select("__pid", self._u(F.col("__px")).alias("__u"), "__t")
-        nn = search(queries, entries, self.points, ipts, [], self.k, None, self.m)
-        votes = nn.join(self.points.select("__pid", "label"), "__pid").groupBy("__qk", "label") \
-            .agg(F.sum("__take").alias("__v"))
+        queries = base.select(F.col("__qk").alias("qk"), F.col("__qx").alias("x"), F.lit(-1).alias("need")).dropDuplicates(["qk"])
+        nn = search(queries, self.cells, self.cells.bounds.pivots.shape[1], self.k)
+        votes = nn.groupBy(F.col("qk").alias("__qk"), F.col("carried").alias("label")).agg(F.sum("take").alias("__v"))
         best = votes.groupBy("__qk").agg(
             F.max(F.struct(F.col("__v"), (-F.col("label")).alias("__nl"))).alias("__b"),
             F.sum("__v").alias("__tot"),
@@ -284,46 +371,52 @@ class KNeighborsModel(StoredModel):
 
 
 # ===================================================================== E4
+@dataclass
+class DonorIndex:
+    """Cells of all rows that can give values, for every column at once, and the columns' means."""
+    columns: list[str]
+    cells: Cells
+    means: dict[str, float | None]
+
+
+def donor_index(df: DataFrame, columns: Sequence[str], cell_rows: int = CELL_ROWS) -> DonorIndex:
+    """Index of the rows of ``df`` by their numeric ``columns`` (rows without any value give none)."""
+    feats = list(columns)
+    means = df.agg(*[F.avg(q(c).cast("double")).alias(c) for c in feats]).first().asDict()
+    rows = df.select(F.array(*[q(c).cast("double") for c in feats]).alias("x")).where(F.exists("x", lambda v: v.isNotNull()))
+    pts = cut_lineage(rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+                      .select("x", "n", F.md5(point_text(F.col("x"))).alias("t"), F.lit(None).cast("double").alias("carried")))
+    return DonorIndex(feats, build_cells(pts, len(feats), len(feats), cell_rows), means)
+
+
 def impute_knn(df: DataFrame, id_col: str | None = None, columns: Sequence[str] | None = None,
-               k: int = 5, slab_rows: int = SLAB_ROWS, donors: DataFrame | None = None) -> DataFrame:
+               k: int = 5, cell_rows: int = CELL_ROWS, donors: DataFrame | DonorIndex | None = None) -> DataFrame:
     """KNN imputation of numeric columns: each missing cell takes the mean of
     that column over the k nearest rows having it (NaN-aware Euclidean
     distance over all the columns, scaled by total/present coordinates);
     with no usable neighbour, the column mean.  ``id_col`` is accepted for
     interface compatibility; identical rows are imputed identically.
-    Neighbours and means come from ``donors`` (``df`` itself when not given)."""
+    Neighbours and means come from ``donors`` (rows or their index; ``df`` itself
+    when not given).  All columns are searched at once, over one index."""
     feats = list(columns) if columns is not None else [c for c in numeric_columns(df) if c != id_col]
-    p = len(feats)
+    nulls = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in feats]).first().asDict() if feats else {}
+    if not any(nulls.values()):
+        return df
+    index = donors if isinstance(donors, DonorIndex) else donor_index(df if donors is None else donors, feats, cell_rows)
     arr = F.array(*[q(c).cast("double") for c in feats])
     base = df.withColumn("__row", arr)
     base = base.withColumn("__rk", F.md5(point_text(F.col("__row"))))
-    given = base if donors is None else donors.withColumn("__row", arr)
-    means = given.agg(*[F.avg(q(c).cast("double")).alias(c) for c in feats]).first()
-    filled = {}
-    for ci, c in enumerate(feats):
-        recv = base.where(q(c).isNull()).select(F.col("__rk").alias("__qk"), F.col("__row").alias("__qx")).distinct()
-        if recv.limit(1).count() == 0:
-            continue
-        points = given.where(q(c).isNotNull()).groupBy("__row").agg(F.count(F.lit(1)).alias("__n"))
-        points = points.select(F.col("__row").alias("__px"), "__n",
-                               F.col("__row")[ci].alias("__v"),
-                               F.md5(point_text(F.col("__row"))).alias("__t")) \
-            .withColumn("__pid", F.col("__t")).persist()
-        ipts = points.select("__pid", "__t", F.posexplode("__px").alias("__j", "__u")) \
-            .where(F.col("__u").isNotNull() & (F.col("__j") != ci))
-        ent = recv.select("__qk", F.posexplode("__qx").alias("__j", "__u")) \
-            .where(F.col("__u").isNotNull() & (F.col("__j") != ci)) \
-            .withColumn("__qe", F.concat_ws("#", F.col("__qk"), F.col("__j").cast("string")))
-        nn = search(recv, ent, points, ipts, ["__j"], k, p, slab_rows)
-        val = nn.join(points.select("__pid", "__v"), "__pid").groupBy("__qk").agg(
-            (F.sum(F.col("__v") * F.col("__take")) / F.sum("__take")).alias(f"__imp{ci}"))
-        filled[c] = val.withColumnRenamed("__qk", f"__k{ci}")
-    out = base
-    for ci, c in enumerate(feats):
-        if c not in filled:
-            continue
-        out = out.join(filled[c], out["__rk"] == filled[c][f"__k{ci}"], "left").drop(f"__k{ci}")
-        fallback = F.lit(means[c])
-        out = out.withColumn(c, F.when(q(c).isNull(), F.coalesce(F.col(f"__imp{ci}"), fallback))
-                             .otherwise(q(c).cast("double"))).drop(f"__imp{ci}")
+    missing = F.filter(F.sequence(F.lit(0), F.lit(len(feats) - 1)), lambda j: F.element_at(F.col("x"), j + 1).isNull())
+    queries = base.where(F.exists("__row", lambda v: v.isNull())).select(F.col("__rk"), F.col("__row").alias("x")) \
+        .dropDuplicates(["__rk"]).withColumn("need", F.explode(missing)) \
+        .select(F.concat_ws("#", "__rk", "need").alias("qk"), "x", "need")
+    nn = search(queries, index.cells, len(feats), k)
+    value = nn.groupBy("qk").agg((F.sum(F.col("carried") * F.col("take")) / F.sum("take")).alias("v"))
+    key = F.split("qk", "#")
+    filled = value.groupBy(key[0].alias("__rk")).agg(F.map_from_entries(F.collect_list(
+        F.struct(key[1].cast("int").alias("j"), "v"))).alias("__got"))      # at most one entry per column
+    out = base.join(filled, "__rk", "left")
+    for j, c in enumerate(feats):
+        if nulls[c]:
+            out = out.withColumn(c, F.coalesce(q(c).cast("double"), F.col("__got")[j], F.lit(index.means[c])))
     return out.select(*[q(x) for x in df.columns])
