@@ -115,6 +115,8 @@ def quantiles(df: DataFrame, c: Column, probs: Sequence[float], exact: bool | No
 def quantile_set(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]],
                  exact: bool | None = None) -> list[Column]:
     """``quantiles`` of several columns; beyond one task's size they share one pass."""
+    if not wanted:
+        return []
     arrays = [F.array(*[F.lit(float(p)) for p in probs]) for _, probs in wanted]
     if exact is False:
         return [F.percentile_approx(c.cast("double"), a, APPROX_ACCURACY) for (c, _), a in zip(wanted, arrays)]

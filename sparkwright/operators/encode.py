@@ -51,6 +51,16 @@ def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     return dense_codes(df.select(as_text(q(column)).alias("value")))
 
 
+def label_dictionaries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, value, code, real)`` of several columns at once; ``real`` tells whether a value occurs
+    other than as the text of a missing one."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), as_text(q(c)).alias("value"), q(c).isNotNull().alias("real"))
+                      for c in columns])
+    values = df.select(F.inline(pairs)).groupBy("column_name", "value").agg(F.max("real").alias("real"))
+    return row_position(values, ["value"], ["column_name"], name="code") \
+        .select("column_name", "value", F.col("code").cast("bigint").alias("code"), "real")
+
+
 def encode_label(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
     """Replace each column by the code of its text value in sorted order
     (or add ``<col><suffix>`` when a suffix is given)."""
@@ -133,6 +143,14 @@ def frequency_dictionary(df: DataFrame, column: str) -> DataFrame:
         "value", (F.col("count") / F.col("__t")).alias("freq"))
 
 
+def frequency_dictionaries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, value, freq)`` of several columns at once."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), q(c).cast("string").alias("value")) for c in columns])
+    counts = df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("column_name", "value").count()
+    totals = counts.groupBy("column_name").agg(F.sum("count").alias("total"))      # one row per column
+    return counts.join(F.broadcast(totals), "column_name").select("column_name", "value", (F.col("count") / F.col("total")).alias("freq"))
+
+
 def encode_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each value by its non-null frequency (missing stays missing)."""
     out = df

@@ -30,30 +30,32 @@ def _apply(df: DataFrame, stats: DataFrame, exprs: dict) -> DataFrame:
     return j.select(*[exprs[c].alias(c) if c in exprs else q(c) for c in df.columns])
 
 
-def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
-                 fit_where: Column | None = None, exact: bool | None = None) -> DataFrame:
-    """One-row frame of fitted statistics ``__a{i}``/``__b{i}`` (centre, scale)."""
-    rows = _fit_rows(df, fit_where)
-    aggs = []
+def scaler_exprs(rows: DataFrame, columns: Sequence[str], method: str, exact: bool | None = None) -> list[tuple[Column, Column]]:
+    """Aggregates (centre, scale) of each column, for one aggregation over ``rows``."""
     found = quantile_set(rows, [(q(c), [0.25, 0.5, 0.75]) for c in columns], exact) if method == "robust" else []
+    out = []
     for i, c in enumerate(columns):
         x = q(c).cast("double")
         if method == "standard":
-            sd = F.stddev_pop(x)
-            aggs += [F.avg(x).alias(f"__a{i}"), F.when(sd == 0, 1.0).otherwise(sd).alias(f"__b{i}")]
+            centre, spread = F.avg(x), F.stddev_pop(x)
         elif method == "minmax":
-            rng = F.max(x) - F.min(x)
-            aggs += [F.min(x).alias(f"__a{i}"), F.when(rng == 0, 1.0).otherwise(rng).alias(f"__b{i}")]
+            centre, spread = F.min(x), F.max(x) - F.min(x)
         elif method == "robust":
-            qs = found[i]
-            iqr = qs[2] - qs[0]
-            aggs += [qs[1].alias(f"__a{i}"), F.when(iqr == 0, 1.0).otherwise(iqr).alias(f"__b{i}")]
+            centre, spread = found[i][1], found[i][2] - found[i][0]
         elif method == "maxabs":
-            m = F.max(F.abs(x))
-            aggs += [F.lit(0.0).alias(f"__a{i}"), F.when(m == 0, 1.0).otherwise(m).alias(f"__b{i}")]
+            centre, spread = F.lit(0.0), F.max(F.abs(x))
         else:
             raise ValueError(f"unknown scaling {method!r}")
-    return rows.agg(*aggs)
+        out.append((centre, F.when(spread == 0, 1.0).otherwise(spread)))
+    return out
+
+
+def scaler_stats(df: DataFrame, columns: Sequence[str], method: str,
+                 fit_where: Column | None = None, exact: bool | None = None) -> DataFrame:
+    """One-row frame of fitted statistics ``__a{i}``/``__b{i}`` (centre, scale)."""
+    rows = _fit_rows(df, fit_where)
+    exprs = scaler_exprs(rows, columns, method, exact)
+    return rows.agg(*[x for i, (a, b) in enumerate(exprs) for x in (a.alias(f"__a{i}"), b.alias(f"__b{i}"))])
 
 
 def scale(df: DataFrame, method: str = "standard", columns: Sequence[str] | None = None,
@@ -93,39 +95,49 @@ def yeo_johnson_expr(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _yj_loglik_aggs(x: Column, lams: Sequence[float]) -> list:
-    # log-likelihood: -n/2 log(var(y)) + (lam - 1) * sum(sign(x) log1p|x|)
-    return [F.var_pop(yeo_johnson_expr(x, lam)).alias(f"__v{k}") for k, lam in enumerate(lams)]
+FARTHEST = 1000.0     # lambdas beyond it are not looked for
+
+
+def yeo_johnson_lambdas(df: DataFrame, columns: Sequence[str], lo: float = -5.0, hi: float = 5.0,
+                        grid: int = 41, rounds: int = 4) -> dict[str, float]:
+    """Maximum-likelihood lambda of each column: a grid of candidates for all columns in one aggregation.
+
+    While the best candidate of a column lies at an end of its bracket, the bracket moves on beyond it and
+    grows; then it shrinks around the best candidate ``rounds - 1`` times.  1 without values or spread.
+    """
+    best = {c: 1.0 for c in columns}
+    if not columns:
+        return best
+    xs = {c: q(c).cast("double") for c in columns}
+    base = df.agg(*[a for i, (c, x) in enumerate(xs.items()) for a in (
+        F.count(x).alias(f"n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"s{i}"))]).first()
+    state = {c: (lo, hi, rounds) for i, c in enumerate(columns) if base[f"n{i}"]}
+    while state:
+        asked = {c: [a + (b - a) * k / (grid - 1) for k in range(grid)] for c, (a, b, _) in state.items()}
+        row = df.agg(*[a for c, lams in asked.items() for k, lam in enumerate(lams) for y in [yeo_johnson_expr(xs[c], lam)]
+                       for a in (F.var_pop(y).alias(f"v{columns.index(c)}_{k}"), F.avg(y).alias(f"m{columns.index(c)}_{k}"))]).first()
+        for c, lams in asked.items():
+            i, (a, b, left) = columns.index(c), state.pop(c)
+            n, s = base[f"n{i}"], base[f"s{i}"]
+            # log-likelihood: -n/2 log(var(y)) + (lam - 1) * sum(sign(x) log1p|x|); a variance that is rounding does not count
+            scores = [(-n / 2.0 * math.log(v) + (lam - 1.0) * s, lam, k) for k, lam in enumerate(lams)
+                      for v, m in [(row[f"v{i}_{k}"], row[f"m{i}_{k}"])]
+                      if v is not None and math.isfinite(v) and math.isfinite(m) and v > 1e-24 * m * m]
+            if not scores:
+                continue
+            _, best[c], k = max(scores)
+            step, wide = (b - a) / (grid - 1), b - a
+            if k in (0, grid - 1) and left == rounds and abs(best[c]) < FARTHEST:
+                state[c] = (best[c] - step, best[c] + 2 * wide, left) if k else (best[c] - 2 * wide, best[c] + step, left)
+            elif left > 1:
+                state[c] = (best[c] - step, best[c] + step, left - 1)
+    return best
 
 
 def yeo_johnson_lambda(df: DataFrame, column: str, lo: float = -5.0, hi: float = 5.0,
                        grid: int = 41, rounds: int = 4) -> float:
-    """Maximum-likelihood lambda: a grid of candidates evaluated in one
-    aggregate pass, refined ``rounds`` times around the best point."""
-    x = q(column).cast("double")
-    base = df.where(x.isNotNull()).agg(
-        F.count(x).alias("__n"),
-        F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("__s")).first()
-    n, s = base["__n"], base["__s"]
-    if not n:
-        return 1.0
-    a, b = lo, hi
-    best = 1.0
-    for _ in range(rounds):
-        lams = [a + (b - a) * k / (grid - 1) for k in range(grid)]
-        r = df.where(x.isNotNull()).agg(*_yj_loglik_aggs(x, lams)).first()
-        scores = []
-        for k, lam in enumerate(lams):
-            v = r[f"__v{k}"]
-            if v is None or v <= 0 or math.isnan(v) or math.isinf(v):
-                continue
-            scores.append((-n / 2.0 * math.log(v) + (lam - 1.0) * s, lam))
-        if not scores:
-            break
-        best = max(scores)[1]
-        step = (b - a) / (grid - 1)
-        a, b = best - step, best + step
-    return best
+    """``yeo_johnson_lambdas`` of one column."""
+    return yeo_johnson_lambdas(df, [column], lo, hi, grid, rounds)[column]
 
 
 def yeo_johnson(df: DataFrame, columns: Sequence[str], lambdas: dict | None = None,
@@ -134,9 +146,7 @@ def yeo_johnson(df: DataFrame, columns: Sequence[str], lambdas: dict | None = No
     standardised with the population std of the transformed column."""
     lam = dict(lambdas or {})
     fit_rows = _fit_rows(df, fit_where)
-    for c in columns:
-        if c not in lam:
-            lam[c] = yeo_johnson_lambda(fit_rows, c)
+    lam |= yeo_johnson_lambdas(fit_rows, [c for c in columns if c not in lam])
     out = df.select(*[yeo_johnson_expr(q(c), lam[c]).alias(c) if c in lam else q(c) for c in df.columns])
     if standardize:
         out = scale(out, "standard", list(columns),

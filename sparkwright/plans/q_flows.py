@@ -5,7 +5,8 @@ from __future__ import annotations
 from sparkwright.plans import prep as PR
 from sparkwright.plans.q_split import _quota_sql
 from sparkwright.plans.registry import register
-from sparkwright.plans.tables import events_nulls, events_nulls_sql, orders_nulls, orders_nulls_sql, round_doubles
+from sparkwright.plans.tables import (events_nulls, events_nulls_sql, orders_nulls, orders_nulls_sql, round_doubles,
+                                      table)
 
 OR_F = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 ORS = orders_nulls_sql(OR_F)
@@ -143,7 +144,7 @@ _CUSTOM_SQL = (
 
 @register("prep_custom", _CUSTOM_SQL)
 def q_prep_custom(spark, d):
-    p = PR.prep_custom(events_nulls(spark, d, EV_F), "event_type", ["event_id"], CUSTOM_SPECS, normalize=True)
+    p = PR.prep_custom(events_nulls(spark, d, EV_F), "event_type", ["event_id"], CUSTOM_SPECS, normalize=True, fit_on="all")
     return round_doubles(p.frame)
 
 
@@ -180,3 +181,92 @@ def q_stream_apply(spark, d):
                          pre=lambda s: s.selectExpr(*_null_exprs(OR_F, ORDERS_NULLS)))
     path = run_to_files(out)
     return round_doubles(spark.read.parquet(path))
+
+
+# ------------------------------------------------------------------ statistics of train rows only
+_EW_T = _EW.replace("value", "x.value")
+_CUSTOM_TRAIN_SQL = (
+    f"WITH e0 AS (SELECT * FROM {EVS}), "
+    f"e AS (SELECT e0.*, CAST(ld.code AS DOUBLE) AS label, CASE WHEN row_number() OVER (ORDER BY {_HE}) <= "
+    f"ceil(CAST(count(*) OVER () AS DOUBLE) * 0.2) THEN 'test' ELSE 'train' END AS split FROM e0 "
+    f"JOIN {_dict('e0', 'event_type')} ld ON coalesce(e0.event_type, 'nan') = ld.v), "
+    f"m AS (SELECT quantile_cont(value, 0.5) AS med FROM e WHERE split = 'train'), "
+    f"e1 AS (SELECT e.* EXCLUDE (value), CAST(coalesce(value, med) AS DOUBLE) AS value FROM e, m), "
+    f"fb AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT quantile_cont(value, 0.25) AS q1, "
+    f"quantile_cont(value, 0.75) AS q3 FROM e1 WHERE split = 'train')), "
+    f"e2 AS (SELECT e1.* EXCLUDE (value), CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END AS value FROM e1, fb), "
+    f"ew AS (SELECT min(value) AS lo, max(value) AS hi FROM e2 WHERE split = 'train'), "
+    f"uq AS (SELECT list_distinct(quantile_cont(user_id, [0.0, 0.25, 0.5, 0.75, 1.0])) AS edges FROM e2 WHERE split = 'train'), "
+    f"e3 AS (SELECT x.* EXCLUDE (value, props), CASE WHEN value IS NULL THEN NULL ELSE CAST({_EW_T} AS INTEGER) END AS value_binned, "
+    f"CASE WHEN user_id IS NULL THEN NULL ELSE CAST(greatest(len(list_filter(edges, lambda t: t < user_id)) - 1, 0) AS INTEGER) END "
+    f"AS user_id_binned, CASE WHEN value > -1 THEN ln(1 + value) END AS value, "
+    f"regexp_replace(regexp_replace(props, '[^a-zA-Z0-9\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS p2 FROM e2 x, ew, uq), "
+    f"fq AS (SELECT p2 AS v, CAST(count(*) AS DOUBLE) / (SELECT count(p2) FROM e3 WHERE split = 'train') AS freq FROM e3 "
+    f"WHERE p2 IS NOT NULL AND split = 'train' GROUP BY p2), "
+    f"sp AS (SELECT event_id, coalesce(CAST(user_id AS DOUBLE), 0.0) AS user_id, coalesce(value, 0.0) AS value, "
+    f"coalesce(fq.freq, 0.0) AS props, coalesce(CAST(value_binned AS DOUBLE), 0.0) AS value_binned, "
+    f"coalesce(CAST(user_id_binned AS DOUBLE), 0.0) AS user_id_binned, label, split FROM e3 LEFT JOIN fq ON e3.p2 = fq.v), "
+    f"st AS (SELECT {_std(_FEATS, 'sp')}) "
+    f"SELECT event_id, " + ", ".join(f"round((sp.{c} - a_{c}) / b_{c}, 6) AS {c}" for c in _FEATS)
+    + ", label, split FROM sp, st")
+
+
+@register("prep_custom_train", _CUSTOM_TRAIN_SQL)
+def q_prep_custom_train(spark, d):
+    """The custom flow with every statistic taken from the train rows."""
+    p = PR.prep_custom(events_nulls(spark, d, EV_F), "event_type", ["event_id"], CUSTOM_SPECS, normalize=True)
+    return round_doubles(p.frame)
+
+
+# ------------------------------------------------------------------ J5 with a k-NN step, on a batch and on a stream
+_KNN_COLS = ["p_partkey", "p_type", "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_size END AS p_size",
+             "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice"]
+_HP = "md5(concat_ws('|', '42', CAST(p_partkey AS VARCHAR)))"
+
+
+def _neighbour_sql(target, other):
+    """Mean of ``target`` over the five nearest train rows that have it, by the one other feature."""
+    return (f"(SELECT qk, sum(v * take) / sum(take) AS imp FROM (SELECT qk, v, least(n, 5 - (cum - n)) AS take FROM (SELECT *, "
+            f"sum(n) OVER (PARTITION BY qk ORDER BY d2, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM ("
+            f"SELECT rr.qk, dd.v, dd.n, dd.t, 2.0 * ((rr.o - dd.o) * (rr.o - dd.o)) AS d2 FROM "
+            f"(SELECT DISTINCT key AS qk, {other} AS o FROM k WHERE {target} IS NULL AND {other} IS NOT NULL) rr, "
+            f"(SELECT {other} AS o, {target} AS v, key AS t, count(*) AS n FROM k WHERE split = 'train' AND {target} IS NOT NULL "
+            f"AND {other} IS NOT NULL GROUP BY 1, 2, 3) dd)) WHERE cum - n < 5) GROUP BY qk)")
+
+
+_KNN_FLOW_SQL = (
+    f"WITH raw AS (SELECT {', '.join(_KNN_COLS)} FROM part), "
+    f"l AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice AS r, CAST(d.code AS DOUBLE) AS label FROM raw "
+    f"JOIN {_dict('raw', 'p_type')} d ON coalesce(raw.p_type, 'nan') = d.v), "
+    f"sp AS {_strat_split('l', _HP)}, "
+    f"k AS (SELECT *, md5(coalesce(CAST(s AS VARCHAR), '') || '|' || coalesce(CAST(r AS VARCHAR), '')) AS key FROM sp), "
+    f"f AS (SELECT p_partkey, split, label, CASE WHEN s IS NULL THEN coalesce(a.imp, (SELECT avg(s) FROM k WHERE split = 'train')) "
+    f"ELSE s END AS p_size, CASE WHEN r IS NULL THEN coalesce(b.imp, (SELECT avg(r) FROM k WHERE split = 'train')) ELSE r END "
+    f"AS p_retailprice FROM k LEFT JOIN {_neighbour_sql('s', 'r')} a ON k.key = a.qk "
+    f"LEFT JOIN {_neighbour_sql('r', 's')} b ON k.key = b.qk), "
+    f"st AS (SELECT {_std(['p_size', 'p_retailprice'], 'f')}) "
+    f"SELECT p_partkey, round((p_size - a_p_size) / b_p_size, 6) AS p_size, "
+    f"round((p_retailprice - a_p_retailprice) / b_p_retailprice, 6) AS p_retailprice, label FROM f, st")
+
+
+def _knn_flow(spark, d):
+    raw = table(spark, d, "part").selectExpr(*_KNN_COLS)
+    return raw, PR.prep_quick(raw, "p_type", ["p_partkey"], missing="knn")
+
+
+@register("prep_apply_knn", _KNN_FLOW_SQL)
+def q_prep_apply_knn(spark, d):
+    """Fit the quick flow with k-NN fills from the train rows, replay it on the whole raw table."""
+    raw, p = _knn_flow(spark, d)
+    return round_doubles(p.apply(raw))
+
+
+@register("stream_apply_knn", _KNN_FLOW_SQL)
+def q_stream_apply_knn(spark, d):
+    """The same replay on the table read as a stream, micro-batch by micro-batch."""
+    from sparkwright.streaming.apply import read_stream, replay_to_files
+    _, p = _knn_flow(spark, d)
+    schema = table(spark, d, "part").schema
+    stream = read_stream(spark, d, schema, file_glob="part.parquet")
+    path = replay_to_files(stream, p, pre=lambda s: s.selectExpr(*_KNN_COLS))
+    return round_doubles(spark.read.parquet(path).drop("batch"))

@@ -5,6 +5,11 @@ left joins to small dictionary frames, all of which Structured Streaming
 supports without state.  Output goes to a file sink whose checkpoint lives
 in the shared ``spark.checkpoint.dir`` folder, so a restarted query resumes
 exactly once.
+
+A step that runs jobs of its own (a k-NN search) cannot stand in a streaming
+plan.  Recipes with such steps are replayed micro-batch by micro-batch, and a
+batch writes its own folder, named by its number, in overwriting mode: a batch
+that is delivered again replaces what it wrote before.
 """
 
 from __future__ import annotations
@@ -45,6 +50,24 @@ def prepare_stream(stream: DataFrame, prepared: Prepared, require: Sequence[str]
     return prepared.apply(df)
 
 
+def replay_to_files(stream: DataFrame, prepared: Prepared, require: Sequence[str] = (),
+                    pre: Callable[[DataFrame], DataFrame] | None = None, out_dir: str | None = None) -> str:
+    """Replay any recipe on what the stream holds now and write it to Parquet files; returns their folder."""
+    if not prepared.runs_jobs:
+        return run_to_files(prepare_stream(stream, prepared, require, pre), out_dir)
+    base = checkpoint_dir(stream.sparkSession).rstrip("/")
+    tag = uuid.uuid4().hex
+    out_dir = out_dir or f"{base}/stream-out-{tag}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        prepare_stream(batch, prepared, require, pre).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/stream-ckpt-{tag}") \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    return out_dir
+
+
 def run_to_files(prepared_stream: DataFrame, out_dir: str | None = None, fmt: str = "parquet",
                  available_now: bool = True) -> str:
     """Write the prepared stream to files (checkpoint in the shared folder);

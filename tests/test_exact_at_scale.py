@@ -128,3 +128,20 @@ def test_empty_and_one_class_tables_divide_safely(spark):
     assert E.roc_auc_ovr(one).first()["roc_auc"] is None
     assert {r["fpr"] for r in E.roc_curve(one).collect()} == {None}
     E.classification_metrics(one.limit(0).withColumn("prediction", F.lit(1))).collect()
+
+
+def test_correlations_with_gaps_far_from_zero(spark):
+    import pandas as pd
+    from sparkwright.operators.profile import correlation_pairs
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 4)) @ rng.normal(size=(4, 4)) + 1e8
+    x[rng.random(x.shape) < 0.2] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) + (7.0,) for r in x],
+                               "a double, b double, c double, d double, flat double").repartition(5)
+    want = pdf.corr()
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation_pairs(df).collect()}
+    assert len(got) == 10 and all(v is None for (a, _), v in got.items() if a == "flat")
+    for (a, b), v in got.items():
+        if a != "flat":
+            assert v == pytest.approx(want.loc[a, b], abs=1e-6)

@@ -102,7 +102,7 @@ def test_custom_flow_options(spark):
     specs = {"v": PR.ColumnSpec(missing="drop", scaling="robust"),
              "w": PR.ColumnSpec(scaling="winsorize"),
              "c": PR.ColumnSpec(rare_categories="drop", rare_threshold=10.0)}
-    out = PR.prep_custom(df, "target", ["id"], specs).frame.toPandas()
+    out = PR.prep_custom(df, "target", ["id"], specs, fit_on="all").frame.toPandas()
     kept = [r for r in rows if r[1] is not None and r[3] != "rare"]
     assert len(out) == len(kept)
     import numpy as np

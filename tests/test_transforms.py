@@ -102,3 +102,29 @@ def test_yeo_johnson_lambda_matches_brute_force(spark):
     fine = np.linspace(best - 0.01, best + 0.01, 2001)
     best = fine[np.argmax([llf(g) for g in fine])]
     assert abs(lam - best) < 1e-3
+
+
+def test_lambda_far_outside_the_first_bracket(spark):
+    """Data whose best lambda is 9 (and -8 on its own): the bracket moves until the best point lies inside."""
+    import numpy as np
+    from sparkwright.operators import scale as SC
+    rng = np.random.default_rng(0)
+    y = rng.normal(3e5, 5e4, 4000)
+    x = (9.0 * y + 1.0) ** (1 / 9.0) - 1.0                    # the inverse of lambda = 9
+    z = (1.0 - 8.0 * rng.normal(0.124, 0.0001, 4000)) ** (-1 / 8.0) - 1.0
+    flat = np.full(4000, 2.0)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, z, flat)], "x double, z double, flat double")
+    got = SC.yeo_johnson_lambdas(df, ["x", "z", "flat"])
+
+    def loglik(v, lam):
+        t = (np.power(v + 1, lam) - 1) / lam
+        if t.var() <= 1e-24 * t.mean() ** 2:
+            return -np.inf
+        return -len(v) / 2 * np.log(t.var()) + (lam - 1) * np.log1p(v).sum()
+    for name, v in (("x", x), ("z", z)):
+        grid = np.linspace(-60, 60, 24001)
+        grid = grid[np.abs(grid) > 1e-9]
+        best = grid[np.argmax([loglik(v, lam) for lam in grid])]
+        assert abs(got[name] - best) < 0.01 and abs(best) > 5
+    assert abs(got["x"] - 9) < 1 and got["flat"] == 1.0
+    assert SC.yeo_johnson_lambda(df.where("x < -1"), "x") == 1.0
