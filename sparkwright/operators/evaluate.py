@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions.columns import q
 from sparkwright.operators import ordered
 from sparkwright.functions.columns import attach_one_row
+from sparkwright.session import cut_lineage
 
 EPS = sys.float_info.epsilon      # probability clip for log loss (float64 eps)
 LOWER_IS_BETTER = {"mse", "mae", "rmse", "mape", "log_loss"}
@@ -28,7 +30,10 @@ def _pairs(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 def per_class_counts(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """Per class (union of true and predicted values): tp, true count, predicted count."""
-    pairs = _pairs(df, label, pred)
+    return _class_counts(_pairs(df, label, pred))
+
+
+def _class_counts(pairs: DataFrame) -> DataFrame:
     t = pairs.groupBy(F.col("y").alias("cls")).agg(F.sum("n").alias("n_true"),
                                                   F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))
                                                         .otherwise(0)).alias("tp"))
@@ -51,7 +56,11 @@ def _prf(c: DataFrame) -> DataFrame:
 def classification_metrics(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """One row: accuracy, support-weighted precision / recall / F1 (0 on a zero
     division), Cohen's kappa and the multi-class Matthews correlation."""
-    c = _prf(per_class_counts(df, label, pred))
+    return _metrics(per_class_counts(df, label, pred))
+
+
+def _metrics(counts: DataFrame) -> DataFrame:
+    c = _prf(counts)
     n = F.sum("n_true").cast("double")
     s = c.agg(
         n.alias("__n"), F.sum("tp").cast("double").alias("__tp"),
@@ -78,7 +87,10 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """``(label, prediction, count)`` over the sorted union of classes, zero-filled (k x k rows)."""
-    pairs = _pairs(df, label, pred)
+    return _confusion(_pairs(df, label, pred))
+
+
+def _confusion(pairs: DataFrame) -> DataFrame:
     classes = pairs.select(F.col("y").alias("c")).union(pairs.select(F.col("p").alias("c"))).distinct()
     # the k x k grid is the output itself: the class list is one array exploded twice (no join)
     grid = classes.agg(F.sort_array(F.collect_set("c")).alias("cs")) \
@@ -91,7 +103,11 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "predictio
 def classification_report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """Per class precision / recall / F1 / support plus ``accuracy``, ``macro
     avg`` and ``weighted avg`` rows (``class`` as text)."""
-    c = _prf(per_class_counts(df, label, pred))
+    return _report(per_class_counts(df, label, pred))
+
+
+def _report(counts: DataFrame) -> DataFrame:
+    c = _prf(counts)
     rows = c.select(F.col("cls").cast("string").alias("class"), "precision", "recall", "f1",
                     F.col("n_true").alias("support"))
     tot = c.agg(F.sum("n_true").alias("__n"), F.sum("tp").alias("__tp"), F.count(F.lit(1)).alias("__k"),
@@ -115,11 +131,14 @@ def log_loss(df: DataFrame, label: str = "label", probability: str = "probabilit
     """Mean negative log probability of the true class; probabilities are
     clipped to [eps, 1-eps] and renormalised per row.  ``label`` is the class
     index into the ``probability`` array (for a binary score pass ``[1-s, s]``)."""
-    p = q(probability)
-    clipped = F.transform(p, lambda x: F.least(F.greatest(x, F.lit(eps)), F.lit(1 - eps)))
+    return df.agg(F.avg(_loss(label, probability, eps)).alias("log_loss"))
+
+
+def _loss(label: str, probability: str, eps: float = EPS) -> Column:
+    """Negative log probability of a row's true class."""
+    clipped = F.transform(q(probability), lambda x: F.least(F.greatest(x, F.lit(eps)), F.lit(1 - eps)))
     tot = F.aggregate(clipped, F.lit(0.0), lambda a, x: a + x)
-    py = F.element_at(clipped, q(label).cast("int") + 1) / tot
-    return df.agg((-F.avg(F.log(py))).alias("log_loss"))
+    return -F.log(F.element_at(clipped, q(label).cast("int") + 1) / tot)
 
 
 # --------------------------------------------------------------------- AUC
@@ -150,9 +169,16 @@ def roc_auc_ovr(df: DataFrame, label: str = "label", probability: str = "probabi
                 n_classes: int | None = None) -> DataFrame:
     """One-vs-rest ROC AUC per class, averaged with class prevalence weights.
     Each row is exploded to one (class, score) row per class (k bounded)."""
+    return _weighted_auc(_auc_from_table(_class_scores(df, label, probability), True))
+
+
+def _class_scores(df: DataFrame, label: str, probability: str) -> DataFrame:
+    """Positives and negatives per (class, score) of a probability array."""
     exploded = df.select(q(label).cast("int").alias("__y"), F.posexplode(q(probability)).alias("__c", "__s"))
-    t = _score_table(exploded, F.col("__y") == F.col("__c"), F.col("__s"), F.col("__c"))
-    per = _auc_from_table(t, True)
+    return _score_table(exploded, F.col("__y") == F.col("__c"), F.col("__s"), F.col("__c"))
+
+
+def _weighted_auc(per: DataFrame) -> DataFrame:
     return per.agg(F.when(F.count_if(F.col("roc_auc").isNull()) == 0, F.try_divide(
         F.sum(F.col("roc_auc") * F.col("n_pos")), F.sum("n_pos"))).alias("roc_auc"))
 
@@ -162,20 +188,26 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
     """ROC points ``(threshold, fpr, tpr)`` at decreasing distinct scores, led by
     ``(+inf, 0, 0)``; collinear interior points dropped like the plotting
     helper does (second differences of both counts zero)."""
-    t = _score_table(df, q(label) == F.lit(positive), q(score)).withColumn("__ns", -F.col("score"))
-    cs = ordered.cumulative_sum(t, ["pos", "neg"], ["__ns"])      # descending score
-    tot = t.agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    pts = cs.select("score", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"), "__ns")
+    t = _score_table(df, q(label) == F.lit(positive), q(score), F.lit(positive))
+    return roc_points(t, drop_intermediate).drop("class")
+
+
+def roc_points(t: DataFrame, drop_intermediate: bool = True) -> DataFrame:
+    """``(class, threshold, fpr, tpr)`` of every class of a ``(grp, score, pos, neg)`` table, as in ``roc_curve``."""
+    t = t.withColumn("__ns", -F.col("score"))
+    cs = ordered.cumulative_sum(t, ["pos", "neg"], ["__ns"], ["grp"])      # descending score
+    tot = t.groupBy("grp").agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
+    pts = cs.select("grp", "score", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"), "__ns")
     if drop_intermediate:
-        nb = ordered.with_neighbour_rows(pts, ["__ns"], columns=["tps", "fps"])
+        nb = ordered.with_neighbour_rows(pts, ["__ns"], ["grp"], columns=["tps", "fps"])
         d2f = F.col("__next_row.fps") - 2 * F.col("fps") + F.col("__prev_row.fps")
         d2t = F.col("__next_row.tps") - 2 * F.col("tps") + F.col("__prev_row.tps")
         keep = F.col("__prev_row").isNull() | F.col("__next_row").isNull() | (d2f != 0) | (d2t != 0)
-        pts = nb.where(keep).select("score", "tps", "fps")
-    first = tot.select(F.lit(float("inf")).alias("score"), F.lit(0).cast("bigint").alias("tps"),
+        pts = nb.where(keep).select("grp", "score", "tps", "fps")
+    first = tot.select("grp", F.lit(float("inf")).alias("score"), F.lit(0).cast("bigint").alias("tps"),
                        F.lit(0).cast("bigint").alias("fps"))
-    allp = attach_one_row(pts.select("score", "tps", "fps").unionByName(first), tot)
-    return allp.select(F.col("score").alias("threshold"),
+    allp = pts.select("grp", "score", "tps", "fps").unionByName(first).join(F.broadcast(tot), "grp")   # one row per class
+    return allp.select(F.col("grp").alias("class"), F.col("score").alias("threshold"),
                        F.try_divide("fps", "__N").alias("fpr"), F.try_divide("tps", "__P").alias("tpr"))
 
 
@@ -199,6 +231,71 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", positive
     return pts.unionByName(last)
 
 
+# --------------------------------------------------------------------- one evaluation
+@dataclass
+class ClassificationEvaluation:
+    """Everything about one model's predictions (L20); ``cv`` and ``importances`` are there if asked for."""
+    metrics: DataFrame                        # one row: accuracy ... matthews_corrcoef, roc_auc, log_loss
+    confusion: DataFrame                      # label, prediction, count
+    report: DataFrame                         # class, precision, recall, f1, support
+    roc: DataFrame | None = None              # class, threshold, fpr, tpr
+    cv: DataFrame | None = None               # fold, score
+    importances: DataFrame | None = None      # feature, importance
+
+    def long(self) -> DataFrame:
+        """All parts as ``(section, item, position, value)`` rows."""
+        names = self.metrics.columns
+        parts = [self.metrics.select(F.inline(F.array(*[F.struct(F.lit("metric").alias("section"), F.lit(c).alias("item"),
+                                                                 F.lit("").alias("position"), q(c).cast("double").alias("value"))
+                                                        for c in names])))]
+        parts.append(self.confusion.select(F.lit("confusion").alias("section"), F.col("label").cast("string").alias("item"),
+                                           F.col("prediction").cast("string").alias("position"), F.col("count").cast("double").alias("value")))
+        kinds = ("precision", "recall", "f1", "support")
+        parts.append(self.report.select(F.inline(F.array(*[F.struct(F.lit("report").alias("section"), F.col("class").alias("item"),
+                                                                    F.lit(k).alias("position"), F.col(k).cast("double").alias("value"))
+                                                           for k in kinds]))))
+        if self.roc is not None:
+            at = F.format_string("%.6f", "threshold")
+            parts.append(self.roc.select(F.inline(F.array(*[F.struct(
+                F.lit("roc_" + k).alias("section"), F.col("class").cast("string").alias("item"), at.alias("position"),
+                F.col(k).alias("value")) for k in ("fpr", "tpr")]))))
+        if self.cv is not None:
+            parts.append(self.cv.select(F.lit("cv").alias("section"), F.lit("fold").alias("item"),
+                                        F.col("fold").cast("string").alias("position"), F.col("score").alias("value")))
+        if self.importances is not None:
+            parts.append(self.importances.select(F.lit("importance").alias("section"), F.col("feature").alias("item"),
+                                                 F.lit("").alias("position"), F.col("importance").alias("value")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
+def evaluate_classification(df: DataFrame, label: str = "label", pred: str = "prediction",
+                            probability: str | None = "probability", curves: bool = True) -> ClassificationEvaluation:
+    """Metrics, matrix, report and per-class ROC points of predictions from two passes over them.
+
+    One pass gives counts and summed losses per (label, prediction), the other one positives and negatives per
+    (class, score); everything else reads these two checkpointed tables.  AUC is that of class 1 for two classes and
+    one-vs-rest, weighted by prevalence, for more; without ``probability`` AUC, loss and points are left out.
+    """
+    scored = probability is not None and probability in df.columns
+    pairs = cut_lineage(df.groupBy(q(label).alias("y"), q(pred).alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(_loss(label, probability)) if scored else F.lit(None).cast("double")).alias("loss")))
+    counts = _class_counts(pairs)
+    metrics = _metrics(counts)
+    if not scored:
+        none = F.lit(None).cast("double")
+        return ClassificationEvaluation(metrics.select("*", none.alias("roc_auc"), none.alias("log_loss")), _confusion(pairs),
+                                        _report(counts))
+    table = cut_lineage(_class_scores(df, label, probability))
+    per = cut_lineage(_auc_from_table(table, True))                  # one row per class
+    auc = per.where("grp = 1").agg(F.max("roc_auc").alias("roc_auc")) if per.count() == 2 else _weighted_auc(per)
+    loss = pairs.agg(F.try_divide(F.sum("loss"), F.sum("n")).alias("log_loss"))
+    return ClassificationEvaluation(attach_one_row(attach_one_row(metrics, auc), loss), _confusion(pairs), _report(counts),
+                                    roc_points(table) if curves else None)
+
+
 # --------------------------------------------------------------------- regression
 def regression_metrics(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """One row: r2 (1 on a perfect constant fit, 0 on an imperfect one), mse,

@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import q
 from sparkwright.operators.encode import label_dictionary, as_text
 from sparkwright.functions.columns import attach_one_row
+from sparkwright.session import cut_lineage
 
 
 # --------------------------------------------------------------------- P2
@@ -37,23 +39,35 @@ def add_balance_weights(df: DataFrame, label: str, out: str = "weight") -> DataF
 # --------------------------------------------------------------------- P3
 def anova_f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """One-way ANOVA F statistic of each feature against the class label
-    (between-class over within-class mean squares), from one groupBy."""
+    (between-class over within-class mean squares), from one groupBy.
+
+    Each class gives its count, mean and variance (merged around the mean by the engine), and classes are
+    weighed around the overall mean, so nothing cancels far from zero.
+    """
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(features):
         x = q(c).cast("double")
-        aggs += [F.sum(x).alias(f"__s{i}"), F.sum(x * x).alias(f"__q{i}")]
+        aggs += [F.avg(x).alias(f"__m{i}"), F.var_pop(x).alias(f"__v{i}"), F.count(x).alias(f"__c{i}")]
     per = df.groupBy(q(label)).agg(*aggs)
     tot = [F.sum("__n").alias("N"), F.count(F.lit(1)).alias("K")]
     for i in range(len(features)):
-        tot += [F.sum(f"__s{i}").alias(f"S{i}"), F.sum(f"__q{i}").alias(f"Q{i}"),
-                F.sum(F.col(f"__s{i}") * F.col(f"__s{i}") / F.col("__n")).alias(f"B{i}")]
+        # the spread of class means, weighed by class size, is a variance as well: merge the means themselves
+        tot += [F.sum(F.col(f"__v{i}") * F.col(f"__c{i}")).alias(f"W{i}"),
+                F.sort_array(F.collect_list(F.struct(f"__m{i}", f"__c{i}"))).alias(f"M{i}")]     # one entry per class
     t = per.agg(*tot)
-    structs = []
-    for i, c in enumerate(features):
-        ss_between = F.col(f"B{i}") - F.col(f"S{i}") * F.col(f"S{i}") / F.col("N")
-        ss_within = F.col(f"Q{i}") - F.col(f"B{i}")
-        f = F.try_divide(F.try_divide(ss_between, F.col("K") - 1), F.try_divide(ss_within, F.col("N") - F.col("K")))
-        structs.append(F.struct(F.lit(c).alias("feature"), f.alias("f_score")))
+
+    def between(i: int):
+        mean, size = f"__m{i}", f"__c{i}"
+        means = F.filter(F.col(f"M{i}"), lambda e: e[mean].isNotNull())
+        first = F.element_at(means, 1)[mean]        # sums are taken around one of the means
+        n = F.aggregate(means, F.lit(0.0), lambda a, e: a + e[size])
+        s1 = F.aggregate(means, F.lit(0.0), lambda a, e: a + e[size] * (e[mean] - first))
+        s2 = F.aggregate(means, F.lit(0.0), lambda a, e: a + e[size] * (e[mean] - first) * (e[mean] - first))
+        return F.when(F.size(means) > 0, s2 - s1 * F.try_divide(s1, n))
+
+    structs = [F.struct(F.lit(c).alias("feature"), F.try_divide(
+        F.try_divide(between(i), F.col("K") - 1), F.try_divide(F.col(f"W{i}"), F.col("N") - F.col("K"))).alias("f_score"))
+        for i, c in enumerate(features)]
     return t.select(F.inline(F.array(*structs)))
 
 
@@ -149,10 +163,12 @@ def collinear_to_drop(df: DataFrame, columns: Sequence[str], threshold: float =
 def pca_keep_variance(df: DataFrame, share: float = 0.95, input_col: str = "features",
                       output_col: str = "pca_features"):
     """PCA keeping the fewest components whose explained variance reaches
-    ``share``; returns (model, k, cumulative explained variance)."""
-    from pyspark.ml.feature import PCA
+    ``share``; returns (model, k, cumulative explained variance).  One fit: the
+    model is the full PCA and a slicer of its first k components."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import PCA, VectorSlicer
     d = len(df.select(input_col).first()[0])
-    full = PCA(k=d, inputCol=input_col, outputCol=output_col).fit(df)
+    full = PCA(k=d, inputCol=input_col, outputCol=output_col + "_all").fit(df)
     ev = full.explainedVariance.toArray()
     cum = 0.0
     k = d
@@ -161,8 +177,8 @@ def pca_keep_variance(df: DataFrame, share: float = 0.95, input_col: str = "feat
         if cum >= share - 1e-12:
             k = i + 1
             break
-    model = PCA(k=k, inputCol=input_col, outputCol=output_col).fit(df) if k < d else full
-    return model, k, float(sum(ev[:k]))
+    first = VectorSlicer(inputCol=output_col + "_all", outputCol=output_col, indices=list(range(k)))
+    return PipelineModel(stages=[full, first]), k, float(sum(ev[:k]))
 
 
 # --------------------------------------------------------------------- P14
@@ -185,3 +201,63 @@ def grid_search(estimator, grid: dict, df: DataFrame, folds: int = 3, metric: st
         rows.append((", ".join(f"{p.name}={v}" for p, v in pm.items()), float(score)))
     scores = df.sparkSession.createDataFrame(rows, "params string, score double")
     return model.bestModel, scores
+
+
+def _draw(spec, rng):
+    """A value of a distribution: a list of choices, ``(low, high)`` or ``("log", low, high)``."""
+    if isinstance(spec, list):
+        return spec[int(rng.integers(len(spec)))]
+    if spec[0] == "log":
+        return float(math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2]))))
+    low, high = spec
+    return int(rng.integers(low, high + 1)) if isinstance(low, int) and isinstance(high, int) else float(rng.uniform(low, high))
+
+
+def candidates(distributions: dict, n_iter: int, seed: int = 42) -> list[dict]:
+    """``n_iter`` different parameter sets drawn with a seed; all of them where lists hold no more."""
+    from itertools import product
+    names = sorted(distributions)
+    if all(isinstance(distributions[c], list) for c in names):
+        every = [dict(zip(names, values)) for values in product(*[distributions[c] for c in names])]
+        if len(every) <= n_iter:
+            return every
+    rng = np.random.default_rng(seed)
+    out: list[dict] = []
+    while len(out) < n_iter:
+        one = {c: _draw(distributions[c], rng) for c in names}
+        if one not in out:
+            out.append(one)
+    return out
+
+
+def random_search(name: str, distributions: dict, df: DataFrame, id_cols: Sequence[str], n_iter: int = 10,
+                  folds: int = 3, keep: float = 0.5, seed: int = 42):
+    """Seeded random search over a learner's parameters; poor candidates stop early.
+
+    Candidates are scored fold by fold (accuracy, or R2 for regressors); after each fold but the last, the better
+    share ``keep`` (by mean so far, at least one) goes on.  Returns the best candidate refitted on all of ``df``, its
+    parameters and ``(candidate, params, folds, score)`` of all.
+    """
+    from sparkwright.operators import evaluate as EV
+    from sparkwright.operators import models as M
+    from sparkwright.operators.split import cv_folds, cv_folds_plain
+    spark = df.sparkSession
+    regression = name in M.REGRESSOR_NAMES
+    drawn = candidates(distributions, n_iter, seed)
+    folded = cut_lineage(cv_folds_plain(df, id_cols, folds) if regression else cv_folds(df, id_cols, "label", folds, seed))
+    scores: list[list[float]] = [[] for _ in drawn]
+    alive = list(range(len(drawn)))
+    manager = M.ModelManager(spark)
+    for f in range(folds):
+        train, held = folded.where(F.col("fold") != f).drop("fold"), folded.where(F.col("fold") == f)
+        for i in alive:
+            pred = M.predict(manager.train(name, train, drawn[i]), held)
+            metric = EV.regression_metrics(pred).first()["r2_score"] if regression else EV.classification_metrics(pred).first()["accuracy"]
+            scores[i].append(float(metric))
+        if f < folds - 1:
+            ranked = sorted(alive, key=lambda i: (-sum(scores[i]) / len(scores[i]), i))
+            alive = sorted(ranked[:max(1, math.ceil(keep * len(alive)))])
+    best = min(alive, key=lambda i: (-sum(scores[i]) / len(scores[i]), i))
+    rows = [(i, ", ".join(f"{k}={v}" for k, v in p.items()), len(s), sum(s) / len(s)) for i, (p, s) in enumerate(zip(drawn, scores))]
+    return manager.train(name, df, drawn[best]), drawn[best], \
+        spark.createDataFrame(rows, "candidate int, params string, folds int, score double")

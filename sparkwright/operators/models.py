@@ -537,6 +537,20 @@ def feature_importances(model, feature_names: Sequence[str], top: int = 10) -> D
     return df.orderBy(F.desc("importance"), "feature").limit(top)
 
 
+def evaluate_model(name: str, model, test: DataFrame, id_cols: Sequence[str], params: dict | None = None,
+                   feature_names: Sequence[str] | None = None, cv: bool = True):
+    """The whole evaluation of a fitted classifier on a test set, with cross-validated accuracies on the same
+    set (more than 10 rows) and, for learners that have them, feature importances."""
+    from sparkwright.operators import evaluate as EV
+    pred = predict(model, test)
+    out = EV.evaluate_classification(pred, probability="probability" if "probability" in pred.columns else None)
+    if cv:
+        out.cv = cross_validate(name, test, id_cols, params=params)
+    if feature_names is not None:
+        out.importances = feature_importances(model, feature_names, len(feature_names))
+    return out
+
+
 def cross_validate(name: str, df: DataFrame, id_cols: Sequence[str], k: int | None = None,
                    params: dict | None = None, scoring: str | None = None, stratified: bool | None = None,
                    order_by: Sequence[str] | None = None) -> DataFrame:

@@ -317,6 +317,40 @@ def q_evaluate_classification(spark, d):
     return round_doubles(out)
 
 
+def _roc_per_class_sql():
+    src = _src(MC)
+    ex = " UNION ALL ".join(f"SELECT {k} AS c, CAST(label = {k} AS INTEGER) AS label, CAST(p{k} AS DOUBLE) AS score FROM {src}"
+                            for k in range(3))
+    w = "PARTITION BY c ORDER BY score DESC"
+    return (f"(WITH t AS (SELECT c, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg "
+            f"FROM ({ex}) GROUP BY 1, 2), "
+            f"s AS (SELECT c, score, sum(pos) OVER ({w} ROWS UNBOUNDED PRECEDING) AS tps, sum(neg) OVER ({w} ROWS UNBOUNDED "
+            f"PRECEDING) AS fps FROM t), "
+            f"n AS (SELECT *, lag(tps) OVER ({w}) AS tp0, lead(tps) OVER ({w}) AS tp1, lag(fps) OVER ({w}) AS fp0, "
+            f"lead(fps) OVER ({w}) AS fp1 FROM s), "
+            f"k AS (SELECT c, score, tps, fps FROM n WHERE tp0 IS NULL OR tp1 IS NULL OR tp1 - 2 * tps + tp0 <> 0 OR "
+            f"fp1 - 2 * fps + fp0 <> 0 UNION ALL SELECT DISTINCT c, 'inf'::DOUBLE, 0, 0 FROM t), "
+            f"tot AS (SELECT c, CAST(sum(pos) AS DOUBLE) AS P, CAST(sum(neg) AS DOUBLE) AS N FROM t GROUP BY c) "
+            f"SELECT CAST(c AS VARCHAR) AS item, CASE WHEN isinf(score) THEN 'Infinity' ELSE printf('%.6f', score) END AS position, "
+            f"fps / N AS fpr, tps / P AS tpr FROM k JOIN tot USING (c))")
+
+
+_MC_METRICS = ["accuracy", "precision", "recall", "f1_score", "cohen_kappa", "matthews_corrcoef", "roc_auc", "log_loss"]
+_FULL_SQL = " UNION ALL ".join([
+    *[f"SELECT 'metric' AS section, '{m}' AS item, '' AS position, CAST({m} AS DOUBLE) AS value FROM "
+      f"(SELECT m.*, o.roc_auc, l.log_loss FROM ({_CLS_MC}) m, ({_ovr_sql()}) o, ({_logloss_sql()}) l)" for m in _MC_METRICS],
+    f"SELECT 'confusion', CAST(a.c AS VARCHAR), CAST(o.c AS VARCHAR), CAST((SELECT count(*) FROM {_src(MC)} WHERE label = a.c "
+    f"AND prediction = o.c) AS DOUBLE) FROM (VALUES (0), (1), (2)) a(c), (VALUES (0), (1), (2)) o(c)",
+    *[f"SELECT 'report', class, '{k}', CAST({k} AS DOUBLE) FROM ({_report_sql(_src(MC))})" for k in ("precision", "recall", "f1", "support")],
+    *[f"SELECT 'roc_{k}', item, position, {r(k)} FROM {_roc_per_class_sql()}" for k in ("fpr", "tpr")]])
+
+
+@register("evaluate_full", _FULL_SQL)
+def q_evaluate_full(spark, d):
+    """Metrics, matrix, report and the ROC points of every class from one evaluation."""
+    return round_doubles(EV.evaluate_classification(_mc_prob(spark, d)).long())
+
+
 # ===================================================================== K25 / top-k report
 _TOPK_KEY = [*KEY, "l_extendedprice"]      # unique row key of lineitem
 

@@ -129,3 +129,12 @@ def q_grid_search(spark, d):
     data = embedding_frame(spark, d).where(F.col("split") == "train").drop("split")
     _, scores = FE.grid_search(LogisticRegression(maxIter=1000), {"regParam": [0.0, 0.01, 0.1]}, data, folds=3)
     return round_doubles(scores)
+
+
+@register("random_search")
+def q_random_search(spark, d):
+    """Six seeded draws of a decision tree's depth and leaf size on the train embeddings, poor ones stopped early."""
+    from sparkwright.plans.q_models import embedding_frame
+    data = embedding_frame(spark, d).where(F.col("split") == "train").drop("split")
+    _, _, scores = FE.random_search("Decision Tree", {"max_depth": (2, 12), "min_samples_leaf": [1, 5, 20]}, data, ["vec_id"], 6)
+    return round_doubles(scores)
