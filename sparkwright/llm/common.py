@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from sparkwright.functions.columns import q
+from sparkwright.session import checkpoint_dir, scratch_path, ship_package
 
-from sparkwright.session import checkpoint_dir, ship_package
+__all__ = ["boxed", "prepared", "scratch_path", "text_bytes", "unboxed"]
 
 
 def prepared(df: DataFrame) -> DataFrame:
@@ -16,9 +18,14 @@ def prepared(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def boxed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct column ``row``, so that no name of its own meets an operator's."""
+    return docs.select(F.struct(*[q(c) for c in docs.columns]).alias("row"))
+
+
+def unboxed(rows: DataFrame, names: list[str], **changed) -> DataFrame:
+    """The columns ``names`` of ``row``, some of them changed."""
+    return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in names])
 
 
 def text_bytes(value: str | None) -> bytes:

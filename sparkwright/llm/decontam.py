@@ -20,11 +20,12 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.common import prepared, text_bytes
+from sparkwright.llm.common import boxed, prepared, scratch_path, text_bytes
 
 BLOCK_BYTES = 32 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -60,36 +61,82 @@ def _windows(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 class GramSet:
-    """The n-grams of some benchmark items, looked up by hash and verified by their words."""
+    """The n-grams of some benchmark items, looked up by hash and verified by their words.
+
+    The items' words stand once in one byte buffer; a gram is a hash, the number of its first word and the numbers of
+    its items, in flat arrays (about six bytes per character of the items altogether).
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        grams: dict[tuple[bytes, ...], set[str]] = {}
-        for item_id, text in items:
-            words = words_of(text)
+        self.names = sorted({i for i, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        text, places, first = bytearray(), [], 0          # a place per word, and one behind each item's last
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for item_id, value in items:
+            words = words_of(value)
+            if not words:
+                continue
+            ends = np.cumsum([len(w) + 1 for w in words])
+            places.append(np.concatenate([[0], ends]) + len(text))
+            text += b" ".join(words) + b" "
             size = min(n, len(words))
-            for k in range(len(words) - size + 1 if size else 0):
-                grams.setdefault(tuple(words[k:k + size]), set()).add(item_id)
-        self.by_size: dict[int, tuple[np.ndarray, dict[tuple[bytes, ...], set[str]]]] = {}
-        for size in sorted({len(g) for g in grams}):
-            own = {g: ids for g, ids in grams.items() if len(g) == size}
-            hashes = np.unique(np.array([int(_windows(_codes(list(g)), size)[0]) for g in own], dtype=np.uint64))
-            self.by_size[size] = hashes, own
+            hashes = _windows(_codes(words), size)
+            found.setdefault(size, []).append((hashes, np.arange(len(hashes)) + first,
+                                               np.full(len(hashes), number[item_id], dtype=np.int32)))
+            first += len(words) + 1
+        self.text = bytes(text)
+        kind = np.uint32 if len(text) < 2 ** 32 else np.int64
+        self.places = np.concatenate(places).astype(kind) if places else np.zeros(0, dtype=kind)
+        self.by_size = {size: self._table(size, *map(np.concatenate, zip(*parts))) for size, parts in sorted(found.items())}
+
+    def _words(self, at: int, size: int) -> bytes:
+        return self.text[self.places[at]:self.places[at + size] - 1]
+
+    def _table(self, size: int, hashes: np.ndarray, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sorted hashes of the different grams, a place of each, and their items (``items[cut[k]:cut[k + 1]]``)."""
+        order = np.lexsort((at, hashes))
+        hashes, at, item = hashes[order], at[order], item[order]
+        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        lengths = np.diff(np.append(starts, len(hashes)))
+        group = np.repeat(np.arange(len(starts)), lengths)
+        for k in np.flatnonzero(lengths > 1):              # equal hashes: the words decide
+            run = slice(starts[k], starts[k] + lengths[k])
+            words = [self._words(int(a), size) for a in at[run]]
+            if len(set(words)) > 1:
+                ranks = {w: r for r, w in enumerate(dict.fromkeys(words))}
+                sub = np.argsort([ranks[w] for w in words], kind="stable")
+                at[run], item[run] = at[run][sub], item[run][sub]
+                split = np.sort([ranks[w] for w in words])
+                group[run] = -(k + 1) * len(hashes) - split
+        # one entry per (gram, item): grams keep the order of their hashes
+        new = np.append(True, group[1:] != group[:-1])
+        gram = np.cumsum(new) - 1
+        pairs = np.unique(gram.astype(np.int64) * len(self.names) + item)
+        cut = np.searchsorted(pairs // len(self.names), np.arange(int(gram[-1]) + 2))
+        return hashes[new], at[new].astype(np.uint32 if len(self.places) < 2 ** 32 else np.int64), \
+            cut.astype(np.uint32), (pairs % len(self.names)).astype(np.int32)
+
+    def nbytes(self) -> int:
+        return len(self.text) + self.places.nbytes + sum(a.nbytes for t in self.by_size.values() for a in t)
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans of all verified windows, and the items they come from."""
         spans, items = [], set()
         codes = _codes(words)
-        for size, (hashes, own) in self.by_size.items():
+        for size, (hashes, at, cut, own) in self.by_size.items():
             seen = _windows(codes, size)
             if not len(seen):
                 continue
-            at = np.minimum(np.searchsorted(hashes, seen), len(hashes) - 1)
-            for k in np.flatnonzero(hashes[at] == seen).tolist():
-                found = own.get(tuple(words[k:k + size]))
-                if found:
-                    spans.append((k, k + size))
-                    items |= found
-        return spans, items
+            place = np.searchsorted(hashes, seen)
+            for k in np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == seen).tolist():
+                gram, j = b" ".join(words[k:k + size]), int(place[k])
+                while j < len(hashes) and hashes[j] == seen[k]:
+                    if self._words(int(at[j]), size) == gram:
+                        spans.append((k, k + size))
+                        items.update(own[cut[j]:cut[j + 1]].tolist())
+                        break
+                    j += 1
+        return spans, {self.names[k] for k in items}
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -130,7 +177,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield block
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], n: int, clean: bool) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str, str]], n: int, clean: bool) -> tuple[DataFrame, Broadcast]:
+    """Hits of one block, and the broadcast that the scan reads."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     key = uuid.uuid4().hex
 
@@ -153,7 +201,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], n: int, clean: bool) ->
                     pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()),
                     pa.string()])], names=HITS.names)
 
-    return docs.mapInArrow(rows, HITS)
+    return docs.mapInArrow(rows, HITS), shared
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -174,11 +222,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     first = list(islice(blocks, 2))
     if len(first) < 2:
-        hits = _scan(own, first[0] if first else [], n, clean)
+        hits, _ = _scan(own, first[0] if first else [], n, clean)
     else:
         own, found = _row_hits(own, "text", chain(first, blocks), n)
         text = _cut("text", "starts", "ends") if clean else F.lit(None).cast("string")
-        hits = own.join(found, "__rid").select("doc_id", "n_words", "starts", "ends", "items", text.alias("text"))
+        hits = own.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).join(found, "rid") \
+            .select("doc_id", "n_words", "starts", "ends", "items", text.alias("text"))
     covered = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return hits.select(
         "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -193,47 +242,55 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     A row with more than ``most`` of its words inside hit windows goes; from the
     others the spans are cut out.  Rows are judged one by one whatever their
-    ``id_col`` holds.
+    ``id_col`` holds.  Null and empty texts stay as they are, and an empty table or
+    benchmark changes nothing.
     """
     at = docs.columns.index(text_col)
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     first = list(islice(blocks, 2))
     if len(first) > 1:
-        docs_in, found = _row_hits(prepared(docs), text_col, chain(first, blocks), n)
-        docs_in = docs_in.join(found, "__rid").select(*docs.columns, F.col("starts").alias("__starts"),
-                                                      F.col("ends").alias("__ends"))
-        shared = None
+        rows_in, found = _row_hits(prepared(docs), text_col, chain(first, blocks), n)
+        docs_in, shared = rows_in.join(found, "rid").select("row", "starts", "ends"), None
     else:
         docs_in, shared = prepared(docs), docs.sparkSession.sparkContext.broadcast(first[0] if first else [])
-    key, width = uuid.uuid4().hex, len(docs.columns)
+    key, names = uuid.uuid4().hex, docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared is not None and key not in _SETS:
             _SETS.clear()
             _SETS[key] = GramSet(shared.value, n)
         for batch in batches:
+            columns = list(batch.columns) if shared is not None else batch.column(0).flatten()
             keep, texts = [], []
-            for k, value in enumerate(batch.column(at)):
+            for k, value in enumerate(columns[at]):
                 text = value.as_py()
                 words = words_of(text)
                 spans = _merged(_SETS[key].hits(words)[0]) if shared is not None else \
-                    list(zip(batch.column(width)[k].as_py(), batch.column(width + 1)[k].as_py()))
+                    list(zip(batch.column(1)[k].as_py(), batch.column(2)[k].as_py()))
                 keep.append(sum(b - a for a, b in spans) <= most * len(words))
                 texts.append(_without(text, spans))
-            columns = list(batch.columns)[:width]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     return docs_in.mapInArrow(rows, docs.schema)
 
 
 def _row_hits(docs: DataFrame, text_col: str, blocks: Iterable[list[tuple[str, str]]],
               n: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a row number ``__rid``, fixed by a checkpoint, and the hits of all blocks per row number."""
-    docs = docs.withColumn("__rid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    own = docs.select(F.col("__rid").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = _union_hits([_scan(own, items, n, False) for items in blocks])
-    return docs, hits.select(F.col("doc_id").alias("__rid"), "n_words", "starts", "ends", "items")
+    """Rows as structs with a number ``rid``, fixed by a checkpoint, and the hits of all blocks per number.
+
+    A block's hits are written before the next block is read, so one block at a time is on the driver and the workers.
+    """
+    spark = docs.sparkSession
+    rows = boxed(docs).withColumn("rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    own = rows.select(F.col("rid").alias("doc_id"), F.col("row").getField(text_col).cast("string").alias("text"))
+    path = scratch_path(spark, "block-hits")
+    for items in blocks:
+        hits, shared = _scan(own, items, n, False)
+        hits.write.mode("append").parquet(path)
+        shared.unpersist()
+    merged = _merged_hits(spark.read.schema(HITS).parquet(path))
+    return rows, merged.select(F.col("doc_id").alias("rid"), "n_words", "starts", "ends", "items")
 
 
 def _cut(text: str, starts: str, ends: str) -> Column:
@@ -246,17 +303,15 @@ def _cut(text: str, starts: str, ends: str) -> Column:
     return cut(text, starts, ends)
 
 
-def _union_hits(scans: list[DataFrame]) -> DataFrame:
-    """Hits of several blocks, merged per document."""
-    from functools import reduce
-
+def _merged_hits(hits: DataFrame) -> DataFrame:
+    """Hits of several blocks, merged per row."""
     @F.pandas_udf("struct<starts:array<long>,ends:array<long>>")
     def merge(starts, ends):
         import pandas as pd
         merged = [_merged(list(zip(chain.from_iterable(s), chain.from_iterable(e)))) for s, e in zip(starts, ends)]
         return pd.DataFrame({"starts": [[a for a, _ in m] for m in merged], "ends": [[b for _, b in m] for m in merged]})
 
-    return reduce(DataFrame.unionByName, scans).groupBy("doc_id") \
+    return hits.groupBy("doc_id") \
         .agg(F.max("n_words").alias("n_words"), F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e"),
              F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")) \
         .withColumn("m", merge("s", "e")) \

@@ -7,8 +7,9 @@ the encodings is scored by a logistic unit.  All parameters are learned
 together by gradient descent on the labels of whole documents.
 
 Scale: training uses at most ``TRAIN_DOCS`` labelled documents (those with the
-smallest id hashes), a documented bound, so the model and what reaches the
-driver have a fixed size.  Scoring is one scan of the documents without a shuffle.
+smallest id hashes) and at most ``TRAIN_PASSAGES`` passages of them, documented
+bounds, so the model and what reaches the driver have a fixed size; a document that
+would exceed the second bound is left out whole, and the next one is asked.  Scoring is one scan of the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ PASSAGE = 64                  # words
 WORD_SLOTS, SHAPE_SLOTS, RATIOS = 192, 64, 7
 WIDTH = WORD_SLOTS + SHAPE_SLOTS + RATIOS
 TRAIN_DOCS = 2500
+TRAIN_PASSAGES = 150_000       # of these documents, about 160 MB as float32 on the driver
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 120, 0.02, 1e-3
 FOLDS, THRESHOLD = 5, 0.3
 _MEMO = 300_000
@@ -161,7 +163,8 @@ def fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def _training_bags(docs: DataFrame, labels: DataFrame, train_docs: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _training_bags(docs: DataFrame, labels: DataFrame, train_docs: int,
+                   train_passages: int) -> tuple[list[np.ndarray], np.ndarray]:
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
         .agg(F.max("quality").cast("int").alias("quality")).where(fold(F.col("doc_id")) != 0)
     # at most train_docs rows of two numbers
@@ -178,14 +181,21 @@ def _training_bags(docs: DataFrame, labels: DataFrame, train_docs: int) -> tuple
 
     names = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
     found = docs.join(F.broadcast(names), "doc_id", "left_semi").dropDuplicates(["doc_id"]) \
-        .select("doc_id", "text").mapInArrow(rows, _PASSAGES)
-    found = sorted((r["doc_id"], r["x"]) for r in found.collect())
+        .select("doc_id", "text").mapInArrow(rows, _PASSAGES).checkpoint(eager=True)
+    sizes = {r["doc_id"]: r["n"] // (2 * WIDTH) for r in found.select("doc_id", F.octet_length("x").alias("n")).collect()}
+    taken, held = [], 0
+    for i in chosen:             # in the order of the hashes
+        if i in sizes and held + sizes[i] <= train_passages:
+            taken.append((i,))
+            held += sizes[i]
+    names = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    found = sorted((r["doc_id"], r["x"]) for r in found.join(F.broadcast(names), "doc_id", "left_semi").collect())
     bags = [np.frombuffer(x, "<f2").reshape(-1, WIDTH).astype(np.float32) for _, x in found]
     return bags, np.array([chosen[i] for i, _ in found])
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-             train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+             train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES, threshold: float = THRESHOLD) -> DataFrame:
     """Quality of whole texts; one row per document row: doc_id, held_out, score, predicted.
 
     ``score`` (0 to 1) is the chance that the label is 1, from the text alone;
@@ -199,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     extra columns are ignored.
     """
     own = prepared(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    model = _broadcast_model(own, labels, train_docs)
+    model = _broadcast_model(own, labels, train_docs, train_passages)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,10 +222,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-              train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score reaches ``threshold`` (see ``classify``)."""
+              train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score reaches ``threshold`` (see ``classify``).
+
+    Null and empty texts are scored like any other; null ids and repeated rows are judged row by row; an empty
+    table gives no rows.
+    """
     own = prepared(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    model = _broadcast_model(own, labels, train_docs)
+    model = _broadcast_model(own, labels, train_docs, train_passages)
     at = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +239,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     return docs.mapInArrow(rows, docs.schema)
 
 
-def _broadcast_model(own: DataFrame, labels: DataFrame, train_docs: int):
+def _broadcast_model(own: DataFrame, labels: DataFrame, train_docs: int, train_passages: int):
     """The trained model, broadcast (it has a fixed number of parameters)."""
-    return own.sparkSession.sparkContext.broadcast(train(*_training_bags(own, labels, train_docs)))
+    return own.sparkSession.sparkContext.broadcast(train(*_training_bags(own, labels, train_docs, train_passages)))
 
 
 def _batch_scores(model: Model, texts: pa.Array) -> np.ndarray:

@@ -148,9 +148,22 @@ class Packer:
             room -= (take, 1, piece.loss_in(piece.start, piece.start + take))
             offset += self._put(piece, piece.start + take, sequence, offset)
             live[i] = False
+        if offset < tokens:       # another limit ended it: give back what lies beyond a power of two, which needs no padding
+            offset = self._trim(offset, 1 << (offset.bit_length() - 1))
         self.pool = [p for p in self.pool if p.start < p.end]
         return offset
 
+    def _trim(self, offset: int, target: int) -> int:
+        """Give the last sequence's tokens beyond ``target`` back to their pieces."""
+        while offset > target:
+            piece, start, end, sequence, at = self.out.pop()
+            keep = max(0, end - start - (offset - target))
+            offset -= end - start - keep
+            piece.start = start + keep
+            if keep:
+                self.out.append((piece, start, start + keep, sequence, at))
+        return target
+
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None,
          tokenizer_file: str | None = None, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import prepared
+from sparkwright.llm.common import boxed, prepared, unboxed
 
 CONTEXT = 24                  # characters kept on either side of a candidate
 TRAIN_ROWS = 20_000
@@ -228,20 +228,21 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every accepted span of its text replaced by its kind, as in ``[EMAIL]``.
 
-    Overlapping spans become one.  Null texts stay null, and all other columns
-    and rows stay as they are (repeated texts are judged once).
+    Overlapping spans become one.  Null texts stay null, empty ones empty, and all other
+    columns and rows stay as they are (repeated texts are judged once).  An empty table
+    gives no rows.
     """
-    key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    rows = prepared(docs).select(key.alias("rid"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = candidates(rows).dropDuplicates(["rid", "kind", "nth"])
+    own = boxed(prepared(docs)).withColumn("text", F.col("row").getField(text_col).cast("string")) \
+        .withColumn("rid", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = candidates(own.select("rid", F.lit(None).cast("long").alias("doc_id"), "text")).dropDuplicates(["rid", "kind", "nth"])
     cuts = spans(found).where("kind IS NOT NULL AND end > reach") \
-        .groupBy(F.col("rid").alias("__key")).agg(F.sort_array(F.collect_list(F.struct(
-            F.greatest("start", "reach").alias("start"), "end", "reach", "kind"))).alias("__cuts"))
-    text = F.col(text_col)
-    parts = F.transform("__cuts", lambda c: F.concat(
+        .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
+            F.greatest("start", "reach").alias("start"), "end", "reach", "kind"))).alias("cuts"))
+    text = F.col("text")
+    parts = F.transform("cuts", lambda c: F.concat(
         text.substr(c["reach"].cast("int") + 1, (c["start"] - c["reach"]).cast("int")),
         F.lit("["), F.upper(c["kind"]), F.lit("]")))
-    last = F.element_at(F.col("__cuts"), -1)["end"].cast("int")
+    last = F.element_at(F.col("cuts"), -1)["end"].cast("int")
     clean = F.concat(F.array_join(parts, ""), text.substr(last + 1, F.length(text)))
-    joined = docs.withColumn("__key", key).join(cuts, "__key", "left")
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(clean)).select(*docs.columns)
+    joined = own.join(cuts, "rid", "left")
+    return unboxed(joined, docs.columns, **{text_col: F.when(F.col("cuts").isNull(), F.col("row").getField(text_col)).otherwise(clean)})

@@ -88,7 +88,8 @@ def feature_columns() -> list:
     def per(top, bottom):
         return F.col(top).cast("double") / F.greatest(F.col(bottom), F.lit(1))
     return [per("n_symbols", "n_chars").alias("symbol_share"), per("n_symbols", "n_words").alias("word_symbols"),
-            per("word_chars", "n_words").alias("mean_word"), per("n_repeat_words", "n_words").alias("repeat_share")]
+            per("word_chars", "n_words").alias("mean_word"), per("n_repeat_words", "n_words").alias("repeat_share"),
+            per("n_dup_lines", "n_words").alias("dup_lines"), F.log1p(F.col("n_chars").cast("double")).alias("log_chars")]
 
 
 def _mean_path(n: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwright.llm.common import prepared, text_bytes
+from sparkwright.llm.common import boxed, prepared, text_bytes, unboxed
 
 BITS = 64
 SEED = 42
@@ -211,23 +211,35 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              radius: int = 2) -> DataFrame:
     """One row of each group of near duplicates, all columns as they are: the one with the smallest id.
 
-    Equal rows with that id stay once.  Rows without an id go if their group has a
-    named one; otherwise one of the group stays.
+    Null ids count as larger than all others.  Of several rows with the smallest id, those with the smallest
+    fingerprint come first and the smallest text hash decides, so exactly one row of a group stays, also where one
+    id stands for several texts or rows are repeated.  Null and empty texts are one group (with all texts near
+    them); an empty table gives no rows.
     """
     judged = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius) \
         .checkpoint(eager=True)
-    stay = judged.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    nameless = judged.where("component_id IS NULL").select("fingerprint", "group").distinct()
-    unnamed = docs.where(F.col(id_col).isNull())
-    at = unnamed.columns.index(text_col)
+    lead = judged.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")).alias("l")) \
+        .select("group", F.col("l.doc_id").alias("id"), F.col("l.fingerprint").alias("fp"))
+    often = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    # most ids stand for one row, and the id alone names it
+    own = boxed(docs).withColumn("id", F.col("row").getField(id_col).cast("long"))
+    sole = own.join(lead.where("id IS NOT NULL").join(often, "id", "left_anti").select("id"), "id", "left_semi")
+    # rows without an id, or with one that stands more than once, are told apart by their fingerprints
+    unsure = lead.where("id IS NULL").unionByName(lead.join(often, "id", "left_semi").select(*lead.columns)) \
+        .withColumnRenamed("id", "lead_id").checkpoint(eager=True)
+    ids = unsure.select("lead_id").distinct()
+    rest = own.join(ids, F.col("id").eqNullSafe(F.col("lead_id")), "left_semi") \
+        .select("id", "row", F.col("row").getField(text_col).cast("string").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [f"{fingerprint(t.as_py(), shingle):016x}" for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.string())],
-                                             names=[*batch.schema.names, "fingerprint"])
-
-    schema = T.StructType([*unnamed.schema.fields, T.StructField("fingerprint", T.StringType())])
-    unnamed = unnamed.mapInArrow(rows, schema).join(nameless, "fingerprint").dropDuplicates(["group"])
-    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
+            fps = [f"{fingerprint(t.as_py(), shingle):016x}" for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.string())], names=["id", "row", "fp"])
+
+    schema = T.StructType([rest.schema["id"], rest.schema["row"], T.StructField("fp", T.StringType())])
+    told = rest.mapInArrow(rows, schema).withColumnRenamed("fp", "own_fp")
+    chosen = told.join(unsure, F.col("id").eqNullSafe(F.col("lead_id")) & (F.col("own_fp") == F.col("fp"))) \
+        .groupBy("group").agg(F.min_by("row", F.struct(F.xxhash64(F.col("row").getField(text_col)),
+                                                       F.col("row").getField(text_col)))
+                              .alias("row"))
+    return unboxed(sole.select("row").unionByName(chosen.select("row")), docs.columns)

@@ -74,3 +74,23 @@ def test_odd_rows_in_many_blocks(spark, odd):
         want = sorted(map(str, run().collect()))
         assert sorted(map(str, run(block_bytes=1).collect())) == want
         assert any("doc_id=None" in r for r in want) and sum("see: " in r for r in want) <= 1
+
+
+def test_set_is_compact_and_right_for_hot_grams_and_equal_hashes(monkeypatch):
+    import random
+    rng = random.Random(1)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    same = " ".join(names[:30])
+    items = [(str(k), " ".join(rng.choice(names) for _ in range(200)) + " " + same) for k in range(300)]
+    grams = decontam.GramSet(items, 10)
+    chars = sum(len(t) for _, t in items)
+    assert grams.nbytes() < 10 * chars
+    spans, found = grams.hits(decontam.words_of("x " + same + " y"))
+    assert len(found) == 300 and decontam._merged(spans) == [(1, 31)]
+    text = decontam.words_of(items[7][1])
+    assert decontam._merged(grams.hits(text)[0]) == [(0, 230)] and "7" in grams.hits(text)[1]
+    assert decontam.GramSet([("1", None), ("2", "")], 10).hits(text) == ([], set())
+    # every window has the same hash: words alone decide
+    monkeypatch.setattr(decontam, "_windows", lambda codes, n: __import__("numpy").zeros(max(len(codes) - n + 1, 0), dtype="uint64"))
+    few = decontam.GramSet([("a", "one two three"), ("b", "two three four"), ("c", "one two three"), ("d", "x")], 3)
+    assert few.hits([b"one", b"two", b"three", b"four"]) == ([(0, 3), (1, 4)], {"a", "b", "c"})

@@ -63,3 +63,12 @@ def test_gradients_match_differences():
             down = loss()
             flat[k] = old
             assert abs((up - down) / 2e-5 - g.reshape(-1)[k]) < 1e-6, name
+
+
+def test_training_passages_are_bounded(spark, sample):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = sample.select("doc_id", "text")
+    whole, _ = mil._training_bags(docs, labels, 100, 10 ** 6)
+    few, y = mil._training_bags(docs, labels, 100, 40)
+    assert sum(map(len, whole)) > 40 >= sum(map(len, few)) > 0 and len(few) == len(y)
+    assert mil._training_bags(docs, labels, 100, 0)[0] == []

@@ -49,15 +49,54 @@ def test_near_duplicates(stages):
     assert kept.count() < docs.count()
 
 
-def test_near_duplicates_of_odd_rows(odd):
-    kept = simhash.keep_one(odd.select("doc_id", "text", "fp", "n"))
-    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
-    named = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    groups = brute_components([(i, brute_fingerprint(t)) for i, t in named])
-    stay = {d for d, _, c in groups if d == c and d is not None}
-    want = {x for x in named if x[0] in stay} | {x for x in named if x[0] is None}
-    assert got == sorted(want, key=str)
-    assert rows(simhash.keep_one(odd.limit(0))) == []
+NAMES = ["fingerprint", "group", "__rid", "__key", "__cuts", "doc", "rid", "id", "row", "starts", "text_sha256", "fp"]
+
+
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The odd rows with extra columns named like columns of the operators."""
+    from pyspark.sql import functions as F
+    return odd.select("doc_id", "text", "lang", "source", "n_chars", *[
+        (F.lit(k) if k % 2 else F.lit(f"v{k}")).alias(n) for k, n in enumerate(NAMES)])
+
+
+def test_near_duplicates_of_odd_rows(spark, clashing):
+    """One row per group: repeated rows, one id with two texts, rows without ids, clashing columns."""
+    extra = spark.createDataFrame([(1, "T one two three four five"), (5, "T one two three four five"), (5, "U another text altogether here"),
+                                   (None, "U another text altogether here"), (None, "only without an id at all"), (None, "only without an id at all")],
+                                  "doc_id long, text string")
+    docs = clashing.unionByName(extra, allowMissingColumns=True)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    groups, members = {}, [(r["doc_id"], r["text"]) for r in docs.collect()]
+    judged = simhash.near_duplicates(docs.select("doc_id", "text")).collect()
+    by_fp = {r["fingerprint"]: r["group"] for r in judged}
+    for i, t in members:
+        fp = f"{brute_fingerprint(t):016x}" if isinstance(brute_fingerprint(t), int) else brute_fingerprint(t)
+        groups.setdefault(by_fp[fp], []).append((i is None, i, fp, t))
+    got = {}
+    for r in kept.collect():
+        fp = brute_fingerprint(r["text"])
+        got.setdefault(by_fp[f"{fp:016x}" if isinstance(fp, int) else fp], []).append((r["doc_id"], r["text"]))
+    assert set(got) == set(groups) and all(len(v) == 1 for v in got.values())
+    for g, own in groups.items():
+        lead = min((m[:3] for m in own), key=lambda m: (m[0], m[1] or 0, m[2]))
+        assert got[g][0] in {(m[1], m[3]) for m in own if m[:3] == lead}
+    assert rows(simhash.keep_one(docs.limit(0))) == []
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 25])
+def test_stages_leave_clashing_columns_alone(spark, clashing, block_bytes):
+    """Every filtering stage over odd rows whose other columns have the operators' names, in one and many blocks."""
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog the quick brown fox"), (2, "p"), (3, "東京")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    plain = clashing.select("doc_id", "text", "lang", "source", "n_chars")
+    for stage in (lambda d: decontam.remove_leaks(d, items, block_bytes=block_bytes), pii.redact, lambda d: mil.keep_good(d, labels)):
+        out = stage(clashing)
+        assert out.columns == clashing.columns
+        for k, n in enumerate(NAMES):
+            assert {r[n] for r in out.select(n).distinct().collect()} <= {k if k % 2 else f"v{k}"}
+        assert rows(out.select(*plain.columns)) == rows(stage(plain)) and rows(stage(clashing.limit(0))) == []
 
 
 def test_decontamination(spark, stages):

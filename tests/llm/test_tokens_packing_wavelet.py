@@ -81,3 +81,18 @@ def test_wavelet_shards_round_trip(odd, sample, whole, shard_tokens):
 
 def test_wavelet_shards_of_an_empty_table(spark):
     assert wavelet.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_pieces_need_no_padding():
+    """Sequences that the number of segments ends, not their tokens, still have lengths that are powers of two."""
+    for limits, loss in ((packing.Limits(), None), (packing.Limits(2048, 7, 2048), None), (packing.Limits(2048, 256, 100), 2)):
+        packer = packing.Packer(limits)
+        for i in range(600):
+            packer.add(i, bytes(4 * 3), loss)
+        packer.finish()
+        sizes, seen = {}, {}
+        for piece, start, end, sequence, offset in packer.out:
+            assert offset == sizes.get(sequence, 0) and start == seen.get(piece.doc_id, 0)
+            sizes[sequence], seen[piece.doc_id] = offset + end - start, end
+        assert set(seen.values()) == {3} and len(seen) == 600
+        assert all(n & (n - 1) == 0 for n in sizes.values())
