@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions.columns import numeric_columns, q, quantile_set
 from sparkwright.operators import ordered
-from sparkwright.operators.profile import mode_frame
+from sparkwright.operators.profile import mode_table
 
 UNKNOWN = "Unknown"   # fill for a text column without any value (fixed value)
 AUTO_DROP_BELOW = 0.05
@@ -56,19 +56,10 @@ def column_medians(df: DataFrame, columns: Sequence[str], exact: bool | None = N
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Mode per column (smallest value on ties; null without values), all columns in one job.
-
-    Values travel as text beside a number that orders numeric ones; counts are combined in the map tasks.
-    """
+    """Mode per column (smallest value on ties; null without values), all columns in one job."""
     if not columns:
         return {}
-    numeric = set(numeric_columns(df))
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("v"),
-                               (q(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("o"))
-                      for i, c in enumerate(columns)])
-    counts = df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("i", "v", "o").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), "o", "v")).alias("m"))   # one row per column
-    found = {r["i"]: r["v"] for r in best.select("i", "m.v").collect()}
+    found = {r["i"]: r["v"] for r in mode_table(df, columns).collect()}      # one row per column
     kinds = [df.schema[c].dataType for c in columns]
     row = df.sparkSession.range(1).select(*[F.lit(found.get(i)).cast(k).alias(f"c{i}") for i, k in enumerate(kinds)]).first()
     return {c: row[f"c{i}"] for i, c in enumerate(columns)}

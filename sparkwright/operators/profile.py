@@ -217,20 +217,28 @@ def mode_frame(df: DataFrame, column: str) -> DataFrame:
     return best.select(F.col("m.v").alias("mode"))
 
 
+def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(i, v, o)``: the mode of each column (by number) as text and, if numeric, as a double; smallest value on ties.
+
+    All columns in one pass: values travel as text beside a number that orders numeric ones, and counts are combined in
+    the map tasks.  Columns without values give no row.
+    """
+    numeric = set(numeric_columns(df))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("v"),
+                               (q(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("o"))
+                      for i, c in enumerate(columns)])
+    counts = df.select(F.inline(pairs)).where("v IS NOT NULL").groupBy("i", "v", "o").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), "o", "v")).alias("m"))   # one row per column
+    return best.select("i", "m.v", "m.o")
+
+
 def mode_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long format ``column_name, mode_text, mode_number`` for the given columns."""
-    parts = []
-    for c in columns:
-        m = mode_frame(df, c)
-        numeric = c in numeric_columns(df)
-        parts.append(m.select(
-            F.lit(c).alias("column_name"),
-            (F.lit(None).cast("string") if numeric else F.col("mode").cast("string")).alias("mode_text"),
-            (F.col("mode").cast("double") if numeric else F.lit(None).cast("double")).alias("mode_number")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Long format ``column_name, mode_text, mode_number`` for the given columns (nulls without values)."""
+    numeric = set(numeric_columns(df))
+    names = df.sparkSession.createDataFrame([(i, c, c in numeric) for i, c in enumerate(columns)],
+                                            "i int, column_name string, is_number boolean")
+    return names.join(mode_table(df, columns), "i", "left").select(
+        "column_name", F.when(~F.col("is_number"), F.col("v")).alias("mode_text"), F.col("o").alias("mode_number"))
 
 
 # --------------------------------------------------------------------- D12

@@ -209,10 +209,15 @@ def is_classification(df: DataFrame, target: str, ratio_rule: bool = True) -> bo
 
 
 def target_info(df: DataFrame, target: str) -> DataFrame:
-    """Original dtype, distinct count, task and whether the target needs coding."""
+    """Original dtype, distinct count, task, whether the target needs coding and, for a text target, its classes
+    in the order of their codes (joined by ``|``)."""
     dt = df.schema[target].dataType
     t = task_type(df, [target])
-    return t.select(
+    if is_text(dt):   # the class list is the answer itself
+        classes = df.agg(F.array_join(F.sort_array(F.collect_set(q(target))), "|").alias("classes"))
+    else:
+        classes = df.sparkSession.range(1).agg(F.max(F.lit(None).cast("string")).alias("classes"))
+    return attach_one_row(t, classes).select(
         "column_name", F.lit(pandas_dtype(dt)).alias("original_dtype"), "n_unique",
         F.when(F.col("is_classification"), "classification").otherwise("regression").alias("task_type"),
-        F.lit(is_text(dt)).alias("needs_encoding"))
+        F.lit(is_text(dt)).alias("needs_encoding"), "classes")

@@ -84,11 +84,11 @@ def q_duplicate_rows(spark, d):
 
 
 @register("duplicate_documents",
-          "SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) "
-          "AS n_distinct, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) "
+          "SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) "
+          "AS n_distinct, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) "
           "AS n_duplicates FROM documents")
 def q_duplicate_documents(spark, d):
-    return P.duplicate_rows(table(spark, d, "documents").select("text", "lang"))
+    return P.duplicate_rows(table(spark, d, "documents"))
 
 
 # ------------------------------------------------------------------ D6
@@ -143,8 +143,8 @@ def q_nunique(spark, d):
 
 
 # ------------------------------------------------------------------ D10
-MODE_TEXT = ["l_returnflag", "l_linestatus"]
-MODE_NUM = ["l_quantity", "l_discount"]
+MODE_TEXT = ["l_returnflag", "l_linestatus", "l_shipdate"]
+MODE_NUM = [c for c in LINEITEM_COLS if c not in MODE_TEXT]
 
 
 def _mode_sql(src, c, numeric):
@@ -329,7 +329,7 @@ def q_binnable_columns(spark, d):
 
 
 # ------------------------------------------------------------------ D21/D22
-TASK_COLS = ["l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
+TASK_COLS = LINEITEM_COLS
 
 
 @register("task_type", union_all([
@@ -346,7 +346,8 @@ def q_task_type(spark, d):
 # ------------------------------------------------------------------ D23
 @register("target_info",
           f"SELECT 'l_returnflag' AS column_name, 'object' AS original_dtype, count(DISTINCT l_returnflag) AS n_unique, "
-          f"'classification' AS task_type, true AS needs_encoding FROM {LI}")
+          f"'classification' AS task_type, true AS needs_encoding, "
+          f"string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS classes FROM {LI}")
 def q_target_info(spark, d):
     return Q.target_info(lineitem_nulls(spark, d), "l_returnflag")
 

@@ -14,7 +14,7 @@ from sparkwright.session import checkpoint_dir
 from sparkwright.sources import io as IO
 
 COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 DBL = {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}
 
 
@@ -30,16 +30,23 @@ def _sel():
             out.append(f"round({c}, 6) AS {c}")
         elif c == "l_linenumber":
             out.append(f"CAST({c} AS BIGINT) AS {c}")
+        elif c == "l_shipdate":
+            out.append(f"CAST({c} AS VARCHAR) AS {c}")
         else:
             out.append(c)
     return ", ".join(out)
 
 
+def _dates_as_text(df):
+    """Both engines write a time in one form; readers differ in the type that they infer for it."""
+    return df.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz").cast("string"))
+
+
 @register("scan_csv", f"SELECT {_sel()} FROM {lineitem_nulls_sql(COLS)}")
 def q_scan_csv(spark, d):
     path = _scratch(spark, "scan_csv")
     IO.write_csv(lineitem_nulls(spark, d, COLS), path)
-    return round_doubles(IO.load_table(spark, path, fmt="csv"))
+    return round_doubles(_dates_as_text(IO.load_table(spark, path, fmt="csv")))
 
 
 @register("scan_json", f"SELECT {_sel()} FROM {lineitem_nulls_sql(COLS)}")
@@ -47,7 +54,7 @@ def q_scan_json(spark, d):
     path = _scratch(spark, "scan_json")
     lineitem_nulls(spark, d, COLS).write.mode("overwrite").json(path)
     df = IO.load_table(spark, path, fmt="json", orient="lines").select(*COLS)
-    return round_doubles(df)
+    return round_doubles(_dates_as_text(df))
 
 
 @register("scan_parquet", f"SELECT {', '.join(c if c not in DBL else f'round({c}, 6) AS {c}' for c in COLS)} "
