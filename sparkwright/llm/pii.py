@@ -2,11 +2,13 @@
 
 Generators with high recall propose spans, which may overlap: the strict base
 kinds (email, ip, card, phone) and loose ones (spelled-out addresses, digit
-groups, identity numbers, account numbers).  Base spans that pass their checks
-stay.  Every other candidate is scored by boosted trees on format and context
-features; they learn from base candidates, whose checks label them, and a
-threshold per loose kind's score comes from a part of these that training does
-not see: the smallest one that reaches ``PRECISION`` there.
+groups, identity numbers, account numbers, key-like tokens).  Base spans that pass
+their checks stay.  Every other candidate is scored by boosted trees on format and
+context features.  Two things label the candidates that they learn from: the checks
+of the base kinds, and for key-like tokens whether a word for a secret names them.
+Each loose kind has a threshold of its own, from labelled candidates of the kind
+nearest in form (``LIKE``) that training does not see: the smallest score that
+reaches ``PRECISION`` there.
 
 Everything is DataFrame functions and MLlib.  One scan turns texts into rows of
 candidates with a few context characters (texts are not shuffled); places come
@@ -43,23 +45,30 @@ BASE = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Loose kinds: name -> (pattern, the base kind whose candidates are nearest in form)
+# Loose kinds and their patterns.
 LOOSE = {
     "email_spelled": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|@)[A-Za-z0-9-]++"
                      r"(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]++)++",
     "digit_groups": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z.-])",
     "identity": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
+    # at least 20 characters with letters and digits among them
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+",
 }
+# The labelled kind whose held-out candidates give a loose kind its threshold.
+LIKE = {"email_spelled": "email", "digit_groups": "phone", "identity": "card", "account": "card", "secret": "secret"}
+# What stands right before a named secret.
+SECRET_NAME = r"(?i)(?:token|secret|key|passw(?:or)?d|passwd|bearer|auth)[\x20_a-z]{0,8}[\x20=:\"'`]{1,5}$"
 PATTERNS = BASE | LOOSE
 # What every match of a kind holds, and every match of any kind.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "email_spelled": r"@|[\[(]at[\])]",
-         "digit_groups": "[0-9]{2}", "identity": "[0-9]{3}-[0-9]{2}-", "account": "[A-Z]{2}[0-9]{2}"}
+         "digit_groups": "[0-9]{2}", "identity": "[0-9]{3}-[0-9]{2}-", "account": "[A-Z]{2}[0-9]{2}",
+         "secret": "[A-Za-z0-9_+/-]{20}"}
 ANY_SIGN = r"[0-9@]|[\[(]at[\])]"
 # Words that often stand before personal data.
 CONTEXT_WORDS = r"(?i)\b(?:call|phone|tel|fax|mobile|mail|email|contact|write|ssn|iban|account|card|passport|id|ip)\b"
 FEATURES = ("length", "digits", "letters", "spaces", "dashes", "dots", "ats", "plus", "groups", "last_group",
-            "before_letter", "before_space", "after_letter", "after_space", "after_digit", "named")
+            "before_letter", "before_space", "after_letter", "after_space", "after_digit", "named", "switches", "assigned")
 
 
 def _structs(kind: str) -> Column:
@@ -123,7 +132,8 @@ def feature_columns() -> list[Column]:
               count("@"), flag(m.startswith("+")), count("[0-9]++"),
               F.char_length(F.regexp_extract(m, "[0-9]*$", 0)).cast("double"),
               flag(before.rlike(r"\p{L}$")), flag(before.rlike(r"(?:\s|^)$")), flag(after.rlike(r"^\p{L}")),
-              flag(after.rlike(r"^(?:\s|[.,;]\s|$)")), flag(after.rlike(r"^[0-9]")), flag(before.rlike(CONTEXT_WORDS))]
+              flag(after.rlike(r"^(?:\s|[.,;]\s|$)")), flag(after.rlike(r"^[0-9]")), flag(before.rlike(CONTEXT_WORDS)),
+              count("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"), flag(before.rlike(SECRET_NAME))]
     return [v.alias(n) for v, n in zip(values, FEATURES)]
 
 
@@ -144,17 +154,23 @@ def _scored(model, rows: DataFrame) -> DataFrame:
         .drop("x", "rawPrediction", "probability", "prediction")
 
 
-def _threshold(scored: DataFrame) -> float:
-    """Smallest score step with ``PRECISION`` on the held-out fold; 2 (nothing) without one."""
-    counts = scored.where("fold = 0").groupBy(F.floor(F.col("score") * STEPS).cast("int").alias("step")) \
-        .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # at most STEPS + 1 rows
-    good = total = 0
-    best = 2.0
-    for r in sorted(counts, key=lambda r: -r["step"]):
-        good, total = good + r["good"], total + r["n"]
-        if good >= PRECISION * total:
-            best = r["step"] / STEPS
-    return best
+def _thresholds(scored: DataFrame) -> dict[str, float]:
+    """Per loose kind the smallest score step with ``PRECISION`` among the held-out candidates of the kind like it.
+
+    All kinds' candidates stand in where that kind has none; 2 (nothing passes) without any.
+    """
+    counts = scored.where("fold = 0").groupBy("kind", F.floor(F.col("score") * STEPS).cast("int").alias("step")) \
+        .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # at most STEPS + 1 rows a kind
+    out = {}
+    for loose, like in LIKE.items():
+        own = [r for r in counts if r["kind"] == like] or ([r for r in counts if r["kind"] in BASE] if like in BASE else [])
+        good = total = 0
+        out[loose] = 2.0
+        for r in sorted(own, key=lambda r: -r["step"]):
+            good, total = good + r["good"], total + r["n"]
+            if good >= PRECISION * total:
+                out[loose] = r["step"] / STEPS
+    return out
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -175,15 +191,17 @@ def spans(found: DataFrame) -> DataFrame:
     other = F.lit(False)
     for pattern in LOOSE.values():
         other = other | F.col("match").rlike(f"^(?:{pattern})$")
-    labelled = featured.where(is_base & (F.col("base_ok") | ~other)).select(
-        *FEATURES, F.col("base_ok").cast("double").alias("label"), F.xxhash64("match", "before", "after").alias("hash")) \
+    label = F.when(is_base, F.col("base_ok")).otherwise(F.col("before").rlike(SECRET_NAME))
+    labelled = featured.where(F.when(is_base, F.col("base_ok") | ~other).otherwise(F.col("kind") == "secret")).select(
+        "kind", *FEATURES, label.cast("double").alias("label"), F.xxhash64("match", "before", "after").alias("hash")) \
         .withColumn("fold", F.pmod(F.col("hash"), F.lit(5)))
     model = _model(labelled)
     names = ["rid", "doc_id", "kind"]
     keep = placed.where(is_base & F.col("base_ok")).select(*names, F.lit(True).alias("is_base"), "start", "end")
     if model is not None:
-        threshold = _threshold(_scored(model, labelled))
-        loose = _scored(model, featured.where(~is_base)).where(F.col("score") >= threshold) \
+        least = F.element_at(F.create_map(*[F.lit(x) for pair in _thresholds(_scored(model, labelled)).items() for x in pair]),
+                             F.col("kind"))
+        loose = _scored(model, featured.where(~is_base)).where(F.col("score") >= least) \
             .select(*names, F.lit(False).alias("is_base"), "start", "end")
         keep = keep.unionByName(loose)
     before = Window.partitionBy("rid").orderBy("start", F.col("is_base").desc(), F.col("end").desc(), "kind") \

@@ -90,6 +90,33 @@ def test_trees_add_spans(spark):
     assert out[1000] == "email_spelled:8:46" and out[1001] == ""
 
 
+def test_named_tokens_are_found_and_thresholds_are_per_kind(spark):
+    """A planted key outside the base kinds is found; words, plain numbers and unnamed identifiers stay."""
+    import hashlib
+    rows = []
+    for i in range(300):
+        key = hashlib.sha1(str(i).encode()).hexdigest()
+        rows.append((i, f'text here token = "{key}" and mail jo{i}@host.example.org more'))
+        rows.append((1000 + i, f"commit {key} of run {i * 7919} was on 2024; see build/{key[:24]}x{i}"))
+        rows.append((2000 + i, "incomprehensibilitiesandcounterrevolutionaries 12345678901234567890123456 plain"))
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("secret:19:59" in got[i].split(",") for i in range(300)) == 300
+    assert not any("secret" in got[1000 + i] for i in range(300)) and not any(got[2000 + i] for i in range(300))
+    clean = pii.redact(spark.createDataFrame([rows[0]] + rows[3:], "doc_id long, text string")).where("doc_id = 0").first()["text"]
+    assert clean == 'text here token = "[SECRET]" and mail [EMAIL] more'
+
+
+def test_documents_hold_added_spans(spark):
+    """On the sample corpus the trees decide: every named token is found, beside the base spans."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find_personal_data(docs).collect()}
+    planted = {d: [(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")] for d, t in texts.items()}
+    assert sum(map(len, planted.values())) > 5
+    for d, found in planted.items():
+        assert {f"secret:{a}:{b}" for a, b in found} == {s for s in spans[d] if s.startswith("secret")}
+
+
 def test_redaction(spark):
     rows = [(1, "mail é a.b@c.de, ip 10.0.0.1!", "s"), (1, "mail é a.b@c.de, ip 10.0.0.1!", "s"), (2, None, "s"), (3, "", "s"),
             (None, "clean", None), (4, "+49 30 1234567890 x", "t")]
