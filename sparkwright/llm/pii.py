@@ -250,13 +250,13 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     columns and rows stay as they are (repeated texts are judged once).  An empty table
     gives no rows.
     """
-    own = boxed(prepared(docs)).withColumn("text", F.col("row").getField(text_col).cast("string")) \
-        .withColumn("rid", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = candidates(own.select("rid", F.lit(None).cast("long").alias("doc_id"), "text")).dropDuplicates(["rid", "kind", "nth"])
+    text = F.col("row").getField(text_col).cast("string")
+    own = boxed(prepared(docs)).withColumn("rid", F.sha2(F.coalesce(text, F.lit("")), 256))
+    found = candidates(own.select("rid", F.lit(None).cast("long").alias("doc_id"), text.alias("text"))) \
+        .dropDuplicates(["rid", "kind", "nth"])
     cuts = spans(found).where("kind IS NOT NULL AND end > reach") \
         .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
             F.greatest("start", "reach").alias("start"), "end", "reach", "kind"))).alias("cuts"))
-    text = F.col("text")
     parts = F.transform("cuts", lambda c: F.concat(
         text.substr(c["reach"].cast("int") + 1, (c["start"] - c["reach"]).cast("int")),
         F.lit("["), F.upper(c["kind"]), F.lit("]")))
