@@ -35,6 +35,7 @@ from sparkwright.llm.common import boxed, prepared, text_bytes, unboxed
 BITS = 64
 SEED = 42
 BUCKET = 4096                 # classes of a bucket that one task compares by itself
+BROADCAST_IDS = 100_000       # numbers that are broadcast; more are joined by a shuffle
 DENSE = 256                   # up to so many are compared pair by pair
 _CHUNK = 1 << 16
 
@@ -227,8 +228,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # rows without an id, or with one that stands more than once, are told apart by their fingerprints
     unsure = lead.where("id IS NULL").unionByName(lead.join(often, "id", "left_semi").select(*lead.columns)) \
         .withColumnRenamed("id", "lead_id").checkpoint(eager=True)
+    n = unsure.count()
+    if not n:
+        return unboxed(sole, docs.columns)
     ids = unsure.select("lead_id").distinct()
-    rest = own.join(ids, F.col("id").eqNullSafe(F.col("lead_id")), "left_semi") \
+    rest = own.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("id").eqNullSafe(F.col("lead_id")), "left_semi") \
         .select("id", "row", F.col("row").getField(text_col).cast("string").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
