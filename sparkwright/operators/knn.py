@@ -232,10 +232,11 @@ def build_cells(points: DataFrame, d: int, p: int | None, cell_rows: int = CELL_
 
     schema = "x array<double>, n long, t string, carried double, pivot int, mask string, r double"
     path = scratch_path(spark, "knn-cells")
+    # a cluster may deal to more partitions than asked; neighbouring ones then give whole cells together
     parts = max(1, min(-(-n // (8 * size)), 10_000))
     points.select("x", "n", "t", "carried").mapInArrow(place, schema) \
         .repartitionByRange(parts, "pivot", "mask", "r").sortWithinPartitions("pivot", "mask", "r") \
-        .mapInArrow(pack, CELL_SCHEMA).write.parquet(path)
+        .coalesce(parts).mapInArrow(pack, CELL_SCHEMA).write.parquet(path)
     return Cells.of(spark.read.schema(CELL_SCHEMA).parquet(path), pivots, p)
 
 
