@@ -21,9 +21,13 @@ Scale: texts are dealt once, by hash, into parts of about ``PART_BYTES``; all
 three passes over them read that one exchange.  A part names each anchor and
 each distinct segment once, whatever the number of its copies, so a string that
 a third of all documents hold costs one entry per part.  Only anchors travel for
-unique text (8 bytes for some 17 bytes of text).  An anchor that more than
-``HOT_PARTS`` parts hold may have any number of different contexts: its strings
-are dealt one by one, by their own hash, instead of by anchor.  A string's hash
+unique text (8 bytes for some 17 bytes of text).  With each anchor a part tells
+about how many different segments it has there (a power of two, in the byte that
+also says whether several documents hold it).  An anchor with more than
+``HOT_SEGMENTS`` of them over all parts, a frequent line between ever new
+neighbours, say, is too large for one group: its strings are dealt one by one,
+by their own hash, instead of by anchor, whatever the size of the input.  That
+count decides where strings meet, never whether they do.  A string's hash
 is 64 bits beside its 64-bit anchor; classes are made of compared bytes.
 """
 
@@ -45,7 +49,7 @@ MIN_LEN = 50
 GRAM = 16
 PART_BYTES = 4 << 20
 GROUP_ANCHORS = 1 << 17       # anchors per group of the exchange, about
-HOT_PARTS = 1024
+HOT_SEGMENTS = 1 << 13       # segments of one anchor that one group takes, some 0.5 MB
 SHARD = 1 << 18               # bytes per suffix array
 CHUNK = 1 << 19               # starts per step of the anchor search
 _NO_ID = np.iinfo(np.int64).max  # a null id counts as the largest
@@ -204,6 +208,16 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def _segment_hashes(h: np.ndarray, heads: np.ndarray, tails: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the bytes of each segment, from the hashes of grams that cover it."""
+    last = tails - 1 + length - GRAM
+    out = (tails - heads).astype(np.uint64)
+    for at in range(0, 2 * (length - GRAM) + 1 + GRAM, GRAM):
+        out = (out ^ h[np.minimum(heads + at, last)]) * _C[1]
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _window_min(key: np.ndarray, width: int) -> np.ndarray:
     size, out = 1, key
     while size * 2 <= width:
@@ -216,7 +230,7 @@ def _window_min(key: np.ndarray, width: int) -> np.ndarray:
 class Part:
     """Some documents' bytes behind one another, and their segments."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], length: int):
+    def __init__(self, ids: list[int | None], texts: list[bytes], length: int, contexts: bool = False):
         self.ids = np.array([_NO_ID if i is None else i for i in ids], dtype=np.int64)
         self.texts, self.length = texts, length
         self.raw = b"".join(texts)
@@ -238,20 +252,32 @@ class Part:
             tails = np.append(heads[1:], m)
             good = valid[heads]
             heads, tails = heads[good], tails[good]
-            found.append((h[at[heads]], heads + c, tails + c, doc[heads + c]))
+            context = _segment_hashes(h, heads, tails, length) if contexts else np.zeros(0, dtype=np.uint64)
+            found.append((h[at[heads]], heads + c, tails + c, doc[heads + c], context))
         if found:
-            self.anchor, self.head, self.tail, self.doc = (np.concatenate(x) for x in zip(*found))
+            self.anchor, self.head, self.tail, self.doc, self.context = (np.concatenate(x) for x in zip(*found))
         else:
-            self.anchor, self.head, self.tail, self.doc = (np.zeros(0, t) for t in ("u8", "i8", "i8", "i4"))
+            self.anchor, self.head, self.tail, self.doc, self.context = (
+                np.zeros(0, t) for t in ("u8", "i8", "i8", "i4", "u8"))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors in order, and whether several ids of this part hold one."""
+        """Distinct anchors in order, and a byte for each: whether several ids of this part hold it (lowest bit)
+        and the binary logarithm, rounded down, of its number of different segments."""
         order = np.argsort(self.anchor, kind="stable")
         a, ids = self.anchor[order], self.ids[self.doc[order]]
         if not len(a):
-            return a, np.zeros(0, dtype=bool)
+            return a, np.zeros(0, dtype=np.uint8)
         heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        return a[heads], np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
+        sizes = np.diff(np.append(heads, len(a)))
+        several = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
+        often = np.flatnonzero(np.repeat(sizes > 1, sizes))  # only repeated anchors can have several segments
+        which, context = np.repeat(np.arange(len(heads)), sizes)[often], self.context[order[often]]
+        by = np.lexsort((context, which))
+        which, context = which[by], context[by]
+        new = np.concatenate([[True], (which[1:] != which[:-1]) | (context[1:] != context[:-1])])[:len(which)]
+        segments = np.maximum(np.bincount(which[new], minlength=len(heads)), 1)
+        level = np.frexp(segments.astype(np.float64))[1] - 1
+        return a[heads], (level << 1 | several).astype(np.uint8)
 
     def among(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segments whose anchor is among these sorted ones, and which one it is."""
@@ -296,8 +322,8 @@ class Part:
 
 
 # -- Spark jobs -------------------------------------------------------------
-def _part(table: pa.Table, length: int) -> Part:
-    return Part(table["doc_id"].to_pylist(), [x or b"" for x in table["raw"].to_pylist()], length)
+def _part(table: pa.Table, length: int, contexts: bool = False) -> Part:
+    return Part(table["doc_id"].to_pylist(), [x or b"" for x in table["raw"].to_pylist()], length, contexts)
 
 
 def _numbers(table: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -315,15 +341,16 @@ def _group_of(codes: np.ndarray, groups: int) -> np.ndarray:
     return (((codes * _C[1]) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
-def _shared_anchors(table: pa.Table, hot_parts: int) -> pa.Table:
+def _shared_anchors(table: pa.Table, hot_segments: int) -> pa.Table:
     """Of one group's anchors, those of several documents; told to each part that holds them."""
     parts = table["part"].to_pylist()
     lists = [np.frombuffer(b, "<u8") for b in table["anchors"].to_pylist()]
-    flags = [np.frombuffer(b, bool) for b in table["several"].to_pylist()]
+    flags = np.concatenate([np.frombuffer(b, np.uint8) for b in table["several"].to_pylist()])
     every, at = np.unique(np.concatenate(lists), return_inverse=True)
     holders = np.bincount(at, minlength=len(every))
-    several = np.bincount(at, weights=np.concatenate(flags), minlength=len(every)) > 0
-    good, hot, out, done = (holders > 1) | several, holders > hot_parts, [], 0
+    several = np.bincount(at, weights=flags & 1, minlength=len(every)) > 0
+    segments = np.bincount(at, weights=np.ldexp(1.0, flags >> 1), minlength=len(every))
+    good, hot, out, done = (holders > 1) | several, segments > hot_segments, [], 0
     for part, own in zip(parts, lists):
         mine = at[done:done + len(own)]
         done += len(own)
@@ -444,7 +471,7 @@ def _apply(part: Part, reply: pa.Table, keep: bool) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
-                   keep: bool = False, part_bytes: int = PART_BYTES, hot_parts: int = HOT_PARTS,
+                   keep: bool = False, part_bytes: int = PART_BYTES, hot_segments: int = HOT_SEGMENTS,
                    shard_bytes: int = SHARD) -> DataFrame:
     """Repeated substrings of whole texts, one row per document row.
 
@@ -468,7 +495,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "raw"), F.lit(parts)).alias("part"), "doc_id", "raw")
 
     def name_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        anchors, several = _part(table, min_len).anchors()
+        anchors, several = _part(table, min_len, contexts=True).anchors()
         grp = _group_of(anchors, groups)
         order = np.argsort(grp, kind="stable")
         anchors, several, grp = anchors[order], several[order], grp[order]
@@ -478,7 +505,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                                 for a, b in zip(heads, ends)])
 
     def find_shared(table: pa.Table) -> pa.Table:
-        return _shared_anchors(table, hot_parts)
+        return _shared_anchors(table, hot_segments)
 
     def cut_segments(key: tuple[pa.Scalar, ...], texts: pa.Table, told: pa.Table) -> pa.Table:
         if not told.num_rows or not texts.num_rows:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,7 +73,7 @@ def mixed(seed=3, n=120):
     return docs
 
 
-@pytest.mark.parametrize("options", [{}, {"part_bytes": 4000, "shard_bytes": 1500}, {"part_bytes": 3000, "hot_parts": 1}])
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 4000, "shard_bytes": 1500}, {"part_bytes": 3000, "hot_segments": 1}, {"hot_segments": 0}])
 def test_mixed_texts(spark, options):
     want = check(spark, mixed(), **options)
     assert sum(r[2] for r in want) > 1000
@@ -94,6 +95,29 @@ def test_kept_bytes_and_spans(spark):
     assert (out[1]["starts"], bytes(out[1]["kept"])) == ([], ("x" + s).encode())
 
 
+def test_a_frequent_line_between_new_neighbours_is_split():
+    """Its strings reach many groups, where the anchors alone would put them into a few; few segments stay together."""
+    rng = random.Random(5)
+    line = b"=== terms of use, all rights kept by their owners ==="
+    noise = [bytes(rng.randrange(97, 123) for _ in range(60)) for _ in range(3000)]
+    many = sd.Part(list(range(3000)), [x + line + x for x in noise], 50, contexts=True)
+    copies = sd.Part(list(range(3000)), [noise[0] + line + noise[1]] * 3000, 50, contexts=True)
+    groups = 64
+
+    def spread(part, hot_segments):
+        names, flags = part.anchors()
+        table = sd._rows(sd._ANCHORS, [(0, 0, names.tobytes(), flags.tobytes())])
+        told = sd._shared_anchors(table, hot_segments)
+        sizes = [len(zstandard.ZstdDecompressor().decompress(b))
+                 for b in sd._segments(0, part, *sd._told(told), groups)["bytes"].to_pylist()]
+        return max(sizes) / sum(sizes), int(sd._told(told)[1].sum()), int((flags >> 1).max())
+
+    share, hot, most = spread(many, 500)
+    assert hot and most in (10, 11) and share < 3 / groups
+    assert spread(many, 1 << 20)[0] > 10 / groups
+    assert spread(copies, 500)[1:] == (0, 0)
+
+
 def test_empty(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
