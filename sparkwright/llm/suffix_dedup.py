@@ -153,8 +153,7 @@ class Shard:
         heads = np.flatnonzero(new)
         self.cls = np.cumsum(new) - 1
         owner = np.array(docs, dtype=np.int64)[which[self.places]]
-        self.own_low = np.minimum.reduceat(owner, heads) if len(heads) else owner
-        self.low = self.own_low.copy()
+        self.low = np.minimum.reduceat(owner, heads) if len(heads) else owner
         self.text, self.length = text, length
         self.heads = self.places[heads]          # one place per class
         code = np.zeros(len(heads), dtype=np.uint64)
@@ -168,21 +167,6 @@ class Shard:
         self.codes = code[self.by_code]
         self.sizes = sizes
 
-    def _strings(self, classes: np.ndarray) -> np.ndarray:
-        return self.text[self.heads[classes][:, None] + np.arange(self.length)]
-
-    def meet(self, other: Shard) -> None:
-        """Find this shard's strings in the other one by bisection; both learn the smaller document."""
-        if not len(self.codes) or not len(other.codes):
-            return
-        at = np.minimum(np.searchsorted(other.codes, self.codes), len(other.codes) - 1)
-        hit = np.flatnonzero(other.codes[at] == self.codes)
-        mine, theirs = self.by_code[hit], other.by_code[at[hit]]
-        same = (self._strings(mine) == other._strings(theirs)).all(axis=1)
-        mine, theirs = mine[same], theirs[same]
-        self.low[mine] = np.minimum(self.low[mine], other.own_low[theirs])
-        other.low[theirs] = np.minimum(other.low[theirs], self.own_low[mine])
-
     def lows(self) -> np.ndarray:
         """Per byte place, the smallest document with the string that starts there."""
         out = np.full(int(self.sizes.sum()), _NO_ID, dtype=np.int64)
@@ -190,6 +174,50 @@ class Shard:
         return out
 
 
+def merge_shards(shards: list[Shard], length: int) -> None:
+    """Give each class of every shard the smallest document that all shards know for its string.
+
+    Two sorted lists of codes become one at a time, the lists doubling: the codes of one are found in the other by
+    bisection, a hit counts when the bytes agree, and only strings that the other list lacks join it.
+    """
+    text = np.concatenate([s.text for s in shards])
+    before = np.cumsum([0, *[len(s.text) for s in shards]])
+    heads = np.concatenate([s.heads + b for s, b in zip(shards, before)])
+    low = np.concatenate([s.low for s in shards])
+    first = np.cumsum([0, *[len(s.low) for s in shards]])
+    same_as = np.arange(len(low))
+    lists = [(s.codes, s.by_code + f) for s, f in zip(shards, first)]
+    byte = np.arange(length)
+    while len(lists) > 1:
+        merged = [lists[-1]] if len(lists) % 2 else []
+        for (codes, classes), (others, own) in zip(lists[0::2], lists[1::2]):
+            at = np.searchsorted(codes, others)
+            hit = np.flatnonzero(at < len(codes))
+            hit = hit[codes[at[hit]] == others[hit]]
+            mine, theirs = own[hit], classes[at[hit]]
+            agree = (text[heads[mine][:, None] + byte] == text[heads[theirs][:, None] + byte]).all(axis=1)
+            hit, mine, theirs = hit[agree], mine[agree], theirs[agree]
+            low[theirs] = np.minimum(low[theirs], low[mine])
+            same_as[mine] = theirs
+            new = np.ones(len(others), dtype=bool)
+            new[hit] = False
+            put = at[new] + np.arange(np.count_nonzero(new))
+            stays = np.ones(len(codes) + len(put), dtype=bool)
+            stays[put] = False
+            both, all_classes = np.empty(len(stays), dtype=np.uint64), np.empty(len(stays), dtype=np.int64)
+            both[put], both[stays], all_classes[put], all_classes[stays] = others[new], codes, own[new], classes
+            merged.append((both, all_classes))
+        lists = merged
+    while True:  # a string may have met another one in each of the rounds
+        further = same_as[same_as]
+        if (further == same_as).all():
+            break
+        same_as = further
+    low = low[same_as]
+    for s, a, b in zip(shards, first, first[1:]):
+        s.low = low[a:b]
+
+
 # -- anchors ----------------------------------------------------------------
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each gram of 16 bytes."""
@@ -293,14 +321,14 @@ class Part:
         return [(x, x + 1) for x in range(a, b)] if hot else [(a, b)]
 
     def results(self, starts: np.ndarray, keep: bool) -> pa.Table:
-        """Result rows when strings at these places go."""
+        """Result rows when strings at these places (each named once) go."""
         cover = np.zeros(len(self.raw) + 1, dtype=np.int32)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + self.length, -1)
+        cover[starts] += 1
+        cover[starts + self.length] -= 1
         gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         first = np.cumsum(self.sizes) - self.sizes
         rows = defaultdict(list)
-        touched = set(np.searchsorted(first + self.sizes, starts, side="right").tolist())
+        touched = set(np.unique(np.searchsorted(first + self.sizes, starts, side="right")).tolist())
         for k, text in enumerate(self.texts):
             a, left, spans = int(first[k]), text, np.zeros((0, 2), dtype=np.int64)
             if k in touched:
@@ -420,9 +448,7 @@ def _resolve(table: pa.Table, length: int, shard_bytes: int) -> pa.Table:
             begin, held = k, 0
         if k < len(segments):
             held += len(segments[k])
-    for i, one in enumerate(shards):
-        for other in shards[i + 1:]:
-            one.meet(other)
+    merge_shards(shards, length)
     lows = np.concatenate([s.lows() for s in shards])
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
     places = np.cumsum(sizes) - sizes
@@ -447,27 +473,23 @@ def _apply(part: Part, reply: pa.Table, keep: bool) -> pa.Table:
     anchors, codes = _numbers(reply, "anchors", "<u8"), _numbers(reply, "codes", "<u8")
     masks, firsts = _numbers(reply, "masks", "<u8"), _numbers(reply, "firsts", "<i8")
     told = dict(zip(zip(anchors.tolist(), codes.tolist()), zip(masks.tolist(), firsts.tolist())))
-    gone: list[np.ndarray] = []
     names = np.unique(anchors)
     own, at = part.among(names)
-    ids = part.ids[part.doc[own]].tolist()
-
-    def answer(name: int, a: int, b: int) -> tuple[int, int] | None:
-        return told.get((name, xxhash.xxh64_intdigest(part.raw[a:b - 1 + part.length])))
-
-    for k, name, doc in zip(own.tolist(), names[at].tolist(), ids):
-        found = [(a, b, answer(name, a, b)) for a, b in part.strings(k, False)]
-        if found[0][2] is None:  # the anchor may be one whose strings were dealt one by one
-            found = [(a, b, answer(name, a, b)) for a, b in part.strings(k, True)]
-        for a, b, said in found:
-            if said is None:
-                continue
-            mask, first = said
-            if doc > first:
-                gone.append(np.arange(a, b))
-            elif doc == first and mask:
-                gone.append(a + np.flatnonzero([mask >> j & 1 for j in range(b - a)]))
-    return part.results(np.concatenate(gone) if gone else np.zeros(0, dtype=np.int64), keep)
+    places, gone = [], []         # begins of segments, and which of their strings go
+    raw, last, digest = part.raw, part.length - 1, xxhash.xxh64_intdigest
+    for name, doc, a, b in zip(names[at].tolist(), part.ids[part.doc[own]].tolist(), part.head[own].tolist(),
+                               part.tail[own].tolist()):
+        said = told.get((name, digest(raw[a:b + last])))
+        found = [(a, b, said)]
+        if said is None and b - a > 1:  # the anchor may be one whose strings were dealt one by one
+            found = [(x, x + 1, told.get((name, digest(raw[x:x + 1 + last])))) for x in range(a, b)]
+        for x, y, said in found:
+            if said is not None and (doc > said[1] or doc == said[1] and said[0]):
+                places.append(x)
+                gone.append((1 << y - x) - 1 if doc > said[1] else said[0])
+    begins, bits = np.array(places, dtype=np.int64), np.array(gone, dtype=np.uint64)
+    starts = [begins[bits >> np.uint64(j) & np.uint64(1) == 1] + j for j in range(max(gone, default=0).bit_length())]
+    return part.results(np.concatenate([np.zeros(0, dtype=np.int64), *starts]), keep)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
