@@ -80,12 +80,27 @@ def missing_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 # --------------------------------------------------------------------- D3
+def present_counts(df: DataFrame, positions: Sequence[int], labels: dict[str, Sequence[str]]) -> DataFrame:
+    """One row per given column position: its ``labels`` and ``n_values``, the cells that are not null.
+
+    Columns are taken by position, so names may repeat; one aggregate over the table, unpivoted on its one row.
+    """
+    if not positions:
+        return df.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in labels) + ", n_values long")
+    by_place = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+    counts = by_place.agg(*[F.count(f"__c{i}").alias(f"__n{i}") for i in sorted(set(positions))])
+    return counts.select(F.inline(F.array(*[
+        F.struct(*[F.lit(texts[k]).alias(c) for c, texts in labels.items()], F.col(f"__n{i}").alias("n_values"))
+        for k, i in enumerate(positions)])))
+
+
 def profile_dtypes(df: DataFrame) -> DataFrame:
-    """Column-type distribution, pandas dtype names (reads the schema only)."""
-    rows = [(f.name, pandas_dtype(f.dataType)) for f in df.schema.fields]
-    spark = df.sparkSession
-    schema_df = spark.createDataFrame(rows, "column_name string, dtype string")
-    return schema_df.groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
+    """Column-type distribution by pandas dtype name: columns of the type, and their cells that are not null.
+
+    A table without columns gives no rows; one without rows gives its types with no values."""
+    types = [pandas_dtype(f.dataType) for f in df.schema.fields]
+    return present_counts(df, range(len(types)), {"dtype": types}).groupBy("dtype").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.sum("n_values").alias("n_values"))
 
 
 def column_types(df: DataFrame) -> DataFrame:

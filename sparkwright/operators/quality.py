@@ -6,6 +6,7 @@ Rules run on the driver over *profiles* (one row per column), never over rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -37,23 +38,24 @@ def _unnamed(name: str) -> bool:
     return name.startswith("Unnamed:") or (name.startswith("_c") and name[2:].isdigit())
 
 
+def name_issues(names: list[str]) -> list[tuple[str, int]]:
+    """``(issue, position)``: unnamed, duplicate (later occurrences) and
+    names with characters other than letters, digits, ``_`` and space."""
+    rows = [("unnamed", i) for i, n in enumerate(names) if _unnamed(n)]
+    rows += [("duplicate", i) for i, n in enumerate(names) if n in names[:i]]
+    return rows + [("special_characters", i) for i, n in enumerate(names)
+                   if not n.replace("_", "").replace(" ", "").isalnum() and not _unnamed(n)]
+
+
 def column_name_issues(df: DataFrame) -> DataFrame:
-    """``(issue, column_name)``: unnamed, duplicate (later occurrences) and
-    names with characters other than letters, digits, ``_`` and space.
+    """``(issue, column_name, n_values)``: the columns of ``name_issues`` with their cells that are not null,
+    which tell a stray empty column from one that only needs a name.
 
-    Column names are schema metadata (bounded by the column count), so the
-    rules run on the driver and the answer is returned as a small frame.
+    Names are schema metadata, judged on the driver; one aggregate counts the cells of the columns found.
     """
-    names = list(df.columns)
-    rows = [("unnamed", n) for n in names if _unnamed(n)]
-    seen: set[str] = set()
-    for n in names:
-        if n in seen:
-            rows.append(("duplicate", n))
-        seen.add(n)
-    rows += [("special_characters", n) for n in names
-             if not n.replace("_", "").replace(" ", "").isalnum() and not _unnamed(n)]
-    return df.sparkSession.createDataFrame(rows, "issue string, column_name string")
+    found = name_issues(list(df.columns))
+    return P.present_counts(df, [i for _, i in found], {
+        "issue": [issue for issue, _ in found], "column_name": [df.columns[i] for _, i in found]})
 
 
 # --------------------------------------------------------------------- D7
@@ -70,7 +72,7 @@ def validate_report(df: DataFrame, exact: bool | None = None) -> DataFrame:
     shape = P.table_shape(df).first()
     miss = P.missing_summary(df).first()
     dup = P.duplicate_rows(df).first()["n_duplicates"]
-    names = column_name_issues(df).groupBy("issue").count().collect()
+    names = Counter(issue for issue, _ in name_issues(list(df.columns)))
     out_cols = P.outlier_stats(df, exact=exact).count() if numeric_columns(df) else 0
     rows = [("statistic", "n_rows", float(shape["n_rows"])),
             ("statistic", "n_cols", float(shape["n_cols"])),
@@ -85,8 +87,8 @@ def validate_report(df: DataFrame, exact: bool | None = None) -> DataFrame:
         rows.append(("warning", "high_missing", float(miss["total_missing_pct"])))
     if dup > 0:
         rows.append(("warning", "duplicate_rows", float(dup)))
-    for r in names:
-        rows.append(("warning", r["issue"] + "_columns", float(r["count"])))
+    for issue, n in names.items():
+        rows.append(("warning", issue + "_columns", float(n)))
     return spark.createDataFrame(rows, schema)
 
 

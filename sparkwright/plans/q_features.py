@@ -100,14 +100,29 @@ def q_derived_features(spark, d):
     return round_doubles(FE.derived_features(df, ["c_acctbal"]))
 
 
-# ------------------------------------------------------------------ P13 / P1 / P14 (no SQL form)
-@register("collinear_drop")
+# ------------------------------------------------------------------ P13 / P1 / P14 (no SQL form but P13)
+_NEAR_COPIES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "revenue"]
+
+
+def _collinear_sql(cols, threshold):
+    """The greedy pass as one step per column, each of which knows the columns dropped before it."""
+    pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
+    near = ", ".join(f"abs(corr({cols[i]}, {cols[j]})) > {threshold} AS r_{i}_{j}" for i, j in pairs)
+    steps = ["s0 AS (SELECT *, FALSE AS d_0 FROM near)"]
+    for j in range(1, len(cols)):
+        test = " OR ".join(f"(NOT d_{i} AND r_{i}_{j})" for i in range(j))
+        steps.append(f"s{j} AS (SELECT *, {test} AS d_{j} FROM s{j - 1})")
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS dropped FROM s{len(cols) - 1} WHERE d_{j}" for j, c in enumerate(cols))
+    return (f"WITH li AS (SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem), "
+            f"near AS (SELECT {near} FROM li), {', '.join(steps)} {rows}")
+
+
+@register("collinear_drop", _collinear_sql(_NEAR_COPIES, 0.9))
 def q_collinear_drop(spark, d):
     """Features dropped for |corr| > 0.9 among lineitem's numeric columns plus
     the discounted price, a near-copy of the price (greedy in column order)."""
     df = table(spark, d, "lineitem").withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "revenue"]
-    dropped = FE.collinear_to_drop(df, cols, 0.9)
+    dropped = FE.collinear_to_drop(df, _NEAR_COPIES, 0.9)
     return spark.createDataFrame([(c,) for c in dropped], "dropped string")
 
 

@@ -25,6 +25,11 @@ _DTYPE_SQL = ("CASE data_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'in
               "ELSE lower(data_type) END")
 
 
+def _present_sql(src, cols, names=None):
+    return union_all([f"SELECT '{n}' AS column_name, count({c}) AS n_values FROM {src}"
+                      for c, n in zip(cols, names or cols)])
+
+
 # ------------------------------------------------------------------ D1
 @register("table_shape", "SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols, "
           "count(*) = 0 AS is_empty FROM lineitem")
@@ -65,10 +70,11 @@ def q_missing_summary(spark, d):
 
 # ------------------------------------------------------------------ D3
 @register("profile_dtypes",
-          f"SELECT {_DTYPE_SQL} AS dtype, count(*) AS n_columns FROM information_schema.columns "
+          f"WITH present AS ({_present_sql(LI, LI_ALL)}) SELECT {_DTYPE_SQL} AS dtype, count(*) AS n_columns, "
+          f"CAST(sum(n_values) AS BIGINT) AS n_values FROM information_schema.columns JOIN present USING (column_name) "
           f"WHERE table_name = 'lineitem' GROUP BY 1")
 def q_profile_dtypes(spark, d):
-    return P.profile_dtypes(table(spark, d, "lineitem"))
+    return P.profile_dtypes(lineitem_nulls(spark, d))
 
 
 # ------------------------------------------------------------------ D4
@@ -259,13 +265,14 @@ _RENAMED_SQL = "SELECT " + ", ".join(f'{k} AS "{v}"' for k, v in _RENAMED.items(
 
 
 @register("column_name_issues",
+          f"SELECT issue, column_name, n_values FROM ("
           f"SELECT 'unnamed' AS issue, column_name FROM (DESCRIBE {_RENAMED_SQL}) "
           f"WHERE column_name LIKE 'Unnamed:%' UNION ALL "
           f"SELECT 'special_characters' AS issue, column_name FROM (DESCRIBE {_RENAMED_SQL}) "
           f"WHERE NOT regexp_full_match(replace(replace(column_name, '_', ''), ' ', ''), '[A-Za-z0-9]+') "
-          f"AND column_name NOT LIKE 'Unnamed:%'")
+          f"AND column_name NOT LIKE 'Unnamed:%') JOIN ({_present_sql(LI, _RENAMED, _RENAMED.values())}) USING (column_name)")
 def q_column_name_issues(spark, d):
-    df = table(spark, d, "lineitem").select(*[F.col(k).alias(v) for k, v in _RENAMED.items()])
+    df = lineitem_nulls(spark, d).select(*[F.col(k).alias(v) for k, v in _RENAMED.items()])
     return Q.column_name_issues(df)
 
 

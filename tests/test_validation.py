@@ -71,6 +71,19 @@ def test_column_name_checks(spark):
     assert got == {("unnamed", "Unnamed: 0"), ("unnamed", "_c3"), ("special_characters", "bad-name")}
 
 
+def test_names_and_types_count_their_values(spark):
+    df = spark.createDataFrame([(1, None, "x", 1.0), (2, None, None, 2.0)], "`_c0` int, `a%` string, b string, c double")
+    issues = {tuple(r) for r in Q.column_name_issues(df).collect()}
+    assert issues == {("unnamed", "_c0", 2), ("special_characters", "a%", 0)}
+    twice = df.select("b", "c", "b")
+    assert [tuple(r) for r in Q.column_name_issues(twice).collect()] == [("duplicate", "b", 1)]
+    assert Q.column_name_issues(df.select("b")).count() == 0
+    types = {tuple(r) for r in P.profile_dtypes(df).collect()}
+    assert types == {("int32", 1, 2), ("object", 2, 1), ("float64", 1, 2)}
+    assert {r["n_values"] for r in P.profile_dtypes(df.limit(0)).collect()} == {0}
+    assert P.profile_dtypes(df.select()).count() == 0
+
+
 def test_skewness_bias_corrected(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "x double")
     v = P.skewness(df).first()["skewness"]
