@@ -244,3 +244,47 @@ def round_trip(docs: DataFrame, **options) -> DataFrame:
     path = scratch_path(spark, "wavelet")
     write_shards(docs, path, **options)
     return read_documents(spark, path)
+
+
+COUNT_SCHEMA = "part int, shard int, n_found long"
+PLACE_SCHEMA = "part int, shard int, doc_id long, offset long"
+PLACES = 1 << 16              # places per batch of answers
+
+
+def count_token(spark: SparkSession, path: str, token_id: int) -> DataFrame:
+    """How often each shard at ``path`` holds an id (two ranks, nothing is decoded): part, shard, n_found.
+
+    A shard without the id has a row with 0; no shards give no rows.
+    """
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [WaveletMatrix.from_bytes(image.as_py()).count(token_id) for image in batch.column("payload")]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("shard"), pa.array(found, pa.int64())],
+                                             names=["part", "shard", "n_found"])
+
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    return prepared(shards).select("part", "shard", "payload").mapInArrow(counts, COUNT_SCHEMA)
+
+
+def locate_token(spark: SparkSession, path: str, token_id: int) -> DataFrame:
+    """Every occurrence of an id, found by select: part, shard, doc_id and the place in that document (from 0).
+
+    Rows of a document with a null id keep the null; an id that never occurs gives no rows.
+    """
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = WaveletMatrix.from_bytes(row["payload"])
+                ends = np.cumsum(np.array(row["doc_lengths"], dtype=np.int64))
+                found = matrix.count(token_id)
+                for a in range(0, found, PLACES):
+                    at = np.array([matrix.select(token_id, k) for k in range(a, min(a + PLACES, found))], dtype=np.int64)
+                    doc = np.searchsorted(ends, at, side="right")
+                    begin = ends[doc] - np.array(row["doc_lengths"], dtype=np.int64)[doc]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row["part"]] * len(at), pa.int32()), pa.array([row["shard"]] * len(at), pa.int32()),
+                        pa.array([row["doc_ids"][d] for d in doc], pa.int64()), pa.array(at - begin, pa.int64()),
+                    ], names=["part", "shard", "doc_id", "offset"])
+
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    return prepared(shards).select("part", "shard", "doc_ids", "doc_lengths", "payload").mapInArrow(places, PLACE_SCHEMA)

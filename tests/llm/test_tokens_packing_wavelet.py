@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +80,17 @@ def test_wavelet_shards_round_trip(odd, sample, whole, shard_tokens):
         check_shards(out, [(r["doc_id"], r["text"]) for r in docs.collect()], whole)
 
 
+def test_written_shards_count_and_locate_a_token(spark, odd, whole, tmp_path):
+    path = str(tmp_path / "shards")
+    wavelet.write_shards(odd, path, shard_tokens=100)
+    docs = [(r["doc_id"], [*whole(r["text"]), 2]) for r in odd.collect()]
+    every = Counter(t for _, ids in docs for t in ids)
+    for token in (2, every.most_common(2)[1][0], every.most_common()[-1][0], 49_000_000):
+        assert sum(r["n_found"] for r in wavelet.count_token(spark, path, token).collect()) == every[token]
+        got = Counter((r["doc_id"], r["offset"]) for r in wavelet.locate_token(spark, path, token).collect())
+        assert got == Counter((d, k) for d, ids in docs for k, t in enumerate(ids) if t == token)
+
+
 def test_wavelet_shards_of_an_empty_table(spark):
     assert wavelet.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
