@@ -108,7 +108,8 @@ def _class_moments(df: DataFrame, d: int, full: bool = True) -> dict:
                 mean = Xc.mean(axis=0)
                 one = (float(len(Xc)), mean, (Xc - mean).T @ (Xc - mean) if full else None)
                 acc[c] = merge(acc[c], one) if c in acc else one
-        yield frame(acc)
+        if acc:                    # a task without rows has no partial
+            yield frame(acc)
 
     def total(pdf):
         out = None

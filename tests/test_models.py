@@ -124,3 +124,12 @@ def test_quick_flow_median_option(spark):
     p = PR.prep_quick(df, "t", ["id"], missing="median", scaling="none", fit_on="all")
     assert p.frame.where("x IS NULL").count() == 0
     assert any(s.op == "impute_median" for s in p.steps)
+
+
+@pytest.mark.parametrize("name", ["Linear Discriminant Analysis", "Quadratic Discriminant Analysis"])
+def test_discriminants_over_partitions_without_rows(spark, classification, name):
+    train, test = classification
+    dealt = train.select(train.id, train.features, train.label).repartition(60, (F.col("id") % 3).cast("int"))
+    got, want = (M.predict(M.get_learner(name).build({}, {}).fit(df), test).select("id", "prediction").orderBy("id").collect()
+                 for df in (dealt, train))
+    assert got == want
