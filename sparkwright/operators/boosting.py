@@ -6,11 +6,16 @@ the open nodes of all classes at once, the histograms are summed per class, and
 split of each node is picked where they are summed; the driver gets one row per node.
 While the table is small (``LOCAL_ROWS``) a round is a single job: a class's rows, already
 binned, meet in one task, which grows the whole tree with the same functions.  Both ways
-pick the same splits.
+pick the same splits.  Of two sibling nodes only the one with fewer rows is counted, the
+other one is their parent less it.
 
-Scores are written every ``KEEP_ROUNDS`` rounds to the shared checkpoint folder; in
-between, tasks add the newer trees themselves.  AdaBoost needs no scores at all, its
-weights follow from the stumps so far.
+Where few bins cannot tell rows apart, rows of the same bins and class are one row with
+a weight (in regression, of the same bins: squared errors need the mean of their labels).
+Binned rows travel in blocks of columns, in a number of parts that follows the cores and
+the bytes of the blocks, so that histograms sent stay few.
+
+Scores are kept per round, and written every ``KEEP_ROUNDS`` rounds to the shared checkpoint
+folder.  AdaBoost needs no scores at all, its weights follow from the stumps so far.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ BINS = 32
 LOCAL_ROWS = 65_536        # rows up to which a class's rows meet in one task
 KEEP_ROUNDS = 10           # rounds between written scores
 MERGE_SLOTS = 64           # histograms of more partitions are summed in two steps
+BLOCK_ROWS = 131_072       # rows of a packed block
+PART_BYTES = 128 << 20     # packed bytes of a part, beyond one part a core
 SEED = 42
 
 
@@ -98,14 +105,34 @@ def walk(bins: np.ndarray, tree: dict[str, np.ndarray], levels: int) -> np.ndarr
     return node
 
 
-def histogram(bins: np.ndarray, slot: np.ndarray, stats: np.ndarray, slots: int) -> np.ndarray:
-    """Sums of ``stats`` (rows x s) by slot, feature and bin; rows of slot -1 are left out."""
-    own = slot >= 0
-    bins, slot, stats = bins[own], slot[own], stats[own]
+def pair_codes(bins: np.ndarray) -> np.ndarray:
+    """Numbers of the bins of neighbouring features together (pairs x rows); the last one of an odd number goes alone."""
+    cols = bins.T
+    left, right = cols[0::2].astype(np.uint16), cols[1::2]
+    left[:len(right)] = left[:len(right)] * BINS + right
+    return left
+
+
+def histogram(bins: np.ndarray, slot: np.ndarray, stats: np.ndarray, slots: int, codes: np.ndarray | None = None) -> np.ndarray:
+    """Sums of ``stats`` (rows x s) by slot, feature and bin; rows of slot -1 are left out.
+
+    Two features are counted at once, by their bins together, and summed over each of them.
+    """
+    own = np.flatnonzero(slot >= 0)
     d, s = bins.shape[1], stats.shape[1]
-    at = ((slot[:, None] * d + np.arange(d)) * BINS + bins).ravel()
-    out = [np.bincount(at, weights=np.repeat(stats[:, k], d), minlength=slots * d * BINS) for k in range(s)]
-    return np.stack(out, axis=-1).reshape(slots, d, BINS, s)
+    out = np.zeros((slots, d, BINS, s))
+    slot, weights = slot[own], stats[own].T.copy()
+    codes = pair_codes(bins) if codes is None else codes
+    for a in range(0, d, 2):
+        code, cells = codes[a // 2], BINS * BINS if a + 1 < d else BINS
+        at = slot * cells + (code if len(own) == len(code) else code[own])
+        for k in range(s):
+            both = np.bincount(at, weights=weights[k], minlength=slots * cells).reshape(slots, -1, BINS)
+            if a + 1 < d:
+                out[:, a, :, k], out[:, a + 1, :, k] = both.sum(axis=2), both.sum(axis=1)
+            else:
+                out[:, a, :, k] = both[:, 0]
+    return out
 
 
 def leaf_value(stats: np.ndarray, rule: Rule) -> float:
@@ -175,9 +202,8 @@ def class_scores(kind: str, scores: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-scores)) if kind == "logistic" else scores
 
 
-def gradients(kind: str, scores: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the loss in the score of class ``k``."""
-    p = class_scores(kind, scores)[:, k]
+def gradients(kind: str, p: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the loss in the score of class ``k``, from its column of ``class_scores``."""
     if kind == "squared":
         return p - label, np.ones(len(label))
     y = (label == k) if kind == "softmax" else (label == 1)
@@ -218,36 +244,45 @@ class TreeBoosting(Estimator):
         if kind == "softmax" and not rule.newton:
             rule = Rule(**{**asdict(rule), "shrink": (classes - 1) / classes})
 
-        def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 bins = to_bins(_matrix(batch.column(0), dims), edges)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r.tobytes() for r in bins], pa.binary()), batch.column(1),
-                    pa.array([base] * len(bins), pa.list_(pa.float64())), batch.column(2)],
-                    names=["bins", "label", "scores", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), batch.column(1), batch.column(2),
+                                                  pa.array(np.ones(len(bins)))], names=["bins", "label", "u", "weight"])
 
-        schema = "bins binary, label double, scores array<double>, u double"
         x = vector_to_array("features")
-        source = rows.select(x.alias("x"), "label", (F.pmod(F.xxhash64(x, F.lit(self.seed)), F.lit(1 << 30)) / (1 << 30)).alias("u"))
-        if n <= self.local_rows:
-            source = source.coalesce(max(1, n // 20_000))
-        state = cut_lineage(source.mapInArrow(start, schema)).persist()
+        source = rows.select(x.alias("x"), "label", (F.pmod(F.xxhash64(x, F.lit(self.seed)), F.lit(1 << 30)) / (1 << 30)).alias("u")) \
+            .mapInArrow(binned, "bins binary, label double, u double, weight double")
+        cells = math.prod(len(e) + 1 for e in edges) * (1 if self.regression else classes)
+        if self.subsample >= 1.0 and 2 * cells <= n:        # no more rows than these can differ
+            keys = ["bins"] if self.regression else ["bins", "label"]
+            source = source.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.min("u").alias("u"),
+                                               *([F.avg("label").alias("label")] if self.regression else []))
+            n = cells
+        source = source.select("bins", "label", "u", "weight").mapInArrow(_blocks(dims, base), STATE_SCHEMA)
+        grow, parts = _grow_local, max(1, n // 20_000)
+        if n > self.local_rows:
+            grow, parts = _grow_by_level, max(spark.sparkContext.defaultParallelism, -(-n * (dims + 8 * heads + 24) // PART_BYTES))
+        dealt = source.coalesce(parts) if grow is _grow_local else source.repartition(parts)
+        state = cut_lineage(dealt.mapInArrow(_joined(dims, heads), STATE_SCHEMA)).persist()
+        older = None
         trees: list[list[dict[str, np.ndarray]]] = []
         gains = np.zeros(dims)
-        held = 0
         try:
             for step in range(self.rounds):
-                if step - held == KEEP_ROUNDS:
-                    newer = cut_lineage(state.mapInArrow(_added(trees[held:], dims, heads, rule.depth), schema)).persist()
-                    state.unpersist()
-                    state, held = newer, step
-                allowed = self._allowed(step, dims)
-                grow = _grow_local if n <= self.local_rows else _grow_by_level
-                own, gained = grow(state, trees[held:], kind, heads, dims, rule, allowed, self._share(step))
+                if step:
+                    older = state
+                    state = older.mapInArrow(_added(trees[-1], dims, heads, rule.depth), STATE_SCHEMA)
+                    state = (cut_lineage(state) if step % KEEP_ROUNDS == 0 else state).persist()
+                own, gained = grow(state, kind, heads, dims, rule, self._allowed(step, dims), self._share(step), parts)
+                if older is not None:
+                    older.unpersist()
                 gains += gained
                 trees.append(own)
         finally:
             state.unpersist()
+            if older is not None:
+                older.unpersist()
         return TreeBoostingModel(kind, base, edges, trees, rule.depth, gains.tolist())
 
     def _allowed(self, step: int, dims: int) -> np.ndarray:
@@ -262,31 +297,75 @@ class TreeBoosting(Estimator):
         return self.subsample, math.fmod(0.6180339887498949 * (step + 1), 1.0)
 
 
-def _added(newer: list, dims: int, heads: int, depth: int):
-    """Kernel that adds newer trees to the scores."""
+STATE_SCHEMA = "bins binary, label binary, scores binary, u binary, weight binary"
+
+
+@dataclass
+class Block:
+    """Binned rows by column: bins (rows x features, a feature's bins lie together), labels, scores, shares, weights."""
+    bins: np.ndarray
+    label: np.ndarray
+    scores: np.ndarray
+    u: np.ndarray
+    weight: np.ndarray
+
+    def batch(self) -> pa.RecordBatch:
+        columns = (self.bins.T, self.label, self.scores, self.u, self.weight)
+        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns],
+                                          names=["bins", "label", "scores", "u", "weight"])
+
+
+def _read(batches: Iterator[pa.RecordBatch], dims: int, heads: int) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bins, label, scores, u, weight = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8 if c == 0 else float)
+                                              for c in range(5))
+            yield Block(bins.reshape(dims, -1).T, label, scores.reshape(-1, heads), u, weight)
+
+
+def _blocks(dims: int, base: list):
+    """Kernel that packs binned rows, with their first scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _now(batch, newer, dims, heads, depth)
-            yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("label"),
-                                              pa.array(list(scores), pa.list_(pa.float64())), batch.column("u")],
-                                             names=["bins", "label", "scores", "u"])
+            if batch.num_rows:
+                label, u, weight = (np.asarray(batch.column(c)) for c in ("label", "u", "weight"))
+                yield Block(_bytes(batch.column("bins"), dims), label, np.tile(np.array(base, dtype=float), (len(label), 1)), u, weight).batch()
     return run
 
 
-def _now(batch: pa.RecordBatch, newer: list, dims: int, heads: int, depth: int) -> np.ndarray:
-    """Scores of a batch with the newer trees."""
-    bins, scores = _bytes(batch.column("bins"), dims), _matrix(batch.column("scores"), heads).copy()
-    for trees in newer:
-        for k, tree in enumerate(trees):
-            scores[:, k] += tree["value"][walk(bins, tree, depth)]
-    return scores
+def _joined(dims: int, heads: int):
+    """Kernel that joins small blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Block] = []
+
+        def joined() -> pa.RecordBatch:
+            return Block(np.concatenate([b.bins.T for b in held], axis=1).T,
+                         *[np.concatenate([getattr(b, c) for b in held]) for c in ("label", "scores", "u", "weight")]).batch()
+
+        for block in _read(batches, dims, heads):
+            if held and sum(len(b.u) for b in held) + len(block.u) > BLOCK_ROWS:
+                yield joined()
+                held = []
+            held.append(block)
+        if held:
+            yield joined()
+    return run
 
 
-def _row_stats(batch: pa.RecordBatch, scores: np.ndarray, kind: str, k: int, share: tuple[float, float]) -> np.ndarray:
-    """Gradient, hessian and row count of a batch for class ``k`` (zero for rows that sit a round out)."""
-    label, u = np.asarray(batch.column("label")), np.asarray(batch.column("u"))
-    g, h = gradients(kind, scores, label, k)
-    part = (np.mod(u + share[1], 1.0) < share[0]).astype(float) if share[0] < 1.0 else np.ones(len(u))
+def _added(trees: list, dims: int, heads: int, depth: int):
+    """Kernel that adds a round's trees to the scores."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _read(batches, dims, heads):
+            steps = [tree["value"][walk(block.bins, tree, depth)] for tree in trees]
+            block.scores = block.scores + np.column_stack(steps)
+            yield block.batch()
+    return run
+
+
+def _row_stats(block: Block, p: np.ndarray, kind: str, k: int, share: tuple[float, float]) -> np.ndarray:
+    """Gradient, hessian and row count of a block for class ``k`` (zero for rows that sit a round out)."""
+    g, h = gradients(kind, p[:, k], block.label, k)
+    part = block.weight * (np.mod(block.u + share[1], 1.0) < share[0]) if share[0] < 1.0 else block.weight
     return np.column_stack([g * part, h * part, part])
 
 
@@ -313,26 +392,25 @@ def _planted(rows: list, heads: int, rule: Rule, dims: int) -> tuple[list, np.nd
     return trees, gains
 
 
-def _grow_local(state: DataFrame, newer: list, kind: str, heads: int, dims: int, rule: Rule, allowed: np.ndarray,
-                share: tuple[float, float]) -> tuple[list, np.ndarray]:
+def _grow_local(state: DataFrame, kind: str, heads: int, dims: int, rule: Rule, allowed: np.ndarray,
+                share: tuple[float, float], parts: int) -> tuple[list, np.ndarray]:
     """One round as one job: binned rows of a bounded table, grouped by class."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                scores, packed = _now(batch, newer, dims, heads, rule.depth), b"".join(batch.column("bins").to_pylist())
-                yield pa.RecordBatch.from_pydict({
-                    "head": pa.array(range(heads), pa.int32()), "bins": pa.array([packed] * heads, pa.binary()),
-                    "stats": pa.array([_row_stats(batch, scores, kind, k, share).tobytes() for k in range(heads)], pa.binary())})
+        for block in _read(batches, dims, heads):
+            p, packed = class_scores(kind, block.scores), block.bins.T.tobytes()
+            yield pa.RecordBatch.from_pydict({
+                "head": pa.array(range(heads), pa.int32()), "bins": pa.array([packed] * heads, pa.binary()),
+                "stats": pa.array([_row_stats(block, p, kind, k, share).tobytes() for k in range(heads)], pa.binary())})
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins = np.frombuffer(b"".join(pdf["bins"]), dtype=np.uint8).reshape(-1, dims)
+        bins = np.concatenate([np.frombuffer(b, dtype=np.uint8).reshape(dims, -1) for b in pdf["bins"]], axis=1).T
         stats = np.frombuffer(b"".join(pdf["stats"])).reshape(-1, 3)
-        tree, rows = empty_tree(rule.depth), []
+        tree, rows, codes = empty_tree(rule.depth), [], pair_codes(bins)
         for level in range(rule.depth):
             nodes = open_nodes(tree, level)
             if not nodes:
                 break
-            hist = histogram(bins, _slots(bins, tree, level, nodes), stats, len(nodes))
+            hist = histogram(bins, _slots(bins, tree, level, nodes), stats, len(nodes), codes)
             splits = decide(hist, rule, len(rows), allowed)
             add_splits(tree, splits, nodes, rule)
             rows += [r for r in _split_rows(int(pdf["head"].iloc[0]), splits, nodes, stats.sum(axis=0)) if r[1] >= 0]
@@ -344,49 +422,100 @@ def _grow_local(state: DataFrame, newer: list, kind: str, heads: int, dims: int,
     return _planted(rows, heads, rule, dims)
 
 
-def _grow_by_level(state: DataFrame, newer: list, kind: str, heads: int, dims: int, rule: Rule, allowed: np.ndarray,
-                   share: tuple[float, float]) -> tuple[list, np.ndarray]:
+HIST_SCHEMA = "head int, hist binary"
+
+
+def _counted(found: list, head: int, nodes: list[int]) -> list[int]:
+    """Of every two sibling nodes the one with fewer rows; the root alone."""
+    if nodes in ([], [0]):
+        return nodes
+    rows = {r["node"]: (r["left"][2], r["right"][2]) for r in found if r["head"] == head and r["node"] >= 0}
+    return [2 * n + (1 if rows[n][0] <= rows[n][1] else 2) for n in sorted({(c - 1) // 2 for c in nodes})]
+
+
+def _with_siblings(counted: np.ndarray, above: np.ndarray, asked: list[int], nodes: list[int], before: list[int]) -> np.ndarray:
+    """Histograms of all ``nodes``: counted ones, and their parents' less them (no rows: no sums either)."""
+    place, parent = {n: i for i, n in enumerate(asked)}, {n: i for i, n in enumerate(before)}
+    out = np.empty((len(nodes), *counted.shape[1:]))
+    for i, n in enumerate(nodes):
+        if n in place:
+            out[i] = counted[place[n]]
+        else:
+            rest = above[parent[(n - 1) // 2]] - counted[place[n + 1 if n % 2 else n - 1]]
+            out[i] = np.where(rest[..., 2:] > 0.5, rest, 0.0)
+    return out
+
+
+def _grow_by_level(state: DataFrame, kind: str, heads: int, dims: int, rule: Rule, allowed: np.ndarray,
+                   share: tuple[float, float], parts: int) -> tuple[list, np.ndarray]:
     """One round of any table: one job per level, histograms of all classes at once."""
     found: list = []
+    above, before = None, [[] for _ in range(heads)]
     for level in range(rule.depth):
         trees, _ = _planted(found, heads, rule, dims)
         nodes = [open_nodes(t, level) for t in trees]
-        done = [sum(1 for r in found if r["head"] == k and r["node"] >= 0) for k in range(heads)]
         if not any(nodes):
             break
+        asked = [_counted(found, k, nodes[k]) for k in range(heads)]
+        hists = _node_histograms(state, above, kind, heads, dims, trees, level, nodes, asked, before, share, parts).persist()
+        done = [sum(1 for r in found if r["head"] == k and r["node"] >= 0) for k in range(heads)]
+        found += hists.mapInArrow(_picked(dims, rule, done, allowed, nodes), SPLIT_SCHEMA).collect()   # one row per split node
+        if above is not None:
+            above.unpersist()
+        above, before = hists, nodes
+    if above is not None:
+        above.unpersist()
+    return _planted(found, heads, rule, dims)
 
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins, scores = _bytes(batch.column("bins"), dims), _now(batch, newer, dims, heads, rule.depth)
-                for k in range(heads):
-                    if nodes[k]:
-                        one = histogram(bins, _slots(bins, trees[k], level, nodes[k]),
-                                        _row_stats(batch, scores, kind, k, share), len(nodes[k]))
-                        total[k] = total[k] + one if k in total else one
-            slot = TaskContext.get().partitionId() % MERGE_SLOTS
-            for k, hist in total.items():
-                yield pa.RecordBatch.from_pydict({"head": pa.array([k], pa.int32()), "slot": pa.array([slot], pa.int32()),
-                                                  "hist": pa.array([hist.tobytes()], pa.binary())})
-
-        def added(pdf: pd.DataFrame) -> np.ndarray:
-            return sum(np.frombuffer(b) for b in pdf["hist"])
 
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pdf.iloc[:1].assign(hist=[added(pdf).tobytes()])
+def _picked(dims: int, rule: Rule, done: list[int], allowed: np.ndarray, nodes: list[list[int]]):
+    """Kernel that picks the splits of a level from its histograms."""
+    names = [c.split(" ")[0] for c in SPLIT_SCHEMA.split(", ")]
+    kinds = [pa.int32()] * 4 + [pa.float64()] + [pa.list_(pa.float64())] * 3
 
-        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-            k = int(pdf["head"].iloc[0])
-            hist = added(pdf).reshape(len(nodes[k]), dims, BINS, 3)
-            rows = _split_rows(k, decide(hist, rule, done[k], allowed), nodes[k], hist[0, 0].sum(axis=0))
-            return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SPLIT_SCHEMA.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hist = np.frombuffer(packed.as_buffer()).reshape(-1, dims, BINS, 3)
+                rows = _split_rows(k, decide(hist, rule, done[k], allowed), nodes[k], hist[0, 0].sum(axis=0))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
+    return run
 
-        partial_schema = "head int, slot int, hist binary"
-        hists = state.mapInArrow(fold, partial_schema).groupBy("head", "slot").applyInPandas(merge, partial_schema)
-        found += hists.groupBy("head").applyInPandas(pick, SPLIT_SCHEMA).collect()   # one row per split node
-    return _planted(found, heads, rule, dims)
+
+def _node_histograms(state: DataFrame, above: DataFrame | None, kind: str, heads: int, dims: int, trees: list, level: int,
+                     nodes: list, asked: list, before: list, share: tuple[float, float], parts: int) -> DataFrame:
+    """Histograms of a level's open nodes, one row per class."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for block in _read(batches, dims, heads):
+            p, codes = class_scores(kind, block.scores), pair_codes(block.bins)
+            for k in range(heads):
+                if asked[k]:
+                    one = histogram(block.bins, _slots(block.bins, trees[k], level, asked[k]),
+                                    _row_stats(block, p, kind, k, share), len(asked[k]), codes)
+                    total[k] = total[k] + one if k in total else one
+        slot = TaskContext.get().partitionId() % MERGE_SLOTS
+        for k, hist in total.items():
+            yield pa.RecordBatch.from_pydict({"head": pa.array([k], pa.int32()), "slot": pa.array([slot], pa.int32()),
+                                              "hist": pa.array([hist.tobytes()], pa.binary())})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(hist=[sum(np.frombuffer(b) for b in pdf["hist"]).tobytes()])
+
+    def complete(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        k = int(key[0])
+        if not len(new):                     # nothing of this class is open any more
+            return old.iloc[:0]
+        counted, parent = (sum(np.frombuffer(b) for b in t["hist"]).reshape(-1, dims, BINS, 3) for t in (new, old))
+        return pd.DataFrame({"head": [k], "hist": [_with_siblings(counted, parent, asked[k], nodes[k], before[k]).tobytes()]})
+
+    hists = state.mapInArrow(fold, "head int, slot int, hist binary")
+    if parts > MERGE_SLOTS:
+        hists = hists.groupBy("head", "slot").applyInPandas(merge, "head int, slot int, hist binary")
+    width = min(heads, state.sparkSession.sparkContext.defaultParallelism)      # a kept plan is not made narrower by itself
+    hists = hists.select("head", "hist").repartition(width, "head").groupBy("head")
+    return hists.applyInPandas(merge, HIST_SCHEMA) if above is None else \
+        hists.cogroup(above.repartition(width, "head").groupBy("head")).applyInPandas(complete, HIST_SCHEMA)
 
 
 # ------------------------------------------------------------------ fitted models

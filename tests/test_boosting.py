@@ -106,3 +106,23 @@ def test_boosted_regression(spark, classes):
         model = M.ModelManager(spark).train(name, df.where("id < 700"), {"n_estimators": 40})
         out = M.predict(model, df.where("id >= 700")).select("label", "prediction").toPandas()
         assert 1 - ((out["label"] - out["prediction"]) ** 2).sum() / ((out["label"] - out["label"].mean()) ** 2).sum() > 0.85
+
+
+def test_rows_of_the_same_bins_are_one_row(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, size=(600, 1)).astype(float)
+    y = x[:, 0] ** 2 + rng.normal(size=600)
+    want = B.TreeBoosting(5, replace(M.NEWTON, depth=3), regression=True, subsample=0.999999999, local_rows=0).fit(frame(spark, x, y))
+    monkeypatch.setattr(B, "_grow_by_level", None)               # twelve rows differ, so a round is one job
+    got = B.TreeBoosting(5, replace(M.NEWTON, depth=3), regression=True, local_rows=100).fit(frame(spark, x, y))
+    for (a,), (b,) in zip(got.trees, want.trees):
+        assert (a["feature"] == b["feature"]).all() and (a["cut"] == b["cut"]).all() and np.allclose(a["value"], b["value"])
+
+
+def test_histograms_are_sent_by_core_not_by_input_part(spark, classes, monkeypatch):
+    x, y = classes
+    seen = []
+    grow = B._grow_by_level
+    monkeypatch.setattr(B, "_grow_by_level", lambda state, *rest: seen.append(state.rdd.getNumPartitions()) or grow(state, *rest))
+    B.TreeBoosting(1, replace(M.NEWTON, depth=2), local_rows=0).fit(frame(spark, x, y, parts=40))
+    assert seen == [spark.sparkContext.defaultParallelism]
