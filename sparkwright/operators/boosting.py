@@ -116,19 +116,21 @@ def pair_codes(bins: np.ndarray) -> np.ndarray:
 def histogram(bins: np.ndarray, slot: np.ndarray, stats: np.ndarray, slots: int, codes: np.ndarray | None = None) -> np.ndarray:
     """Sums of ``stats`` (rows x s) by slot, feature and bin; rows of slot -1 are left out.
 
-    Two features are counted at once, by their bins together, and summed over each of them.
+    With the ``codes`` of neighbouring features, two are counted at once, by their bins together, and summed over
+    each of them; without, every sum runs in the order of the rows.
     """
     own = np.flatnonzero(slot >= 0)
     d, s = bins.shape[1], stats.shape[1]
     out = np.zeros((slots, d, BINS, s))
     slot, weights = slot[own], stats[own].T.copy()
-    codes = pair_codes(bins) if codes is None else codes
-    for a in range(0, d, 2):
-        code, cells = codes[a // 2], BINS * BINS if a + 1 < d else BINS
+    step = 1 if codes is None else 2
+    for a in range(0, d, step):
+        paired = step == 2 and a + 1 < d
+        code, cells = bins[:, a] if codes is None else codes[a // 2], BINS * BINS if paired else BINS
         at = slot * cells + (code if len(own) == len(code) else code[own])
         for k in range(s):
             both = np.bincount(at, weights=weights[k], minlength=slots * cells).reshape(slots, -1, BINS)
-            if a + 1 < d:
+            if paired:
                 out[:, a, :, k], out[:, a + 1, :, k] = both.sum(axis=2), both.sum(axis=1)
             else:
                 out[:, a, :, k] = both[:, 0]
@@ -405,12 +407,12 @@ def _grow_local(state: DataFrame, kind: str, heads: int, dims: int, rule: Rule,
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         bins = np.concatenate([np.frombuffer(b, dtype=np.uint8).reshape(dims, -1) for b in pdf["bins"]], axis=1).T
         stats = np.frombuffer(b"".join(pdf["stats"])).reshape(-1, 3)
-        tree, rows, codes = empty_tree(rule.depth), [], pair_codes(bins)
+        tree, rows = empty_tree(rule.depth), []
         for level in range(rule.depth):
             nodes = open_nodes(tree, level)
             if not nodes:
                 break
-            hist = histogram(bins, _slots(bins, tree, level, nodes), stats, len(nodes), codes)
+            hist = histogram(bins, _slots(bins, tree, level, nodes), stats, len(nodes))
             splits = decide(hist, rule, len(rows), allowed)
             add_splits(tree, splits, nodes, rule)
             rows += [r for r in _split_rows(int(pdf["head"].iloc[0]), splits, nodes, stats.sum(axis=0)) if r[1] >= 0]
