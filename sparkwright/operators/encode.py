@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from sparkwright.functions.columns import q, text_columns
 from sparkwright.operators.ordered import row_position
 from sparkwright.functions.columns import attach_one_row
+from sparkwright.session import cut_lineage
 
 NAN_TEXT = "nan"            # text of a missing value once cast to text (fixed value)
 OTHER = "Other"             # replacement for rare categories (fixed value)
+BROADCAST_BYTES = 16 << 20  # most counted bytes of a dictionary that every task gets
 
 
 def as_text(c) -> "F.Column":
@@ -29,8 +31,10 @@ def as_text(c) -> "F.Column":
 
 
 def _join_dict(df: DataFrame, d: DataFrame, on: str) -> DataFrame:
-    """Look up a dictionary; the optimizer broadcasts it if its bytes allow."""
-    return df.join(d, on, "left")
+    """Look up a dictionary; it is broadcast if its counted bytes allow, so rows of a frequent value stay in their own tasks."""
+    d = cut_lineage(d)
+    size = d.agg(F.sum(F.octet_length(q(on).cast("string"))), F.count(F.lit(1))).first()
+    return df.join(F.broadcast(d) if (size[0] or 0) + 32 * size[1] <= BROADCAST_BYTES else d, on, "left")
 
 
 def dense_codes(values: DataFrame, col: str = "value", code: str = "code",

@@ -128,3 +128,19 @@ def test_lambda_far_outside_the_first_bracket(spark):
         assert abs(got[name] - best) < 0.01 and abs(best) > 5
     assert abs(got["x"] - 9) < 1 and got["flat"] == 1.0
     assert SC.yeo_johnson_lambda(df.where("x < -1"), "x") == 1.0
+
+
+def test_a_frequent_value_is_looked_up_without_a_shuffle(spark):
+    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 50 = 1 THEN 'b' ELSE 'a' END AS c")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for f in (EN.encode_label, EN.encode_frequency):
+            out = f(df, ["c"])
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert out.count() == 2000
+        codes = {r["c"] for r in EN.encode_label(df, ["c"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert codes == {0, 1, 2}
