@@ -84,6 +84,7 @@ class Packer:
     def __init__(self, limits: Limits):
         self.limits = limits
         self.pool: list[Piece] = []
+        self.demand = np.zeros((POOL, 3), dtype=np.int64)     # of the pool's pieces, one row each
         self.sequences = 0
         self.out: list[tuple[Piece, int, int, int, int]] = []
 
@@ -98,6 +99,9 @@ class Packer:
                 piece.loss_in(piece.start, piece.start + lim.tokens) <= lim.loss_tokens:
             self._put(piece, piece.start + lim.tokens, self._open(), 0)
         if piece.start < piece.end:
+            if len(self.pool) == len(self.demand):     # pieces of too few tokens for a sequence wait beyond POOL
+                self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)])
+            self.demand[len(self.pool)] = piece.demand()
             self.pool.append(piece)
         if len(self.pool) >= POOL:
             self._fill(self.limits.tokens, POOL // 2)
@@ -106,9 +110,12 @@ class Packer:
         """Pack all that waits: full sequences first, then lengths that are powers of two."""
         self._fill(self.limits.tokens, 0)
         while self.pool:
-            left = min(sum(p.end - p.start for p in self.pool), self.limits.tokens)
+            left = min(self._waiting(), self.limits.tokens)
             self._one(1 << (left.bit_length() - 1))
 
+    def _waiting(self) -> int:
+        return int(self.demand[:len(self.pool), 0].sum())
+
     def _open(self) -> int:
         self.sequences += 1
         return self.sequences - 1
@@ -121,7 +128,7 @@ class Packer:
 
     def _fill(self, tokens: int, keep: int) -> None:
         """Fill sequences of ``tokens`` while more than ``keep`` pieces, and enough tokens, wait."""
-        waiting = sum(p.end - p.start for p in self.pool)
+        waiting = self._waiting()
         while len(self.pool) > keep and waiting >= tokens:
             waiting -= self._one(tokens)
 
@@ -131,28 +138,43 @@ class Packer:
         room = full.copy()
         room[0] = tokens
         weight = full.astype(np.float64)
-        demand = np.array([p.demand() for p in self.pool], dtype=np.int64).reshape(-1, 3)
+        demand = self.demand[:len(self.pool)]
         scaled = demand / weight
         live = np.ones(len(self.pool), dtype=bool)
-        sequence, offset = self._open(), 0
+        sequence, offset, used = self._open(), 0, []
         while room[0] > 0 and room[1] > 0 and live.any():
             gain = scaled @ (room / weight)
-            fits = live & (demand <= room).all(axis=1)
+            fits = live & (demand[:, 0] <= room[0]) & (demand[:, 2] <= room[2])      # each piece is one segment
             whole = fits.any()
             i = int(np.where(fits if whole else live, gain, -1.0).argmax())
             piece = self.pool[i]
             take = piece.end - piece.start if whole else piece.most(room)
+            live[i] = False
             if take <= 0:          # no room for its loss tokens: look at the others
-                live[i] = False
                 continue
             room -= (take, 1, piece.loss_in(piece.start, piece.start + take))
             offset += self._put(piece, piece.start + take, sequence, offset)
-            live[i] = False
+            used.append(i)
         if offset < tokens:       # another limit ended it: give back what lies beyond a power of two, which needs no padding
             offset = self._trim(offset, 1 << (offset.bit_length() - 1))
-        self.pool = [p for p in self.pool if p.start < p.end]
+        self._leave(used)
         return offset
 
+    def _leave(self, used: list[int]) -> None:
+        """Measure the pieces at ``used`` again and drop those without rest from the pool."""
+        gone = []
+        for i in used:
+            piece = self.pool[i]
+            if piece.start < piece.end:
+                self.demand[i] = piece.demand()
+            else:
+                gone.append(i)
+        if gone:
+            left = np.delete(self.demand[:len(self.pool)], gone, axis=0)
+            self.demand[:len(left)] = left
+            for i in sorted(gone, reverse=True):
+                del self.pool[i]
+
     def _trim(self, offset: int, target: int) -> int:
         """Give the last sequence's tokens beyond ``target`` back to their pieces."""
         while offset > target:

@@ -95,6 +95,30 @@ def test_wavelet_shards_of_an_empty_table(spark):
     assert wavelet.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_piece_that_waits_is_measured_once(monkeypatch):
+    """A sequence looks at the demands that are kept, so the work does not grow with pieces times sequences."""
+    measured = []
+    demand = packing.Piece.demand
+    monkeypatch.setattr(packing.Piece, "demand", lambda self: measured.append(self.doc_id) or demand(self))
+    sizes = [1 + i * 37 % 900 for i in range(1500)]
+    packer = packing.Packer(packing.Limits())
+    for i, n in enumerate(sizes):
+        packer.add(i, bytes(4 * n))
+    packer.finish()
+    assert sum(end - start for _, start, end, *_ in packer.out) == sum(sizes)
+    assert len(measured) <= len(sizes) + len(packer.out)
+
+
+def test_pieces_of_one_token_wait_beyond_the_pool():
+    packer = packing.Packer(packing.Limits(2048, 4096, 2048))
+    for i in range(5000):
+        packer.add(i, bytes(4))
+    packer.finish()
+    lengths = Counter(sequence for _, _, _, sequence, _ in packer.out)
+    assert sorted(lengths.values()) == [8, 128, 256, 512, 2048, 2048]
+    assert sorted(piece.doc_id for piece, *_ in packer.out) == list(range(5000))
+
+
 def test_short_pieces_need_no_padding():
     """Sequences that the number of segments ends, not their tokens, still have lengths that are powers of two."""
     for limits, loss in ((packing.Limits(), None), (packing.Limits(2048, 7, 2048), None), (packing.Limits(2048, 256, 100), 2)):
