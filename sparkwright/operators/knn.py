@@ -11,8 +11,10 @@ the coordinates that both sides have.
 The search has two rounds at any size.  The first visits each query's most
 promising cells, which gives a k-th distance; the second visits exactly the other
 cells whose bound does not exceed it.  Queries travel in packed blocks, one per
-cell that any of them visits, and cells are joined to them by number: traffic is by
-block, never by pair.  Inside a block numpy finds candidates by a matrix product
+group of neighbouring cells that any of them visits, and cells are joined to them by
+group.  There are at most ``GROUPS`` groups, so a query is sent, and its best points
+of a group are returned, a bounded number of times, however many cells there are:
+traffic grows with the points, not with pairs.  Inside a block numpy finds candidates by a matrix product
 and takes the distances of those few again by differences, so ties are exact.
 
 Identical points are grouped first (count + one tie key), so a value that
@@ -44,6 +46,7 @@ SUMMARY_BYTES = 16 << 20   # most bytes of all cells' boxes, which every task ge
 MOST_PIVOTS = 1024
 QUERY_ROWS = 512           # queries of a packed block
 SEED_CELLS = 2             # cells of the first round
+GROUPS = 64                # most groups of cells, each asked by one copy of a block of queries
 MIN_SAME = 32              # a change of the null pattern ends a cell of at least so many points
 
 
@@ -242,13 +245,25 @@ def build_cells(points: DataFrame, d: int, p: int | None, cell_rows: int = CELL_
 
 # ------------------------------------------------------------------ search
 FOUND_SCHEMA = "qk string, t string, n long, d2 double, carried double"
+ASK_SCHEMA = ("team int, ask string, qks array<string>, asked binary, need array<int>, limits array<double>, "
+              "at array<long>, visits array<binary>")
+
+
+def _team_parts(cells: Cells) -> int:
+    """Partitions of cells that make one group."""
+    return -(-(max(part for part, _ in cells.bounds.ids) + 1) // GROUPS)
 
 
 def _ask(queries: DataFrame, cells: Cells, d: int, first: bool) -> DataFrame:
-    """Packed blocks of queries, one row per cell that any of a block visits in this round."""
-    bounds = cells.bounds
+    """Packed blocks of queries, one row per group of cells that any of a block visits in this round.
+
+    ``at`` names the group's visited cells (``part * 2^32 + seq``), ``visits`` the queries of each as bits.
+    """
+    bounds, per = cells.bounds, _team_parts(cells)
+    team = np.array([part // per for part, _ in bounds.ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, asks = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_ROWS):
                 one = batch.slice(at, QUERY_ROWS)
@@ -260,37 +275,71 @@ def _ask(queries: DataFrame, cells: Cells, d: int, first: bool) -> DataFrame:
                 np.put_along_axis(seed, order, True, axis=1)
                 fits = np.isfinite(bound) & (bound <= (limit * (1 + 1e-9))[:, None])
                 visit = seed & fits if first else fits & ~seed
-                for c in np.flatnonzero(visit.any(axis=0)):
-                    rows = np.flatnonzero(visit[:, c])
+                for g in np.unique(team[visit.any(axis=0)]):
+                    own = np.flatnonzero(visit.any(axis=0) & (team == g))
+                    rows = np.flatnonzero(visit[:, own].any(axis=1))
+                    bits = [np.packbits(visit[rows, c]).tobytes() for c in own]
+                    asks += 1
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([bounds.ids[c][0]], pa.int32()), pa.array([bounds.ids[c][1]], pa.int32()),
+                        pa.array([g], pa.int32()), pa.array([f"{task}-{asks}"], pa.string()),
                         pa.array([one.column(0).take(pa.array(rows)).to_pylist()], pa.list_(pa.string())),
                         pa.array([Q[rows].tobytes()], pa.binary()), pa.array([need[rows].tolist()], pa.list_(pa.int32())),
-                        pa.array([limit[rows].tolist()], pa.list_(pa.float64()))],
-                        names=["part", "seq", "qks", "asked", "need", "limits"])
-    return queries.select("qk", "x", "need", "d2").mapInArrow(
-        run, "part int, seq int, qks array<string>, asked binary, need array<int>, limits array<double>")
+                        pa.array([limit[rows].tolist()], pa.list_(pa.float64())),
+                        pa.array([[(bounds.ids[c][0] << 32) + bounds.ids[c][1] for c in own]], pa.list_(pa.int64())),
+                        pa.array([bits], pa.list_(pa.binary()))],
+                        names=["team", "ask", "qks", "asked", "need", "limits", "at", "visits"])
+    return queries.select("qk", "x", "need", "d2").mapInArrow(run, ASK_SCHEMA)
 
 
 def _answer(asked: DataFrame, cells: Cells, d: int, k: int) -> DataFrame:
-    """The k best points of each asked cell for each query of a block."""
-    p = cells.bounds.p
+    """The k best points for each query of a block, over the cells of a group that follow one another.
+
+    A join gives a block's cells in a row as a rule; where it does not, more points are returned, none fewer.
+    """
+    p, per = cells.bounds.p, _team_parts(cells) if cells.bounds.ids else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, block, best = None, None, {}        # best: query -> its (distance, tie, count, carried) so far
+
+        def told() -> Iterator[pa.RecordBatch]:
+            rows = [(block["qks"][a], t, n, v, c) for a, got in best.items() for v, t, n, c in got]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(
+                    zip(*rows), [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()])],
+                    names=["qk", "t", "n", "d2", "carried"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                P, Q = (np.frombuffer(row[c]).reshape(-1, d) for c in ("points", "asked"))
-                need = np.array(row["need"], dtype=int)
-                got = nearest(Q, need, P, np.array(row["counts"]), row["ties"], k, p, np.array(row["limits"]))
-                if got:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row["qks"][a] for a, _, _ in got], pa.string()), pa.array([row["ties"][b] for _, b, _ in got], pa.string()),
-                        pa.array([row["counts"][b] for _, b, _ in got], pa.int64()), pa.array([v for _, _, v in got], pa.float64()),
-                        pa.array([row["carried"][b] if need[a] < 0 else float(P[b, need[a]]) for a, b, _ in got], pa.float64())],
-                        names=["qk", "t", "n", "d2", "carried"])
-    own = cells.table.select("part", "seq", "points", "counts", "ties", "carried")
-    return asked.join(own, ["part", "seq"]).select("qks", "asked", "need", "limits", "points", "counts", "ties", "carried") \
+                row = {c: batch.column(c)[i].as_py() for c in ("ask", "bits", "points", "counts", "ties", "carried")}
+                if row["ask"] != ask:
+                    yield from told()
+                    ask, best = row["ask"], {}
+                    block = {c: batch.column(c)[i].as_py() for c in ("qks", "asked", "need", "limits")}
+                    Q, need = np.frombuffer(block["asked"]).reshape(-1, d), np.array(block["need"], dtype=int)
+                    limits = np.array(block["limits"])
+                P = np.frombuffer(row["points"]).reshape(-1, d)
+                some = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8), count=len(Q)))
+                found: dict[int, list] = {}
+                for a, b, v in nearest(Q[some], need[some], P, np.array(row["counts"]), row["ties"], k, p, limits[some]):
+                    a = int(some[a])
+                    found.setdefault(a, []).append(
+                        (v, row["ties"][b], row["counts"][b], row["carried"][b] if need[a] < 0 else float(P[b, need[a]])))
+                for a, new in found.items():
+                    got, kept = 0, []
+                    for point in sorted(best.get(a, []) + new, key=lambda f: f[:2]):
+                        if got >= k:
+                            break
+                        kept.append(point)
+                        got += point[2]
+                    best[a] = kept
+                    if got >= k:      # no later point beyond the farthest of them counts
+                        limits[a] = min(limits[a], kept[-1][0])
+        yield from told()
+    own = cells.table.select("part", "seq", "points", "counts", "ties", "carried") \
+        .withColumn("team", F.expr(f"CAST(part DIV {per} AS INT)"))
+    place = F.array_position("at", F.col("part").cast("long") * (1 << 32) + F.col("seq"))
+    return asked.join(own, "team").where(place > 0).withColumn("bits", F.element_at("visits", place.cast("int"))) \
+        .select("ask", "qks", "asked", "need", "limits", "bits", "points", "counts", "ties", "carried") \
         .mapInArrow(run, FOUND_SCHEMA)
 
 

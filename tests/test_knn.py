@@ -101,6 +101,25 @@ def test_bounds_hold_and_exclude_most_cells_of_clustered_points(spark):
     assert visits < 0.5 * len(Q) * len(cells.bounds.ids)
 
 
+def test_points_without_structure_are_asked_by_group(spark, monkeypatch):
+    """Every cell is visited, yet a query is sent once for each group of cells and gets its best points by group."""
+    monkeypatch.setattr(knn, "GROUPS", 4, raising=False)
+    rng = np.random.default_rng(4)
+    P, Q = rng.normal(size=(600, 16)), rng.normal(size=(20, 16))
+    t = [f"t{j:03d}" for j in range(600)]
+    cells = knn.build_cells(_points(spark, P, np.ones(600, dtype=int), t), 16, None, 8)
+    assert len(cells.bounds.ids) > 40
+    queries = spark.createDataFrame([(f"q{i}", x.tolist(), -1) for i, x in enumerate(Q)],
+                                    "qk string, x array<double>, need int").coalesce(1)
+    asked = knn._ask(queries.withColumn("d2", F.lit(1e9)), cells, 16, False)
+    sent = [name for r in asked.collect() for name in r["qks"]]
+    assert set(sent) == {f"q{i}" for i in range(20)} and len(sent) <= 4 * 20
+    got = knn.search(queries, cells, 16, 3).collect()
+    for i, want in enumerate(_brute(Q, np.full(20, -1), P, np.ones(600, dtype=int), t, 3, None)):
+        own = sorted((r for r in got if r["qk"] == f"q{i}"), key=lambda r: (r["d2"], r["t"]))
+        assert [(r["t"], r["take"]) for r in own] == want
+
+
 def test_classifier_votes(spark):
     """Two points of one place with different labels, repeated rows, ties of votes."""
     train = [([0.0, 0.0], 1.0)] * 3 + [([0.0, 0.0], 0.0)] * 3 + [([5.0, 5.0], 2.0)] * 4 + [([9.0, 9.0], 1.0)]
