@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,36 +35,50 @@ def _null_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
     ])
 
 
+# Forms that a cast can read at all (the cast still decides).  A cast that fails raises an error inside, with its
+# whole message, which costs some ten times what reading the line does; so no text of another form is cast.
+_WHOLE = r"^[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*$"           # read as a float too
+_WHOLE_DEL = r"^[\x00-\x20\x7F]*[+-]?[0-9]+[\x00-\x20\x7F]*$"  # with delete characters around it: as an integer only
+_FLOAT = (r"^[\x00-\x20]*[+-]?([0-9]*+\.?[0-9]*+([eE][+-]?[0-9]+)?[dDfF]?|0[xX][0-9A-Fa-f]*+\.?[0-9A-Fa-f]*+[pP][+-]?[0-9]+[dDfF]?"
+          r"|(?i:inf|infinity|nan))[\x00-\x20]*$")
+_NO_LONG, _NO_DOUBLE, _NO_BOOL = 1, 2, 4
+
+
+def _misfits(c: Column) -> Column:
+    """Types that a value cannot have, as bits; null for a null."""
+    own = F.trim(c)
+
+    def fits(form, kind):
+        return F.when(form, own.try_cast(kind)).isNotNull()
+
+    return F.when(c.isNull(), None) \
+        .when(fits(own.rlike(_WHOLE), "bigint"), _NO_BOOL) \
+        .when(fits(own.contains("\x7f") & own.rlike(_WHOLE_DEL), "bigint"), _NO_DOUBLE + _NO_BOOL) \
+        .when(fits(own.rlike(_FLOAT), "double"), _NO_LONG + _NO_BOOL) \
+        .when(c.isin(TRUE_TOKENS + FALSE_TOKENS), _NO_LONG + _NO_DOUBLE) \
+        .otherwise(_NO_LONG + _NO_DOUBLE + _NO_BOOL)
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Type every text column by one aggregate pass over the data."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
         return df
-    aggs = []
-    for i, name in enumerate(text):
-        c = F.trim(q(name))
-        nn = q(name).isNotNull()
-        aggs += [
-            F.count_if(nn & c.try_cast("bigint").isNull()).alias(f"l{i}"),
-            F.count_if(nn & c.try_cast("double").isNull()).alias(f"d{i}"),
-            F.count_if(nn & ~q(name).isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
-            F.count_if(nn).alias(f"n{i}"),
-        ]
-    stats = df.agg(*aggs).first()
+    stats = df.agg(*[F.bit_or(_misfits(q(name))).alias(f"m{i}") for i, name in enumerate(text)]).first()
     cols = []
     for f in df.schema.fields:
         c = q(f.name)
         if f.name not in text:
             cols.append(c)
             continue
-        i = text.index(f.name)
-        if stats[f"n{i}"] == 0:
+        misfits = stats[f"m{text.index(f.name)}"]
+        if misfits is None:
             cols.append(c)  # all missing stays text (object) like the reader
-        elif stats[f"l{i}"] == 0:
+        elif not misfits & _NO_LONG:
             cols.append(F.trim(c).try_cast("bigint").alias(f.name))
-        elif stats[f"d{i}"] == 0:
+        elif not misfits & _NO_DOUBLE:
             cols.append(F.trim(c).try_cast("double").alias(f.name))
-        elif stats[f"b{i}"] == 0:
+        elif not misfits & _NO_BOOL:
             cols.append(c.isin(TRUE_TOKENS).alias(f.name))
         else:
             cols.append(c)
