@@ -11,10 +11,18 @@ from sparkwright.session import checkpoint_dir, scratch_path, ship_package
 __all__ = ["boxed", "prepared", "scratch_path", "text_bytes", "unboxed"]
 
 
+# Texts per Arrow batch are bounded by bytes: a batch stands several times in a task's memory (growing, sent, read
+# and as output), and the batches of long texts would else grow to 64 MB.  A bound set by the caller stays.
+_BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def prepared(df: DataFrame) -> DataFrame:
-    """``df``, with the shared checkpoint folder set and this package sent to the workers."""
-    checkpoint_dir(df.sparkSession)
-    ship_package(df.sparkSession)
+    """``df``, with the shared checkpoint folder and the size of Arrow batches set and this package sent to the workers."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    ship_package(spark)
     return df
 
 

@@ -33,7 +33,7 @@ TRAIN_DOCS = 2500
 TRAIN_PASSAGES = 150_000       # of these documents, about 160 MB as float32 on the driver
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 120, 0.02, 1e-3
 FOLDS, THRESHOLD = 5, 0.3
-_MEMO = 300_000
+_MEMO = 100_000                # words kept per worker; the memo starts anew beyond that
 
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 _PASSAGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.BinaryType())])

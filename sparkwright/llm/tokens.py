@@ -15,8 +15,8 @@ from functools import lru_cache
 
 from sparkwright.llm.common import text_bytes
 
-MEMO_WORDS = 500_000          # words kept per worker; the memo starts anew beyond that
-MEMO_UNITS = 700_000          # letter runs kept per worker, likewise
+MEMO_WORDS = 350_000          # words kept per worker; the memo starts anew beyond that
+MEMO_UNITS = 350_000          # letter runs kept per worker, likewise
 LONG_WORD = 200               # longer ones are encoded but not kept
 
 # A plain word holds printable ASCII but the apostrophe, and Latin letters that
