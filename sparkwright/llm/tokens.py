@@ -13,6 +13,10 @@ import sys
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from sparkwright.llm.common import text_bytes
 
 MEMO_WORDS = 350_000          # words kept per worker; the memo starts anew beyond that
@@ -26,6 +30,11 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+")
 _UNITS = re.compile(f"[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 
+# The same for many words at once, one per line; a line end counts as a unit with an id that no file has.
+_PLAIN_LINES = re.compile(f"[!-&(-~{_LETTERS}\n]*")
+_LINE_UNITS = re.compile(f"[{_LETTERS}]+|[0-9]|[^\n0-9{_LETTERS}]+|\n")
+_STOP_ID = 0xFFFFFFFF
+_STOP = _STOP_ID.to_bytes(4, "little")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,6 +61,8 @@ class _Units(dict):
         self.letters = _byte_letters()
 
     def __missing__(self, unit: str) -> bytes:
+        if unit == "\n":
+            return _STOP
         seen = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
         ids = _packed([t.id for t in self.model.tokenize(seen)])
         if len(self) > MEMO_UNITS:
@@ -94,6 +105,44 @@ class WordTokenizer:
         """All ids of ``text`` (no special tokens added) as little-endian uint32 bytes."""
         return b"".join(map(self._words.__getitem__, text_bytes(text).split()))
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all ``texts`` on end, as ``encode_bytes`` gives them, and how many each text has.
+
+        Every different word is encoded once per batch; numpy puts the ids of the texts together.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n_words = len(coded.dictionary)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n_words], pa.int32()), coded.dictionary), "\n")
+        table, begins, lengths = self._encode_words(lines[0].as_py(), n_words)
+        lengths = lengths[codes]                      # of every word now
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = table[np.repeat(begins[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = split.offsets.to_numpy()
+        return ids, np.diff(ends[bounds - bounds[0]])
+
+    def _encode_words(self, lines: str, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One array with the ids of words, given one per line, and where those of each begin and how many they are."""
+        words, odd = [], []
+        if not _PLAIN_LINES.fullmatch(lines) or "<|" in lines:
+            words = lines.split("\n")
+            odd = [n for n, word in enumerate(words) if not _PLAIN_LINES.fullmatch(word) or "<|" in word]
+            strange = set(odd)
+            lines = "\n".join([word for n, word in enumerate(words) if n not in strange])
+        pieces = []
+        if n_words > len(odd):
+            pieces += map(self._words.units.__getitem__, _LINE_UNITS.findall(f"{lines.lower()}\n"))
+        for n in odd:
+            pieces += self._words[words[n].encode("utf-8", "surrogatepass")], _STOP
+        table = np.frombuffer(b"".join(pieces), dtype="<u4")
+        stops = np.flatnonzero(table == _STOP_ID)     # the plain words' first, then those of the odd ones
+        order = np.concatenate([np.delete(np.arange(n_words), odd), np.array(odd, dtype=np.int64)])
+        begins, lengths = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.int64)
+        begins[order] = np.concatenate([[0], stops[:-1] + 1])[:n_words]
+        lengths[order] = stops - begins[order]
+        return table, begins, lengths
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:

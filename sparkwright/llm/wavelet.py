@@ -58,12 +58,12 @@ class WaveletMatrix:
         level = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros, ones = [], [], []
         for shift in range(bits - 1, -1, -1):
-            bit = ((level >> shift) & 1).astype(bool)
+            bit = (level & level.dtype.type(1 << shift)) != 0
             plane = np.packbits(bit)
             planes.append(plane)
-            low = level[~bit]
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
-            level = np.concatenate([low, level[bit]])
+            level = np.concatenate([level.take(low), level.take(high)])
             per_block = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK // 8)) \
                 if len(plane) else np.zeros(0)
             ones.append(np.concatenate([[0], np.cumsum(per_block, dtype=np.int64)]).astype(np.uint32))
@@ -164,8 +164,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             above = np.empty(self.n, dtype=kind)
             z = self.zeros[level]
-            above[~bit] = value[:z]
-            above[bit] = value[z:] | kind(1 << (bits - 1 - level))
+            above[np.flatnonzero(~bit)] = value[:z]
+            above[np.flatnonzero(bit)] = value[z:] | kind(1 << (bits - 1 - level))
             value = above
         return value
 
@@ -180,30 +180,32 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     one ``end_id``; an empty table writes no shards; other columns are ignored.
     """
     file = tokenizer_file or tokenizer_path()
-    end = int(end_id).to_bytes(4, "little")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(file).encode_bytes
+        encode = tokenizer(file).encode_batch
         part, shard, base, held = TaskContext.get().partitionId(), 0, 0, 0
         ids, names = [], []
 
         def image() -> pa.RecordBatch:
-            payload = WaveletMatrix.build(np.frombuffer(b"".join(ids), dtype="<u4")).to_bytes()
+            payload = WaveletMatrix.build(np.concatenate(ids)).to_bytes()
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([base], pa.int64()),
                 pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())),
-                pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
+                pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
             ], names=SHARD_SCHEMA.names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = encode(text.as_py()) + end
-                if held and held + len(one) // 4 > shard_tokens:
+            found, counts = encode(batch.column(1))
+            ends = np.cumsum(counts)
+            found = np.insert(found, ends, end_id)
+            ends += np.arange(1, len(ends) + 1)
+            for doc_id, one in zip(batch.column(0).to_pylist(), np.split(found, ends[:-1])):
+                if held and held + len(one) > shard_tokens:
                     yield image()
                     shard, base, held, ids, names = shard + 1, base + held, 0, [], []
                 ids.append(one)
                 names.append(doc_id)
-                held += len(one) // 4
+                held += len(one)
         if held:
             yield image()
 
